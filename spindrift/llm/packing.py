@@ -110,12 +110,13 @@ class OpenBins:
         return found, self.size - space
 
 
-def pack(pieces: DataFrame, tasks: int, size: int = 1024, open_bins: int = 512, key: str = "doc_id") -> DataFrame:
+def pack(pieces: DataFrame, tasks: int, size: int = 1024, open_bins: int = 2048, look_ahead: int = 1024, key: str = "doc_id") -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: best-fit into sequences of ``size``, in hash order of the key.
 
     Each of ``tasks`` tasks packs its own share with ``open_bins`` bins and a
-    state that doesn't grow with the rows. Sequence ids are the task's number
-    and a count. ``length`` has to lie in 1..``size``.
+    state that doesn't grow with the rows; of each ``look_ahead`` pieces the
+    longest are placed first. Sequence ids are the task's number and a count.
+    ``length`` has to lie in 1..``size``.
     """
     clash = {"sequence_id", "offset"} & set(pieces.columns)
     pieces = pieces.drop(*clash)
@@ -124,15 +125,19 @@ def pack(pieces: DataFrame, tasks: int, size: int = 1024, open_bins: int = 512,
     def run(batches):
         bins, first = OpenBins(size, open_bins), TaskContext.get().partitionId() << 40
         for b in batches:
-            placed = [bins.place(n) for n in b.column("length").to_pylist()]
-            ids = pa.array([first + p[0] for p in placed], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array([p[1] for p in placed], pa.int64())], [*b.schema.names, "sequence_id", "offset"])
+            lengths = b.column("length").to_numpy()
+            placed = np.empty((len(lengths), 2), np.int64)
+            for at in range(0, len(lengths), look_ahead):
+                for i in at + np.argsort(-lengths[at : at + look_ahead], kind="stable"):
+                    placed[i] = bins.place(int(lengths[i]))
+            ids = pa.array(first + placed[:, 0])
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(placed[:, 1].copy())], [*b.schema.names, "sequence_id", "offset"])
 
     order = F.xxhash64(key, "start")
     return pieces.repartition(tasks, key).sortWithinPartitions(order, key, "start").mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int = 512, docs_per_task: int = 65_536, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int = 2048, docs_per_task: int = 65_536, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     The number of tasks follows the row count, which Parquet's footers give.
