@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, pii, simhash, toxicity, vectors
+from . import chat, langid, mixing, packing, pii, simhash, sketches, toxicity, vectors
 from .common import doc_bucket, table
 
 
@@ -27,6 +27,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(table(spark, sf_dir, "documents"))
     pages = langid.identify_pages(table(spark, sf_dir, "pages"), model)
@@ -59,5 +63,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_vectors": op3_vectors, "op4_pii": op4_pii, "op7_langid": op7_langid, "op5_packing": op5_packing, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+QUERIES = {"op1_mixing": op1_mixing, "op3_vectors": op3_vectors, "op4_pii": op4_pii, "op6_fingerprints": op6_fingerprints, "op7_langid": op7_langid, "op5_packing": op5_packing, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ of each. A cell holds how many digests it has, their exclusive or, and that of
 their checks. Sketches of two versions subtract cell by cell, so what both have
 cancels; a cell that holds one digest gives it up, and taking it out of its
 other cells frees more, until all digests that differ are known. If cells are
-left over, the versions are sketched again in four times as many cells.
+left over, the versions are sketched again in eight times as many cells.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def sketch(rows: DataFrame, keys: tuple, digests: str, cells: int) -> DataFrame:
     return spread.groupBy(*keys, "cell").agg(F.count("*").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor(_check(F.col("digest"))).alias("check"))
 
 
-def peel(diff: DataFrame, keys: tuple, cells: int, rounds: int = 12) -> DataFrame:
+def peel(diff: DataFrame, keys: tuple, cells: int, rounds: int = 9) -> DataFrame:
     """What subtracted sketches give up: rows with cell -1 hold a digest and its side (n = 1 or -1), others are cells left over.
 
     A round takes one of the tables, where no two cells can hold the same single
@@ -86,7 +86,7 @@ def _exploded(rows: DataFrame, versions: tuple) -> DataFrame:
 
 
 def differing(rows: DataFrame, versions: tuple, pairs: dict, cells: int) -> DataFrame:
-    """One attempt at (keys, pair, side, digest), with a row of side 0 for each pair that was not recovered."""
+    """One attempt: for each pair with a difference, how many digests were recovered (``differ``) and cells left (``over``)."""
     keys = (*_KEY, "pair")
     cells_of = sketch(_exploded(rows, versions), (*_KEY, "version"), "digests", cells)
     left = peel(subtract(cells_of, _KEY, pairs), keys, cells)
@@ -108,10 +108,10 @@ def in_order(docs: DataFrame, bucket_rows: int = 4096, segments: int = 64) -> Da
     """``docs`` (doc_id, text) with ``bucket``, ``row`` and ``next_text``: the text of the next document by descending doc_id, after the last that of the first.
 
     Null ids come last, equal ids by the hash of the text. Ids are cut into
-    quantile segments, and each into even spans of about ``bucket_rows`` rows (a
-    1,024th to a 65,536th of that many are joined as one side by broadcast); the
-    first row of a bucket is also dealt to the bucket before it, so texts move
-    once and no task orders all rows.
+    quantile segments, and each into even spans of about ``bucket_rows`` rows;
+    the first row of a bucket is also dealt to the bucket before it, so texts
+    move once and no task orders all rows. The table of buckets' first ids is
+    broadcast up to a million rows, and beyond that joined by a shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
@@ -119,7 +119,7 @@ def in_order(docs: DataFrame, bucket_rows: int = 4096, segments: int = 64) -> Da
     lo = cuts["lo"] or 0
     bounds = sorted({lo, *(cuts["cuts"] or [])})
     n = cuts["n"]
-    per = max(1, n // max(1, len(bounds)) // max(1024, min(65_536, bucket_rows)))
+    per = max(1, n // max(1, len(bounds)) // bucket_rows)
     order = F.coalesce(F.col("doc_id"), F.lit(lo - 1))
     starts = F.array(*[F.lit(b).cast("long") for b in bounds])
     ends = F.array(*[F.lit(b).cast("long") for b in [*bounds[1:], bounds[-1] + max(1, bounds[-1] - bounds[max(0, len(bounds) - 2)])]])
@@ -141,10 +141,11 @@ def in_order(docs: DataFrame, bucket_rows: int = 4096, segments: int = 64) -> Da
     return dealt.where("not tail").select("bucket", "row", "doc_id", "text", "next_text")
 
 
-def _show(cells: Column, n: Column) -> Column:
-    """A sketch as text: number of digests, then of each cell its place, count, digests and checks."""
-    one = lambda c: F.concat_ws(".", c["cell"].cast("string"), c["n"].cast("string"), F.hex(c["digest"]), F.hex(c["check"]))
-    return F.concat_ws(";", n.cast("string"), F.array_join(F.transform(F.array_sort(cells), one), ";"))
+def _show(cells: Column, version: int) -> Column:
+    """A version's sketch as text: of each cell its place, count and digests. Checks follow from the digests where they count."""
+    mine = F.array_sort(F.filter(cells, lambda c: c["version"] == version))
+    one = lambda c: F.concat_ws(".", c["cell"].cast("string"), c["n"].cast("string"), F.hex(c["digest"]))
+    return F.array_join(F.transform(mine, one), ";")
 
 
 def _likeness(a: Column, b: Column, differ: Column) -> Column:
@@ -173,7 +174,8 @@ def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows:
     versions, pairs = ("own", "changed", "next"), {0: (0, 1), 1: (0, 2)}
 
     prints = sketch(_exploded(rows, versions[:2]), (*_KEY, "version"), "digests", cells)
-    prints = prints.groupBy(*_KEY, "version").agg(F.collect_list(F.struct("cell", "n", "digest", "check")).alias("cells"))
+    prints = prints.groupBy(*_KEY).agg(F.collect_list(F.struct("version", "cell", "n", "digest")).alias("cells"))
+    shown = prints.select(*_KEY, *[_show(F.col("cells"), v).alias(f"shown{v}") for v in (0, 1)])
 
     todo, solved = rows, []
     while True:
@@ -184,21 +186,20 @@ def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows:
         failed = materialize(failed, "failed")
         if failed.isEmpty():
             break
-        cells *= 4
+        cells *= 8
         todo = rows.join(failed, "bucket").where(F.array_contains("__failed", F.col("row"))).drop("__failed")
     union = reduce(DataFrame.union, solved)
     known = union.groupBy(*_KEY).agg(*[F.min(F.when(F.col(f"over{p}") == 0, F.col(f"differ{p}"))).alias(f"differ{p}") for p in pairs])
-    shown = prints.groupBy(*_KEY).agg(*[F.max(F.when(F.col("version") == v, F.col("cells"))).alias(f"cells{v}") for v in (0, 1)])
-    size = {v: F.size(v) for v in versions}
-    out = rows.join(known, list(_KEY), "left").join(shown, list(_KEY), "left")
-    empty = F.array().cast("array<struct<cell:long,n:long,digest:long,check:long>>")
+    slim = rows.select(*_KEY, "doc_id", "n_chars", "edited_sha256", *[F.size(v).alias(f"n_{v}") for v in versions])
+    out = slim.join(known, list(_KEY), "left").join(shown, list(_KEY), "left")
+    own, changed, following = (F.col(f"n_{v}") for v in versions)
     differ = lambda p: F.coalesce(F.col(f"differ{p}"), F.lit(0))
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        _show(F.coalesce("cells0", empty), size["own"]).alias("fingerprint"),
-        _show(F.coalesce("cells1", empty), size["changed"]).alias("edited_fingerprint"),
-        _likeness(size["own"], size["changed"], differ(0)).alias("near_edited"),
-        _likeness(size["own"], size["next"], differ(1)).alias("near_next"),
+        F.concat_ws("|", own.cast("string"), F.coalesce("shown0", F.lit(""))).alias("fingerprint"),
+        F.concat_ws("|", changed.cast("string"), F.coalesce("shown1", F.lit(""))).alias("edited_fingerprint"),
+        _likeness(own, changed, differ(0)).alias("near_edited"),
+        _likeness(own, following, differ(1)).alias("near_next"),
     )
