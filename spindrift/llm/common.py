@@ -35,6 +35,17 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` written to the shared folder in hash buckets of ``column``: later joins and grouping by it move no rows of it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(shuffle_partitions(spark), column).option("path", scratch_path(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved now: the files stay when the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, pii, simhash, sketches, toxicity, vectors
+from . import backoff, chat, langid, mixing, packing, pii, simhash, sketches, toxicity, vectors
 from .common import doc_bucket, table
 
 
@@ -18,6 +18,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op2_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return backoff.score_texts(docs, doc_bucket(F.col("doc_id"), 7) != 2)
+
+
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -63,5 +68,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_vectors": op3_vectors, "op4_pii": op4_pii, "op6_fingerprints": op6_fingerprints, "op7_langid": op7_langid, "op5_packing": op5_packing, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+QUERIES = {"op1_mixing": op1_mixing, "op2_backoff": op2_backoff, "op3_vectors": op3_vectors, "op4_pii": op4_pii, "op6_fingerprints": op6_fingerprints, "op7_langid": op7_langid, "op5_packing": op5_packing, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {}

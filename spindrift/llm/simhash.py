@@ -17,7 +17,7 @@ BITS = 64
 _PIECE = 1 << 20
 
 
-def _pieces(text: bytes):
+def word_pieces(text: bytes):
     """Word lists of a text in pieces of about a megabyte, cut at white space."""
     at, n = 0, len(text)
     while at < n:
@@ -31,7 +31,7 @@ def _pieces(text: bytes):
 def shingle_hashes(text: bytes, width: int = 3, seed: int = 42):
     """Arrays of the XXH64 of each word shingle; fewer words than ``width`` make one shingle, none make none."""
     digest, carry, wide = xxhash.xxh64_intdigest, [], False
-    for words in _pieces(text.lower()):
+    for words in word_pieces(text.lower()):
         words = carry + words
         n = len(words) - width + 1
         if n > 0:

@@ -10,13 +10,12 @@ left over, the versions are sketched again in eight times as many cells.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, shuffle_partitions
+from .common import bucketed, materialize
 
 TABLES = 3
 BASE_CELLS = 24
@@ -93,17 +92,6 @@ def differing(rows: DataFrame, versions: tuple, pairs: dict, cells: int) -> Data
     return left.groupBy(*keys).agg(F.count_if(F.col("cell") >= 0).alias("over"), F.count_if(F.col("cell") < 0).alias("differ"))
 
 
-def _bucketed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder in hash buckets of ``bucket``: later grouping by it moves no rows."""
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(shuffle_partitions(spark), "bucket").option("path", scratch_path(spark, name)).saveAsTable(table)
-    out = spark.table(table)
-    out.schema  # resolved now: the files stay when the name goes
-    spark.sql(f"DROP TABLE {table}")
-    return out
-
-
 def in_order(docs: DataFrame, bucket_rows: int = 4096, segments: int = 64) -> DataFrame:
     """``docs`` (doc_id, text) with ``bucket``, ``row`` and ``next_text``: the text of the next document by descending doc_id, after the last that of the first.
 
@@ -170,7 +158,7 @@ def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows:
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
     rows = whole.select(*_KEY, "doc_id", "text", "next_text", edited.alias("edited"), n.cast("long").alias("n_chars"))
     rows = rows.select(*_KEY, "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("changed"), paragraphs(F.col("next_text")).alias("next"))
-    rows = _bucketed(rows, "versions")
+    rows = bucketed(rows, "versions", "bucket")
     versions, pairs = ("own", "changed", "next"), {0: (0, 1), 1: (0, 2)}
 
     prints = sketch(_exploded(rows, versions[:2]), (*_KEY, "version"), "digests", cells)
