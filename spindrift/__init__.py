@@ -1,0 +1 @@
+"""Code navigation and reference graphs as Spark DataFrames."""
