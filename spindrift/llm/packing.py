@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import base64
 from functools import lru_cache
 
 import numpy as np
@@ -12,52 +12,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Unicode White_Space, as the pre-tokenizer's pattern has it (fixed values).
-_SPACE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+class _Encoder:
+    """Token ids of texts. With the ranks of the same vocabulary, texts without a special token's string go by them: the ids are equal, and come faster."""
 
-
-class _Chunks(dict):
-    """Chunk to its token ids; a byte-level BPE never joins text over white space into one token."""
-
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.ranked = Tokenizer.from_file(tokenizer_path), None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if ranks_path:
+            import tiktoken
+
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        chunks = _CHUNK.findall(text)
-        fresh = list({c for c in chunks if c not in self})
-        if fresh:
-            for c, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                self[c] = np.array(e.ids, "<u4")
-        return np.concatenate(list(map(self.__getitem__, chunks))) if chunks else np.empty(0, "<u4")
+    def ids(self, text: str) -> np.ndarray:
+        if self.ranked and not any(s in text for s in self.special):
+            return self.ranked.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 @lru_cache(maxsize=2)
-def _chunks(path: str) -> _Chunks:
-    return _Chunks(path)
+def _encoder(tokenizer_path: str, ranks_path: str | None, pattern: str | None) -> _Encoder:
+    return _Encoder(tokenizer_path, ranks_path, pattern)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids): each whole text's token ids and ``end_id``, as little-endian uint32.
 
-    Null text counts as empty, so it gives the end id alone. Only documents of
+    The ids are those of the tokenizer's file; ``ranks_path`` may name the same
+    vocabulary as ranks, and ``pattern`` how it splits text. Null text counts as empty, so it gives the end id alone. Only documents of
     over ``size`` ids are cut, and only their first piece may be shorter.
     """
 
     def run(batches):
-        chunks = _chunks(tokenizer_path)
+        encoder = _encoder(tokenizer_path, ranks_path, pattern)
         end = np.array([end_id], "<u4")
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             held = 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py()
-                ids = np.concatenate([chunks.encode(text), end]) if text else end
+                ids = np.concatenate([encoder.ids(text), end]) if text else end
                 cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
                 for k, (at, to) in enumerate(zip(cuts, cuts[1:])):
                     for column, x in zip(rows, (doc, k, at, to - at, ids[at:to].tobytes())):
@@ -137,14 +134,14 @@ def pack(pieces: DataFrame, tasks: int, size: int = 1024, open_bins: int = 2048,
     return pieces.repartition(tasks, key).sortWithinPartitions(order, key, "start").mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int = 2048, docs_per_task: int = 65_536, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int = 2048, docs_per_task: int = 65_536, keep_ids: bool = False, **ranks: str) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     The number of tasks follows the row count, which Parquet's footers give.
     Empty and null texts take one token, repeated rows are packed as often as
     they come, and an empty table gives no rows.
     """
-    pieces = token_pieces(docs, tokenizer_path, size).withColumn("ids_crc32", F.crc32("ids"))
+    pieces = token_pieces(docs, tokenizer_path, size, **ranks).withColumn("ids_crc32", F.crc32("ids"))
     if not keep_ids:
         pieces = pieces.drop("ids")
     tasks = max(1, -(-docs.count() // docs_per_task))
