@@ -164,9 +164,9 @@ def _kmeans(x: np.ndarray, k: int, steps: int = 8, seed: int = 3) -> np.ndarray:
     return centre
 
 
-def _centres(reps: DataFrame, rows: int, shard_rows: int, sample_rows: int, most: int) -> np.ndarray | None:
-    """Cluster centres fitted on at most about ``sample_rows`` vectors, drawn by hash."""
-    k = min(most, -(-rows // shard_rows))
+def _centres(reps: DataFrame, rows: int, overlap: int, shard_rows: int, sample_rows: int, most: int) -> np.ndarray | None:
+    """Centres of so many clusters that shards have about ``shard_rows`` vectors, fitted on about ``sample_rows`` of them, drawn by hash."""
+    k = min(most, -(-rows * overlap // shard_rows)) if rows > shard_rows else 1
     if k < 2:
         return None
     step = max(1, -(-rows // sample_rows))
@@ -252,9 +252,9 @@ def _search(threshold: float, beam: int, degree: int):
 
 
 def _shards(reps: DataFrame, shard_rows: int) -> DataFrame:
-    """A row for each shard a vector is in: cluster, i, j. A cluster of over ``shard_rows`` vectors is dealt into salts, and each pair of salts is a shard."""
+    """A row for each shard a vector is in: cluster, i, j. A cluster of over twice ``shard_rows`` vectors is dealt into salts, and each pair of salts is a shard."""
     rows = reps.withColumn("cluster", F.explode("clusters"))
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / shard_rows).alias("salts"))
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / (2 * shard_rows)).alias("salts"))
     rows = rows.join(sizes, "cluster").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     return rows.withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other")).drop("other", "salts")
@@ -293,7 +293,7 @@ def _audit(reps: DataFrame, found: DataFrame, threshold: float, queries: int) ->
 def near_vectors(
     vectors: DataFrame,
     threshold: float = 0.95,
-    shard_rows: int = 1536,
+    shard_rows: int = 2048,
     overlap: int = 2,
     degree: int = 20,
     beam: int = 32,
@@ -332,7 +332,7 @@ def near_vectors(
         tries, more, width = 0, overlap, beam
         while True:
             tries += 1
-            centres = _centres(reps, count, shard_rows, sample_rows, most_clusters)
+            centres = _centres(reps, count, more, shard_rows, sample_rows, most_clusters)
             got = _attempt(reps, threshold, centres, shard_rows, more, degree, width)
             links = got.groupBy("rep").agg(F.sum("links").alias("links"))
             if tries == attempts or _audit(reps, links, threshold, audit_queries) >= wanted_recall:

@@ -6,11 +6,12 @@ import os
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import file_module, is_test, line_count
-from ..operators import extract, graph, lookup, resolve, search, spans
+from ..functions.strings import blob_hash, file_module, is_test, line_count
+from ..operators import context, diff, extract, graph, lookup, resolve, search, spans, upkeep
 
 VERSION = 1
 TABLES = ("files", "symbols", "edge_raw", "file_imports", "edges", "services")
@@ -41,7 +42,7 @@ def build(files: DataFrame, services: DataFrame, iterations: int = 50) -> dict[s
     edges = graph._written(resolve.resolve(raw, symbols, imports), "edges")
     votes = edges.join(symbols.where(~F.col("is_test")).select(F.col("id").alias("src_symbol")), "src_symbol", "left_semi")
     ranks = graph.pagerank(symbols.select("id"), votes, iterations=iterations)
-    meta = files.select("path", line_count(F.make_valid_utf8(F.col("content").cast("string"))).alias("loc"), F.octet_length("content").alias("size"))
+    meta = files.select("path", line_count(F.make_valid_utf8(F.col("content").cast("string"))).alias("loc"), F.octet_length("content").alias("size"), blob_hash(F.col("content")).alias("git_hash"))
     return {
         "files": known.select("path", "service").join(meta, "path").withColumn("module", file_module(F.col("path"))),
         "symbols": symbols.drop("in_file").join(ranks, "id"),
@@ -52,6 +53,48 @@ def build(files: DataFrame, services: DataFrame, iterations: int = 50) -> dict[s
     }
 
 
+def snapshot(files: DataFrame) -> DataFrame:
+    """The symbols of files as the comparison takes them: with the hash of their own lines and whether they are public."""
+    found, _ = extract.extract(files)
+    named = spans.lexical_identity(found)
+    lines = extract.source_lines(files).select("file", "line", F.col("raw").alias("text"))
+    hashes = spans.text_hash(spans.own_lines(lines, found), "file", "id").withColumnRenamed("hash", "body_hash")
+    sign = F.ltrim("signature")
+    public = (
+        F.when(F.col("language") == "rust", sign.startswith("pub ") | sign.startswith("pub("))
+        .when(F.col("language") == "typescript", sign.startswith("export ") | sign.startswith("public "))
+        .when(F.col("language") == "python", ~F.col("name").startswith("_"))
+        .otherwise(True)
+    )
+    return named.join(hashes, ["file", "id"], "left").select("file", "name", "kind", F.col("id").alias("ordinal"), "signature", "body_hash", F.col("doc_first_line").alias("doc"), "container", public.alias("public"))
+
+
+def changes(old_files: DataFrame, new_files: DataFrame, tables: dict[str, DataFrame], depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(changes with their risk, affected symbols) of two states of some files (path, content), against an index of the new state.
+
+    Signals are by bare name: direct references are the most of any changed
+    symbol of the name; a change crosses services if something affected through
+    the name is in another service than the changed file.
+    """
+    symbols, edges = tables["symbols"], tables["edges"]
+    found = graph._written(diff.compare(snapshot(old_files), snapshot(new_files)), "changes")
+    owner = tables["files"].select(F.col("path").alias("file"), "service", "module")
+    live = symbols.join(found.where(~F.col("at_base")).select("file", "name", "kind").distinct(), ["file", "name", "kind"], "left_semi").select("id", "name")
+    gone = found.where("at_base").join(owner, "file", "left").select("name", "service", "container", F.coalesce("module", file_module(F.col("file"))).alias("module"))
+    lost = diff.callers_of_deleted(gone, tables["edge_raw"], symbols, tables["file_imports"])
+    direct = edges.join(live.select(F.col("id").alias("dst_symbol"), "name"), "dst_symbol").select("name", F.col("dst_symbol").alias("of"), "src_symbol").distinct()
+    counts = direct.groupBy("name", "of").agg(F.count("*").alias("n")).select("name", "n").union(lost.groupBy("name").agg(F.count("*").alias("n"))).groupBy("name").agg(F.max("n").alias("direct_references"))
+    # a deleted symbol has no node: its callers enter the walk through an edge to a stand-in
+    stand_in = lost.select("src_symbol", (-F.abs(F.xxhash64("name")) - 1).alias("dst_symbol"), "name")
+    roots = live.union(stand_in.select(F.col("dst_symbol").alias("id"), "name").distinct())
+    reached = graph._written(diff.affected(edges.select("src_symbol", "dst_symbol").union(stand_in.select("src_symbol", "dst_symbol")), roots, symbols, depth), "affected")
+    affected = symbols.join(reached.drop("is_test"), "id")
+    crossing = found.join(owner, "file", "left").select("name", F.col("service").alias("own")).distinct()
+    crossing = affected.select(F.col("via").alias("name"), "service").distinct().join(crossing, "name").where("service <> own").select("name", F.lit(True).alias("cross_service")).distinct()
+    scored = found.join(counts, "name", "left").join(crossing, "name", "left").withColumn("direct_references", F.coalesce("direct_references", F.lit(0))).withColumn("cross_service", F.coalesce("cross_service", F.lit(False)))
+    return diff.score(scored).orderBy(F.desc("risk_score"), "file", "name"), affected.orderBy("depth", F.desc("rank"), "file", "start_line")
+
+
 class Index:
     """A stored index: folders of tables, and a file that names the current one.
 
@@ -101,6 +144,41 @@ class Index:
         reached = graph.impact(self.table("edges"), rows.where(lookup.selector(**select)).select("id"), depth)
         return rows.join(reached, "id").orderBy("depth", F.desc("rank"), "file", "start_line")
 
+    def context(self, query: str, budget: int = 2000, include_tests: bool = False) -> DataFrame:
+        return context.pack(self.table("symbols"), self.table("edges"), query, budget, include_tests)
+
+    def stats(self) -> DataFrame:
+        """The number of rows of each table."""
+        each = [self.table(t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES]
+        out = each[0]
+        for more in each[1:]:
+            out = out.union(more)
+        return out
+
+    def refresh(self, files: DataFrame, services: DataFrame) -> str:
+        """Build again if a file was added, changed or removed, or services differ; gives what was done.
+
+        ``files`` has path and content; hashes decide, as content is read anyway.
+        """
+        if not self.exists():
+            self.save(build(files, services))
+            return "full"
+        state = lambda df, hashed: df.select("path", F.lit(0).alias("mtime"), "size", hashed.alias("hash"))
+        now = state(files.withColumn("size", F.octet_length("content")), blob_hash(F.col("content")))
+        then = state(self.table("files"), F.col("git_hash"))
+        same = lambda df: df.select("name", "path", F.coalesce("stack", F.lit("")).alias("stack"))
+        moved = not same(services).exceptAll(same(self.table("services"))).isEmpty() or not same(self.table("services")).exceptAll(same(services)).isEmpty()
+        if not moved and upkeep.outcomes(now, then).where("outcome in ('index', 'removed')").isEmpty():
+            return "unchanged"
+        self.save(build(files, services))
+        return "full: service definitions changed" if moved else "incremental"
+
+    def exists(self) -> bool:
+        try:
+            return bool(self._pointer.first())
+        except AnalysisException:  # no pointer yet
+            return False
+
     def map(self) -> DataFrame:
         return lookup.service_map(self.table("services"), self.table("files"))
 

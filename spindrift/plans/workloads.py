@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import diff, graph, lookup, resolve, search, spans, upkeep
+from ..operators import context, diff, graph, lookup, resolve, search, spans, upkeep
 from .tables import EDGES, IMPORTS, QUALIFIER, REFS, SPANS, SYMBOLS, listed, table, view
 
 NAME, SERVICE = "blue gear", "s3"
@@ -344,6 +344,22 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
     return upkeep.fit_budget(seeds.withColumn("cost", upkeep.text_cost(F.col("text"))), 6000, *order).select("doc_id", "cost", "used")
 
 
+_SEEDS_SQL = _bm25_sql([_TF.format("blu"), _TF.format("gea")], "OR").replace("doc_id, n_chars, regexp", "id, is_test, rank, regexp").replace("lower(text)", "lower(name)").replace("FROM documents", "FROM symbols").replace("doc_id, n_chars", "id, is_test, rank")
+
+
+@query(
+    _SEEDS_SQL.replace("WITH ", f"WITH {SYMBOLS_SQL}, {EDGES_SQL}, ", 1)
+    + """, seeds AS (SELECT id, row_number() OVER (ORDER BY round(bm25, 9), rank DESC, id) AS seed FROM hits WHERE NOT is_test ORDER BY seed LIMIT 8),
+    near AS (SELECT seed, 'caller' AS relationship, src_symbol AS id, min(kind) AS edge_kind FROM edges JOIN seeds ON dst_symbol = id GROUP BY ALL UNION ALL SELECT seed, 'callee', dst_symbol, min(kind) FROM edges JOIN seeds ON src_symbol = id GROUP BY ALL),
+    placed AS (SELECT n.*, row_number() OVER (PARTITION BY seed, relationship ORDER BY s.rank DESC, s.file, s.start_line, s.id) AS place FROM near n JOIN symbols s USING (id) WHERE NOT s.is_test)
+    SELECT seed, relationship, id, edge_kind, place FROM placed WHERE place <= 3"""
+)
+def context_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    rows, links = symbols(spark, d), edges(spark, d)
+    found = context.seeds(rows, "blu gea", columns=("name",))
+    return context.neighbours(found, rows, links).selectExpr("cast(seed AS bigint) AS seed", "relationship", "id", "edge_kind", "cast(place AS bigint) AS place")
+
+
 # differences
 
 _SNAPSHOT = {

@@ -132,6 +132,10 @@ def test_stored_index_answers(spark, tables, tmp_path):
     assert {r["name"]: r.files for r in stored.map().collect()} == {"depot": 2, "prices": 2, "shop": 2, "mail": 1, "bill": 2, "_under": 1}
     line = json.loads(index.jsonl(stored.definitions(name="take"), "def").first().value)
     assert line["schema_version"] == 1 and line["command"] == "def" and line["data"]["qualified_name"] == "take"
+    assert {r["name"]: r.n for r in stored.stats().collect()}["services"] == 6
+    packed = stored.context("take count", budget=200).collect()
+    assert packed[0].content.startswith("fn take") or packed[0].content.startswith("fn count")
+    assert "  caller fn" in packed[0].content and packed[-1].used <= 200 and [r.seed for r in packed] == list(range(1, len(packed) + 1))
     index.clear(stored.path)
     index.clear(stored.path)
     assert not (tmp_path / "ix").exists()
@@ -171,3 +175,27 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "m.toml").write_text("[[service")
     with pytest.raises(Exception):
         repository.services(spark, str(tmp_path / "m.toml"), None)
+
+
+def test_refresh(spark, tmp_path):
+    stored = index.Index(spark, str(tmp_path / "ix"))
+    files = lambda *rows: spark.createDataFrame(rows, "path string, content binary")
+    one, two = ("a/x.py", b"def f():\n    pass\n"), ("a/y.py", b"def g():\n    f()\n")
+    services = lambda *names: spark.createDataFrame([(n, n, None, None, [], []) for n in names], repository.SERVICES)
+    assert stored.refresh(files(one), services("a")) == "full"
+    assert stored.refresh(files(one), services("a")) == "unchanged"
+    assert stored.refresh(files(one, two), services("a")) == "incremental"
+    assert {r.name for r in stored.callers(name="f").collect()} == {"g"}
+    assert stored.refresh(files(two), services("a")) == "incremental" and stored.definitions(name="f").count() == 0
+    assert stored.refresh(files(two), services("b")) == "full: service definitions changed"
+
+
+def test_changes_with_risk(spark):
+    before = [("s/a.py", b"def kept():\n    return 1\n\n\ndef gone(x):\n    return x\n"), ("s/b.py", b"def user():\n    return gone(kept())\n"), ("t/c.py", b"from s.a import kept\n\n\ndef far():\n    return kept()\n"), ("s/test_b.py", b"def test_user():\n    user()\n")]
+    after = [("s/a.py", b"def kept(y=0):\n    return 1\n\n\ndef _fresh():\n    return 2\n"), *before[1:]]
+    old, new = (spark.createDataFrame(rows, "path string, content binary") for rows in (before, after))
+    services = spark.createDataFrame([("s", "s", None, None, [], []), ("t", "t", None, None, [], [])], repository.SERVICES)
+    found, reached = index.changes(old, new, index.build(new, services, iterations=3))
+    got = {r.name: (r.nature, r.direct_references, r.cross_service, r.risk_score, r.risk) for r in found.collect()}
+    assert got == {"gone": ("deleted", 1, False, 7, "high"), "kept": ("signature", 2, True, 8, "high"), "_fresh": ("added", 0, False, 1, "low")}
+    assert {(r.name, r.depth, r.via, r.is_test) for r in reached.collect()} == {("user", 1, "gone", False), ("far", 1, "kept", False), ("test_user", 2, "gone", True)}
