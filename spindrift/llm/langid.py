@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-_STEP = 1 << 22
+_STEP = 1 << 20
 
 
 def _letters() -> np.ndarray:
@@ -144,6 +144,7 @@ def identify(
     "und". Null or unknown declared values, suffixes and hosts are groups of
     their own. Columns of ``rows`` with one of the new names are replaced.
     """
+    small_batches(rows.sparkSession)
     new = ("language", "confidence", "text_language", "text_confidence")
     rows = rows.drop(*(c for c in rows.columns if c in new or c.startswith("__")))
     classes = [*model.languages, UNKNOWN]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
+
 class _Encoder:
     """Token ids of texts. With the ranks of the same vocabulary, texts without a special token's string go by them: the ids are equal, and come faster."""
 
-    def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.ranked = Tokenizer.from_file(tokenizer_path), None
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None, special: tuple):
+        self.tokenizer_path, self.special, self.ranked = tokenizer_path, special, None
         if ranks_path:
             import tiktoken
 
@@ -27,6 +27,13 @@ class _Encoder:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded when it is first needed: it takes far more memory than the ranks."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer_path)
+
     def ids(self, text: str) -> np.ndarray:
         if self.ranked and not any(s in text for s in self.special):
             return self.ranked.encode_to_numpy(text, disallowed_special=())
@@ -34,8 +41,15 @@ class _Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(tokenizer_path: str, ranks_path: str | None, pattern: str | None) -> _Encoder:
-    return _Encoder(tokenizer_path, ranks_path, pattern)
+def _encoder(tokenizer_path: str, ranks_path: str | None, pattern: str | None, special: tuple) -> _Encoder:
+    return _Encoder(tokenizer_path, ranks_path, pattern, special)
+
+
+def _special(tokenizer_path: str) -> tuple:
+    """The strings that the tokenizer takes for one token wherever they stand."""
+    from tokenizers import Tokenizer
+
+    return tuple(t.content for t in Tokenizer.from_file(tokenizer_path).get_added_tokens_decoder().values())
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -46,8 +60,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id:
     over ``size`` ids are cut, and only their first piece may be shorter.
     """
 
+    special = _special(tokenizer_path)
+    small_batches(docs.sparkSession)
+
     def run(batches):
-        encoder = _encoder(tokenizer_path, ranks_path, pattern)
+        encoder = _encoder(tokenizer_path, ranks_path, pattern, special)
         end = np.array([end_id], "<u4")
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
