@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .components import connected_components
 
 BITS = 64
@@ -62,10 +62,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = (t.as_py() for t in b.column(1))
             fps = np.array([fingerprint_of(t.encode(), width) if t else 0 for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -186,11 +187,12 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_one(docs: DataFrame, width: int = 3, max_distance: int = 3) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest id of its group; of rows with one id, one stays.
 
-    Documents without an id are kept.
+    Documents without an id are kept. Texts are dealt by id once, at every size:
+    the ids that stay grow with the documents and are never broadcast.
     """
     near = near_duplicates(docs, width, max_distance).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     near = materialize(near, "kept")
-    kept = docs.join(near.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    kept = docs.join(near.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     if near.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.where("doc_id is null"))
