@@ -29,7 +29,7 @@ class _Encoder:
 
     @cached_property
     def tokenizer(self):
-        """Loaded when it is first needed: it takes far more memory than the ranks."""
+        """Loaded when a text first needs it."""
         from tokenizers import Tokenizer
 
         return Tokenizer.from_file(self.tokenizer_path)
