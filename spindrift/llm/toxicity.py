@@ -12,16 +12,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PASSAGE = 8
+#: Words of over ``LONGEST`` characters are read as pieces that begin ``STEP`` characters apart.
+LONGEST, STEP = 64, 8
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def pieces_of(marked: str, most: int = 6) -> list[str]:
+    """Pieces of a long word, its ends marked: each n-gram of up to ``most`` characters lies whole in one of them."""
+    return [marked[at : at + STEP + most - 1] for at in range(0, len(marked) - most + 1, STEP)]
+
+
 def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words of the texts, small letters; of each word its place there and its text. Null counts as empty."""
+    """Distinct words of the texts, small letters, their ends marked; of each word its place there and its text. Null counts as empty.
+
+    Words end at ASCII white space. A long word (a text in a script without
+    blanks is one) counts as several words, its pieces.
+    """
     lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
     flat, owner = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
     some = pc.not_equal(flat, "")
     coded = flat.filter(some).dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), owner[some.to_numpy(zero_copy_only=False)]
+    words, place, text = coded.dictionary, coded.indices.to_numpy().astype(np.int64), owner[some.to_numpy(zero_copy_only=False)]
+    marked = pc.binary_join_element_wise(pa.scalar("<", pa.large_string()), words, pa.scalar(">", pa.large_string()), pa.scalar("", pa.large_string()))
+    if (pc.utf8_length(words).to_numpy() <= LONGEST).all():
+        return marked, place, text
+    parts = [pieces_of(w) if len(w) > LONGEST + 2 else [w] for w in marked.to_pylist()]
+    size = np.array([len(p) for p in parts])
+    coded = pa.array([x for p in parts for x in p], pa.large_string()).dictionary_encode()
+    n = size[place]
+    at = np.repeat((np.cumsum(size) - size)[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)[at], np.repeat(text, n)
 
 
 def passages_of(text: np.ndarray) -> np.ndarray:
@@ -46,15 +66,14 @@ def highest(weight: np.ndarray, text: np.ndarray, texts: int, bias: float) -> np
 
 
 def subwords(words: pa.Array, buckets: int, least: int = 3, most: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words' character n-grams, their ends marked, and of the words themselves; with each its word, in order."""
-    marked = pc.binary_join_element_wise(pa.scalar("<", pa.large_string()), pc.utf8_slice_codeunits(words, 0, 64), pa.scalar(">", pa.large_string()), pa.scalar("", pa.large_string()))
-    code = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    length = pc.utf8_length(marked).to_numpy().astype(np.int64)
+    """Buckets of the character n-grams of words from ``tokens_of`` and of the words themselves; with each its word, in order."""
+    code = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    length = pc.utf8_length(words).to_numpy().astype(np.int64)
     first, word = np.cumsum(length) - length, np.repeat(np.arange(len(length)), length)
     at = np.arange(len(code)) - np.repeat(first, length)
     left = np.repeat(length, length) - at
     grams, owners = [], []
-    power, run = np.cumprod(np.r_[np.uint64(1), np.full(66, _MUL)]), code
+    power, run = np.cumprod(np.r_[np.uint64(1), np.full(LONGEST + 2, _MUL)]), code
     if len(words):
         grams.append(np.add.reduceat((code + np.uint64(1)) * power[at], first))
         owners.append(np.arange(len(words)))

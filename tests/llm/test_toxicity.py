@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spindrift.llm import toxicity
@@ -48,3 +49,20 @@ def test_without_labels(spark, docs):
     assert toxicity.fit(docs, none, F.lit(True)).scorer().score("anything") < 0.5
     alike = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality long, toxic long")
     assert toxicity.fit(docs, alike, F.lit(True)).scorer().score("anything") < 0.5
+
+
+def test_long_words_are_read_to_their_end():
+    rows = corpus(1, 400)
+    model = toxicity.train([r[1] for r in rows], [r[2] for r in rows])
+    scorer, plain = model.scorer(), [r[1] for r in corpus(2, 200) if not r[2] and len(r[1]) > 300][:10]
+    for between in ("", "\u00a0", "_", "、"):
+        for text in plain:
+            clean = between.join(text.split())
+            for at in (0, 70, 150, len(clean)):
+                assert scorer.score(clean[:at] + between + between.join(["grumpfonk", "snarletip", "wretchion", "grumpfalo"]) + between + clean[at:]) > 0.5 > scorer.score(clean)
+    words, place, text = toxicity.tokens_of(pa.array(["ab " + "語" * 70 + "x", None, "c" * 64, "d" * 65]))
+    assert sorted(set(text)) == [0, 2, 3] and words[place[0]].as_py() == "<ab>" and "<" + "c" * 64 + ">" in words.to_pylist()
+    for length in range(65, 90):
+        word = "".join(map(chr, range(0x4E00, 0x4E00 + length)))
+        pieces = toxicity.tokens_of(pa.array([word]))[0].to_pylist()
+        assert all(any(f"<{word}>"[k : k + 6] in p for p in pieces) for k in range(length - 3))
