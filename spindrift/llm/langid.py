@@ -80,15 +80,18 @@ class TextModel:
         return run
 
 
-def train(labelled: DataFrame, sample_rows: int = 8_000, smoothing: float = 0.5) -> TextModel:
-    """A trigram model of each value of ``lang`` from about ``sample_rows`` rows, drawn by hash of doc_id; whole texts.
+def train(labelled: DataFrame, per_language: int = 2_000, smoothing: float = 0.5) -> TextModel:
+    """A trigram model of each value of ``lang`` from about ``per_language`` of its rows, drawn by hash of doc_id; whole texts.
 
-    Rows with a null text or language teach nothing. Without any row the model
-    has no language and everything is unknown.
+    Every language that has a row is learned, whatever its share of the table:
+    all rows of a rare one, and always those of a language's smallest hash. Rows
+    with a null text or language teach nothing. Without any row the model has no
+    language and everything is unknown.
     """
-    rows = labelled.where("lang is not null and text is not null")
-    step = max(1, -(-rows.count() // sample_rows))
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(step)) == 0).select("lang", "text")
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit("lang"), "doc_id").alias("hash"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).collect()  # a row for each language of the model
+    steps = labelled.sparkSession.createDataFrame([(r["lang"], -(-r["n"] // per_language), r["least"]) for r in sizes], "lang string, step long, least long")
+    drawn = rows.join(F.broadcast(steps), "lang").where("pmod(hash, step) = 0 or hash = least").select("lang", "text")
 
     def count(batches):
         seen: dict = {}

@@ -47,3 +47,13 @@ def test_trigrams_stay_in_their_text():
     for row, t in zip(got, texts):
         bucket, good = langid.trigrams(np.frombuffer((t or "").encode(), np.uint8)) if len(t or "") > 2 else (np.empty(0, int), np.empty(0, bool))
         assert np.allclose(row, [tables[0][bucket[good]].sum(), good.sum()])
+
+
+def test_rare_language_is_learned_in_a_large_table(spark):
+    greek = [(-1 - k, t, "el", "s", len(t)) for k, t in enumerate(["Η γάτα κάθεται στο χαλί και ο σκύλος κοιμάται στον κήπο.", "Ο καιρός είναι καλός σήμερα και η θάλασσα ήρεμη."])]
+    rare = spark.createDataFrame(greek, "doc_id long, text string, lang string, source string, n_chars long")
+    many = spark.range(120_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the cat and the dog are in the house "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(40).cast("long").alias("n_chars"))
+    one_id = many.limit(5_000).withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit("no id"))
+    model = langid.train(many.union(rare).union(one_id))
+    assert model.languages == ["el", "en", "no id"]
+    assert {r.doc_id for r in langid.known_language(rare.union(many.where("doc_id < 50")), model).collect()} == {-1, -2, *range(50)}
