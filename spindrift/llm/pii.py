@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
-PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\) ?)?[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
+#: A separator within a phone number; a date after a blank is none of its groups.
+_GAP = r"(?:(?! (?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2})(?![0-9]))(?:[ .-]?\(|\)[ .-]?|[ .-]))?"
+#: International: + and 8 to 16 digits in groups of any length, ten digits after +1. National: 3-3-4.
+PHONE = rf"(?<![0-9+])(?:\+1(?:{_GAP}[0-9]){{10}}(?![0-9])|\+[0-9](?:{_GAP}[0-9]){{7,15}}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}})(?![0-9])"
+#: Country codes but 1, which has national numbers' way: of one, two or three digits.
+_COUNTRY = "^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
@@ -108,14 +113,20 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The last digits of the national number are permuted; country code and the first digits of area and exchange stay."""
+    """The last digits of the national number are permuted; country code and the first digits of area and exchange stay.
+
+    Of the exchange this holds for +1 and national numbers, whose shape is known.
+    """
     digits = _bare(m)
     n = F.length(digits)
+    code = F.length(F.regexp_extract(digits, _COUNTRY, 0)) + 1
+    abroad = F.concat(F.substr(digits, F.lit(1), code), permute_text(F.substr(digits, code + 1), key, "phone"))
     last = F.when(n >= 10, F.lit(10)).otherwise(F.greatest(n - 3, F.lit(4)))
     head, tail = F.substr(digits, F.lit(1), n - last), F.substr(digits, n - last + 1)
     ten = F.concat(F.substr(tail, F.lit(2), F.lit(2)), F.substr(tail, F.lit(5)))
     moved = F.transform(F.array(permute_text(ten, key, "phone")), lambda p: F.concat(head, F.substr(tail, F.lit(1), F.lit(1)), F.substr(p, F.lit(1), F.lit(2)), F.substr(tail, F.lit(4), F.lit(1)), F.substr(p, F.lit(3))))[0]
-    return F.when(n < 8, m).otherwise(_refill(m, F.when(last == 10, moved).otherwise(F.concat(head, permute_text(tail, key, "phone")))))
+    home = F.when(last == 10, moved).otherwise(F.concat(head, permute_text(tail, key, "phone")))
+    return F.when(n < 8, m).otherwise(_refill(m, F.when(m.rlike(r"^\+[02-9]"), abroad).otherwise(home)))
 
 
 def _social(m: Column, key: str) -> Column:
@@ -172,7 +183,8 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and ``n_replaced``, how many values.
 
-    E-mail addresses, dates, IPv4 addresses, phone numbers, US social security
+    E-mail addresses, dates, IPv4 addresses, phone numbers (with + and country
+    code, or 3-3-4 digits), US social security
     numbers, bank accounts (mod 97), payment cards (Luhn) and access key ids
     are replaced by a keyed permutation within their format, so equal values
     have equal pseudonyms in every document, however they are punctuated, and
@@ -184,7 +196,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     whole = F.col(text)
     found = F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))
     between = F.split(whole, ANY, -1)
-    has = whole.rlike("[0-9]|@")
+    has = whole.rlike("[0-9]|@|AKIA")
     rows = docs.drop("n_replaced").withColumn("__found", F.when(has, found))
     some = F.size("__found") > 0
     new = F.transform("__found", lambda m: pseudonym(m, key))
