@@ -23,8 +23,10 @@ KINDS = {"email": EMAIL, "date": DATE, "address": ADDRESS, "social": SOCIAL, "ph
 ANY = "|".join(KINDS.values())
 ROUNDS = 8
 
-#: Days are permuted in runs of 21 x 487 = 10,227, which is 28 years.
-_CYCLE = (21, 487)
+#: Dates are permuted within runs of so many years, of this range, which is a whole number of runs.
+_RUN, _YEARS = 32, (1600, 2399)
+#: Days of each month after the 12th; 29 February is on its own.
+_LATE = (19, 16, 19, 18, 19, 18, 19, 19, 18, 19, 18, 19)
 
 
 def _prf(key: str, tweak: Column | str, *parts: Column) -> Column:
@@ -59,7 +61,7 @@ def permute_text(text: Column, key: str, tweak: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
-def permute_pair(a: Column, a_size: int, b: Column, b_size: int, key: str, tweak: Column | str) -> Column:
+def permute_pair(a: Column, a_size: int | Column, b: Column, b_size: int | Column, key: str, tweak: Column | str) -> Column:
     """A permutation of 0 <= a < a_size, 0 <= b < b_size, as struct<a, b>."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
@@ -154,21 +156,53 @@ def _account(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """A permutation of the days within runs of 10,227 days, in the same format; what is no date stays."""
-    parts = F.transform(F.split(m, "[-/.]"), lambda p: p.cast("int"))
+    """A permutation of the days of 32 years that keeps how a day is written, in every form; what is no date stays.
+
+    Days 1-9, 10-12 and later ones of the months 1-9 and 10-12 are each
+    permuted among themselves, so a day has one pseudonym in all forms, with as
+    many digits, and day-first and month-first dates are read as they were; 29
+    February moves among leap years.
+    """
+    texts = F.split(m, "[-/.]")
     iso = m.rlike("^[0-9]{4}-")
-    year, one, two = F.when(iso, parts[0]).otherwise(parts[2]), F.when(iso, parts[1]).otherwise(parts[0]), F.when(iso, parts[2]).otherwise(parts[1])
-    month_first = iso | (m.contains("/") & (one <= 12))
-    month, day = F.when(month_first, one).otherwise(two), F.when(month_first, two).otherwise(one)
-    made = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
-    days = F.datediff(made, F.lit("1600-01-01").cast("date")).cast("long")
-    size = _CYCLE[0] * _CYCLE[1]
-    run, place = F.floor(days / size), F.pmod(days, F.lit(size))
-    moved = permute_pair(F.floor(place / _CYCLE[1]), _CYCLE[0], place % _CYCLE[1], _CYCLE[1], key, "date")
-    new = F.date_add(F.lit("1600-01-01").cast("date"), (run * size + moved["a"] * _CYCLE[1] + moved["b"]).cast("int"))
-    slash = F.when(month_first, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
-    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(m.contains("/"), slash).otherwise(F.date_format(new, "dd.MM.yyyy"))
-    return F.when(made.isNull() | ~year.between(1600, 2400), m).otherwise(shown)
+    month_first = iso | (m.contains("/") & (texts[0].cast("int") <= 12))
+    year_text = F.when(iso, texts[0]).otherwise(texts[2])
+    month_text = F.when(iso, texts[1]).when(month_first, texts[0]).otherwise(texts[1])
+    day_text = F.when(iso, texts[2]).when(month_first, texts[1]).otherwise(texts[0])
+    year, month, day = (t.cast("int") for t in (year_text, month_text, day_text))
+    right = F.concat_ws("-", year_text, F.lpad(month_text, 2, "0"), F.lpad(day_text, 2, "0")).try_cast("date").isNotNull() & year.between(*_YEARS)
+
+    high, early, middle = month > 9, day < 10, day < 13
+    within, months = month - F.when(high, 10).otherwise(1), F.when(high, 3).otherwise(9)
+    starts = [[sum(_LATE[a:k]) for k in range(a, b)] for a, b in ((0, 9), (9, 12))]
+    late = F.when(high, F.array(*map(F.lit, starts[1]))).otherwise(F.array(*map(F.lit, starts[0])))
+    place = F.when(early, within * 9 + day - 1).when(middle, within * 3 + day - 10).otherwise(F.try_element_at(late, within + 1) + day - 13)
+    size = F.when(early, months * 9).when(middle, months * 3).when(high, sum(_LATE[9:])).otherwise(sum(_LATE[:9]))
+    run = F.floor((year - _YEARS[0]) / _RUN)
+    tweak = F.concat_ws("|", F.lit("date"), run.cast("string"), F.when(early, "1").when(middle, "10").otherwise("13"), high.cast("string"))
+    moved = permute_pair((year - _YEARS[0]) % _RUN, _RUN, place, size, key, tweak)
+    leap = lambda y: (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    first = (run * _RUN + _YEARS[0]).cast("int")
+    leaps = F.filter(F.sequence(first, first + _RUN - 1), leap)
+    leap_year = F.try_element_at(leaps, ((F.array_position(leaps, year) - 1 + _prf(key, "leap", run)) % F.size(leaps) + 1).cast("int"))
+
+    def show(s):
+        month_of = F.when(early, F.floor(s["b"] / 9)).when(middle, F.floor(s["b"] / 3)).otherwise(F.size(F.filter(late, lambda x: x <= s["b"])) - 1)
+        day_of = F.when(early, s["b"] % 9 + 1).when(middle, s["b"] % 3 + 10).otherwise(s["b"] - F.try_element_at(late, (month_of + 1).cast("int")) + 13)
+        y = F.lpad((run * _RUN + _YEARS[0] + s["a"]).cast("string"), 4, "0")
+        mm = F.lpad((month_of + F.when(high, 10).otherwise(1)).cast("string"), F.length(month_text), F.lit("0"))
+        dd = F.lpad(day_of.cast("string"), F.length(day_text), F.lit("0"))
+        return _dated(m, iso, month_first, y, mm, dd)
+
+    plain = F.transform(F.array(moved), show)[0]
+    extra = _dated(m, iso, month_first, F.lpad(leap_year.cast("string"), 4, "0"), month_text, day_text)
+    return F.when(right, F.when((month == 2) & (day == 29), extra).otherwise(plain)).otherwise(m)
+
+
+def _dated(m: Column, iso: Column, month_first: Column, year: Column, month: Column, day: Column) -> Column:
+    """A date in the form of ``m``."""
+    mark = F.when(m.contains("/"), "/").otherwise(".")
+    return F.when(iso, F.concat_ws("-", year, month, day)).when(month_first, F.concat_ws("/", month, day, year)).otherwise(F.concat(day, mark, month, mark, year))
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -189,8 +223,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     are replaced by a keyed permutation within their format, so equal values
     have equal pseudonyms in every document, however they are punctuated, and
     different values different ones. Numbers that fail their check stay as they
-    are. Null text stays null with n_replaced 0, a column of that name is
-    replaced. The key is part of the query plan: give executors' logs the
+    are, and so do dates before 1600 or after 2399. Null text stays null with
+    n_replaced 0, a column of that name is replaced, and columns that begin
+    with ``__`` may not be there. Texts are handled whole, whatever their
+    length; repeated rows come back as often; an empty table gives no rows. The key is part of the query plan: give executors' logs the
     protection that the key needs.
     """
     whole = F.col(text)
