@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize
+from .common import bucketed, in_small_batches, materialize
 from .simhash import word_pieces
 
 #: No word has white space, so these can't be words.
@@ -321,15 +321,16 @@ def score_texts(docs: DataFrame, learn: Column, order: int = 2, block_tokens: in
     are written, partitioned by kind and order, to the shared folder.
     """
     rows = docs.withColumn("learn", F.coalesce(learn, F.lit(False)))
-    blocks = bucketed(blocks_of(rows, block_tokens), "tokens", "block")
+    with in_small_batches(docs.sparkSession):
+        blocks = bucketed(blocks_of(rows, block_tokens), "tokens", "block")
     total = blocks.agg(F.sum("tokens")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total) / bucket_tokens))))
     kinds = "kind int, " + _MESSAGE
     asked = blocks.mapInArrow(_requests(order, bits), _MESSAGE).groupBy("n", "bucket").applyInArrow(_count, kinds)
     counts = materialize(asked, "ngrams", "kind", "n")
     stats = {n: np.zeros(GOOD_TURING + 3, np.int64) for n in range(1, order + 1)}
-    for r in counts.where("kind = 2").select("n", "a").toLocalIterator():  # a few numbers for each bucket
-        stats[r["n"]] = stats[r["n"]] + np.frombuffer(r["a"], np.int64)
+    for r in counts.where("kind = 2").select("n", "a").mapInArrow(_totals, "n int, at int, total long").groupBy("n", "at").agg(F.sum("total").alias("total")).collect():
+        stats[r["n"]][r["at"]] = r["total"]
     model = Model(stats, order)
 
     answers = counts.where("kind = 1").select(*_NAMES)
@@ -340,6 +341,14 @@ def score_texts(docs: DataFrame, learn: Column, order: int = 2, block_tokens: in
     return _with_answers(blocks, answers).mapInArrow(_scores(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _totals(batches):
+    """The numbers of each bucket, one a row."""
+    for b in batches:
+        for n, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            numbers = np.frombuffer(a, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(numbers), pa.int32()), pa.array(range(len(numbers)), pa.int32()), pa.array(numbers)], ["n", "at", "total"])
+
+
 def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     mine = answers.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "size", "a", "b")).alias("answers"))
     return blocks.join(mine.hint("merge"), "block")

@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset, only a local session may take a folder of its machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="spindrift-")
-        spark.sparkContext.setCheckpointDir(configured)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
         configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")
 
@@ -46,11 +51,22 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of at most so many: the default of 10,000 can be a very large batch of long ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, rows: int = 1000) -> str | None:
+    """Whole texts go to Python in batches of at most so many: the default of 10,000 can be a very large batch of long ones. Gives what was set before."""
+    was = spark.conf.get(_BATCH)
+    if not 0 < int(was) <= rows:
+        spark.conf.set(_BATCH, rows)
+    return was
+
+
+@contextmanager
+def in_small_batches(spark: SparkSession, rows: int = 1000):
+    """``small_batches`` for what runs inside; then as it was."""
+    was = small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, was)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

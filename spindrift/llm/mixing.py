@@ -35,27 +35,35 @@ def deadline(block: int, unit: int, period: int) -> int:
     return -(-(block + 1) * period // unit)
 
 
-def schedule(unit: dict) -> dict:
-    """The slots of each source's blocks in one period, earliest deadline first.
+def schedule(unit: dict, needed: dict | None = None, length: int | None = None) -> dict:
+    """The slots of each source's blocks, earliest deadline first.
 
     Block i of a source with u of P units may run from slot floor(iP/u) to
     before slot ceil((i+1)P/u); such windows can always be met on one line of
     slots, and after every prefix of it a source is less than one block off its
-    share. All sources are level at the period's end, so the schedule repeats.
+    share. With ``needed`` the line goes on until every source has that many
+    blocks; else it has ``length`` slots, or a period of P, at whose end all
+    sources are level, so that it repeats.
     """
     period = sum(unit.values())
     coming = [(0, k, s) for k, s in enumerate(sorted(unit, key=str))]
+    heapq.heapify(coming)
     ready: list = []
     slots: dict = {s: [] for s in unit}
-    for t in range(period):
+    short = sum(n > 0 for n in needed.values()) if needed is not None else None
+    t = 0
+    while (short > 0) if short is not None else t < (period if length is None else length):
         while coming and coming[0][0] <= t:
             _, k, s = heapq.heappop(coming)
             heapq.heappush(ready, (deadline(len(slots[s]), unit[s], period), k, s))
         end, k, s = heapq.heappop(ready)
         assert t < end
         slots[s].append(t)
-        if len(slots[s]) < unit[s]:
+        if short is not None and len(slots[s]) == needed[s]:
+            short -= 1
+        if short is not None or len(slots[s]) < unit[s]:
             heapq.heappush(coming, (release(len(slots[s]), unit[s], period), k, s))
+        t += 1
     return slots
 
 
@@ -72,10 +80,12 @@ def mix(
     docs: DataFrame,
     weights: dict | None = None,
     block_rows: int = 16,
-    resolution: int = 10_000,
+    resolution: int = 1 << 31,
     source: str = "source",
     order_by: str = "doc_id",
-    max_sources: int = 5_000,
+    max_epochs: int = 1_000,
+    max_slots: int = 2_000_000,
+    max_sources: int = 1_000_000,
     bucket_rows: int = 4096,
 ) -> DataFrame:
     """``docs`` in a mix of target weights: rows with ``epoch``, ``block``, ``slot``, ``release``, ``deadline``, ``position``.
@@ -85,16 +95,19 @@ def mix(
     endless stream of blocks of ``block_rows`` rows, over again (``epoch``) when
     they end; the schedule gives block i of a source its ``slot``. The mix is as
     long as it takes for every row of a weighted source to come once at least,
-    so no such row is lost. ``position`` numbers the rows without gaps; in each
-    prefix each source is less than a block off its weight. Sources without a
-    positive weight are not in the mix; null is a source of its own, named
-    None. An empty table gives an empty mix. Columns of ``docs`` with one of
-    the new names are replaced.
-
-    The driver sees a row count for each of at most ``max_sources`` sources and
-    a period of ``resolution`` slots, whatever the number of rows; more sources
-    raise an error. Rows are numbered within hash buckets of about
-    ``bucket_rows`` rows, so a source of any size is spread over many tasks.
+    so no such row is lost; if a source would have to come over ``max_epochs``
+    times for that (apart from filling its first block), it is an error.
+    ``position`` numbers the rows without gaps; in each prefix each source is
+    less than a block off its weight. Sources without a positive weight are not
+    in the mix; null is a source of its own, named None. Repeated rows and null
+    ids are rows like others. An empty table gives an empty mix. Columns of
+    ``docs`` with one of the new names, or that begin with ``__``, are replaced.
+
+    Weights are taken in ``resolution`` units. The driver makes the schedule of
+    at most ``max_slots`` blocks; a longer mix repeats a period of that many
+    slots, with weights in as many units. It sees a row count of each source, of
+    which there may be ``max_sources``. Rows are numbered within hash buckets of
+    about ``bucket_rows`` rows, so a source of any size is spread over many tasks.
     """
     new = ("epoch", "block", "slot", "release", "deadline", "position")
     docs = docs.drop(*(c for c in docs.columns if c in new or c.startswith("__")))
@@ -105,18 +118,29 @@ def mix(
     counts = {r[source]: r["n"] for r in listed}
     given = temperature_weights(counts) if weights is None else {s: w for s, w in weights.items() if s in counts}
     unit = units(given, resolution) if any(w and w > 0 for w in given.values()) else {}
-    slots = schedule(unit) if unit else {}
-
-    def slot_of(s, block):
-        return block // unit[s] * resolution + slots[s][block % unit[s]]
-
-    length = max((slot_of(s, -(-counts[s] // block_rows) - 1) + 1 for s in unit), default=0)
-    plan = [("0" if s is None else f"1{s}", counts[s], unit[s], (length // resolution * unit[s] + sum(t < length % resolution for t in slots[s])) * block_rows, max(1, -(-counts[s] // bucket_rows)), slots[s]) for s in unit]
-    plan = F.broadcast(spark.createDataFrame(plan, "__key string, __n long, __unit long, __rows long, __buckets long, __slots array<int>"))
+    needed = {s: -(-counts[s] // block_rows) for s in unit}
+    period = resolution
+    if max((deadline(needed[s] - 1, unit[s], resolution) for s in unit), default=0) <= max_slots:
+        slots = schedule(unit, needed) if unit else {}
+        length = max((ts[-1] + 1 for ts in slots.values() if ts), default=0)
+    else:
+        period = max(max_slots, len(unit))
+        unit = units(given, period)
+        slots = schedule(unit)
+        length = max((needed[s] - 1) // unit[s] * period + slots[s][(needed[s] - 1) % unit[s]] + 1 for s in unit)
+    blocks = {s: length // period * unit[s] + sum(t < length % period for t in slots[s]) for s in unit}
+    for s in unit:
+        if blocks[s] > max(1, max_epochs * counts[s] // block_rows):
+            raise ValueError(f"source {s!r} would come {blocks[s] * block_rows // counts[s]} times; give it a smaller weight or raise max_epochs")
+    keys = {s: "0" if s is None else f"1{s}" for s in unit}
+    plan = spark.createDataFrame([(keys[s], counts[s], unit[s], blocks[s] * block_rows, max(1, -(-counts[s] // bucket_rows))) for s in unit], "__key string, __n long, __unit long, __rows long, __buckets long")
+    times = spark.createDataFrame([(keys[s], slots[s]) for s in unit], "__key string, __slots array<int>")
+    if len(unit) <= 10_000:  # with max_slots that bounds both
+        plan, times = F.broadcast(plan), F.broadcast(times)
 
     hashed = F.xxhash64(F.lit("mix"), F.col(order_by))
     rows = docs.withColumn("__key", _key(F.col(source))).join(plan, "__key").withColumn("__bucket", F.pmod(hashed, F.col("__buckets")))
-    narrow = docs.select(order_by, *({source} - {order_by})).withColumn("__key", _key(F.col(source))).join(plan.drop("__slots"), "__key")
+    narrow = docs.select(order_by, *({source} - {order_by})).withColumn("__key", _key(F.col(source))).join(plan, "__key")
     sizes = narrow.groupBy("__key", F.pmod(hashed, F.col("__buckets")).alias("__bucket")).agg(F.count("*").alias("__size"))
     before = F.sum("__size").over(Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("__key", "__bucket", F.coalesce(before, F.lit(0)).alias("__start"))
@@ -124,8 +148,8 @@ def mix(
     rows = rows.withColumn("__row", number).join(starts, ["__key", "__bucket"])
     rows = rows.withColumn("__row", F.col("__row") + F.col("__start"))
     rows = rows.withColumn("epoch", F.explode(F.expr("sequence(0L, (__rows - 1 - __row) div __n)")))
-    rows = rows.withColumn("__row", F.expr("__row + epoch * __n")).withColumn("block", F.expr(f"__row div {block_rows}"))
-    rows = rows.withColumn("slot", F.expr(f"block div __unit * {resolution} + element_at(__slots, cast(block % __unit + 1 as int))"))
-    rows = rows.withColumn("release", F.expr(f"block * {resolution} div __unit"))
-    rows = rows.withColumn("deadline", F.expr(f"((block + 1) * {resolution} + __unit - 1) div __unit"))
+    rows = rows.withColumn("__row", F.expr("__row + epoch * __n")).withColumn("block", F.expr(f"__row div {block_rows}")).join(times, "__key")
+    rows = rows.withColumn("slot", F.expr(f"block div __unit * {period} + element_at(__slots, cast(block % __unit + 1 as int))"))
+    rows = rows.withColumn("release", F.expr(f"block * {period} div __unit"))
+    rows = rows.withColumn("deadline", F.expr(f"((block + 1) * {period} + __unit - 1) div __unit"))
     return rows.withColumn("position", F.expr(f"slot * {block_rows} + __row % {block_rows}")).select(*docs.columns, *new)

@@ -8,11 +8,11 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import in_small_batches, materialize
 
 
 class _Encoder:
@@ -52,8 +52,8 @@ def _special(tokenizer_path: str) -> tuple:
     return tuple(t.content for t in Tokenizer.from_file(tokenizer_path).get_added_tokens_decoder().values())
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids): each whole text's token ids and ``end_id``, as little-endian uint32.
+def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, ranks_path: str | None = None, pattern: str | None = None, place: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids), and ``place`` where a column is named for it: each whole text's token ids and ``end_id``, as little-endian uint32.
 
     The ids are those of the tokenizer's file; ``ranks_path`` may name the same
     vocabulary as ranks, and ``pattern`` how it splits text. Null text counts as empty, so it gives the end id alone. Only documents of
@@ -61,33 +61,32 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id:
     """
 
     special = _special(tokenizer_path)
-    small_batches(docs.sparkSession)
 
     def run(batches):
         encoder = _encoder(tokenizer_path, ranks_path, pattern, special)
         end = np.array([end_id], "<u4")
         for b in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in kinds]
             held = 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, text, *at_place in zip(b.column(0).to_pylist(), b.column(1), *(c.to_pylist() for c in b.columns[2:])):
                 text = text.as_py()
                 ids = np.concatenate([encoder.ids(text), end]) if text else end
                 cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
                 for k, (at, to) in enumerate(zip(cuts, cuts[1:])):
-                    for column, x in zip(rows, (doc, k, at, to - at, ids[at:to].tobytes())):
+                    for column, x in zip(rows, (doc, k, at, to - at, ids[at:to].tobytes(), *at_place)):
                         column.append(x)
                 held += len(ids)
                 if held > 2_000_000:
-                    yield _batch(rows)
-                    rows, held = [[], [], [], [], []], 0
-            yield _batch(rows)
+                    yield batch(rows)
+                    rows, held = [[] for _ in kinds], 0
+            yield batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds.values())], list(kinds))
 
-
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids"])
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary()} | ({"place": pa.int64()} if place else {})
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(place).cast("long").alias("place")] if place else [])]
+    return docs.select(*columns).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary" + (", place long" if place else ""))
 
 
 class OpenBins:
@@ -124,45 +123,85 @@ class OpenBins:
         return found, self.size - space
 
 
-def pack(pieces: DataFrame, tasks: int, size: int = 1024, open_bins: int = 2048, look_ahead: int = 1024, key: str = "doc_id") -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``: best-fit into sequences of ``size``, in hash order of the key.
+def pack(pieces: DataFrame, tasks: int, size: int = 1024, open_bins: int = 2048, look_ahead: int = 1024, place: Column | None = None) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``: best-fit into sequences of ``size``.
 
     Each of ``tasks`` tasks packs its own share with ``open_bins`` bins and a
     state that doesn't grow with the rows; of each ``look_ahead`` pieces the
-    longest are placed first. Sequence ids are the task's number and a count.
-    ``length`` has to lie in 1..``size``.
+    longest are placed first. Shares are even, whatever the ids, and packed in
+    hash order of all columns; with ``place`` (a long that begins at 0 and has
+    no gaps) they are runs of places, packed in its order. Sequence ids are the
+    task's number and a count. ``length`` has to lie in 1..``size``.
     """
     clash = {"sequence_id", "offset"} & set(pieces.columns)
     pieces = pieces.drop(*clash)
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches):
-        bins, first = OpenBins(size, open_bins), TaskContext.get().partitionId() << 40
-        for b in batches:
-            lengths = b.column("length").to_numpy()
-            placed = np.empty((len(lengths), 2), np.int64)
-            for at in range(0, len(lengths), look_ahead):
-                for i in at + np.argsort(-lengths[at : at + look_ahead], kind="stable"):
-                    placed[i] = bins.place(int(lengths[i]))
-            ids = pa.array(first + placed[:, 0])
-            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(placed[:, 1].copy())], [*b.schema.names, "sequence_id", "offset"])
+        bins, first, held, rows = OpenBins(size, open_bins), TaskContext.get().partitionId() << 40, [], 0
 
-    order = F.xxhash64(key, "start")
-    return pieces.repartition(tasks, key).sortWithinPartitions(order, key, "start").mapInArrow(run, schema)
+        def placed(t):
+            lengths = t.column("length").to_numpy()
+            out = np.empty((len(lengths), 2), np.int64)
+            for i in np.argsort(-lengths, kind="stable"):
+                out[i] = bins.place(int(lengths[i]))
+            t = t.append_column("sequence_id", pa.array(first + out[:, 0])).append_column("offset", pa.array(out[:, 1].copy()))
+            return t.combine_chunks().to_batches()
 
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int = 2048, docs_per_task: int = 65_536, keep_ids: bool = False, **ranks: str) -> DataFrame:
+        for b in batches:
+            held.append(b)
+            rows += len(b)
+            if rows >= look_ahead:
+                t = pa.Table.from_batches(held)
+                for at in range(0, rows - look_ahead + 1, look_ahead):
+                    yield from placed(t.slice(at, look_ahead))
+                held = t.slice(rows - rows % look_ahead).to_batches()
+                rows %= look_ahead
+        if rows:
+            yield from placed(pa.Table.from_batches(held))
+
+    if place is None:
+        hashed = F.xxhash64(*pieces.columns)
+        return pieces.repartition(tasks).sortWithinPartitions(hashed, *pieces.columns).mapInArrow(run, schema)
+    run_rows = pieces.select((F.max(place) + 1).alias("n")).first()["n"] or 1
+    share = F.least(F.floor(place * tasks / run_rows), F.lit(tasks - 1)).cast("int")
+    return pieces.repartitionById(tasks, share).sortWithinPartitions(place, "start").mapInArrow(run, schema)
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int = 2048, docs_per_task: int = 65_536, keep_ids: bool = False, place: str | None = None, **ranks: str) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     The number of tasks follows the row count, which Parquet's footers give.
-    Empty and null texts take one token, repeated rows are packed as often as
-    they come, and an empty table gives no rows.
+    Pieces are written before they are packed. ``place`` names a column that
+    numbers the documents from 0 without gaps: sequences are then made of
+    documents near one another in its order. Empty and null texts take one
+    token; very long ones are cut into pieces, none of which is lost; repeated
+    rows and null ids are packed as often as they come, and an empty table
+    gives no rows. Other columns, whatever their names, are not read.
     """
-    pieces = token_pieces(docs, tokenizer_path, size, **ranks).withColumn("ids_crc32", F.crc32("ids"))
-    if not keep_ids:
-        pieces = pieces.drop("ids")
+    with in_small_batches(docs.sparkSession):
+        pieces = token_pieces(docs, tokenizer_path, size, place=place, **ranks).withColumn("ids_crc32", F.crc32("ids"))
+        if not keep_ids:
+            pieces = pieces.drop("ids")
+        pieces = materialize(pieces, "pieces")
     tasks = max(1, -(-docs.count() // docs_per_task))
-    return pack(pieces, tasks, size, open_bins)
+    if place is None:
+        return pack(pieces, tasks, size, open_bins)
+    return pack(pieces, tasks, size, open_bins, place=F.col("place")).drop("place")
+
+
+def in_file_order(docs: DataFrame, name: str = "place") -> DataFrame:
+    """A table read from Parquet with ``name``: the place of each row by file name and row, from 0 without gaps.
+
+    Spark names files by the partition that wrote them, so a table written in
+    some order keeps it this way, however its files are dealt to tasks.
+    """
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    sizes = docs.groupBy(file.alias("__file")).agg((F.max(row) + 1).alias("__rows"))
+    before = Window.orderBy(F.length("__file"), "__file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = sizes.select(F.col("__file"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    placed = docs.select("*", file.alias("__file"), row.alias("__row")).join(starts, "__file")
+    return placed.select(*docs.columns, (F.col("__start") + F.col("__row")).alias(name))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -1,7 +1,17 @@
-"""SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming check, components."""
+"""SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming check, components.
+
+Two uses. ``near_duplicates`` links fingerprints of 64 bits within a few bits;
+every such pair agrees on some choice of blocks, so none is missed.
+``similar_texts`` links texts by the similarity of their sets of shingles. At a
+Jaccard similarity of 0.8 over 15 % of the bits differ, where no number of
+blocks is both sure and selective; so its fingerprints are longer, split into as
+many blocks as find a pair at the limit with a wanted probability, and pairs
+that pass the Hamming check are verified by their shingles.
+"""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import in_small_batches, materialize
 from .components import connected_components
 
 BITS = 64
@@ -66,7 +76,6 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = np.array([fingerprint_of(t.encode(), width) if t else 0 for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -102,24 +111,24 @@ def _bucket_links(fps: np.ndarray, reps: np.ndarray, max_distance: int):
     return reps[moved], label[moved]
 
 
-def _links(max_distance: int):
+def _by_bucket(pairs, bucket):
+    """Rows sorted by (mask, value, part) to the links (u, v) of each bucket: ``pairs(fps, reps, at)`` of the buckets of two rows, at their first rows, ``bucket(fps, reps)`` of each larger one."""
+
     def run(batches):
-        """Batches come sorted by bucket; a bucket may go over several of them."""
+        """A bucket may go over several batches."""
         held = None
 
         def links(t):
             keys = (t.column("mask").to_numpy(), t.column("value").to_numpy(), t.column("part").to_numpy())
-            fps, reps = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy()
+            fps, reps = _prints(t.column("fp")), t.column("rep").to_numpy()
             cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            starts, ends = np.r_[0, cut], np.r_[cut, len(fps)]
+            starts, ends = np.r_[0, cut], np.r_[cut, len(reps)]
             size = ends - starts
-            out_u, out_v = [], []
-            pair = starts[size == 2]
-            ok = np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= max_distance
-            out_u.append(reps[pair[ok]])
-            out_v.append(reps[pair[ok] + 1])
+            at = starts[size == 2]
+            at = at[pairs(fps[at], fps[at + 1])]
+            out_u, out_v = [np.maximum(reps[at], reps[at + 1])], [np.minimum(reps[at], reps[at + 1])]
             for a, b in zip(starts[size > 2], ends[size > 2]):
-                u, v = _bucket_links(fps[a:b], reps[a:b], max_distance)
+                u, v = bucket(fps[a:b], reps[a:b])
                 out_u.append(u)
                 out_v.append(v)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], ["u", "v"])
@@ -140,6 +149,31 @@ def _links(max_distance: int):
     return run
 
 
+def _prints(column: pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints: of a column of longs one word each, of binaries a row of words each."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().view(np.uint64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _links(max_distance: int):
+    return _by_bucket(lambda a, b: np.bitwise_count(a ^ b) <= max_distance, lambda fps, reps: _bucket_links(fps, reps, max_distance))
+
+
+def _deal(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """``rows`` (rep, fp, mask, value) sorted by bucket within partitions. A bucket of over ``bucket_rows`` rows is dealt into parts, and each pair of parts becomes a group of its own."""
+    big = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
+    big = materialize(big.select("mask", "value", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts")), "big-buckets")
+    if big.isEmpty():
+        dealt = rows.withColumn("part", F.lit(0).cast("long"))
+    else:
+        own = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long"))
+        other = F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
+        group = F.explode(F.transform(other, lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own"))))
+        dealt = rows.join(big, ["mask", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own).withColumn("part", group)
+    return dealt.select("mask", "value", "part", "fp", "rep").repartition("mask", "value", "part").sortWithinPartitions("mask", "value", "part")
+
+
 def near_links(classes: DataFrame, max_distance: int = 3, extra: int = 2, bucket_rows: int = 4096) -> DataFrame:
     """Edges (u, v) between ``rep`` ids that connect all fingerprints ``fp`` within ``max_distance``.
 
@@ -151,17 +185,7 @@ def near_links(classes: DataFrame, max_distance: int = 3, extra: int = 2, bucket
     """
     masks = [_signed(m) for m in _blocks(max_distance, extra)]
     rows = classes.select("rep", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "value"))
-    big = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
-    big = materialize(big.select("mask", "value", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts")), "big-buckets")
-    if big.isEmpty():
-        dealt = rows.withColumn("part", F.lit(0).cast("long"))
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long"))
-        other = F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
-        group = F.explode(F.transform(other, lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own"))))
-        dealt = rows.join(big, ["mask", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own).withColumn("part", group)
-    dealt = dealt.select("mask", "value", "part", "fp", "rep").repartition("mask", "value", "part").sortWithinPartitions("mask", "value", "part")
-    return dealt.mapInArrow(_links(max_distance), "u long, v long")
+    return _deal(rows, bucket_rows).mapInArrow(_links(max_distance), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 3) -> DataFrame:
@@ -169,30 +193,180 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 3) -> D
 
     component_id is the smallest doc_id reachable, its own included. Null and
     empty texts have fingerprint zero and link like any other. A row with a
-    null doc_id takes part by its fingerprint; if no id is in its group, its
-    component is null. Repeated rows come back as often as they came.
+    null doc_id takes part by its fingerprint, and ties what it is near to; if
+    no id is in its group, its component is null. Repeated rows come back as
+    often as they came; texts are read whole, whatever their length; an empty
+    table gives no rows; columns but doc_id and text are not read.
     """
-    prints = materialize(fingerprints(docs, width), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    named = classes.where("rep is not null")
-    found = connected_components(near_links(named, max_distance))
-    of_class = named.join(found, named.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(materialize(of_class, "classes"), "fp", "left").select("doc_id", "fp", "component_id")
+    with in_small_batches(docs.sparkSession):
+        prints = materialize(fingerprints(docs, width), "fingerprints")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = materialize(classes.select("fp", "first", F.monotonically_increasing_id().alias("rep")), "classes")
+    found = connected_components(near_links(classes, max_distance))
+    grouped = classes.join(found, classes.rep == found.node, "left").select("fp", "first", F.coalesce("component", "rep").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
+    of_class = materialize(grouped.join(least, "group").select("fp", "component_id"), "groups")
+    return prints.join(of_class, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, width: int = 3, max_distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest id of its group; of rows with one id, one stays.
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted."""
+    parts = list(shingle_hashes(text.encode(), width)) if text else []
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+_GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-    Documents without an id are kept. Texts are dealt by id once, at every size:
-    the ids that stay grow with the documents and are never broadcast.
+
+def long_print(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The bits (0 or 1) of a SimHash of ``words`` x 64 bits, each shingle counted once; without shingles all are zero, and of ties every second bit is one."""
+    ones = np.zeros(words * BITS, np.int64)
+    step = np.arange(1, words + 1, dtype=np.uint64) * _GOLD
+    for at in range(0, len(hashes), 4096):
+        z = hashes[at : at + 4096, None] + step
+        z = (z ^ (z >> np.uint64(30))) * _MIX1
+        z = (z ^ (z >> np.uint64(27))) * _MIX2
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return (ones * 2 + np.arange(words * BITS) % 2 > len(hashes)).astype(np.uint8)
+
+
+def block_plan(rows: int, similarity: float, recall: float, bucket_rows: int = 128) -> tuple[int, int]:
+    """(bits of a block, number of blocks): unrelated texts share a block with about ``bucket_rows`` others, texts of the given Jaccard similarity some block with probability ``recall``."""
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(8, math.ceil(math.log2(max(1, rows) / bucket_rows)))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits)))
+
+
+CHECKED_WORDS = 4
+
+
+def _long_prints(docs: DataFrame, width: int, bits: int, blocks: int) -> DataFrame:
+    """(doc_id, hash, fp, blocks): the first ``CHECKED_WORDS`` words of each whole text's long SimHash, and the numbers of all its blocks."""
+    words = max(CHECKED_WORDS, -(-bits * blocks // BITS))
+    powers = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches):
+        for b in batches:
+            prints = [long_print(shingle_set(t.as_py(), width), words) for t in b.column(2)]
+            rows = np.array(prints, np.uint8).reshape(len(prints), words * BITS)
+            fps = np.packbits(rows[:, : CHECKED_WORDS * BITS], axis=1, bitorder="little")
+            numbers = rows[:, : bits * blocks].reshape(len(rows), blocks, bits) @ powers
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(numbers.ravel()), blocks).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in fps], pa.binary()), lists], ["doc_id", "hash", "fp", "blocks"])
+
+    return _named(docs).mapInArrow(run, "doc_id long, hash long, fp binary, blocks array<long>")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    return _distance(a, b) <= limit
+
+
+def bucket_tree(fps: np.ndarray, reps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v) within ``limit`` bits that connect all rows of a bucket which such pairs connect: a spanning tree of the nearest pairs, so that the likeliest are verified first."""
+    order = np.argsort(reps, kind="stable")
+    fps, reps = fps[order], reps[order]
+    n, strip = len(reps), max(1, (1 << 18) // len(reps))
+    some = np.concatenate([_near(fps[a : a + strip, None], fps[None], limit).sum(1) > 1 for a in range(0, n, strip)])
+    left = np.flatnonzero(some)
+    near, parent = np.full(len(left), limit + 1), np.zeros(len(left), np.int64)
+    us, vs = [], []
+    while len(left):
+        k = int(near.argmin())
+        node = left[k]
+        if near[k] <= limit:
+            us.append(node)
+            vs.append(parent[k])
+        left, near, parent = (np.delete(x, k) for x in (left, near, parent))
+        far = _distance(fps[node], fps[left])
+        closer = far < near
+        near[closer], parent[closer] = far[closer], node
+    u, v = reps[np.array(us, np.int64)], reps[np.array(vs, np.int64)]
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def _verified(width: int, similarity: float):
+    """Pairs with their texts to those whose sets of shingles are similar enough; texts without shingles are alike."""
+
+    def run(batches):
+        last, mine = None, None
+        for b in batches:
+            keep = []
+            for v, a, c in zip(b.column("v").to_pylist(), b.column("u_text"), b.column("v_text")):
+                if v != last:  # rows come sorted by v
+                    last, mine = v, shingle_set(c.as_py(), width)
+                other = shingle_set(a.as_py(), width)
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                keep.append(both >= similarity * (len(mine) + len(other) - both) - 1e-9)
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99, bucket_rows: int = 4096) -> DataFrame:
+    """(doc_id, hash, copies, group): every distinct document (id and text hash) with the group that it is in.
+
+    Groups are chains of pairs whose sets of ``width``-word shingles have a
+    Jaccard similarity of ``similarity`` or more. A pair at the limit shares one
+    of the blocks with probability ``recall``, a closer one nearly always. In
+    each bucket a tree of the nearest pairs that pass the Hamming check ties what
+    is near; its pairs are verified by their whole sets of shingles. Texts with equal
+    fingerprints of all blocks, as copies are, go as one. Null and empty texts are alike.
+    """
+    bits, blocks = block_plan(docs.count(), similarity, recall)
+    with in_small_batches(docs.sparkSession):
+        prints = materialize(_long_prints(docs, width, bits, blocks), "prints")
+    member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    distinct = prints.groupBy("doc_id", "hash", "fp", "blocks").agg(F.count("*").alias("copies"))
+    classes = distinct.groupBy("fp", "blocks").agg(F.min(member).alias("m"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "fp", "blocks", "m.doc_id", "m.hash"), "classes")
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    checked = CHECKED_WORDS * BITS
+    limit = int(checked * (1 - agree) + 2.5 * math.sqrt(checked * agree * (1 - agree)))
+    rows = classes.select("rep", "fp", F.posexplode("blocks").alias("mask", "value"))
+    near = _by_bucket(lambda a, b: _near(a, b, limit), lambda fps, reps: bucket_tree(fps, reps, limit))
+    pairs = materialize(_deal(rows, bucket_rows).mapInArrow(near, "u long, v long").distinct(), "pairs")
+    asked = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
+    asked = materialize(classes.join(asked, "rep", "left_semi").select("rep", F.col("doc_id").alias("d"), F.col("hash").alias("h")), "asked")
+    named = _named(docs)
+    texts = named.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("rep", "text")
+    texts = materialize(texts.groupBy("rep").agg(F.first("text").alias("text")), "texts")
+    both = pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("rep").alias("v"), F.col("text").alias("v_text")), "v")
+    both = both.select("u", "v", "u_text", "v_text").sortWithinPartitions("v")
+    with in_small_batches(docs.sparkSession):
+        links = materialize(both.mapInArrow(_verified(width, similarity), "u long, v long"), "links")
+    found = connected_components(links)
+    grouped = classes.join(found, classes.rep == found.node, "left").select("fp", "blocks", F.coalesce("component", "rep").alias("group"))
+    return distinct.join(grouped, ["fp", "blocks"]).select("doc_id", "hash", "copies", "group")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of ``similar_texts`` the document with the smallest id stays.
+
+    Documents without an id come last, equal ids by their text's hash; of
+    repeated rows (id and text) one stays. Null and empty texts are copies of
+    one another. Texts are dealt by id once, at every size: the ids that stay
+    grow with the documents and are never broadcast. An empty table gives no
+    rows; other columns are kept as they are.
     """
-    near = near_duplicates(docs, width, max_distance).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    near = materialize(near, "kept")
-    kept = docs.join(near.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-    if near.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    near = similar_texts(docs, width, similarity)
+    first = near.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "copies")).alias("m"))
+    first = materialize(first.select(F.col("m.doc_id").alias("__id"), F.col("m.hash").alias("__h"), F.col("m.copies").alias("__copies")), "kept")
+    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = hashed.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
+    if not first.where("__copies > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__hash"])
+    return kept.select(docs.columns)

@@ -36,10 +36,11 @@ def test_units_keep_small_weights():
         mixing.units({k: 1 for k in range(20)}, 10)
 
 
-def test_mix_reaches_weights_and_loses_no_row(spark):
+@pytest.mark.parametrize("max_slots", [1000, 12])
+def test_mix_reaches_weights_and_loses_no_row(spark, max_slots):
     rows = [(i, "big" if i % 3 else "small", "x") for i in range(300)] + [(1000 + i, None, "y") for i in range(7)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, slot string")
-    got = mixing.mix(docs, {"big": 3, "small": 2, None: 1, "absent": 5}, block_rows=4, resolution=60, bucket_rows=16).collect()
+    got = mixing.mix(docs, {"big": 3, "small": 2, None: 1, "absent": 5}, block_rows=4, resolution=60, bucket_rows=16, max_slots=max_slots).collect()
     assert {r.doc_id for r in got} == {r[0] for r in rows}
     assert sorted(r.position for r in got) == list(range(len(got)))
     by_slot = {r.slot: r.source for r in got}
@@ -65,4 +66,39 @@ def test_mix_of_odd_tables(docs, no_docs):
     assert mixing.mix(docs, {"a": 0}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, max_sources=2)
+    with pytest.raises(ValueError, match="max_epochs"):
+        mixing.mix(docs, {"a": 1, "b": 10_000}, block_rows=2)
     assert got.agg(F.countDistinct("position")).first()[0] == got.count()
+
+
+def test_default_weights_hold_at_any_length(spark):
+    """Weights that are no whole units of a small resolution: less than a block off after every prefix."""
+    counts = {"a": 20_011, "b": 7_003, "c": 1_013, "d": 97}
+    docs = spark.createDataFrame([(k, s) for s, n in counts.items() for k in range(n)], "doc_id long, source string")
+    got = sorted((r.slot, r.source) for r in mixing.mix(docs).where("position % 16 = 0").select("slot", "source").collect())
+    weights = mixing.temperature_weights(counts)
+    total, seen = sum(weights.values()), Counter()
+    assert [t for t, _ in got] == list(range(len(got)))
+    for t, s in got:
+        seen[s] += 1
+        assert all(abs(seen[k] - (t + 1) * w / total) < 1.001 for k, w in weights.items())
+
+
+def test_the_whole_mix_equals_plain_python(spark):
+    """Row by row: order by hash, blocks, and slots one after the other."""
+    rows = [(k, "abc"[k % 7 % 3]) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"a": 5, "b": 2, "c": 1}
+    got = sorted((r.position, r.doc_id, r.epoch) for r in mixing.mix(docs, weights, block_rows=4, resolution=8, bucket_rows=8).collect())
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit("mix"), "doc_id").alias("h")).collect()}
+    count = Counter(s for _, s in rows)
+    buckets = {s: -(-n // 8) for s, n in count.items()}
+    stream = {s: sorted((k for k, x in rows if x == s), key=lambda k: (hashed[k] % buckets[s], hashed[k], k)) for s in count}
+    done, want = Counter(), []
+    line = brute({"a": 5, "b": 2, "c": 1}, 400)
+    while any(done[s] * 4 < count[s] for s in count):
+        s = line[len(want) // 4]
+        for row in range(done[s] * 4, done[s] * 4 + 4):
+            want.append((len(want), stream[s][row % count[s]], row // count[s]))
+        done[s] += 1
+    assert got == want

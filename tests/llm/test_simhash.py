@@ -1,12 +1,14 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from spindrift.llm import simhash
 from spindrift.llm.components import connected_components
+from spindrift.llm.vectors import merge
 
 from .conftest import DOCS
 
@@ -46,8 +48,6 @@ def test_groups_equal_brute_force(spark, small):
     for (i, _), p, c in zip(rows, prints, components([r[0] for r in rows], prints)):
         assert (got[i].hex, got[i].component_id) == (f"{p:016x}", c)
     assert len({r.component_id for r in got.values()}) < len(rows)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.component_id for r in got.values()}
 
 
 def test_odd_rows(docs, no_docs):
@@ -55,8 +55,96 @@ def test_odd_rows(docs, no_docs):
     prints = [fingerprint(d[1]) for d in DOCS]
     assert got == sorted(zip([d[0] for d in DOCS], prints, components([d[0] for d in DOCS], prints)), key=str)
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
-    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
-    assert len(kept) == len(set(kept)) and None in kept and 10 not in kept and 1 in kept
+    odd = docs.withColumn("fp", F.lit("x")).withColumn("group", F.lit(None)).withColumn("blocks", F.lit(3))
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 11, 12, 3, 6, 7, 8, 9, None]
+
+
+def test_a_null_id_ties_what_is_near(spark):
+    a, b, c = 0, 0b111, 0b111111
+    df = spark.createDataFrame([(4, "x"), (None, "y"), (9, "z")], "doc_id long, text string")
+    prints = {"x": a, "y": b, "z": c}
+    names = F.create_map(*[F.lit(v) for kv in prints.items() for v in kv])
+    fake = lambda docs, width: docs.select("doc_id", names[F.col("text")].cast("long").alias("fp"))
+    was, simhash.fingerprints = simhash.fingerprints, fake
+    try:
+        got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
+    finally:
+        simhash.fingerprints = was
+    assert got == [(4, a, 4), (9, c, 4), (None, b, 4)]
+
+
+def shingles(text, width=5):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", low)
+    return {" ".join(words[k : k + width]) for k in range(len(words) - width + 1)} or ({" ".join(words)} if words else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def similar_groups(rows, similarity=0.8):
+    """Each row's group, from the similarity of all pairs."""
+    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= similarity:
+                label[root(a)] = root(b)
+    return [root(k) for k in range(len(rows))]
+
+
+def edited(rng, words, share):
+    """The words with about so many of them changed, close together."""
+    n = max(1, int(len(words) * share))
+    at = rng.randrange(len(words) - n + 1)
+    return words[:at] + [f"new{rng.random()}" for _ in range(n)] + words[at + n :]
+
+
+def test_one_of_similar_texts_stays(spark, small):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    base = [t.split() for _, t in rows if t and len(t.split()) > 80][:60]
+    for k in range(300):
+        rows.append((100_000 + k, " ".join(edited(rng, rng.choice(base), rng.choice([0.02, 0.05, 0.08, 0.2])))))
+    crowd = [f"w{k}" for k in range(120)]
+    rows += [(200_000 + k, " ".join(edited(rng, crowd, 0.05))) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r.doc_id: r.group for r in simhash.similar_texts(df).collect()}
+    want = similar_groups(rows)
+    ours = [near[i] for i, _ in rows]
+    split = sum(len({ours[k] for k in range(len(rows)) if want[k] == g}) - 1 for g in set(want))
+    assert split <= 0.04 * sum(want[k] != k for k in range(len(rows)))
+    for g in set(ours):  # no false tie
+        assert len({want[k] for k in range(len(rows)) if ours[k] == g}) == 1
+    first = {}
+    for (i, _), g in zip(rows, ours):
+        first[g] = min(first.get(g, i), i)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(first.values())
+
+
+def test_tree_ties_what_the_bucket_ties():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
+    fps = np.concatenate([b[None] ^ (np.uint64(1) << rng.integers(0, 64, (20, 4), dtype=np.uint64)) for b in base])
+    reps = rng.permutation(len(fps))
+    for limit in (3, 8):
+        u, v = simhash.bucket_tree(fps, reps, limit)
+        hit = np.bitwise_count(fps[:, None] ^ fps[None]).sum(-1) <= limit
+        place = np.argsort(reps)
+        assert hit[place[u], place[v]].all()
+        want, got = np.arange(len(fps)), np.arange(len(fps))
+        merge(want, *(reps[x] for x in np.nonzero(hit)))
+        merge(got, u, v)
+        assert (want == got).all()
 
 
 def test_long_texts_in_pieces(monkeypatch):
