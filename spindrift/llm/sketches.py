@@ -24,10 +24,26 @@ BREAK = r"\n+|(?<=[.!?])[ \t]+"
 _KEY = ("bucket", "row")
 
 
+def occurrences(values: Column) -> Column:
+    """Of each place of a sorted array how many equal values come right before it.
+
+    Doubling: after step k runs are counted up to 2^k, so a few steps over the
+    whole array are enough, however long its runs are.
+    """
+    at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
+    first = F.transform(values, lambda x, i: F.when((i > 0) & (x == at(values, F.greatest(i - 1, F.lit(0)))), 1).otherwise(0))
+    step = lambda r, k: F.transform(r, lambda n, i: F.when(n == F.pow(F.lit(2), k).cast("int"), n + at(r, F.greatest(i - n, F.lit(0)))).otherwise(n))
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int")), first, step)
+
+
 def paragraphs(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs; empty ones don't count."""
+    """Digests of a text: one for each paragraph and which of its equals it is, and one of the whole; empty paragraphs don't count."""
     parts = F.filter(F.split(text, BREAK, -1), lambda p: p != "")
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    digests = F.transform(parts, lambda p: F.xxhash64(p))
+    repeated = F.array_sort(digests)
+    numbered = F.zip_with(repeated, occurrences(repeated), lambda d, n: F.when(n == 0, d).otherwise(F.xxhash64(d, n)))
+    each = F.when(F.size(F.array_distinct(digests)) == F.size(digests), digests).otherwise(numbered)
+    return F.array_append(each, F.xxhash64(text, F.lit("whole")))
 
 
 def _check(digest: Column) -> Column:
@@ -92,39 +108,50 @@ def differing(rows: DataFrame, versions: tuple, pairs: dict, cells: int) -> Data
     return left.groupBy(*keys).agg(F.count_if(F.col("cell") >= 0).alias("over"), F.count_if(F.col("cell") < 0).alias("differ"))
 
 
-def in_order(docs: DataFrame, bucket_rows: int = 4096, segments: int = 64) -> DataFrame:
+def in_order(docs: DataFrame, bucket_rows: int = 512, segments: int = 256) -> DataFrame:
     """``docs`` (doc_id, text) with ``bucket``, ``row`` and ``next_text``: the text of the next document by descending doc_id, after the last that of the first.
 
-    Null ids come last, equal ids by the hash of the text. Ids are cut into
-    quantile segments, and each into even spans of about ``bucket_rows`` rows;
-    the first row of a bucket is also dealt to the bucket before it, so texts
-    move once and no task orders all rows. The table of buckets' first ids is
-    broadcast up to a million rows, and beyond that joined by a shuffle.
+    Null ids come last, equal ids by the hash of the text. Ids are cut at
+    quantiles into segments, and each segment into even spans of about
+    ``bucket_rows`` rows. An id that has more rows than a segment (null, say)
+    is a segment of its own, cut by the hash. The first row of a bucket is also
+    dealt to the bucket before it, so texts move once and no task orders all rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    cuts = ids.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.percentile_approx("doc_id", [k / segments for k in range(1, segments)], 10_000).alias("cuts")).first()
-    lo = cuts["lo"] or 0
-    bounds = sorted({lo, *(cuts["cuts"] or [])})
-    n = cuts["n"]
-    per = max(1, n // max(1, len(bounds)) // bucket_rows)
+    lo = rows.agg(F.min("doc_id")).first()[0] or 0
     order = F.coalesce(F.col("doc_id"), F.lit(lo - 1))
+    found = rows.select(order.alias("o")).agg(F.count("*").alias("n"), F.max("o").alias("hi"), F.percentile_approx("o", [k / segments for k in range(1, segments)], 10_000).alias("cuts")).first()
+    per, cuts = found["n"] / segments, found["cuts"] or []
+    heavy = {c: cuts.count(c) for c in cuts if cuts.count(c) > 1}
+    bounds = sorted({lo - 1, *cuts, *heavy, *(c + 1 for c in heavy)})
+    ties = F.array(*[F.lit(max(1, int((heavy.get(b, 0) + 1) * per / bucket_rows)) if b in heavy else 1) for b in bounds])
     starts = F.array(*[F.lit(b).cast("long") for b in bounds])
-    ends = F.array(*[F.lit(b).cast("long") for b in [*bounds[1:], bounds[-1] + max(1, bounds[-1] - bounds[max(0, len(bounds) - 2)])]])
-    segment = F.greatest(F.size(F.filter(starts, lambda b: b <= F.col("__order"))), F.lit(1))
+    ends = F.array(*[F.lit(b).cast("long") for b in [*bounds[1:], max(found["hi"] or 0, bounds[-1]) + 1]])
+    spans = max(1, int(per / bucket_rows))
+    hashed = F.xxhash64("text")
     first, last = F.element_at(starts, F.col("__segment")), F.element_at(ends, F.col("__segment"))
-    inner = F.least(F.greatest(F.floor((F.col("__order") - first).cast("double") / (last - first) * per), F.lit(0)), F.lit(per - 1))
-    place = lambda df: df.withColumn("__order", order).withColumn("__segment", segment).withColumn("bucket", F.col("__segment").cast("long") * (1 << 32) + inner.cast("long"))
-    heads = place(ids).groupBy("bucket").agg(F.max("__order").alias("__head"))
-    around = Window.orderBy(F.desc("bucket"))
-    heads = heads.withColumn("__before", F.lag("bucket").over(around))
-    bottom = heads.agg(F.min("bucket").alias("__bottom"))
-    heads = materialize(heads.crossJoin(F.broadcast(bottom)).select("bucket", "__head", F.coalesce("__before", "__bottom").alias("__before")), "heads")
-    small = heads.count() <= 1_000_000
-    joined = place(rows).join(F.broadcast(heads) if small else heads, "bucket")
-    copies = F.when(F.col("__order") == F.col("__head"), F.array(F.struct("bucket", F.lit(False).alias("tail")), F.struct(F.col("__before").alias("bucket"), F.lit(True).alias("tail")))).otherwise(F.array(F.struct("bucket", F.lit(False).alias("tail"))))
+    inner = F.least(F.floor((F.col("__order") - first).cast("double") / (last - first) * spans), F.lit(spans - 1))
+    tie_count = F.element_at(ties, F.col("__segment"))
+    tie = tie_count - 1 - F.least(F.floor((hashed.cast("double") / 2.0**64 + 0.5) * tie_count), tie_count - 1)
+
+    def place(df):
+        df = df.withColumn("__order", order).withColumn("__segment", F.size(F.filter(starts, lambda b: b <= F.col("__order"))))
+        return df.withColumn("bucket", F.col("__segment").cast("long") * (1 << 40) + F.when(tie_count > 1, tie).otherwise(inner).cast("long"))
+
+    rank = lambda o, h: F.struct(o.alias("o"), (-1 - h).alias("h"))
+    heads = place(rows).groupBy("__segment", "bucket").agg(F.max(rank(F.col("__order"), hashed)).alias("__head"))
+    heads = materialize(heads, "heads")
+    inside = F.lag("bucket").over(Window.partitionBy("__segment").orderBy(F.desc("bucket")))
+    ranges = heads.groupBy("__segment").agg(F.min("bucket").alias("__least"))  # a row for each segment
+    above = F.coalesce(F.lag("__least").over(Window.orderBy(F.desc("__segment"))), F.min("__least").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ranges = ranges.select("__segment", above.alias("__above"))
+    heads = heads.withColumn("__inside", inside).join(F.broadcast(ranges), "__segment").select("bucket", "__head", F.coalesce("__inside", "__above").alias("__before"))
+    joined = place(rows).join(heads, "bucket")
+    is_head = rank(F.col("__order"), hashed) == F.col("__head")
+    own = F.struct("bucket", F.lit(False).alias("tail"))
+    copies = F.when(is_head, F.array(own, F.struct(F.col("__before").alias("bucket"), F.lit(True).alias("tail")))).otherwise(F.array(own))
     dealt = joined.select("doc_id", "text", "__order", F.explode(copies).alias("c")).select("doc_id", "text", "__order", "c.bucket", "c.tail")
-    window = Window.partitionBy("bucket").orderBy("tail", F.desc("__order"), F.xxhash64("text"))
+    window = Window.partitionBy("bucket").orderBy("tail", F.desc("__order"), hashed)
     dealt = dealt.withColumn("next_text", F.lead("text").over(window)).withColumn("row", F.row_number().over(window))
     return dealt.where("not tail").select("bucket", "row", "doc_id", "text", "next_text")
 
@@ -141,16 +168,18 @@ def _likeness(a: Column, b: Column, differ: Column) -> Column:
     return F.when(a + b == 0, 1.0).otherwise((a + b - differ) / (a + b + differ))
 
 
-def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows: int = 4096) -> DataFrame:
+def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows: int = 512) -> DataFrame:
     """Fingerprints of each document and of an edited version of it, with their likeness and that to the next document.
 
     Gives doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. The edited text has its last half replaced by the
     first half of the next document's (``in_order``). Likeness is the Jaccard
-    likeness of the sets of paragraph digests, from the digests recovered from
-    subtracted sketches; two texts without paragraphs have likeness 1, and so
-    have equal texts. Null text counts as empty; each repeated row has its own
-    result; an empty table gives no rows.
+    likeness of the sets of digests, from the digests recovered from subtracted
+    sketches. A paragraph that comes again is another digest, and the whole text
+    is one, so only equal texts have equal fingerprints and likeness 1. Null
+    text counts as empty; texts are read whole, whatever their length; each
+    repeated row has its own result; an empty table gives no rows; columns but
+    doc_id and text are not read.
     """
     whole = in_order(docs, bucket_rows)
     n = F.length("text")

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -9,7 +11,14 @@ from .conftest import DOCS
 
 
 def parts(text):
-    return {p for p in re.split(sketches.BREAK, text) if p}
+    """Paragraphs, each with which of its equals it is, and the whole text."""
+    seen = Counter()
+    out = {("whole", text)}
+    for p in re.split(sketches.BREAK, text):
+        if p:
+            out.add((p, seen[p]))
+            seen[p] += 1
+    return out
 
 
 def like(a, b):
@@ -61,3 +70,33 @@ def test_peeling_recovers_the_digests(spark):
     assert all(r.cell == -1 for r in left)
     small = sketches.sketch(sketches._exploded(rows, ("a", "b")), ("bucket", "row", "version"), "digests", 24)
     assert any(r.cell >= 0 for r in sketches.peel(sketches.subtract(small, ("bucket", "row"), {0: (0, 1)}), ("bucket", "row", "pair"), 24).collect())
+
+
+def test_order_and_repeats_count(spark):
+    texts = ["A b. C d.", "C d. A b.", "C d. A b. A b.", "", "\n", "A b. C d.", "x. " * 500, "x. " * 501, "x. y. " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, mine = got(docs)
+    assert order(mine) == order(brute(list(enumerate(texts))))
+    prints = {r.doc_id: r.fingerprint for r in rows}
+    assert prints[0] == prints[5] and len(set(prints.values())) == len(texts) - 1
+    assert all((a == b) == (texts[i] == texts[j]) for i, a in prints.items() for j, b in prints.items())
+
+
+def test_occurrences(spark):
+    rows = [([1, 1, 1, 1, 1, 2, 3, 3],), ([],), ([5],), ([7] * 100,)]
+    got_ = spark.createDataFrame(rows, "v array<long>").select("v", sketches.occurrences(F.col("v")).alias("n")).collect()
+    assert [r.n for r in got_] == [[r.v[:k].count(x) for k, x in enumerate(r.v)] for r in got_]
+
+
+def test_hot_ids_are_spread(spark):
+    """A third without an id, a third with one id, and ids close together: no bucket grows with them, and the order is right."""
+    rng = random.Random(4)
+    rows = [(None, f"n{k}") for k in range(300)] + [(77, f"s{k}") for k in range(300)] + [(k, f"d{k}") for k in range(1000, 1300)] + [(10**15 + k, f"f{k}") for k in range(10)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = sketches.in_order(docs, bucket_rows=10, segments=16).collect()
+    assert len(placed) == len(rows) and max(Counter(r.bucket for r in placed).values()) <= 80
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    line = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    after = {t: line[(k + 1) % len(line)][1] for k, (_, t) in enumerate(line)}
+    assert {r.text: r.next_text for r in placed} == after
