@@ -194,13 +194,14 @@ def in_file_order(docs: DataFrame, name: str = "place") -> DataFrame:
     """A table read from Parquet with ``name``: the place of each row by file name and row, from 0 without gaps.
 
     Spark names files by the partition that wrote them, so a table written in
-    some order keeps it this way, however its files are dealt to tasks.
+    some order keeps it this way, however its files are dealt to tasks. What is
+    broadcast is a row for each file, of which the driver has a list anyway.
     """
     file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     sizes = docs.groupBy(file.alias("__file")).agg((F.max(row) + 1).alias("__rows"))
     before = Window.orderBy(F.length("__file"), "__file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     starts = sizes.select(F.col("__file"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
-    placed = docs.select("*", file.alias("__file"), row.alias("__row")).join(starts, "__file")
+    placed = docs.select("*", file.alias("__file"), row.alias("__row")).join(F.broadcast(starts), "__file")
     return placed.select(*docs.columns, (F.col("__start") + F.col("__row")).alias(name))
 
 
