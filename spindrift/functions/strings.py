@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,10 +13,22 @@ LANGUAGES = {"scala": "scala", "sc": "scala", "rs": "rust", "rb": "ruby", "py":
 SKIPPED_FOLDERS = [".git", "target", "node_modules", ".spindrift", ".venv", "venv", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache"]
 #: Larger files are not read: 1 MiB (a fixed value).
 MOST_BYTES = 1 << 20
+#: Folders of test code (fixed values).
 TEST_FOLDERS = ["test", "tests", "spec", "specs", "__tests__"]
 _IDENT = r"[\p{L}\p{N}_]"
-#: Latin letters with marks, and the letters that search takes them for.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Small Latin letters with marks, by their decompositions, and the letters that search takes them for; the marks themselves come last and stand for nothing."""
+    found = {}
+    for code in range(0xC0, 0x2000):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and "a" <= base <= "z" and all(unicodedata.combining(m) for m in marks):
+            found[chr(code)] = base
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+MARKED, PLAIN = _plain_letters()
 
 
 def language_of(path: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the session's checkpoint folder; without one, with checkpoint() in a folder set for tests."""
+    """Cut the lineage with a table in the session's checkpoint folder; where none is set, only a local session may take one of its machine."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

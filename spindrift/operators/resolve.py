@@ -27,11 +27,13 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFram
     then the only one in the file, in the service, or, if the file imports the
     name, anywhere.
 
-    Each tier is an equality join with a table that has one row for each group
-    of candidates, so a name that many symbols and references share costs no
-    more than others; whether the source is one of the group follows from the
-    source itself.
+    Equal references are looked up once, and those with a qualifier and those
+    without go through their own tiers alone. Each tier is an equality join with
+    a table that has one row for each group of candidates, so a name that many
+    symbols and references share costs no more than others; whether the source
+    is one of the group follows from the source itself.
     """
+    refs = refs.groupBy("src_symbol", "dst_name", "qualifier", "scoped", "kind").agg(F.count("*").alias("__times"))
     src = symbols.select(F.col("id").alias("src_symbol"), F.col("name").alias("s_name"), F.col("file").alias("s_file"), F.col("service").alias("s_service"), F.col("module").alias("s_module"), F.col("container").alias("s_container"))
     licence = imports.select(F.col("file").alias("s_file"), F.col("name").alias("licence"), F.lit(True).alias("imported"))
     rows = refs.join(src, "src_symbol").withColumn("licence", F.coalesce("qualifier", "dst_name"))
@@ -54,13 +56,17 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFram
         (symbols, name | service, ~qualified, own, True),
         (symbols, name, ~qualified & imported, own, True),
     ]
-    picks = []
-    for n, (among, keys, applies, has_source, alone) in enumerate(tiers):
-        group = _lowest(among, list(keys), n).withColumnsRenamed({k: f"k{n}_{k}" for k in keys})
-        same = [rows[mine].eqNullSafe(group[f"k{n}_{k}"]) if k == "container" and mine == "s_container" else rows[mine] == group[f"k{n}_{k}"] for k, mine in keys.items()]
-        rows = rows.join(group, same, "left").drop(*[f"k{n}_{k}" for k in keys])
-        pick = F.when(F.col(f"a{n}") == F.col("src_symbol"), F.col(f"b{n}")).otherwise(F.col(f"a{n}"))
-        if alone:
-            applies = applies & (F.col(f"n{n}") - F.when(has_source, 1).otherwise(0) == 1)
-        picks.append(F.when(applies, pick))
-    return rows.select("src_symbol", F.coalesce(*picks).alias("dst_symbol"), "kind").where("dst_symbol is not null")
+    found = None
+    for part in (tiers[:5], tiers[5:]):
+        asked, picks = rows.where(qualified if found is None else ~qualified), []
+        for n, (among, keys, applies, has_source, alone) in enumerate(part):
+            group = _lowest(among, list(keys), n).withColumnsRenamed({k: f"k{n}_{k}" for k in keys})
+            same = [asked[mine].eqNullSafe(group[f"k{n}_{k}"]) if k == "container" and mine == "s_container" else asked[mine] == group[f"k{n}_{k}"] for k, mine in keys.items()]
+            asked = asked.join(group, same, "left").drop(*[f"k{n}_{k}" for k in keys])
+            pick = F.when(F.col(f"a{n}") == F.col("src_symbol"), F.col(f"b{n}")).otherwise(F.col(f"a{n}"))
+            if alone:
+                applies = applies & (F.col(f"n{n}") - F.when(has_source, 1).otherwise(0) == 1)
+            picks.append(F.when(applies, pick))
+        these = asked.select("src_symbol", F.coalesce(*picks).alias("dst_symbol"), "kind", "__times").where("dst_symbol is not null")
+        found = these if found is None else found.union(these)
+    return found.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).drop("__times", "__time")

@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.strings import search_tokens
+from ..functions.strings import MARKED, PLAIN, search_tokens
+from .graph import _written
+
+_PLAIN = str.maketrans(MARKED[: len(PLAIN)], PLAIN, MARKED[len(PLAIN) :])
 
 #: BM25's parameters (fixed values).
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def clean_terms(query: str) -> list[list[str]]:
-    """The phrases of a query: each blank-separated term without punctuation, cut at underscores, its last token a prefix.
+    """The phrases of a query: each blank-separated term without punctuation, cut into the tokens that texts have, its last token a prefix.
 
     A term without letters or digits is dropped; a query without terms matches nothing.
     """
     out = []
     for term in query.split():
-        kept = "".join(c for c in term if c.isalnum() or c == "_")
-        tokens = [t for t in re.split("_+", kept.lower()) if t]
+        kept = "".join(c for c in term if c.isalnum() or c == "_" or unicodedata.combining(c))
+        tokens = re.findall(r"[^\W_]+", kept.lower().translate(_PLAIN))
         if tokens:
             out.append(tokens)
     return out
@@ -48,14 +53,19 @@ def _count_of(tokens: Column, phrase: list[str]) -> Column:
     return F.when(F.size(tokens) < n, 0).otherwise(F.size(F.filter(places, all_of)))
 
 
+def _score(n: Column, mean: Column, df: Column, tf: Column, length: Column) -> Column:
+    """BM25 of one phrase in one document."""
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf > 0, idf).otherwise(LEAST_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def search(docs: DataFrame, query: str, columns: tuple[str, ...], match_all: bool = True) -> DataFrame:
-    """``docs`` that match with ``bm25``, negative and least for the best.
+    """``docs`` that match with ``bm25``, negative and least for the best; a scan, for tables without an index.
 
     A document has the tokens of all ``columns``; phrases don't go over from one
     column to the next. ``match_all``: every phrase has to occur, else one. The
-    corpus figures (documents, mean length, documents of each phrase) are one
-    row of sums, so a search reads the texts, moves one row, and joins nothing
-    else.
+    texts are tokenised once: the corpus figures (documents, mean length,
+    documents of each phrase) are observed while the hits are written.
     """
     phrases = clean_terms(query)
     if not phrases:
@@ -65,16 +75,59 @@ def search(docs: DataFrame, query: str, columns: tuple[str, ...], match_all: boo
     tf = [sum((_frequency(t, p) for t in texts[1:]), _frequency(texts[0], p)) for p in phrases]
     length = sum((F.size(t) for t in texts[1:]), F.size(texts[0]))
     counted = tokens.withColumns({"__length": length, **{f"__tf{k}": t for k, t in enumerate(tf)}}).drop(*[f"__t{k}" for k in range(len(columns))])
-    sums = counted.agg(F.count("*").alias("__n"), F.avg("__length").alias("__mean"), *[F.count_if(F.col(f"__tf{k}") > 0).alias(f"__df{k}") for k in range(len(tf))])
-    rows = counted.join(F.broadcast(sums))  # one row
-
-    def part(k):
-        df, f = F.col(f"__df{k}"), F.col(f"__tf{k}")
-        idf = F.log((F.col("__n") - df + 0.5) / (df + 0.5))
-        return F.when(idf > 0, idf).otherwise(LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__length") / F.col("__mean")))
-
-    score = sum((part(k) for k in range(1, len(tf))), part(0))
+    sums = Observation(f"search-{uuid.uuid4().hex}")
+    counted = counted.observe(sums, F.count(F.lit(1)).alias("n"), F.avg("__length").alias("mean"), *[F.count_if(F.col(f"__tf{k}") > 0).alias(f"df{k}") for k in range(len(tf))])
     hit = F.col("__tf0") > 0
     for k in range(1, len(tf)):
         hit = (hit & (F.col(f"__tf{k}") > 0)) if match_all else (hit | (F.col(f"__tf{k}") > 0))
-    return rows.where(hit).select(*docs.columns, (-score).alias("bm25"))
+    rows, figures = _written(counted.where(hit), "hits"), sums.get
+    part = lambda k: _score(F.lit(float(figures["n"])), F.lit(figures["mean"]), F.lit(figures[f"df{k}"]), F.col(f"__tf{k}"), F.col("__length"))
+    score = sum((part(k) for k in range(1, len(tf))), part(0))
+    return rows.select(*docs.columns, (-score).alias("bm25"))
+
+
+#: Places of one column's tokens begin so far from the next column's, so no phrase goes over.
+_COLUMN = 1 << 32
+
+
+def postings(docs: DataFrame, columns: tuple[str, ...], id: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The index of ``docs``: (token, id, places), sorted by token in runs of tokens, and (id, length) of every document.
+
+    Written with one range of tokens to a file, so Parquet's figures let a
+    search read the files and row groups of its prefixes alone.
+    """
+
+    def placed(k: int, c: str) -> Column:
+        return F.transform(search_tokens(F.coalesce(F.col(c), F.lit(""))), lambda t, i: F.struct(t.alias("token"), (F.lit(k * _COLUMN).cast("long") + i).alias("place")))
+
+    each = [placed(k, c) for k, c in enumerate(columns)]
+    tokens = docs.select(F.col(id).alias("id"), F.concat(*each).alias("tokens"))
+    found = tokens.select("id", F.explode("tokens").alias("t")).groupBy("t.token", "id").agg(F.collect_list("t.place").alias("places"))
+    return found.repartitionByRange("token").sortWithinPartitions("token", "id"), tokens.select("id", F.size("tokens").alias("length"))
+
+
+def search_postings(index: DataFrame, lengths: DataFrame, query: str, match_all: bool = True) -> DataFrame:
+    """(id, bm25) of the documents that match, from the tables of ``postings``; the same figures as ``search``.
+
+    What is read of the index are the tokens of the query; of documents, those
+    that hold one. A document frequency is a row for each phrase.
+    """
+    phrases = clean_terms(query)
+    if not phrases:
+        return lengths.select("id", F.lit(0.0).alias("bm25")).limit(0)
+    fits = [(k, at, len(p), (F.col("token").startswith(t) if at == len(p) - 1 else F.col("token") == t)) for k, p in enumerate(phrases) for at, t in enumerate(p)]
+    any_of = fits[0][3]
+    for *_, f in fits[1:]:
+        any_of = any_of | f
+    uses = F.filter(F.array(*[F.when(f, F.struct(F.lit(k).alias("phrase"), F.lit(at).alias("at"), F.lit(n).alias("n"))) for k, at, n, f in fits]), lambda u: u.isNotNull())
+    used = index.where(any_of).select("id", "places", F.explode(uses).alias("u")).select("id", "places", "u.*")
+    single = used.where("n = 1").groupBy("phrase", "id").agg(F.sum(F.size("places")).alias("tf"))
+    starts = used.where("n > 1").select("phrase", "id", "n", F.explode(F.transform("places", lambda p: p - F.col("at"))).alias("start"))
+    whole = starts.groupBy("phrase", "id", "n", "start").agg(F.count("*").alias("met")).where("met = n")
+    tf = single.union(whole.groupBy("phrase", "id").agg(F.count("*").alias("tf")))
+    tf = _written(tf, "frequencies")
+    figures = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
+    known = tf.groupBy("phrase").agg(F.count("*").alias("df")).join(F.broadcast(figures))  # a row for each phrase of the query
+    scored = tf.join(lengths, "id").join(F.broadcast(known), "phrase")
+    hits = scored.groupBy("id").agg(F.count("*").alias("met"), (-F.sum(_score(F.col("n"), F.col("mean"), F.col("df"), F.col("tf"), F.col("length")))).alias("bm25"))
+    return hits.where(F.col("met") == len(phrases) if match_all else F.lit(True)).select("id", "bm25")

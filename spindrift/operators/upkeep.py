@@ -49,3 +49,12 @@ def fit_budget(items: DataFrame, budget: int, *order, cost: str = "cost") -> Dat
 
 def text_cost(text):
     return token_estimate(text)
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the number of rows of each table."""
+    each = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    out = each[0]
+    for more in each[1:]:
+        out = out.union(more)
+    return out

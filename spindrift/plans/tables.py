@@ -24,7 +24,7 @@ SYMBOLS = {
 EDGES = {"src_symbol": "l_suppkey", "dst_symbol": "l_partkey", "kind": "l_returnflag"}
 REFS = {
     "src_symbol": "l_partkey",
-    "target": "(l_partkey * 5 + l_suppkey) % 200",
+    "target": "l_partkey - l_partkey % 200 + (l_partkey * 5 + l_suppkey) % 200",
     "form": "CASE WHEN l_linenumber % 2 = 1 THEN 0 WHEN l_linenumber % 4 = 0 THEN 1 ELSE 2 END",
     "scoped": "l_suppkey % 2 = 0",
     "kind": "l_returnflag",

@@ -92,9 +92,9 @@ def callers(spark: SparkSession, d: str) -> DataFrame:
     return lookup.neighbours(symbols(spark, d), edges(spark, d), "callers", name=NAME, service=SERVICE).select("id", "name", "file", "edge_kind")
 
 
-@query(_NEAR.format("src_symbol", "dst_symbol"))
+@query(_NEAR.format("src_symbol", "dst_symbol").rpartition(" AND ")[0])
 def callees(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.neighbours(symbols(spark, d), edges(spark, d), "callees", name=NAME, service=SERVICE).select("id", "name", "file", "edge_kind")
+    return lookup.neighbours(symbols(spark, d), edges(spark, d), "callees", name=NAME).select("id", "name", "file", "edge_kind")
 
 
 @query(
@@ -297,7 +297,7 @@ def cochange_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 # search
 
-_PLAIN = f"translate(lower(text), '{strings.MARKED}', '{strings.PLAIN}')"
+_PLAIN = "strip_accents(lower(text))"
 _TOKENS_SQL = f"docs AS (SELECT doc_id, n_chars, regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{N}}]+') AS t FROM documents)"
 _TF = "len(list_filter(t, lambda x: starts_with(x, '{0}')))"
 _PHRASE_TF = "len(list_filter(range(1, len(t)), lambda i: t[i] = '{0}' AND starts_with(t[i + 1], '{1}')))"
@@ -332,6 +332,34 @@ def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
     return _find(spark, d, "under_th").select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
+_STORED_TEXTS: dict = {}
+
+
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The postings of ``documents``, written once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED_TEXTS:
+        index, lengths = search.postings(table(spark, d, "documents"), ("text",), "doc_id")
+        _STORED_TEXTS[key] = graph._written(index, "postings"), graph._written(lengths, "lengths")
+    return _STORED_TEXTS[key]
+
+
+@query(_bm25_sql([_TF.format("stup"), _TF.format("mor")], "AND") + " SELECT doc_id, round(bm25, 6) AS bm25 FROM hits")
+def stored_and(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_postings(*_stored(spark, d), "Stup mor").select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+
+
+@query(_bm25_sql([_TF.format("licen"), _TF.format("idiot")], "OR") + " SELECT doc_id, round(bm25, 6) AS bm25 FROM hits")
+def stored_or(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_postings(*_stored(spark, d), "licen idiot", match_all=False).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+
+
+@query(_bm25_sql([_PHRASE_TF.format("under", "th"), _TF.format("et")], "OR") + " SELECT doc_id, round(bm25, 6) AS bm25 FROM hits")
+def stored_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase, and a term with a mark that texts are searched without."""
+    return search.search_postings(*_stored(spark, d), "under_th ét", match_all=False).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+
+
 @query(
     _bm25_sql([_TF.format("licen"), _TF.format("idiot")], "OR")
     + """, seeds AS (SELECT doc_id, n_chars, bm25 FROM hits ORDER BY round(bm25, 9), n_chars DESC, doc_id LIMIT 8),
@@ -471,13 +499,12 @@ def tokens_saved(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(upkeep.tokens_saved(F.avg("n_chars"), F.count("*")).alias("tokens_saved"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("nation", "customer", "part", "lineitem", "documents", "events")))
+_ALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _ALL))
 def show_stats(spark: SparkSession, d: str) -> DataFrame:
-    each = [table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("nation", "customer", "part", "lineitem", "documents", "events")]
-    out = each[0]
-    for more in each[1:]:
-        out = out.union(more)
-    return out
+    return upkeep.row_counts({t: table(spark, d, t) for t in _ALL})
 
 
 # text functions
