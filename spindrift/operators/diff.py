@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import impact
@@ -12,16 +12,17 @@ BASE_RISK = {"docs": 0, "added": 1, "body": 1, "file": 1, "renamed": 1, "signatu
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(file, name, kind, occurrence, nature, signature, container, public, at_base) of what changed.
+    """(file, name, kind, occurrence, nature, signature, container, public, at_base) of what changed, with line and is_test where both have them.
 
     Snapshots have file, name, kind, ordinal, signature, body_hash, doc,
-    container, public. The n-th symbol of a file, name and kind is compared with
+    container, public. ``file`` names a pair of files, whatever their paths. The n-th symbol of a file, name and kind is compared with
     the n-th of the other side; containers play no part. ``nature``: added,
     deleted, or the first of signature, body, docs that differs.
     """
     keys = ["file", "name", "kind", "occurrence"]
     nth = F.row_number().over(Window.partitionBy("file", "name", "kind").orderBy("ordinal"))
-    fields = ["signature", "body_hash", "doc", "container", "public"]
+    more = [c for c in ("line", "is_test") if c in old.columns and c in new.columns]
+    fields = ["signature", "body_hash", "doc", "container", "public", *more]
     side = lambda df, p: df.withColumn("occurrence", nth).select(*keys, F.lit(True).alias(f"{p}here"), *[F.col(c).alias(f"{p}{c}") for c in fields])
     both = side(old, "o_").join(side(new, "n_"), keys, "full_outer")
     nature = (
@@ -32,7 +33,7 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
         .when(~F.col("o_doc").eqNullSafe(F.col("n_doc")), "docs")
     )
     pick = lambda c: F.when(F.col("n_here").isNotNull(), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c)
-    return both.select(*keys, nature.alias("nature"), pick("signature"), pick("container"), pick("public"), F.col("n_here").isNull().alias("at_base")).where("nature is not null")
+    return both.select(*keys, nature.alias("nature"), pick("signature"), pick("container"), pick("public"), *map(pick, more), F.col("n_here").isNull().alias("at_base")).where("nature is not null")
 
 
 def score(changes: DataFrame) -> DataFrame:
@@ -40,8 +41,25 @@ def score(changes: DataFrame) -> DataFrame:
     base = F.create_map(*[F.lit(x) for pair in BASE_RISK.items() for x in pair])[F.col("nature")]
     refs = F.when(F.col("direct_references") == 0, 0).when(F.col("direct_references") <= 3, 1).otherwise(2)
     points = base + F.when(F.col("public") & (F.col("nature") != "docs"), 2).otherwise(0) + refs + F.when(F.col("cross_service"), 2).otherwise(0)
-    label = F.when(F.col("risk_score") <= 2, "low").when(F.col("risk_score") <= 5, "medium").otherwise("high")
-    return changes.withColumn("risk_score", points.cast("int")).withColumn("risk", label)
+    return changes.withColumn("risk_score", points.cast("int")).withColumn("risk", risk_label(F.col("risk_score")))
+
+
+def risk_label(points: Column) -> Column:
+    return F.when(points <= 2, "low").when(points <= 5, "medium").otherwise("high")
+
+
+def direct_references(edges: DataFrame, live: DataFrame, lost: DataFrame) -> DataFrame:
+    """(name, direct_references): of each name the most distinct sources of any live symbol (id, name) or of the deleted ones (name, src_symbol)."""
+    direct = edges.join(live.select(F.col("id").alias("dst_symbol"), "name"), "dst_symbol").select("name", F.col("dst_symbol").alias("of"), "src_symbol").distinct()
+    each = direct.groupBy("name", "of").agg(F.count("*").alias("n")).select("name", "n").union(lost.groupBy("name").agg(F.count("*").alias("n")))
+    return each.groupBy("name").agg(F.max("n").alias("direct_references"))
+
+
+def crossing(changes: DataFrame, affected: DataFrame) -> DataFrame:
+    """(name, cross_service = true) of changes (name, service) through whose name something of another service is affected (via, service)."""
+    own = changes.where("name is not null").select("name", F.col("service").alias("own")).distinct()
+    reached = affected.select(F.col("via").alias("name"), "service").distinct()
+    return reached.join(own, "name").where("service <> own").select("name", F.lit(True).alias("cross_service")).distinct()
 
 
 def affected(edges: DataFrame, changed: DataFrame, symbols: DataFrame, depth: int = 3) -> DataFrame:

@@ -3,7 +3,7 @@
 All in Spark SQL: comments and strings are blanked, lines exploded, and braces
 (or Ruby's ends) paired by nesting level and order, so a file is never parsed as
 one value in Python. Known gaps beside a full parser: one definition a line,
-calls without parentheses, and imports over several lines.
+and of Ruby's calls without parentheses those without receiver or argument.
 """
 
 from __future__ import annotations
@@ -57,6 +57,8 @@ EXTENDS = {
 }
 _RUBY_OPEN = r"^\s*(?:class|module|def|if|unless|case|while|until|for|begin)\b|\bdo\b\s*(?:\|[^|]*\|)?\s*$"
 _NO_CALL = ("if", "for", "while", "switch", "match", "return", "catch", "function", "fn", "def", "and", "or", "not", "in", "elsif")
+#: Ruby's keywords that a value may follow (fixed values).
+_RUBY_WORDS = ("unless", "until", "case", "when", "then", "else", "do", "begin", "rescue", "ensure", "yield", "alias", "undef", "super", "defined", "self", "nil", "true", "false", "class", "module", "end", "next", "break")
 
 
 def _per_language(make) -> Column:
@@ -113,20 +115,23 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     lines = source_lines(files)
     by_line = Window.partitionBy("file").orderBy("line")
+    earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
     before = F.reverse(F.collect_list(F.trim("raw")).over(by_line.rowsBetween(-5, -1)))
+    shown = F.trim("raw")
+    decorator = shown.startswith("@") & F.col("language").isin("python", "typescript")
+    held = lambda when, what: F.last(F.when(when, what), ignorenulls=True).over(earlier)
     seen = lines.withColumn("def", _per_language(_definition)).withColumn("before", before)
-    ahead = Window.partitionBy("file").orderBy("line").rowsBetween(0, Window.unboundedFollowing)
+    seen = seen.withColumn("above", held((shown != "") & ~decorator, shown)).withColumn("opened", held(shown.contains("/*"), shown))
+    # names of an import that goes on from a line above
+    script = F.col("language") == "typescript"
+    begins = script & F.col("code").rlike(r"^\s*import\s") & ~F.col("code").rlike(r"\bfrom\b|[\"'`;]")
+    begun, ended = held(begins, F.col("line")), held(script & F.col("code").rlike(r"\bfrom\b|;"), F.col("line"))
+    seen = seen.withColumn("in_import", F.coalesce(begun > F.coalesce(ended, F.lit(0)), F.lit(False)))
+    behind = Window.partitionBy("file").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0)
     code = F.regexp_replace("code", r"\[[^\[\]]*\]|\([^()]*\)", "")
     stop = F.when(code.rlike(r"[{;]"), F.struct(F.col("line").alias("line"), code.rlike(r"^[^;]*\{").alias("opens")))
-    seen = seen.withColumn("stop", F.first(stop, ignorenulls=True).over(ahead))
-    blank = F.trim("code") == ""
-    indent = F.length(F.regexp_extract("code", r"^\s*", 0))
-    body = Window.partitionBy("file")
-    flat = F.array_sort(F.collect_list(F.when(~blank & (F.col("language") == "python"), F.struct("line", indent.alias("indent")))).over(body))
-    defs = seen.withColumn("flat", flat).where("def is not null").withColumn("indent", indent)
-    after = F.filter("flat", lambda x: (x["line"] > F.col("line")) & (x["indent"] <= F.col("indent")))
-    inner = F.filter("flat", lambda x: (x["line"] >= F.col("line")) & (F.coalesce(F.get(after, F.lit(0))["line"], F.lit(1 << 40)) > x["line"]))
-    defs = defs.withColumn("python_end", F.when(F.col("language") == "python", F.array_max(F.transform(inner, lambda x: x["line"])))).drop("flat")
+    seen = seen.withColumn("stop", F.last(stop, ignorenulls=True).over(behind))
+    defs = seen.where("def is not null").join(_python_ends(seen), ["file", "line"], "left")
 
     blocks = _blocks(lines)
     first = blocks.groupBy("file", F.col("open_line").alias("b_line")).agg(F.min_by("close_line", "at").alias("close_line"))
@@ -135,7 +140,9 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     end = F.coalesce("python_end", "close_line", F.when(F.col("language").isin("rust", "typescript"), F.col("stop.line")), "line")
 
     text = F.when(F.col("language") == "typescript", F.regexp_replace(F.trim("raw"), r"^export\s+(default\s+)?", "")).otherwise(F.trim("raw"))
-    comment = F.regexp_extract(F.get("before", F.lit(0)), r"^(?:///?!?|//!|#(?!\[)|/\*\*?|\*)\s*(.*?)\s*(?:\*/)?$", 1)
+    # of a comment of several lines the first counts
+    note_line = F.when(F.col("above").endswith("*/") & ~F.col("above").startswith("/*"), F.col("opened")).otherwise(F.col("above"))
+    comment = F.regexp_extract(note_line, r"^(?:///?!?|//!|#(?!\[)|/\*\*?|\*)\s*(.*?)\s*(?:\*/)?$", 1)
     marker = r"(?i)#\[test\]|::test\]|cfg\(test|@test|@pytest"
     note = lambda l: l.rlike(r"^(#\[|@)")
     skip = lambda l: (l == "") | l.startswith("//") | l.startswith("#")
@@ -150,6 +157,24 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return symbols, _references(seen)
 
 
+def _python_ends(seen: DataFrame) -> DataFrame:
+    """(file, line, python_end) of Python's definitions: the last line with code before the next one that is indented no deeper.
+
+    For each depth that a file's definitions have, its lines of no more than
+    that depth are put in order, so the next one follows by ``lead``: a file
+    costs its lines times its depths.
+    """
+    indent = F.length(F.regexp_extract("code", r"^\s*", 0))
+    text = seen.where((F.col("language") == "python") & (F.trim("code") != "")).select("file", "line", indent.alias("indent"), F.col("def").isNotNull().alias("is_def"))
+    text = text.withColumn("last", F.lag("line").over(Window.partitionBy("file").orderBy("line")))
+    depths = text.where("is_def").select("file", F.col("indent").alias("depth")).distinct()
+    shallow = text.join(depths, "file").where("indent <= depth")
+    after = Window.partitionBy("file", "depth").orderBy("line")
+    ends = shallow.withColumn("end", F.lead("last").over(after)).where("is_def and indent = depth").select("file", "line", "end")
+    final = text.groupBy("file").agg(F.max("line").alias("final"))
+    return ends.join(final, "file").select("file", "line", F.coalesce("end", "final").alias("python_end"))
+
+
 def _references(seen: DataFrame) -> DataFrame:
     found = lambda pattern: F.regexp_extract_all("code", F.lit(pattern), F.lit(1))
     none = F.array().cast("array<string>")
@@ -158,16 +183,17 @@ def _references(seen: DataFrame) -> DataFrame:
     extends = seen.select("file", "line", F.explode(parents).alias("dst_name"), F.lit(None).cast("string").alias("qualifier"), F.lit(False).alias("scoped"), F.lit("extends").alias("kind"))
 
     whole = F.when((F.col("language") == "rust") & F.col("code").rlike(r"^\s*(pub\s+)?use\s"), F.col("code")).when(F.col("language").isin("scala", "python") & F.col("code").rlike(r"^\s*(import|from)\s"), F.col("code"))
-    names = F.transform(F.split(F.regexp_extract("code", r"^\s*import\s[^{]*\{([^}]*)\}", 1), ","), lambda n: F.regexp_extract(n, r"^\s*(?:type\s+)?(\w+)", 1))
+    inside = F.when(F.col("in_import"), F.regexp_extract("code", r"^[^}]*", 0)).otherwise(F.regexp_extract("code", r"^\s*import\s[^{]*\{([^}]*)", 1))
+    names = F.transform(F.split(inside, ","), lambda n: F.regexp_extract(n, r"^\s*(?:type\s+)?(\w+)", 1))
     default = F.array(F.regexp_extract("code", r"^\s*import\s+(?:type\s+)?(\w+)\s*(?:,|\bfrom\b)", 1))
-    listed = F.when((F.col("language") == "typescript") & F.col("code").rlike(r"^\s*import\s"), F.concat(names, default)).when(whole.isNotNull(), F.array(last_segment(F.trim(whole))))
+    listed = F.when(F.col("in_import"), names).when((F.col("language") == "typescript") & F.col("code").rlike(r"^\s*import\s"), F.concat(names, default)).when(whole.isNotNull(), F.array(last_segment(F.trim(whole))))
     imports = seen.select("file", "line", F.explode(listed).alias("dst_name"), F.lit(None).cast("string").alias("qualifier"), F.lit(False).alias("scoped"), F.lit("import").alias("kind")).where("dst_name <> ''")
 
     # the code up to each opening parenthesis; what a Rust macro holds are no calls
     cut = F.when(F.col("language") == "rust", F.regexp_replace("code", r"(\w+!\s*\().*$", "$1")).otherwise(F.col("code"))
     pieces = F.split(cut, r"(?<=\()")
     heads = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, 1, n), ""))
-    heads = F.when(~F.col("code").rlike(r"^\s*(import|from|use)\s"), F.filter(heads, lambda h: h.rlike(r"\w!?\s*\($")))
+    heads = F.when(~F.col("code").rlike(r"^\s*(import|from|use)\s") & ~F.col("in_import"), F.filter(heads, lambda h: h.rlike(r"\w!?\s*\($")))
     calls = seen.select("file", "line", "language", F.col("def.name").alias("own"), F.posexplode(heads).alias("nth", "head"))
     name = F.regexp_extract("head", r"(\w+)!?\s*\($", 1)
     mark = F.regexp_extract("head", r"(\?\.|\.|::)\s*\w+!?\s*\($", 1)
@@ -176,4 +202,10 @@ def _references(seen: DataFrame) -> DataFrame:
     plain = ~F.col("dst_name").isin(*_NO_CALL) & F.col("dst_name").rlike(r"^[\p{L}_]") & ~F.col("head").rlike(r"\b(new|fn|def|function|class|trait|object|interface)\s+(self\.)?\w+\s*\($")
     itself = (F.col("nth") == 0) & F.coalesce(F.col("own") == F.col("dst_name"), F.lit(False))  # a definition's own head
     calls = calls.where(plain & ~itself).select("file", "line", "dst_name", "qualifier", F.col("scoped") & F.col("qualifier").isNotNull(), F.lit("call").alias("kind")).toDF("file", "line", "dst_name", "qualifier", "scoped", "kind")
-    return extends.union(imports).union(calls)
+    # Ruby's calls without parentheses: with a receiver, or first in a statement and with an argument
+    code = F.when((F.col("language") == "ruby") & ~F.col("code").rlike(r"^\s*(def|class|module)\b"), F.col("code"))
+    sent = F.regexp_extract_all(code, F.lit(r"(?:&?\.)([a-z_]\w*[?!]?)(?![\w(?!])"), F.lit(1))
+    told = F.regexp_extract_all(code, F.lit(r"(?:^|[=;({|]|\breturn|\bthen|\bdo)\s*([a-z_]\w*[?!]?)[ \t]+(?=[\w\"':@\[&])(?!(?:if|unless|while|until|and|or|in|do|rescue|then)\b)"), F.lit(1))
+    bare = seen.select("file", "line", F.explode(F.concat(sent, told)).alias("dst_name")).where(~F.col("dst_name").isin(*_NO_CALL, *_RUBY_WORDS))
+    bare = bare.select("file", "line", "dst_name", F.lit(None).cast("string").alias("qualifier"), F.lit(False).alias("scoped"), F.lit("call").alias("kind"))
+    return extends.union(imports).union(calls).union(bare)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,14 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _round(ranks: DataFrame) -> tuple[DataFrame, float, float]:
+    """Ranks (id, hangs, rank, was), written, with the rank that hangs loose and how much all changed, which are observed on the way."""
+    sums = Observation(f"ranks-{uuid.uuid4().hex}")
+    loose = F.coalesce(F.sum(F.when(F.col("hangs"), F.col("rank"))), F.lit(0.0))
+    out = _written(ranks.observe(sums, loose.alias("loose"), F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved")), "ranks")
+    return out, sums.get["loose"], sums.get["moved"]
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, tolerance: float = 1e-9) -> DataFrame:
     """(id, rank): ranks that sum to one.
 
@@ -30,7 +38,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     The rank of nodes without outgoing edges is spread evenly. It stops after
     ``iterations`` rounds, or when ranks change by less than ``tolerance`` in
     all. Edges are summed and their weights fixed once; a round moves one number
-    for each distinct edge, summed before the shuffle, and is written, so that
+    for each distinct edge, summed before the shuffle, and is one job that writes
+    the ranks and observes their sums, so that
     neither lineage nor a lost executor costs more than a round.
     """
     ids = _written(nodes.select("id").distinct(), "nodes")
@@ -41,13 +50,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     out = pairs.groupBy("src_symbol").agg(F.sum("n").alias("out"))
     weighted = _written(pairs.join(out, "src_symbol").select(F.col("src_symbol").alias("id"), "dst_symbol", (F.col("n") / F.col("out")).alias("share")), "votes")
     voters = weighted.select("id").distinct().withColumn("hangs", F.lit(False))
-    ranks = _written(ids.join(voters, "id", "left").select("id", F.coalesce("hangs", F.lit(True)).alias("hangs"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("was")), "ranks")
+    start = ids.join(voters, "id", "left").select("id", F.coalesce("hangs", F.lit(True)).alias("hangs"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("was"))
+    ranks, loose, _ = _round(start)
     for _ in range(iterations):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("hangs"), F.col("rank"))), F.lit(0.0))).first()[0]
         votes = weighted.join(ranks.select("id", "rank"), "id").groupBy("dst_symbol").agg(F.sum(F.col("rank") * F.col("share")).alias("votes"))
         value = F.lit((1 - damping) / n) + damping * (F.coalesce("votes", F.lit(0.0)) + F.lit(loose / n))
-        ranks = _written(ranks.join(votes.withColumnRenamed("dst_symbol", "id"), "id", "left").select("id", "hangs", value.alias("rank"), F.col("rank").alias("was")), "ranks")
-        if tolerance and ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance:
+        ranks, loose, moved = _round(ranks.join(votes.withColumnRenamed("dst_symbol", "id"), "id", "left").select("id", "hangs", value.alias("rank"), F.col("rank").alias("was")))
+        if moved < tolerance:
             break
     return ranks.select("id", "rank")
 
@@ -75,6 +84,24 @@ def impact(edges: DataFrame, roots: DataFrame, depth: int = 2, via: str | None =
     return out if via else out.drop("via")
 
 
+def impact_summary(reached: DataFrame) -> DataFrame:
+    """One row of what was reached (id, file, service, depth): symbols, files, services, max_depth."""
+    return reached.agg(F.count("*").alias("symbols"), F.count_distinct("file").alias("files"), F.count_distinct("service").alias("services"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+
+
+def first(rows: DataFrame, k: int | None, *order) -> DataFrame:
+    """The first k of ``rows`` with ``total``, how many there are."""
+    if k is None:
+        return rows.orderBy(*order)
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).limit(k).join(F.broadcast(total)).orderBy(*order)  # one row
+
+
+def truncation(total: int, k: int, section: str) -> tuple[str, int, int] | None:
+    """(section, omitted, limit) where a section of so many rows is cut to k."""
+    return (section, total - k, k) if total > k else None
+
+
 def cochange(commits: DataFrame, target, most_files: int = 30) -> DataFrame:
     """(path, together_commits, target_commits, confidence_percent): files that share commits with ``target``.
 
@@ -90,6 +117,12 @@ def cochange(commits: DataFrame, target, most_files: int = 30) -> DataFrame:
     return together.join(F.broadcast(total)).withColumn("confidence_percent", F.col("together_commits") * 100.0 / F.col("target_commits"))  # one row
 
 
+def cochange_top(commits: DataFrame, target: str, there: DataFrame, k: int = 10, most_files: int = 30) -> DataFrame:
+    """(file, together_commits, target_commits, confidence_percent): the k partners of ``target`` that are still there (path), the most frequent first, then by path."""
+    found = cochange(commits, target, most_files).join(there.select("path").distinct(), "path", "left_semi")
+    return found.withColumnRenamed("path", "file").orderBy(F.desc("together_commits"), "file").limit(k)
+
+
 def cochange_pairs(commits: DataFrame, most_files: int = 30) -> DataFrame:
     """(path, partner, together_commits, target_commits, confidence_percent) of all files; a commit gives at most ``most_files`` squared pairs."""
     sets = commits.groupBy("commit_id").agg(F.array_sort(F.collect_set("path")).alias("paths")).where(F.size("paths") <= most_files)

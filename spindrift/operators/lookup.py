@@ -90,3 +90,17 @@ def dominant(rows: DataFrame, group: str, value: str) -> DataFrame:
     """The most frequent value of each group; of equally frequent ones the last in order."""
     counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
     return counts.groupBy(group).agg(F.max_by(value, F.struct("n", value)).alias(value))
+
+
+def one_path(indexed: DataFrame, there: DataFrame, file: str) -> str:
+    """The path that ``file`` means: an indexed one, the only one that ends so, or one that is there; else an error."""
+    exact, end = F.col("path") == file, F.col("path").ilike("%" + file.replace("\\", "\\\\"))
+    found = indexed.where(exact | end).select("path", exact.alias("exact")).orderBy(F.desc("exact"), "path").limit(20).collect()
+    if found and (found[0]["exact"] or len(found) == 1):
+        return found[0]["path"]
+    if found:
+        raise ValueError(f"ambiguous file {file!r}: matches {', '.join(r['path'] for r in found)}")
+    plain = file.removeprefix("./")
+    if there.where(F.col("path") == plain).limit(1).count():
+        return plain
+    raise ValueError(f"no such file {file!r}: neither indexed nor there")

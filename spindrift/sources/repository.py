@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 import subprocess
 import tomllib
 
@@ -26,17 +26,39 @@ def _rules(folder: str) -> list[str]:
     return out
 
 
+def _rule(rule: str) -> re.Pattern:
+    """An ignore rule as a pattern on paths below its folder: ``*`` and ``?`` stop at slashes, ``**`` doesn't, a backslash takes the next character as it is."""
+    anchored = "/" in rule.rstrip("/")
+    out, at, rule = "", 0, rule.lstrip("/")
+    while at < len(rule):
+        if rule.startswith("**/", at):
+            out, at = out + "(?:.*/)?", at + 3
+        elif rule.startswith("/**", at) and at + 3 == len(rule):
+            out, at = out + "/.+", at + 3
+        elif rule[at] == "*":
+            out, at = out + "[^/]*", at + 1
+        elif rule[at] == "?":
+            out, at = out + "[^/]", at + 1
+        elif rule[at] == "[" and (end := rule.find("]", at + 2)) > 0:
+            inside = rule[at + 1 : end]
+            out, at = out + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]", end + 1
+        else:
+            at += rule[at] == "\\" and at + 1 < len(rule)
+            out, at = out + re.escape(rule[at]), at + 1
+    return re.compile(("" if anchored else "(?:.*/)?") + out)
+
+
 def _ignored(path: str, is_folder: bool, rules: list[tuple[str, str]]) -> bool:
     """Whether the last rule that fits a path leaves it out."""
     out = False
     for base, rule in rules:
-        keep, rule = rule.startswith("!"), rule.lstrip("!")
+        keep = rule.startswith("!")
+        rule = rule[1:] if keep else rule
         only_folder, rule = rule.endswith("/"), rule.rstrip("/")
-        inside = path[len(base) :].lstrip("/") if path.startswith(base) else None
-        if inside is None or only_folder and not is_folder:
+        if base and not path.startswith(base + "/") or only_folder and not is_folder:
             continue
-        fits = fnmatch.fnmatch(inside, rule.lstrip("/")) if "/" in rule else fnmatch.fnmatch(os.path.basename(path), rule)
-        out = not keep if fits else out
+        if _rule(rule).fullmatch(path[len(base) :].lstrip("/")):
+            out = not keep
     return out
 
 
@@ -62,9 +84,13 @@ def walk(root: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime, size, content) of a folder that all executors see; contents are read by tasks, not by the driver."""
-    listed = spark.createDataFrame(walk(root), "path string, mtime long, size long")
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, size) of a folder's source files."""
+    return spark.createDataFrame(walk(root), "path string, mtime long, size long")
+
+
+def reader(root: str):
+    """Gives rows of a listing their content; tasks read, in a folder that all executors see."""
 
     def read(batches):
         for pdf in batches:
@@ -74,7 +100,16 @@ def files(spark: SparkSession, root: str) -> DataFrame:
                     content.append(f.read())
             yield pdf.assign(content=content)
 
-    return listed.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(read, "path string, mtime long, size long, content binary")
+    def load(listed: DataFrame) -> DataFrame:
+        spread = listed.select("path", "mtime", "size").repartition(max(1, listed.sparkSession.sparkContext.defaultParallelism))
+        return spread.mapInPandas(read, "path string, mtime long, size long, content binary")
+
+    return load
+
+
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, size, content) of a folder that all executors see; contents are read by tasks, not by the driver."""
+    return reader(root)(listing(spark, root))
 
 
 def services(spark: SparkSession, manifest: str | None, paths: DataFrame) -> DataFrame:
@@ -120,3 +155,35 @@ def changed_files(spark: SparkSession, root: str, base: str = "HEAD") -> DataFra
     known = {r[2] for r in rows}
     rows += [("added", None, p) for p in _git(root, "ls-files", "--others", "--exclude-standard", "-z").split("\0") if p and p not in known]
     return spark.createDataFrame(rows, "status string, old_path string, new_path string")
+
+
+def changed_contents(spark: SparkSession, root: str, base: str = "HEAD") -> DataFrame:
+    """``changed_files`` with old_content, of the base, and new_content, of the folder; null where there is none.
+
+    Tasks read both, so all executors have to see the folder and its git store.
+    Only source files are read.
+    """
+    prefix = _git(root, "rev-parse", "--show-prefix").strip()
+
+    def read(batches):
+        for pdf in batches:
+            old, new = [], []
+            for status, before, after in zip(pdf["status"], pdf["old_path"], pdf["new_path"]):
+                known = (after or before).rpartition(".")[2] in LANGUAGES
+                old.append(_blob(root, f"{base}:{prefix}{before}") if known and before and status != "added" else None)
+                content = None
+                if known and after and status != "deleted":
+                    with open(os.path.join(root, after), "rb") as f:
+                        content = f.read()
+                new.append(content)
+            yield pdf.assign(old_content=old, new_content=new)
+
+    listed = changed_files(spark, root, base).repartition(max(1, spark.sparkContext.defaultParallelism))
+    return listed.mapInPandas(read, "status string, old_path string, new_path string, old_content binary, new_content binary")
+
+
+def _blob(root: str, name: str) -> bytes:
+    done = subprocess.run(["git", "-C", root, "show", name], capture_output=True)
+    if done.returncode:
+        raise RuntimeError(done.stderr.decode("utf-8", "replace").strip())
+    return done.stdout

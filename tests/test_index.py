@@ -1,11 +1,12 @@
 """Extraction, identity, resolution and lookups over small sources of our own."""
 
 import json
+import os
 import subprocess
 
 import pytest
 
-from spindrift.operators import extract
+from spindrift.operators import context, extract, graph, lookup
 from spindrift.plans import index
 from spindrift.sources import repository
 
@@ -133,9 +134,28 @@ def test_stored_index_answers(spark, tables, tmp_path):
     line = json.loads(index.jsonl(stored.definitions(name="take"), "def").first().value)
     assert line["schema_version"] == 1 and line["command"] == "def" and line["data"]["qualified_name"] == "take"
     assert {r["name"]: r.n for r in stored.stats().collect()}["services"] == 6
-    packed = stored.context("take count", budget=200).collect()
-    assert packed[0].content.startswith("fn take") or packed[0].content.startswith("fn count")
-    assert "  caller fn" in packed[0].content and packed[-1].used <= 200 and [r.seed for r in packed] == list(range(1, len(packed) + 1))
+    state = stored.state().first()
+    assert (state.services, state.files) == (6, 10) and state.indexed_at_epoch > 1_700_000_000
+    packed = stored.context("take count", budget=200).first()
+    head, *rest = packed.content.split("\n")
+    assert head == "# context: take count" and rest[0] == "## services" and "depot  (rust)  2 files" in rest
+    assert any(x.startswith("  <- depot/src/") for x in rest) and context.tokens_of(packed.content) <= 200
+    assert f"{packed.seeds_shown}/" in rest[-1] and rest[-1].startswith("[~")
+    with pytest.raises(ValueError):
+        stored.context("take count", budget=5)
+    assert stored.context("nothingatall").count() == 0
+    cut = stored.impact(name="count", k=1).collect()
+    assert [(r.qualified_name, r.total) for r in cut] in ([("take", 3)], [("tests::full", 3)])
+    assert graph.truncation(cut[0].total, 1, "impact") == ("impact", 2, 1) and graph.truncation(3, 3, "impact") is None
+    assert tuple(stored.impact_summary(name="count").first()) == (3, 2, 1, 2)
+    assert {r.enclosing for r in stored.definitions(name="takes").collect()} == {"tests"}
+    first = stored.definitions(name="take").first()
+    assert (first.symbol_id, first.relationship) == ("depot/src/shelf.rs#take#fn", "definition")
+    assert index.lines(stored.definitions(name="take")).first().value == "depot/src/shelf.rs:L9  pub fn take(n: u32) -> u32  [-]"
+    stored.record("find", 3)
+    stored.record("find", 1)
+    assert [(r.command, r.runs, r.results) for r in stored.usage().collect()] == [("find", 2, 4), (None, 2, 4)]
+    assert stored.usage(reset=True).where("command is not null").count() == 0
     index.clear(stored.path)
     index.clear(stored.path)
     assert not (tmp_path / "ix").exists()
@@ -182,12 +202,74 @@ def test_refresh(spark, tmp_path):
     files = lambda *rows: spark.createDataFrame(rows, "path string, content binary")
     one, two = ("a/x.py", b"def f():\n    pass\n"), ("a/y.py", b"def g():\n    f()\n")
     services = lambda *names: spark.createDataFrame([(n, n, None, None, [], []) for n in names], repository.SERVICES)
-    assert stored.refresh(files(one), services("a")) == "full"
-    assert stored.refresh(files(one), services("a")) == "unchanged"
-    assert stored.refresh(files(one, two), services("a")) == "incremental"
+    assert stored.refresh(files(one), services("a")) == ("full", 1, 0, 0)
+    assert stored.refresh(files(one), services("a")) == ("unchanged", 0, 1, 0)
+    assert stored.refresh(files(one, two), services("a")) == ("incremental", 1, 1, 0)
     assert {r.name for r in stored.callers(name="f").collect()} == {"g"}
-    assert stored.refresh(files(two), services("a")) == "incremental" and stored.definitions(name="f").count() == 0
-    assert stored.refresh(files(two), services("b")) == "full: service definitions changed"
+    assert {r.qualified_name for r in stored.find("g").collect()} == {"g"}
+    assert stored.refresh(files(two), services("a")) == ("incremental", 0, 1, 1) and stored.definitions(name="f").count() == 0
+    assert stored.refresh(files(two), services("b")).mode == "full: service definitions changed"
+
+
+def test_refresh_reads_and_extracts_only_what_changed(spark, tmp_path, monkeypatch):
+    root = tmp_path / "src"
+    for k in range(4):
+        (root / "d" / f"d{k}").mkdir(parents=True)
+        (root / "d" / f"d{k}" / "m.py").write_text(f"def f{k}():\n    return f{(k + 1) % 4}()\n")
+    stored = index.Index(spark, str(tmp_path / "ix"), str(root))
+    assert stored.fresh()[0] == ("full", 4, 0, 0)
+    assert stored.fresh() == (("unchanged", 0, 4, 0), False)
+    extracted = []
+    parts = index.parts
+    monkeypatch.setattr(index, "parts", lambda files: (extracted.extend(r.path for r in files.select("path").collect()), parts(files))[1])
+    (root / "d" / "d1" / "m.py").write_text("def g1():\n    pass\n")
+    os.utime(root / "d" / "d2" / "m.py", ns=(1, 1))  # touched: another time, the same content
+    (root / "d" / "d3" / "m.py").unlink()
+    assert stored.fresh()[0] == ("incremental", 1, 2, 1)
+    assert extracted == ["d/d1/m.py"]
+    again = index.build(repository.files(spark, str(root)), repository.services(spark, None, repository.listing(spark, str(root)).select("path")))
+    for t in ("symbols", "edges", "edge_raw"):
+        ours, theirs = (sorted(map(str, x.select(sorted(c for c in x.columns if c != "rank")).collect())) for x in (stored.table(t), again[t]))
+        assert ours == theirs
+    assert stored.fresh()[0].mode == "unchanged"
+    stored.root = str(tmp_path / "absent")
+    with pytest.raises(Exception):
+        stored.fresh()
+    assert stored.fresh(allow_stale=True) == (None, True)
+
+
+def test_root_service(spark, tmp_path):
+    files = spark.createDataFrame([("a/x.py", b"def f():\n    pass\n"), ("top.py", b"def g():\n    pass\n")], "path string, content binary")
+    services = spark.createDataFrame([("root", "a", None, None, [], [])], repository.SERVICES)
+    tables = index.build(files, services, iterations=2)
+    assert {(r["name"], r.path) for r in tables["services"].collect()} == {("root", "a"), ("_root", ".")}
+    assert {r.file: r.service for r in tables["symbols"].collect()} == {"a/x.py": "root", "top.py": "_root"}
+    assert {r["name"]: r.files for r in lookup.service_map(tables["services"], tables["files"]).collect()} == {"root": 1, "_root": 1}
+    only = index.build(files.where("path = 'a/x.py'"), services, iterations=2)
+    assert {r["name"] for r in only["services"].collect()} == {"root"}
+
+
+def test_imports_calls_and_comments_over_lines(spark):
+    rows = [
+        ("a.ts", b"import {\n  one,\n  type Two,\n} from './x';\n\n/**\n * Not the first line.\n */\nexport function f() {\n  one();\n}\n\n/* First.\n second */\n\nfunction g() {}\n"),
+        ("b.rb", b"class B\n  def go\n    load_all 3\n    x = item.price\n    puts \"a\" if item.ready?\n    item&.close\n  end\nend\n"),
+        ("c.py", b"# About.\n\n@cached\ndef f():\n    if x:\n        return 1\n    # end\n\n    return 2\n\ndef last(): return 3\n"),
+    ]
+    symbols, refs = extract.extract(spark.createDataFrame(rows, "path string, content binary"))
+    got = {(r.file, r.name): (r.start_line, r.end_line, r.doc_first_line) for r in symbols.collect()}
+    assert got["a.ts", "f"] == (9, 11, None) and got["a.ts", "g"] == (16, 16, "First.")
+    assert got["c.py", "f"] == (4, 9, "About.") and got["c.py", "last"][:2] == (11, 11)
+    found = {(r.file, r.dst_name, r.kind) for r in refs.collect()}
+    assert {("a.ts", "one", "import"), ("a.ts", "Two", "import"), ("a.ts", "one", "call")} <= found
+    assert {n for f, n, k in found if f == "b.rb"} == {"load_all", "price", "puts", "ready?", "close"}
+
+
+def test_ignore_rules(tmp_path):
+    for path in ("a/b/x.py", "a/x.py", "x.py", "docs/a/y.py", "docs/y.py", "keep/z.py", "odd[1].py", "build/q.py", "src/build/q.py", "lit*.py"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("")
+    (tmp_path / ".gitignore").write_text("# rules\na/*.py\ndocs/**\n!docs/y.py\n/build/\n**/z.py\nodd\\[1].py\nlit\\*.py\n")
+    assert [p for p, *_ in repository.walk(str(tmp_path))] == ["a/b/x.py", "docs/y.py", "src/build/q.py", "x.py"]
 
 
 def test_changes_with_risk(spark):
@@ -195,7 +277,60 @@ def test_changes_with_risk(spark):
     after = [("s/a.py", b"def kept(y=0):\n    return 1\n\n\ndef _fresh():\n    return 2\n"), *before[1:]]
     old, new = (spark.createDataFrame(rows, "path string, content binary") for rows in (before, after))
     services = spark.createDataFrame([("s", "s", None, None, [], []), ("t", "t", None, None, [], [])], repository.SERVICES)
-    found, reached = index.changes(old, new, index.build(new, services, iterations=3))
+    found, reached = index.changes(index.changed_pairs(old, new), index.build(new, services, iterations=3))
+    summary = index.changes_summary(found, reached, 1).first()
+    assert tuple(summary) == (1, 3, "high", 8, 3, 2, 1)
     got = {r.name: (r.nature, r.direct_references, r.cross_service, r.risk_score, r.risk) for r in found.collect()}
     assert got == {"gone": ("deleted", 1, False, 7, "high"), "kept": ("signature", 2, True, 8, "high"), "_fresh": ("added", 0, False, 1, "low")}
     assert {(r.name, r.depth, r.via, r.is_test) for r in reached.collect()} == {("user", 1, "gone", False), ("far", 1, "kept", False), ("test_user", 2, "gone", True)}
+
+
+def test_changes_of_a_repository(spark, tmp_path):
+    root = tmp_path / "repo"
+    write = lambda path, text: ((root / path).parent.mkdir(parents=True, exist_ok=True), (root / path).write_text(text))
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    body = "".join(f"def step{k}(x):\n    return x + {k}\n\n\n" for k in range(8))
+    write("s/old.py", body)
+    write("s/same.py", body.replace("step", "other"))
+    write("s/user.py", "LIMIT = 1\n\n\ndef user():\n    return step0(1)\n")
+    write("s/gone.py", "def lost():\n    pass\n")
+    write("s/caller.py", "def caller():\n    lost()\n")
+    write("s/empty.py", "X = 1\n")
+    write("notes.md", "one\n")
+    run("init", "-q")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    run("mv", "s/old.py", "s/new.py")
+    write("s/new.py", body.replace("return x + 0", "return x - 0").replace("def step7(x):\n    return x + 7\n", ""))
+    run("mv", "s/same.py", "s/moved.py")
+    write("s/user.py", "LIMIT = 2\n\n\ndef user():\n    return step0(1)\n")
+    (root / "s/gone.py").unlink()
+    write("s/empty.py", "X = 2\n")
+    write("notes.md", "two\n")
+    write("t/extra.py", "def extra():\n    pass\n")
+    stored = index.Index(spark, str(tmp_path / "ix"), str(root))
+    stored.fresh()
+    changed = repository.changed_contents(spark, str(root))
+    found, reached = stored.changes(changed)
+    got = {(r.file, r.old_file, r.name, r.nature, r.at_base, r.service) for r in found.collect()}
+    assert got == {
+        ("s/new.py", "s/old.py", "step0", "body", False, "s"),
+        ("s/old.py", "s/old.py", "step7", "deleted", True, "s"),
+        ("s/moved.py", "s/same.py", None, "renamed", False, "s"),
+        ("s/user.py", "s/user.py", None, "file", False, "s"),
+        ("s/gone.py", "s/gone.py", "lost", "deleted", True, "s"),
+        ("s/empty.py", "s/empty.py", None, "file", False, "s"),
+        ("notes.md", "notes.md", None, "file", False, "?"),
+        ("t/extra.py", None, "extra", "added", False, "t"),
+    }
+    assert {(r.name, r.via) for r in reached.collect()} == {("user", "step0"), ("caller", "lost")}
+    assert {r.signature for r in found.collect() if r.name is None} == {index.NOT_INDEXED, index.OUTSIDE}
+    summary = index.changes_summary(found, reached, changed.count()).first()
+    assert (summary["files"], summary.semantic_changes, summary.affected_symbols, summary.linked_tests) == (7, 8, 2, 0)
+    commits = repository.commits(spark, str(root))
+    assert {r.file for r in stored.cochange("user.py", commits).collect()} == {"s/caller.py", "s/empty.py"}
+    with pytest.raises(ValueError, match="ambiguous"):
+        stored.cochange("r.py", commits)
+    with pytest.raises(ValueError, match="no such file"):
+        stored.cochange("absent.py", commits)
+    assert stored.cochange("./notes.md", commits, on_disk=spark.createDataFrame([("notes.md",)], "path string")).count() > 0
