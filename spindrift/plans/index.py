@@ -420,7 +420,7 @@ def lines(rows: DataFrame, suffix: str = "''") -> DataFrame:
 
 def jsonl(rows: DataFrame, command: str, kind: str = "result") -> DataFrame:
     """One line of JSON a row: schema_version, command, type, data."""
-    return rows.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(command).alias("command"), F.lit(kind).alias("type"), F.struct(*rows.columns).alias("data"))).alias("value"))
+    return rows.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(command).alias("command"), F.lit(kind).alias("type"), F.struct(*rows.columns).alias("data")), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def clear(path: str) -> None:

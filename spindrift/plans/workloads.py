@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import context, diff, graph, lookup, resolve, search, spans, upkeep
+from ..operators import context, diff, extract, graph, lookup, resolve, search, spans, upkeep
+from ..sources import repository
+from . import index
 from .tables import EDGES, IMPORTS, QUALIFIER, REFS, SPANS, SYMBOLS, listed, table, view
 
 NAME, SERVICE = "blue gear", "s3"
@@ -507,6 +509,231 @@ def show_stats(spark: SparkSession, d: str) -> DataFrame:
     return upkeep.row_counts({t: table(spark, d, t) for t in _ALL})
 
 
+# sources and extraction: files whose text is made of parts, a definition each
+
+_PATH_OF = "concat('src/p', p_size, CASE p_size % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' WHEN 2 THEN '.ts' WHEN 3 THEN '.rb' ELSE '.scala' END)"
+_OTHER = "p_partkey * 7 % 1000"
+_DEFINITIONS = {
+    0: ("def", "# about {b}|def f{k}(x):|    return f{o}(x)|", "def f{k}(x):", 2),
+    1: ("fn", "/// about {b}|pub fn f{k}(x: u32) -> u32 {{|    f{o}(x)|}}", "pub fn f{k}(x: u32) -> u32", 3),
+    2: ("function", "// about {b}|export function f{k}(x: number): number {{|  return f{o}(x);|}}", "function f{k}(x: number): number", 3),
+    3: ("method", "# about {b}|def f{k}(x)|  f{o}(x)|end", "def f{k}(x)", 3),
+    4: ("def", "// about {b}|def f{k}(x: Int): Int = {{|  f{o}(x)|}}", "def f{k}(x: Int): Int =", 3),
+}
+
+
+def _made(text: str, joined: str = "||") -> str:
+    """A template as an SQL expression of strings."""
+    filled = text.format(b="\0p_brand\0", k="\0p_partkey\0", o=f"\0{_OTHER}\0")
+    parts = [x if n % 2 else "'" + x.replace("|", "\n") + "'" for n, x in enumerate(filled.split("\0"))]
+    return "concat(" + ", ".join(p for p in parts if p != "''") + ")"
+
+
+def _by_language(pick) -> str:
+    return "CASE p_size % 5 " + " ".join(f"WHEN {k} THEN {pick(v)}" for k, v in _DEFINITIONS.items()) + " END"
+
+
+_PIECE = _by_language(lambda v: _made(v[1]))
+_PARTS_SQL = f"parts AS (SELECT {_PATH_OF} AS file, concat('f', p_partkey) AS name, {_by_language(lambda v: repr(v[0]))} AS kind, 4 * (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1) AS above, {_by_language(lambda v: str(v[3]))} AS height, {_by_language(lambda v: _made(v[2]))} AS signature, concat('about ', p_brand) AS doc_first_line, concat('f', {_OTHER}) AS other, p_partkey FROM part)"
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr(f"{_PATH_OF} AS path", "p_partkey", f"{_PIECE} AS piece")
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "piece"))), lambda x: x["piece"])
+    return rows.groupBy("path").agg(F.concat(F.array_join(pieces, "\n"), F.lit("\n")).cast("binary").alias("content"))
+
+
+@query(f"WITH {_PARTS_SQL} SELECT file, name, kind, CAST(above + 2 AS BIGINT) AS start_line, CAST(above + 1 + height AS BIGINT) AS end_line, signature, doc_first_line FROM parts")
+def extract_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions of five languages."""
+    return extract.extract(_sources(spark, d))[0].select("file", "name", "kind", "start_line", "end_line", "signature", "doc_first_line")
+
+
+@query(f"WITH {_PARTS_SQL} SELECT file, CAST(above + 3 AS BIGINT) AS line, other AS dst_name, 'call' AS kind FROM parts")
+def extract_refs(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract(_sources(spark, d))[1].select("file", "line", "dst_name", "kind")
+
+
+@query(
+    f"WITH {_PARTS_SQL} SELECT concat(a.file, '#', a.name) AS src, concat(b.file, '#', b.name) AS dst, a.doc_first_line AS doc FROM parts a JOIN parts b ON b.name = a.other AND b.name <> a.name"
+)
+def index_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A whole index, from texts to resolved links."""
+    tables = index.build(_sources(spark, d), spark.createDataFrame([("src", "src", None, None, [], [])], repository.SERVICES), iterations=2)
+    end = lambda s: tables["symbols"].select(F.col("id").alias(f"{s}_symbol"), F.concat("file", F.lit("#"), "name").alias(s), F.col("doc_first_line").alias(f"{s}_doc"))
+    return tables["edges"].join(end("src"), "src_symbol").join(end("dst"), "dst_symbol").select("src", "dst", F.col("src_doc").alias("doc"))
+
+
+_LISTED = {
+    "path": "concat(CASE page_id % 7 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'a/.git/' WHEN 2 THEN '.spindrift/x/' WHEN 3 THEN 'target.d/' ELSE 'src/' END, 'f', page_id, CASE page_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.RS' WHEN 2 THEN '.tsx' WHEN 3 THEN '.sc' WHEN 4 THEN '' ELSE '.rs' END)",
+    "size": "(page_id % 13) * 90000",
+}
+
+
+@query(
+    rf"""WITH p AS (SELECT {listed(_LISTED)} FROM pages), e AS (SELECT path, size, regexp_extract(path, '\.([^./]+)$', 1) AS ext FROM p)
+    SELECT path, CASE ext WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'sc' THEN 'scala' ELSE 'typescript' END AS language FROM e WHERE ext IN ('py', 'rs', 'tsx', 'sc') AND size <= 1048576 AND NOT regexp_matches(path, '(^|/)(node_modules|\.git|\.spindrift)/')"""
+)
+def source_files(spark: SparkSession, d: str) -> DataFrame:
+    """Which files of a listing are walked: language by extension, skipped folders, largest size."""
+    return repository.wanted(view(spark, d, "pages", _LISTED)).select("path", "language")
+
+
+_NAMED = {
+    "page_id": "page_id",
+    "path": "concat(CASE page_id % 5 WHEN 0 THEN 'a/Tests/' WHEN 1 THEN 'spec/' ELSE 'src/test_data/' END, CASE page_id % 4 WHEN 0 THEN 'm.py' WHEN 1 THEN 'x_test.rs' WHEN 2 THEN 'k.spec.ts' ELSE 'r.rb' END)",
+    "name": "CASE page_id % 3 WHEN 0 THEN 'Test_it' WHEN 1 THEN 'should_run' ELSE 'run' END",
+    "hint": "page_id % 11 = 0",
+}
+
+
+@query(
+    rf"""WITH p AS (SELECT {listed(_NAMED)} FROM pages) SELECT page_id, hint OR regexp_matches(lower(path), '(^|/)(test|tests|spec|specs|__tests__)(/|$)') OR regexp_matches(lower(path), '(^|/)test_[^/]*$|(_test|\.test|_spec|\.spec)\.[^/]*$')
+    OR (regexp_matches(path, '\.(py|rb)$') AND (starts_with(lower(name), 'test_') OR ends_with(lower(name), '_test') OR starts_with(lower(name), 'should_'))) AS is_test FROM p"""
+)
+def test_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Test code by hint, folder, file name or name."""
+    rows = view(spark, d, "pages", _NAMED)
+    return rows.select("page_id", strings.is_test(F.col("path"), F.col("name"), F.col("hint")).alias("is_test"))
+
+
+_SIGNED = {"p_partkey": "p_partkey", "language": "CASE p_partkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' ELSE 'ruby' END", "signature": "concat(CASE p_size % 5 WHEN 0 THEN 'pub(crate) ' WHEN 1 THEN '  pub ' WHEN 2 THEN 'export ' WHEN 3 THEN 'public ' ELSE '' END, p_type)", "name": "concat(CASE WHEN p_size % 2 = 0 THEN '_' ELSE '' END, p_name)"}
+
+
+@query(
+    f"""WITH s AS (SELECT {listed(_SIGNED)} FROM part) SELECT p_partkey, CASE language WHEN 'rust' THEN ltrim(signature) LIKE 'pub %' OR ltrim(signature) LIKE 'pub(%' WHEN 'typescript' THEN ltrim(signature) LIKE 'export %' OR ltrim(signature) LIKE 'public %'
+    WHEN 'python' THEN name[1] <> '_' ELSE true END AS public FROM s"""
+)
+def public_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "part", _SIGNED).select("p_partkey", index.public_name(F.col("language"), F.col("signature"), F.col("name")).alias("public"))
+
+
+# commands over symbols
+
+
+@query(
+    _SEEDS_SQL.replace(" OR tf1", " AND tf1").replace("WITH ", f"WITH {SYMBOLS_SQL}, ", 1)
+    + " SELECT h.id, round(bm25, 6) AS bm25 FROM hits h JOIN symbols s ON s.id = h.id WHERE s.service = 's3' AND s.kind IN ('function', 'fn', 'def', 'method') AND s.language = 'rust' ORDER BY round(bm25, 9), h.rank DESC, h.id LIMIT 10"
+)
+def find_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The best matches of all terms among the functions of a service; the corpus figures are of all symbols."""
+    hits = search.search(symbols(spark, d), "blu gea", ("name",)).where(lookup.selector(service="s3", kind="function", language="rust"))
+    return hits.orderBy(F.round("bm25", 9), F.desc("rank"), "id").limit(10).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(
+    ORACLE_SQL["impact_bfs"].replace(" SELECT id, min(depth) AS depth FROM walk", f", {SYMBOLS_SQL}, least AS (SELECT id, min(depth) AS depth FROM walk")
+    + ") SELECT count(*) AS symbols, count(DISTINCT file) AS files, count(DISTINCT service) AS services, max(depth) AS max_depth FROM least JOIN symbols USING (id)"
+)
+def impact_summary(spark: SparkSession, d: str) -> DataFrame:
+    return graph.impact_summary(symbols(spark, d).join(impact_bfs(spark, d), "id"))
+
+
+@query(
+    ORACLE_SQL["impact_bfs"].replace(" SELECT id, min(depth) AS depth FROM walk", f", {SYMBOLS_SQL}, least AS (SELECT id, min(depth) AS depth FROM walk")
+    + ") SELECT id, depth, (SELECT count(*) FROM least) AS total FROM least JOIN symbols USING (id) ORDER BY depth, rank DESC, file, start_line, id LIMIT 7"
+)
+def impact_first(spark: SparkSession, d: str) -> DataFrame:
+    """A cut list, with how many rows there are."""
+    return graph.first(symbols(spark, d).join(impact_bfs(spark, d), "id"), 7, "depth", F.desc("rank"), "file", "start_line", "id").select("id", "depth", "total")
+
+
+@query(ORACLE_SQL["cochange_target"].replace("SELECT path, count(*)", "SELECT path AS file, count(*)").replace("path <> 42 GROUP", "path <> 42 AND path % 3 <> 0 GROUP") + " ORDER BY together_commits DESC, path LIMIT 10")
+def cochange_top(spark: SparkSession, d: str) -> DataFrame:
+    """The partners that are still there, the most frequent first."""
+    there = table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("path"))
+    return graph.cochange_top(_commits(spark, d), 42, there, 10, 8).withColumn("confidence_percent", F.round("confidence_percent", 6))
+
+
+@query(f"""WITH {SYMBOLS_SQL} SELECT concat('{{"schema_version":1,"command":"def","type":"result","data":{{"id":', id, ',"name":"', name, '","container":', coalesce('"' || container || '"', 'null'), '}}}}') AS value FROM symbols WHERE name = '{NAME}'""")
+def jsonl_records(spark: SparkSession, d: str) -> DataFrame:
+    return index.jsonl(lookup.definitions(symbols(spark, d), name=NAME).select("id", "name", "container"), "def")
+
+
+@query(f"WITH {SYMBOLS_SQL} SELECT concat(file, ':L', start_line, '  ', name, '  [', coalesce(container, '-'), ']', '  (def)') AS value FROM symbols WHERE name = '{NAME}'")
+def text_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = lookup.definitions(symbols(spark, d), name=NAME).withColumn("signature", F.lit("")).withColumn("enclosing", F.col("container"))
+    return index.lines(rows, "'  (def)'")
+
+
+# changes of files
+
+_CHANGED = {
+    "pair": "concat('d/', doc_id, CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.rs' END)",
+    "status": "CASE doc_id % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'modified' ELSE 'renamed' END",
+    "old_path": "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 3 THEN concat('o/', doc_id) ELSE concat('d/', doc_id, CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.rs' END) END",
+    "id": "doc_id",
+    "text": "text",
+}
+
+
+@query(
+    f"""WITH c AS (SELECT {listed(_CHANGED)} FROM documents), f AS (SELECT *, id % 3 = 0 AS olds, id % 6 = 0 AS news, id % 7 = 0 AS any_change, id % 7 = 0 AND id % 2 = 0 AS now_change, id % 10 <> 0 AS same FROM c)
+    SELECT pair AS file, old_path AS old_file, CASE WHEN status = 'renamed' THEN 'renamed' ELSE 'file' END AS nature, CASE WHEN pair LIKE '%.md' THEN '{index.NOT_INDEXED}' ELSE '{index.OUTSIDE}' END AS signature, status = 'deleted' AS at_base
+    FROM f WHERE pair LIKE '%.md' OR (status IN ('modified', 'renamed') AND NOT same) OR (status = 'renamed' AND NOT now_change) OR NOT (olds OR news OR any_change)"""
+)
+def file_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes that are of whole files: outside all symbols, renames, files without symbols or not indexed."""
+    rows = view(spark, d, "documents", _CHANGED)
+    some = lambda when, name="file": rows.where(when).select(F.col("pair").alias(name), F.lit(False).alias("at_base"))
+    named = rows.where("id % 7 = 0").select("pair", (F.col("id") % 2 != 0).alias("at_base"))
+    rest = lambda other: rows.select(F.col("pair").alias("file"), F.when(F.col("id") % 10 == 0, F.lit(other)).otherwise(F.md5("text")).alias("hash"))
+    found = index.file_changes(rows.select("pair", "status", "old_path"), named, some("id % 3 = 0"), some("id % 6 = 0"), rest("x"), rest("y"))
+    return found.select("file", "old_file", "nature", "signature", "at_base")
+
+
+@query(f"WITH {_DIFF_SQL} SELECT CASE WHEN at_base THEN concat('old/', file) ELSE concat('new/', file) END AS file, concat('old/', file) AS old_file, name, kind, CAST(occurrence AS BIGINT) AS occurrence, nature FROM diff")
+def renamed_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of renamed files: the sides are compared whatever the paths, and each change has the path of its side."""
+    found = _diff(spark, d)
+    path = lambda side: F.concat(F.lit(f"{side}/"), "file")
+    return found.select(F.when(F.col("at_base"), path("old")).otherwise(path("new")).alias("file"), path("old").alias("old_file"), "name", "kind", F.col("occurrence").cast("long").alias("occurrence"), "nature")
+
+
+_RISK_SQL = ORACLE_SQL["change_risk"].rpartition(" SELECT file")[0]
+
+
+@query(
+    _RISK_SQL + f""", {SYMBOLS_SQL}, top AS (SELECT risk_score FROM scored ORDER BY risk_score DESC LIMIT 30), a AS (SELECT * FROM symbols WHERE id % 7 = 0)
+    SELECT 12 AS files, (SELECT count(*) FROM scored) AS semantic_changes, CASE WHEN m <= 2 THEN 'low' WHEN m <= 5 THEN 'medium' ELSE 'high' END AS risk, m AS risk_score, (SELECT count(*) FROM a) AS affected_symbols, (SELECT count(DISTINCT service) FROM a) AS affected_services, (SELECT count(*) FROM a WHERE is_test) AS linked_tests FROM (SELECT max(risk_score) AS m FROM top)"""
+)
+def changes_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = _diff(spark, d).withColumn("direct_references", F.col("occurrence") % 6).withColumn("cross_service", F.col("occurrence") % 5 == 0).withColumn("line", F.col("occurrence"))
+    return index.changes_summary(diff.score(rows), symbols(spark, d).where("id % 7 = 0"), 12)
+
+
+@query(
+    f"""WITH {SYMBOLS_SQL}, {EDGES_SQL}, live AS (SELECT id, name FROM symbols WHERE id % 9 = 0), lost AS (SELECT DISTINCT p_name AS name, l_suppkey AS src_symbol FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 50 = 1),
+    each AS (SELECT name, dst_symbol, count(DISTINCT src_symbol) AS n FROM edges JOIN live ON id = dst_symbol GROUP BY ALL UNION ALL SELECT name, NULL, count(*) FROM lost GROUP BY name) SELECT name, max(n) AS direct_references FROM each GROUP BY name"""
+)
+def direct_references(spark: SparkSession, d: str) -> DataFrame:
+    """Of each name the most sources of one symbol."""
+    rows = symbols(spark, d)
+    lost = edges(spark, d).join(rows.where("id % 50 = 1").select(F.col("id").alias("dst_symbol"), "name"), "dst_symbol").select("name", "src_symbol").distinct()
+    return diff.direct_references(edges(spark, d), rows.where("id % 9 = 0").select("id", "name"), lost)
+
+
+@query(
+    f"""WITH {SYMBOLS_SQL}, c AS (SELECT DISTINCT name, service FROM symbols WHERE id % 40 = 0), a AS (SELECT DISTINCT name AS via, service FROM symbols WHERE id % 13 = 0)
+    SELECT DISTINCT c.name, true AS cross_service FROM c JOIN a ON a.via = c.name AND a.service <> c.service"""
+)
+def cross_service(spark: SparkSession, d: str) -> DataFrame:
+    rows = symbols(spark, d)
+    return diff.crossing(rows.where("id % 40 = 0"), rows.where("id % 13 = 0").withColumn("via", F.col("name")))
+
+
+@query(
+    """WITH asked AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(url, 'none'), '^[a-z]+://', ''), '[?#].*$', '') AS file FROM pages), known AS (SELECT file, concat('k', page_id % 3) AS service FROM asked WHERE page_id % 4 = 0),
+    tops AS (SELECT DISTINCT regexp_extract(file, '^[^/]+') AS path FROM asked WHERE page_id % 2 = 0) SELECT page_id, coalesce(k.service, 'top:' || t.path, '?') AS service FROM asked a LEFT JOIN (SELECT file, min(service) AS service FROM known GROUP BY file) k USING (file) LEFT JOIN tops t ON t.path = regexp_extract(a.file, '^[^/]+')"""
+)
+def service_of_path(spark: SparkSession, d: str) -> DataFrame:
+    """The service of an indexed file, else of the path above it, else "?"."""
+    rows = table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("none")), "^[a-z]+://", ""), "[?#].*$", "").alias("file"))
+    files = rows.where("page_id % 4 = 0").groupBy(F.col("file").alias("path")).agg(F.min(F.concat(F.lit("k"), (F.col("page_id") % 3).cast("string"))).alias("service"))
+    top = rows.where("page_id % 2 = 0").select(F.regexp_extract("file", "^[^/]+", 0).alias("path")).distinct().select("path", F.concat(F.lit("top:"), "path").alias("name"))
+    return index.service_of(rows, files, top).select("page_id", "service")
+
+
 # text functions
 
 _PATH = "regexp_replace(url, '[?#].*$', '')"

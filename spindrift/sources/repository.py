@@ -10,7 +10,7 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.strings import LANGUAGES, MOST_BYTES, SKIPPED_FOLDERS
+from ..functions.strings import LANGUAGES, MOST_BYTES, SKIPPED_FOLDERS, language_of
 from ..operators.diff import file_status
 
 SERVICES = "name string, path string, stack string, purpose string, entrypoints array<string>, deps array<string>"
@@ -84,6 +84,14 @@ def walk(root: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def wanted(listed: DataFrame) -> DataFrame:
+    """The rows of a listing (path, size) that the walk would keep, for tables of paths from elsewhere: with ``language``, in no skipped folder, not too large."""
+    folders = F.split("path", "/")
+    above = F.slice(folders, 1, F.size(folders) - 1)
+    skipped = F.arrays_overlap(above, F.array(*map(F.lit, SKIPPED_FOLDERS)))
+    return listed.withColumn("language", language_of(F.col("path"))).where(F.col("language").isNotNull() & ~skipped & (F.col("size") <= MOST_BYTES))
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime, size) of a folder's source files."""
     return spark.createDataFrame(walk(root), "path string, mtime long, size long")
@@ -122,7 +130,6 @@ def services(spark: SparkSession, manifest: str | None, paths: DataFrame) -> Dat
             rows = tomllib.load(f).get("service", [])
         return spark.createDataFrame([(r["name"], r["path"], r.get("stack"), r.get("purpose"), r.get("entrypoints", []), r.get("deps", [])) for r in rows], SERVICES).orderBy("name")
     top = F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise(".")
-    from ..functions.strings import language_of
     from ..operators.lookup import dominant
 
     stacks = dominant(paths.select(top.alias("top"), language_of(F.col("path")).alias("stack")), "top", "stack")
