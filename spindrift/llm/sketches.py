@@ -24,6 +24,11 @@ BREAK = r"\n+|(?<=[.!?])[ \t]+"
 _KEY = ("bucket", "row")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def occurrences(values: Column) -> Column:
     """Of each place of a sorted array how many equal values come right before it.
 
@@ -31,19 +36,18 @@ def occurrences(values: Column) -> Column:
     whole array are enough, however long its runs are.
     """
     at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
-    first = F.transform(values, lambda x, i: F.when((i > 0) & (x == at(values, F.greatest(i - 1, F.lit(0)))), 1).otherwise(0))
+    first = lambda v: F.transform(v, lambda x, i: F.when((i > 0) & (x == at(v, F.greatest(i - 1, F.lit(0)))), 1).otherwise(0))
     step = lambda r, k: F.transform(r, lambda n, i: F.when(n == F.pow(F.lit(2), k).cast("int"), n + at(r, F.greatest(i - n, F.lit(0)))).otherwise(n))
-    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int")), first, step)
+    return _let(values, lambda v: F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(v) + 1)).cast("int")), first(v), step))
 
 
 def paragraphs(text: Column) -> Column:
-    """Digests of a text: one for each paragraph and which of its equals it is, and one of the whole; empty paragraphs don't count."""
+    """Digests of a text: one for each distinct paragraph and how often it comes; empty paragraphs don't count."""
     parts = F.filter(F.split(text, BREAK, -1), lambda p: p != "")
-    digests = F.transform(parts, lambda p: F.xxhash64(p))
-    repeated = F.array_sort(digests)
-    numbered = F.zip_with(repeated, occurrences(repeated), lambda d, n: F.when(n == 0, d).otherwise(F.xxhash64(d, n)))
-    each = F.when(F.size(F.array_distinct(digests)) == F.size(digests), digests).otherwise(numbered)
-    return F.array_append(each, F.xxhash64(text, F.lit("whole")))
+    one = lambda d, n: F.struct(d.alias("d"), n.alias("n"))
+    last = lambda r: F.filter(r, lambda x, i: (i == F.size(r) - 1) | (F.try_element_at(r, (i + 2).cast("int"))["n"] == 0))
+    counted = lambda r: F.transform(_let(F.zip_with(r, occurrences(r), one), last), lambda x: F.when(x["n"] == 0, x["d"]).otherwise(F.xxhash64(x["d"], x["n"])))
+    return _let(F.transform(parts, lambda p: F.xxhash64(p)), lambda d: F.when(F.size(F.array_distinct(d)) == F.size(d), d).otherwise(_let(F.array_sort(d), counted)))
 
 
 def _check(digest: Column) -> Column:
@@ -109,7 +113,7 @@ def differing(rows: DataFrame, versions: tuple, pairs: dict, cells: int) -> Data
 
 
 def in_order(docs: DataFrame, bucket_rows: int = 512, segments: int = 256) -> DataFrame:
-    """``docs`` (doc_id, text) with ``bucket``, ``row`` and ``next_text``: the text of the next document by descending doc_id, after the last that of the first.
+    """``docs`` (doc_id, text) with ``bucket``, ``row``, the text's ``own`` digests, and ``next_text`` and ``next``, those of the next document by descending doc_id, after the last of the first.
 
     Null ids come last, equal ids by the hash of the text. Ids are cut at
     quantiles into segments, and each segment into even spans of about
@@ -150,10 +154,11 @@ def in_order(docs: DataFrame, bucket_rows: int = 512, segments: int = 256) -> Da
     is_head = rank(F.col("__order"), hashed) == F.col("__head")
     own = F.struct("bucket", F.lit(False).alias("tail"))
     copies = F.when(is_head, F.array(own, F.struct(F.col("__before").alias("bucket"), F.lit(True).alias("tail")))).otherwise(F.array(own))
-    dealt = joined.select("doc_id", "text", "__order", F.explode(copies).alias("c")).select("doc_id", "text", "__order", "c.bucket", "c.tail")
+    joined = joined.withColumn("own", paragraphs(F.col("text")))
+    dealt = joined.select("doc_id", "text", "own", "__order", F.explode(copies).alias("c")).select("doc_id", "text", "own", "__order", "c.bucket", "c.tail")
     window = Window.partitionBy("bucket").orderBy("tail", F.desc("__order"), hashed)
-    dealt = dealt.withColumn("next_text", F.lead("text").over(window)).withColumn("row", F.row_number().over(window))
-    return dealt.where("not tail").select("bucket", "row", "doc_id", "text", "next_text")
+    dealt = dealt.withColumn("next_text", F.lead("text").over(window)).withColumn("next", F.lead("own").over(window)).withColumn("row", F.row_number().over(window))
+    return dealt.where("not tail").select("bucket", "row", "doc_id", "text", "own", "next_text", "next")
 
 
 def _show(cells: Column, version: int) -> Column:
@@ -163,9 +168,10 @@ def _show(cells: Column, version: int) -> Column:
     return F.array_join(F.transform(mine, one), ";")
 
 
-def _likeness(a: Column, b: Column, differ: Column) -> Column:
-    """Jaccard likeness of two sets from their sizes and that of their difference."""
-    return F.when(a + b == 0, 1.0).otherwise((a + b - differ) / (a + b + differ))
+def _likeness(a: Column, b: Column, differ: Column, same: Column) -> Column:
+    """Jaccard likeness of two sets from their sizes and that of their difference; 1 for the same text alone."""
+    likeness = F.when(a + b == 0, 1.0).otherwise((a + b - differ) / (a + b + differ))
+    return F.when(same, 1.0).otherwise(F.least(likeness, 1 - 1 / (a + b + 1)))
 
 
 def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows: int = 512) -> DataFrame:
@@ -175,8 +181,9 @@ def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows:
     near_edited, near_next. The edited text has its last half replaced by the
     first half of the next document's (``in_order``). Likeness is the Jaccard
     likeness of the sets of digests, from the digests recovered from subtracted
-    sketches. A paragraph that comes again is another digest, and the whole text
-    is one, so only equal texts have equal fingerprints and likeness 1. Null
+    sketches. How often a paragraph comes is part of its digest; texts that have
+    the same in another order are as if one more differed. A fingerprint also
+    has a hash of the whole text, so only equal texts have equal ones. Null
     text counts as empty; texts are read whole, whatever their length; each
     repeated row has its own result; an empty table gives no rows; columns but
     doc_id and text are not read.
@@ -185,8 +192,9 @@ def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-    rows = whole.select(*_KEY, "doc_id", "text", "next_text", edited.alias("edited"), n.cast("long").alias("n_chars"))
-    rows = rows.select(*_KEY, "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("changed"), paragraphs(F.col("next_text")).alias("next"))
+    rows = whole.select(*_KEY, "doc_id", "text", "next_text", "own", "next", edited.alias("edited"), n.cast("long").alias("n_chars"))
+    hashes = [F.xxhash64(c).alias(f"hash{k}") for k, c in enumerate(("text", "edited", "next_text"))]
+    rows = rows.select(*_KEY, "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", paragraphs(F.col("edited")).alias("changed"), "next", *hashes)
     rows = bucketed(rows, "versions", "bucket")
     versions, pairs = ("own", "changed", "next"), {0: (0, 1), 1: (0, 2)}
 
@@ -207,7 +215,7 @@ def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows:
         todo = rows.join(failed, "bucket").where(F.array_contains("__failed", F.col("row"))).drop("__failed")
     union = reduce(DataFrame.union, solved)
     known = union.groupBy(*_KEY).agg(*[F.min(F.when(F.col(f"over{p}") == 0, F.col(f"differ{p}"))).alias(f"differ{p}") for p in pairs])
-    slim = rows.select(*_KEY, "doc_id", "n_chars", "edited_sha256", *[F.size(v).alias(f"n_{v}") for v in versions])
+    slim = rows.select(*_KEY, "doc_id", "n_chars", "edited_sha256", "hash0", "hash1", "hash2", *[F.size(v).alias(f"n_{v}") for v in versions])
     out = slim.join(known, list(_KEY), "left").join(shown, list(_KEY), "left")
     own, changed, following = (F.col(f"n_{v}") for v in versions)
     differ = lambda p: F.coalesce(F.col(f"differ{p}"), F.lit(0))
@@ -215,8 +223,8 @@ def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows:
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.concat_ws("|", own.cast("string"), F.coalesce("shown0", F.lit(""))).alias("fingerprint"),
-        F.concat_ws("|", changed.cast("string"), F.coalesce("shown1", F.lit(""))).alias("edited_fingerprint"),
-        _likeness(own, changed, differ(0)).alias("near_edited"),
-        _likeness(own, following, differ(1)).alias("near_next"),
+        F.concat_ws("|", own.cast("string"), F.hex("hash0"), F.coalesce("shown0", F.lit(""))).alias("fingerprint"),
+        F.concat_ws("|", changed.cast("string"), F.hex("hash1"), F.coalesce("shown1", F.lit(""))).alias("edited_fingerprint"),
+        _likeness(own, changed, differ(0), F.col("hash0") == F.col("hash1")).alias("near_edited"),
+        _likeness(own, following, differ(1), F.col("hash0") == F.col("hash2")).alias("near_next"),
     )

@@ -11,18 +11,16 @@ from .conftest import DOCS
 
 
 def parts(text):
-    """Paragraphs, each with which of its equals it is, and the whole text."""
-    seen = Counter()
-    out = {("whole", text)}
-    for p in re.split(sketches.BREAK, text):
-        if p:
-            out.add((p, seen[p]))
-            seen[p] += 1
-    return out
+    """Paragraphs, each with how often it comes."""
+    return set(Counter(p for p in re.split(sketches.BREAK, text) if p).items())
 
 
 def like(a, b):
-    return len(a & b) / len(a | b) if a | b else 1.0
+    """Likeness of two texts."""
+    if a == b:
+        return 1.0
+    a, b = parts(a), parts(b)
+    return min(len(a & b) / len(a | b) if a | b else 1.0, 1 - 1 / (len(a) + len(b) + 1))
 
 
 def brute(rows):
@@ -32,7 +30,7 @@ def brute(rows):
         after = rows[(k + 1) % len(rows)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(parts(t), parts(edited)), 9), round(like(parts(t), parts(after)), 9)))
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(t, edited), 9), round(like(t, after), 9)))
     return out
 
 
