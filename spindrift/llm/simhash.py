@@ -342,7 +342,8 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, reca
     asked = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
     asked = materialize(classes.join(asked, "rep", "left_semi").select("rep", F.col("doc_id").alias("d"), F.col("hash").alias("h")), "asked")
     named = _named(docs)
-    texts = named.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("rep", "text")
+    # texts are dealt the same way at every size: what is asked for grows with the documents
+    texts = named.join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("rep", "text")
     texts = materialize(texts.groupBy("rep").agg(F.first("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("rep").alias("v"), F.col("text").alias("v_text")), "v")
     both = both.select("u", "v", "u_text", "v_text").sortWithinPartitions("v")
