@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the session's checkpoint folder; where none is set, only a local session may take one of its machine."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.scratch import written
 
 
 def _round(ranks: DataFrame) -> tuple[DataFrame, float, float]:
     """Ranks (id, hangs, rank, was), written, with the rank that hangs loose and how much all changed, which are observed on the way."""
     sums = Observation(f"ranks-{uuid.uuid4().hex}")
     loose = F.coalesce(F.sum(F.when(F.col("hangs"), F.col("rank"))), F.lit(0.0))
-    out = _written(ranks.observe(sums, loose.alias("loose"), F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved")), "ranks")
+    out = written(ranks.observe(sums, loose.alias("loose"), F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved")), "ranks")
     return out, sums.get["loose"], sums.get["moved"]
 
 
@@ -42,13 +29,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     the ranks and observes their sums, so that
     neither lineage nor a lost executor costs more than a round.
     """
-    ids = _written(nodes.select("id").distinct(), "nodes")
+    ids = written(nodes.select("id").distinct(), "nodes")
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     pairs = edges.groupBy("src_symbol", "dst_symbol").agg(F.count("*").alias("n"))
     out = pairs.groupBy("src_symbol").agg(F.sum("n").alias("out"))
-    weighted = _written(pairs.join(out, "src_symbol").select(F.col("src_symbol").alias("id"), "dst_symbol", (F.col("n") / F.col("out")).alias("share")), "votes")
+    weighted = written(pairs.join(out, "src_symbol").select(F.col("src_symbol").alias("id"), "dst_symbol", (F.col("n") / F.col("out")).alias("share")), "votes")
     voters = weighted.select("id").distinct().withColumn("hangs", F.lit(False))
     start = ids.join(voters, "id", "left").select("id", F.coalesce("hangs", F.lit(True)).alias("hangs"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("was"))
     ranks, loose, _ = _round(start)
@@ -68,12 +55,12 @@ def impact(edges: DataFrame, roots: DataFrame, depth: int = 2, via: str | None =
     with it at that depth.
     """
     label = F.col(via) if via else F.lit(None).cast("string")
-    front = _written(roots.groupBy("id").agg(F.min(label).alias("via")), "front")
+    front = written(roots.groupBy("id").agg(F.min(label).alias("via")), "front")
     seen, out = front.select("id"), None
     links = edges.select("src_symbol", "dst_symbol").distinct()
     for step in range(1, depth + 1):
         reached = links.join(front.withColumnRenamed("id", "dst_symbol"), "dst_symbol").groupBy("src_symbol").agg(F.min("via").alias("via")).withColumnRenamed("src_symbol", "id")
-        front = _written(reached.join(seen, "id", "left_anti"), "front")
+        front = written(reached.join(seen, "id", "left_anti"), "front")
         level = front.select("id", F.lit(step).alias("depth"), "via")
         out = level if out is None else out.union(level)
         seen = seen.union(front.select("id"))

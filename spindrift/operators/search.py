@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.strings import MARKED, PLAIN, search_tokens
-from .graph import _written
+from ..sources.scratch import written
 
 _PLAIN = str.maketrans(MARKED[: len(PLAIN)], PLAIN, MARKED[len(PLAIN) :])
 
@@ -80,7 +80,7 @@ def search(docs: DataFrame, query: str, columns: tuple[str, ...], match_all: boo
     hit = F.col("__tf0") > 0
     for k in range(1, len(tf)):
         hit = (hit & (F.col(f"__tf{k}") > 0)) if match_all else (hit | (F.col(f"__tf{k}") > 0))
-    rows, figures = _written(counted.where(hit), "hits"), sums.get
+    rows, figures = written(counted.where(hit), "hits"), sums.get
     part = lambda k: _score(F.lit(float(figures["n"])), F.lit(figures["mean"]), F.lit(figures[f"df{k}"]), F.col(f"__tf{k}"), F.col("__length"))
     score = sum((part(k) for k in range(1, len(tf))), part(0))
     return rows.select(*docs.columns, (-score).alias("bm25"))
@@ -125,7 +125,7 @@ def search_postings(index: DataFrame, lengths: DataFrame, query: str, match_all:
     starts = used.where("n > 1").select("phrase", "id", "n", F.explode(F.transform("places", lambda p: p - F.col("at"))).alias("start"))
     whole = starts.groupBy("phrase", "id", "n", "start").agg(F.count("*").alias("met")).where("met = n")
     tf = single.union(whole.groupBy("phrase", "id").agg(F.count("*").alias("tf")))
-    tf = _written(tf, "frequencies")
+    tf = written(tf, "frequencies")
     figures = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
     known = tf.groupBy("phrase").agg(F.count("*").alias("df")).join(F.broadcast(figures))  # a row for each phrase of the query
     scored = tf.join(lengths, "id").join(F.broadcast(known), "phrase")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import blob_hash, file_module, is_test, language_of, line_count
 from ..operators import context, diff, extract, graph, lookup, resolve, search, spans, upkeep
+from ..sources.scratch import written
 
 VERSION = 2
 #: What comes of each file alone, and what of all together.
@@ -38,13 +39,13 @@ def parts(files: DataFrame) -> dict[str, DataFrame]:
     symbols = placed.join(around.select("file", "id", "around"), ["file", "id"], "left").select(
         "file", F.col("id").alias("in_file"), "name", "kind", "start_line", "end_line", "signature", "doc_first_line", "container", "qualified_name", F.col("around").alias("enclosing"), "language", "is_test"
     )
-    numbered = graph._written(refs.withColumn("ref_id", F.monotonically_increasing_id()), "references")
+    numbered = written(refs.withColumn("ref_id", F.monotonically_increasing_id()), "references")
     owned = spans.edge_owners(found, numbered).select("file", F.col("owner").alias("in_file"), "dst_name", "qualifier", "scoped", "kind")
     text = F.make_valid_utf8(F.col("content").cast("string"))
     mtime = F.col("mtime") if "mtime" in files.columns else F.lit(0)
     meta = files.select("path", language_of(F.col("path")).alias("language"), file_module(F.col("path")).alias("module"), line_count(text).alias("loc"), blob_hash(F.col("content")).alias("git_hash"), mtime.cast("long").alias("mtime"), F.octet_length("content").cast("long").alias("size"), F.current_timestamp().alias("indexed_at"))
     imports = numbered.where("kind = 'import'").select("file", F.col("dst_name").alias("name")).distinct()
-    return {name: graph._written(df, name) for name, df in (("files", meta), ("found", symbols), ("refs", owned), ("file_imports", imports))}
+    return {name: written(df, name) for name, df in (("files", meta), ("found", symbols), ("refs", owned), ("file_imports", imports))}
 
 
 def with_root(services: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def with_root(services: DataFrame) -> DataFrame:
 def _starts(found: DataFrame) -> DataFrame:
     """(file, start): how many symbols the files before a file have, by ranges of files; no task sees all of them."""
     counts = found.groupBy("file").agg(F.count("*").alias("n")).repartitionByRange("file").withColumn("range", F.spark_partition_id())
-    counts = graph._written(counts, "counts")
+    counts = written(counts, "counts")
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy("range").agg(F.sum("n").alias("n"))  # a row for each range
     ranges = sums.select("range", F.coalesce(F.sum("n").over(before().orderBy("range")), F.lit(0)).alias("first"))
@@ -80,19 +81,19 @@ def assemble(part: dict[str, DataFrame], services: DataFrame, iterations: int =
     """
     fingerprint = services_fingerprint(services)
     services = with_root(services)
-    files = graph._written(lookup.owning_service(part["files"].drop("service"), services.select(F.when(F.col("path") == "", ".").otherwise(F.col("path")).alias("path"), "name")), "files")
+    files = written(lookup.owning_service(part["files"].drop("service"), services.select(F.when(F.col("path") == "", ".").otherwise(F.col("path")).alias("path"), "name")), "files")
     used = files.select(F.col("service").alias("name"), F.lit(True).alias("used")).distinct()
     services = services.join(used, "name", "left").where("used or not made").drop("used", "made")
     found = part["found"]
     owner = files.select(F.col("path").alias("file"), "service", "module")
     symbols = found.join(_starts(found), "file").join(owner, "file").withColumn("id", F.col("start") + F.col("in_file")).drop("start")
-    symbols = graph._written(symbols, "symbols")
+    symbols = written(symbols, "symbols")
     raw = part["refs"].join(symbols.select("file", "in_file", F.col("id").alias("src_symbol")), ["file", "in_file"]).select("src_symbol", "dst_name", "qualifier", "scoped", "kind")
-    raw = graph._written(raw, "raw")
-    edges = graph._written(resolve.resolve(raw, symbols, part["file_imports"]), "edges")
+    raw = written(raw, "raw")
+    edges = written(resolve.resolve(raw, symbols, part["file_imports"]), "edges")
     votes = edges.join(symbols.where(~F.col("is_test")).select(F.col("id").alias("src_symbol")), "src_symbol", "left_semi")
     ranks = graph.pagerank(symbols.select("id"), votes, iterations=iterations)
-    ranked = graph._written(symbols.drop("in_file").join(ranks, "id"), "ranked")
+    ranked = written(symbols.drop("in_file").join(ranks, "id"), "ranked")
     index, lengths = search.postings(ranked, _SEARCHED)
     meta = files.sparkSession.createDataFrame([("services_fingerprint", fingerprint)], "key string, value string")
     return part | {"files": files, "symbols": ranked, "edge_raw": raw, "edges": edges, "services": services, "postings": index, "lengths": lengths, "meta": meta}
@@ -116,9 +117,9 @@ def build(files: DataFrame, services: DataFrame, iterations: int = 50) -> dict[s
 def _side(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Symbols of files as the comparison takes them, with the hash of their own lines and whether they are public; and of each file the hash of the lines outside of all."""
     found, _ = extract.extract(files)
-    found = graph._written(found, "found")
+    found = written(found, "found")
     named = spans.inherited_flags(spans.lexical_identity(found).withColumn("is_test", is_test(F.col("file"), F.col("name"), F.col("hint"))))
-    lines = graph._written(extract.source_lines(files).select("file", "line", F.col("raw").alias("text")), "lines")
+    lines = written(extract.source_lines(files).select("file", "line", F.col("raw").alias("text")), "lines")
     last = lines.groupBy("file").agg(F.max("line").alias("last"))
     lines = lines.join(last, "file").where("not (line = last and text = '')").drop("last")  # a line end ends a line
     hashes = spans.text_hash(spans.own_lines(lines, found), "file", "id").withColumnRenamed("hash", "body_hash")
@@ -165,17 +166,17 @@ def changes(changed: DataFrame, tables: dict[str, DataFrame], depth: int = 3) ->
     the name is in another service than the changed file.
     """
     symbols, edges = tables["symbols"], tables["edges"]
-    pairs = graph._written(changed.withColumn("path", F.coalesce("new_path", "old_path")), "changed")
+    pairs = written(changed.withColumn("path", F.coalesce("new_path", "old_path")), "changed")
     side = lambda c: _side(pairs.where(F.col(c).isNotNull()).select("path", F.col(c).alias("content")))
     (old, old_rest), (new, new_rest) = side("old_content"), side("new_content")
-    old, new = graph._written(old, "old"), graph._written(new, "new")
+    old, new = written(old, "old"), written(new, "new")
     named = diff.compare(old, new).withColumnRenamed("file", "pair")
     paths = pairs.select(F.col("path").alias("pair"), "status", "old_path", "new_path")
     named = named.join(paths, "pair").withColumn("file", F.when(F.col("at_base"), F.col("old_path")).otherwise(F.col("new_path"))).withColumnRenamed("old_path", "old_file")
     columns = ["pair", "file", "old_file", "line", "name", "kind", "occurrence", "container", "signature", "nature", "public", "is_test", "at_base"]
-    named = graph._written(named.select(*columns), "named")
+    named = written(named.select(*columns), "named")
     whole = file_changes(paths, named, old, new, old_rest, new_rest).select(*columns)
-    found = graph._written(named.union(whole).drop("pair"), "changes")
+    found = written(named.union(whole).drop("pair"), "changes")
     found = service_of(found, tables["files"], tables["services"])
 
     live = symbols.join(found.where("name is not null and not at_base").select("file", "name", "kind").distinct(), ["file", "name", "kind"], "left_semi").select("id", "name")
@@ -185,7 +186,7 @@ def changes(changed: DataFrame, tables: dict[str, DataFrame], depth: int = 3) ->
     # a deleted symbol has no node: its callers enter the walk through an edge to a stand-in
     stand_in = lost.select("src_symbol", (-F.abs(F.xxhash64("name")) - 1).alias("dst_symbol"), "name")
     roots = live.union(stand_in.select(F.col("dst_symbol").alias("id"), "name").distinct())
-    reached = graph._written(diff.affected(edges.select("src_symbol", "dst_symbol").union(stand_in.select("src_symbol", "dst_symbol")), roots, symbols, depth), "affected")
+    reached = written(diff.affected(edges.select("src_symbol", "dst_symbol").union(stand_in.select("src_symbol", "dst_symbol")), roots, symbols, depth), "affected")
     affected = symbols.join(reached.drop("is_test"), "id")
     crossing = diff.crossing(found, affected)
     scored = found.join(counts, "name", "left").join(crossing, "name", "left").withColumn("direct_references", F.coalesce("direct_references", F.lit(0))).withColumn("cross_service", F.coalesce("cross_service", F.lit(False)))
@@ -362,7 +363,7 @@ class Index:
         """
         load = read or (lambda df: files.join(df.select("path"), "path", "left_semi"))
         listed = files.select("path", *[F.col(c) if c in files.columns else (F.octet_length("content") if c == "size" else F.lit(0)).cast("long").alias(c) for c in ("mtime", "size")])
-        listed = graph._written(listed, "listed")
+        listed = written(listed, "listed")
         if not self.exists():
             self.save(build(load(listed), services))
             return Refreshed("full", listed.count(), 0, 0)
@@ -370,9 +371,9 @@ class Index:
         moved = self.table("meta").where("key = 'services_fingerprint'").first()["value"] != services_fingerprint(services)
         old = stored.select("path", "mtime", "size", F.col("git_hash").alias("hash"))
         maybe = upkeep.outcomes(listed.withColumn("hash", F.lit(None).cast("string")), old)
-        content = graph._written(load(listed.join(maybe.where("outcome = 'index'").select("path"), "path", "left_semi")).select("path", "mtime" if "mtime" in files.columns else F.lit(0).cast("long").alias("mtime"), "content"), "contents")
+        content = written(load(listed.join(maybe.where("outcome = 'index'").select("path"), "path", "left_semi")).select("path", "mtime" if "mtime" in files.columns else F.lit(0).cast("long").alias("mtime"), "content"), "contents")
         hashed = listed.join(content.select("path", blob_hash(F.col("content")).alias("hash")), "path", "left")
-        outcome = graph._written(upkeep.outcomes(hashed, old), "outcomes")
+        outcome = written(upkeep.outcomes(hashed, old), "outcomes")
         count = {r["outcome"]: r["n"] for r in outcome.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
         indexed, removed, touched = (count.get(o, 0) for o in ("index", "removed", "touched"))
         skipped = count.get("unchanged", 0) + touched

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import strings
 from ..operators import context, diff, extract, graph, lookup, resolve, search, spans, upkeep
 from ..sources import repository
+from ..sources.scratch import written
 from . import index
 from .tables import EDGES, IMPORTS, QUALIFIER, REFS, SPANS, SYMBOLS, listed, table, view
 
@@ -342,7 +343,7 @@ def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORED_TEXTS:
         index, lengths = search.postings(table(spark, d, "documents"), ("text",), "doc_id")
-        _STORED_TEXTS[key] = graph._written(index, "postings"), graph._written(lengths, "lengths")
+        _STORED_TEXTS[key] = written(index, "postings"), written(lengths, "lengths")
     return _STORED_TEXTS[key]
 
 
@@ -623,7 +624,7 @@ def find_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     ORACLE_SQL["impact_bfs"].replace(" SELECT id, min(depth) AS depth FROM walk", f", {SYMBOLS_SQL}, least AS (SELECT id, min(depth) AS depth FROM walk")
-    + ") SELECT count(*) AS symbols, count(DISTINCT file) AS files, count(DISTINCT service) AS services, max(depth) AS max_depth FROM least JOIN symbols USING (id)"
+    + ") SELECT count(*) AS symbols, count(DISTINCT file) AS files, count(DISTINCT service) AS services, coalesce(max(depth), 0) AS max_depth FROM least JOIN symbols USING (id)"
 )
 def impact_summary(spark: SparkSession, d: str) -> DataFrame:
     return graph.impact_summary(symbols(spark, d).join(impact_bfs(spark, d), "id"))

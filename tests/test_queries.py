@@ -170,3 +170,35 @@ def test_budget_and_usage(spark, tmp_path):
     for _ in range(2):  # again: nothing new
         usage.keep_totals(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {r.command: r.runs for r in usage.read_totals(spark, str(tmp_path / "out")).collect()} == {"find": 2, "def": 1}
+
+
+def test_scratch_tables_can_be_cleared(spark, monkeypatch):
+    from spindrift.sources import scratch
+
+    monkeypatch.setattr(scratch, "folder", lambda s, was=scratch.folder: f"{was(s)}-cleared")
+    kept = scratch.written(spark.range(3).toDF("id"), "some")
+    assert kept.count() == 3 and scratch.clear(spark)
+    assert not scratch.clear(spark)
+
+
+def test_search_tokens_lose_marks(spark):
+    words = ["Café", "naïve", "Ångström", "Łódź", "Dvořák", "cafe\u0301", "Straße"]
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "id long, text string")
+    got = [r.t[0] for r in rows.select("id", strings.search_tokens(rows["text"]).alias("t")).orderBy("id").collect()]
+    assert got == ["cafe", "naive", "angstrom", "łodz", "dvorak", "cafe", "straße"]
+    assert [search.clean_terms(w)[0][0] for w in words] == got
+    assert {r.id for r in search.search(rows, "CAFÉ", ("text",)).collect()} == {0, 5}
+    index, lengths = search.postings(rows, ("text",))
+    assert {r.id for r in search.search_postings(index, lengths, "café").collect()} == {0, 5}
+    assert search.search_postings(index, lengths, "::").count() == 0
+
+
+@pytest.mark.parametrize("match_all", [True, False])
+def test_stored_search_equals_scan(spark, match_all):
+    rows = [(1, "snake case", "a"), (2, "snake_cased words", None), (3, "snake", "case"), (4, "", ""), (5, "case snake case", "snake cases")]
+    docs = spark.createDataFrame(rows, "id long, title string, body string")
+    index, lengths = search.postings(docs, ("title", "body"))
+    for query in ("snake_case", "snake", "sn ca", "snake_case words", "case_snake_case", "nothing"):
+        ours = {r.id: round(r.bm25, 9) for r in search.search_postings(index, lengths, query, match_all).collect()}
+        theirs = {r.id: round(r.bm25, 9) for r in search.search(docs, query, ("title", "body"), match_all).collect()}
+        assert ours == theirs
