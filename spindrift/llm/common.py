@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -17,34 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset, only a local session may take a folder of its machine."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
-        configured = spark.sparkContext.getCheckpointDir()
-    return configured.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cut the lineage with a table written to the shared folder."""
-    path = scratch_path(df.sparkSession, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return scratch.written(df, name, *partition_by)
 
 
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """``df`` written to the shared folder in hash buckets of ``column``: later joins and grouping by it move no rows of it."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(shuffle_partitions(spark), column).option("path", scratch_path(spark, name)).saveAsTable(table)
+    df.write.format("parquet").bucketBy(shuffle_partitions(spark), column).option("path", scratch.path(spark, name)).saveAsTable(table)
     out = spark.table(table)
     out.schema  # resolved now: the files stay when the name goes
     spark.sql(f"DROP TABLE {table}")
