@@ -316,6 +316,11 @@ def score_texts(docs: DataFrame, learn: Column, order: int = 2, block_tokens: in
     discounted counts one n-gram more, unseen. Null and empty texts have the end
     alone; repeated rows count and are scored as often as they come; null
     ``learn`` is false. Without any text learned from all probabilities are 1.
+    An empty table gives no rows; columns but doc_id and text are not read. A
+    text of any length is one document of one block, which grows with it.
+
+    N-grams and words are known by 64-bit hashes: two of them that collide count
+    as one, which among a billion distinct ones is to be expected in 3 % of corpora, for one pair.
 
     Count tables (kind 0, order n) and tables of histories (kind 0, order -n)
     are written, partitioned by kind and order, to the shared folder.

@@ -90,8 +90,9 @@ def format_chats(turns: DataFrame, learn_role: str = "assistant", part_turns: in
     No part holds more than ``part_turns`` turns, or ``part_bytes`` bytes unless
     one turn does, so a long conversation comes in several parts and needs no
     more memory than a short one; its text is the parts one after the other.
-    Rows come sorted by conversation and part within a partition. An empty
-    table gives no rows.
+    Rows come sorted by conversation and part within a partition. Repeated rows
+    are turns of their own; an empty table gives no rows; other columns,
+    whatever their names, are not read.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

@@ -34,18 +34,12 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> str | None:
-    """Whole texts go to Python in batches of at most so many: the default of 10,000 can be a very large batch of long ones. Gives what was set before."""
+@contextmanager
+def in_small_batches(spark: SparkSession, rows: int = 1000):
+    """What runs inside gives Python whole texts in batches of at most so many: the default of 10,000 can be a very large batch of long ones. Then the setting is as it was."""
     was = spark.conf.get(_BATCH)
     if not 0 < int(was) <= rows:
         spark.conf.set(_BATCH, rows)
-    return was
-
-
-@contextmanager
-def in_small_batches(spark: SparkSession, rows: int = 1000):
-    """``small_batches`` for what runs inside; then as it was."""
-    was = small_batches(spark, rows)
     try:
         yield
     finally:

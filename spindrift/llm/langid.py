@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import in_small_batches, materialize
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -80,16 +80,18 @@ class TextModel:
         return run
 
 
-def train(labelled: DataFrame, per_language: int = 2_000, smoothing: float = 0.5) -> TextModel:
+def train(labelled: DataFrame, per_language: int = 2_000, smoothing: float = 0.5, most_languages: int = 256) -> TextModel:
     """A trigram model of each value of ``lang`` from about ``per_language`` of its rows, drawn by hash of doc_id; whole texts.
 
     Every language that has a row is learned, whatever its share of the table:
     all rows of a rare one, and always those of a language's smallest hash. Rows
-    with a null text or language teach nothing. Without any row the model has no
-    language and everything is unknown.
+    with a null text or language teach nothing. Of values of ``lang`` the
+    ``most_languages`` with most rows are learned (a table of dirty labels may
+    have any number), ties by name. Repeated rows teach as often as they come.
+    Without any row the model has no language and everything is unknown.
     """
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit("lang"), "doc_id").alias("hash"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).collect()  # a row for each language of the model
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     steps = labelled.sparkSession.createDataFrame([(r["lang"], -(-r["n"] // per_language), r["least"]) for r in sizes], "lang string, step long, least long")
     drawn = rows.join(F.broadcast(steps), "lang").where("pmod(hash, step) = 0 or hash = least").select("lang", "text")
 
@@ -105,7 +107,8 @@ def train(labelled: DataFrame, per_language: int = 2_000, smoothing: float = 0.5
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    table = drawn.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    with in_small_batches(labelled.sparkSession):  # at most a row for each language and bucket
+        table = drawn.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     counts = np.zeros((len(langs), BUCKETS))
     row = np.searchsorted(np.array(langs), np.array(table.column("lang").to_pylist())) if langs else np.empty(0, int)
@@ -145,9 +148,11 @@ def identify(
     its host's and suffix's prior. "und" is a class of its own, with evenly
     spread trigrams; a text without letters, an empty or a null one is always
     "und". Null or unknown declared values, suffixes and hosts are groups of
-    their own. Columns of ``rows`` with one of the new names are replaced.
+    their own. Of equally likely languages the first by name is taken. Repeated
+    rows count as often as they come, texts are read whole, an empty table gives
+    no rows. Columns of ``rows`` with one of the new names, or that begin with
+    ``__``, are replaced. Rows are written with their evidence, so each text goes to Python once.
     """
-    small_batches(rows.sparkSession)
     new = ("language", "confidence", "text_language", "text_confidence")
     rows = rows.drop(*(c for c in rows.columns if c in new or c.startswith("__")))
     classes = [*model.languages, UNKNOWN]
@@ -165,9 +170,12 @@ def identify(
     known = known.withColumn("__log", F.transform(F.slice("__e", 1, n), lambda x: x * temper))
     known = known.withColumn("__share", F.when(empty, F.array(*[F.lit(float(k == n - 1)) for k in range(n)])).otherwise(_softmax(F.col("__log"))))
 
+    with in_small_batches(rows.sparkSession):
+        known = materialize(known, "evidence")
+
     by_host = known.select("__host", "__suffix", "__declared", "__share")
     groups = by_host.groupBy("__host", "__suffix", "__declared").agg(F.array(*[F.sum(F.col("__share")[k]) for k in range(n)]).alias("__share"))
-    groups = materialize(groups, "evidence")
+    groups = materialize(groups, "groups")
     by_declared = {r["__declared"]: r["s"] for r in _sum_by(groups, "__declared", n, "s").collect()}
     total = [sum(s[k] for s in by_declared.values()) for k in range(n)]
     whole = sum(total) + n

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff, chat, langid, mixing, packing, pii, simhash, sketches, toxicity, vectors
-from .common import doc_bucket, table
+from .common import doc_bucket, in_small_batches, materialize, table
 
 
 TOKENIZER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -59,7 +59,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = doc_bucket(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
-    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(model)("text").alias("score"))
+    with in_small_batches(spark):
+        scored = materialize(docs.select("doc_id", held_out.alias("held_out"), toxicity.score(model)("text").alias("score")), "scores")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -56,11 +56,12 @@ def highest(weight: np.ndarray, text: np.ndarray, texts: int, bias: float) -> np
     out = np.full(texts, bias)
     first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, np.int64)
     if len(first):
-        ends = np.r_[first[1:], len(text)]
-        sums = np.r_[0.0, np.cumsum(weight)]
-        to = np.minimum(np.arange(len(text)) + PASSAGE, np.repeat(ends, ends - first))
-        run = sums[to] - sums[:-1]
-        run[(to - np.arange(len(text)) < PASSAGE) & (np.repeat(ends - first, ends - first) >= PASSAGE)] = -np.inf
+        size = np.diff(np.r_[first, len(text)])
+        left = np.repeat(first + size, size) - np.arange(len(text))
+        run = weight.astype(np.float64)
+        for k in range(1, PASSAGE):  # sums of a text's own words alone, so equal texts have equal scores
+            run[:-k] += np.where(left[:-k] > k, weight[k:], 0.0)
+        run[(left < PASSAGE) & (np.repeat(size, size) >= PASSAGE)] = -np.inf
         out[text[first]] = np.maximum.reduceat(run, first) / PASSAGE + bias
     return out
 
@@ -213,12 +214,15 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int =
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; a document with
     several labels counts as toxic if one is 1. Null labels and ids don't count.
+    Of rows with one id the least text is taken, so the driver has a row for each
+    drawn id. Without labels, or with those of one class, the model is the prior.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(may_learn)
     counts = known.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("c")).first()
     hashed = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(hashed, "doc_id").limit(per_class).union(known.where("toxic <> 1").orderBy(hashed, "doc_id").limit(per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()  # at most 2 x per_class ids
+    drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # at most 2 x per_class ids
+    rows = drawn.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     model = train([r["text"] for r in rows], [r["toxic"] for r in rows])
     taken = [min(per_class, counts[c]) for c in ("t", "c")]
@@ -228,7 +232,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int =
 
 
 def score(model: Model):
-    """A column function: text to its toxicity from 0 to 1; null and empty texts get the score of no words."""
+    """A column function: text to its toxicity from 0 to 1; null and empty texts get the score of no words.
+
+    Whole texts are read, words of any length included; equal texts have equal
+    scores, in every row of theirs.
+    """
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -53,3 +53,9 @@ def test_escape_is_reversible():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_chats(df)).count() == 0
+
+
+def test_null_roles_can_be_learned(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a", 1), (1, 1, None, "bé", 2), (1, 2, "", "c", 3)], "conv_id long, turn long, role string, text string, part long")
+    got = chat.digests(chat.format_chats(df, learn_role="")).first()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (3, 3, hashlib.sha256("béc".encode()).hexdigest())

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid
@@ -57,3 +58,65 @@ def test_rare_language_is_learned_in_a_large_table(spark):
     model = langid.train(many.union(rare).union(one_id))
     assert model.languages == ["el", "en", "no id"]
     assert {r.doc_id for r in langid.known_language(rare.union(many.where("doc_id < 50")), model).collect()} == {-1, -2, *range(50)}
+
+
+def plain_identify(rows, model, temper=0.3, strength=10.0):
+    """(language, confidence, text language) of rows (text, declared, suffix, host), in plain Python."""
+    classes = [*model.languages, "und"]
+    n, even = len(classes), -np.log(langid.BUCKETS)
+
+    def softmax(x):
+        w = np.exp(np.array(x) - max(x))
+        return w / w.sum()
+
+    known = []
+    for text, declared, suffix, host in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        bucket, good = langid.trigrams(data) if len(data) > 2 else (np.empty(0, int), np.empty(0, bool))
+        count = int(good.sum())
+        logs = temper * np.array([*[t[bucket[good]].sum() for t in model.log_p], count * even])
+        share = softmax(logs) if count else np.eye(n)[-1]
+        code = (declared or "").split("-")[0].lower()
+        place = classes.index(code) if code in model.languages else n + (not code)
+        known.append((logs, share, place, suffix or "", host or "", count))
+    total = sum(k[1] for k in known)
+    prior = (total + 1) / (total.sum() + n)
+    by_declared = {d: sum((k[1] for k in known if k[2] == d), np.zeros(n)) for d in range(n + 2)}
+    told = [[np.log((by_declared[d][c] + 0.5 + 2.0 * (d == c)) / (total[c] + 0.5 * (n + 2) + 2.0)) for c in range(n)] for d in range(n + 2)]
+    out = []
+    for logs, share, place, suffix, host, count in known:
+        near = lambda same: np.maximum(sum(k[1] for k in known if same(k)) - share, 0)  # noqa: E731,B023
+        by_suffix = near(lambda k: k[3] == suffix)  # noqa: B023
+        by_host = near(lambda k: (k[3], k[4]) == (suffix, host))  # noqa: B023
+        by_suffix = (by_suffix + strength * prior) / (by_suffix.sum() + strength)
+        by_host = (by_host + strength * by_suffix) / (by_host.sum() + strength)
+        post = softmax(logs + told[place] + np.log(by_host)) if count else share
+        out.append((classes[int(post.argmax())], float(post.max()), classes[int(share.argmax())]))
+    return out
+
+
+def test_fusion_equals_plain_python(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.train(docs)
+    rows = [(r.doc_id, r.text and r.text[: 20 + r.doc_id % 90], (r.lang, "xx", None, "EN-us")[r.doc_id % 4], f"t{r.doc_id % 3}" if r.doc_id % 7 else None, f"h{r.doc_id % 11}" if r.doc_id % 5 else None) for r in docs.collect()]
+    rows += [(9000, None, "en", "t1", "h1"), (9001, "", None, None, None), (9002, "12 34", "de", "t1", "h1"), rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string").withColumn("confidence", F.lit("clash"))
+    got = langid.identify(df, model, F.col("text"), F.col("declared"), F.col("suffix"), F.col("host")).collect()
+    want = plain_identify([r[1:] for r in rows], model)
+    key = lambda r: (r[0], round(r[2], 6))
+    ours = sorted(((r.doc_id, r.language, r.confidence, r.text_language) for r in got), key=key)
+    theirs = sorted(((r[0], *w) for r, w in zip(rows, want)), key=key)
+    assert len(ours) == len(theirs) and all(a[0] == b[0] and abs(a[2] - b[2]) < 1e-9 and (a[1], a[3]) == (b[1], b[3]) for a, b in zip(ours, theirs))
+
+
+def test_dirty_labels_are_bounded(spark):
+    rows = [(k, f"text of number {k} and more words", f"l{k:03d}") for k in range(40)] + [(100 + k, "the cat and the dog", "en") for k in range(5)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=3)
+    assert model.languages == ["en", "l000", "l001"]
+
+
+def test_the_session_keeps_its_batches(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    langid.known_language(docs, langid.train(docs)).count()
+    assert spark.conf.get(name) == was

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -66,3 +67,52 @@ def test_long_words_are_read_to_their_end():
         word = "".join(map(chr, range(0x4E00, 0x4E00 + length)))
         pieces = toxicity.tokens_of(pa.array([word]))[0].to_pylist()
         assert all(any(f"<{word}>"[k : k + 6] in p for p in pieces) for k in range(length - 3))
+
+
+def plain_score(model, text):
+    """A text's score word by word and run by run, in plain Python."""
+    mask, mul, mix = (1 << 64) - 1, int(toxicity._MUL), int(toxicity._MIX)
+
+    def bucket(x):
+        x = (x ^ (x >> 29)) & mask
+        return ((x * mix & mask) >> 32) % len(model.weight)
+
+    def weight(marked):
+        code = [ord(c) for c in marked]
+        found = [bucket(sum((c + 1) * pow(mul, i, 1 << 64) for i, c in enumerate(code)) & mask)]
+        for n in range(3, 7):
+            for at in range(len(code) - n + 1):
+                run = code[at]
+                for c in code[at + 1 : at + n]:
+                    run = (run * mul + c) & mask
+                found.append(bucket((run + n) & mask))
+        return sum(model.weight[b] for b in found) / len(found)
+
+    words = []
+    for w in (text or "").lower().split(" "):
+        if w:
+            words += toxicity.pieces_of(f"<{w}>") if len(w) > toxicity.LONGEST else [f"<{w}>"]
+    each = [weight(w) for w in words]
+    size = toxicity.PASSAGE
+    runs = [each[k : k + size] for k in range(max(1, len(each) - size + 1))] if each else []
+    logit = max(sum(r) for r in runs) / size + model.bias if runs else model.bias
+    return 1 / (1 + np.exp(-np.clip(model.scale * logit + model.shift, -30, 30)))
+
+
+def test_scores_equal_plain_python(spark):
+    rows = corpus(5, 80)
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(500, "x" * 200), (501, None), (502, "Über " * 9), (503, rows[0][1]), (0, rows[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic long")
+    model = toxicity.fit(df.withColumn("toxic", F.lit("clash")), labels, F.col("doc_id") % 5 != 0)
+    got = df.select("doc_id", "text", toxicity.score(model)("text").alias("s")).collect()
+    assert len(got) == 85 and all(abs(r.s - plain_score(model, r.text)) < 1e-9 for r in got)
+    assert len({r.s for r in got if r.doc_id in (0, 503)}) == 1
+
+
+def test_an_id_of_many_rows_is_one_row_to_learn_from(spark):
+    rows = corpus(6, 60)
+    once = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic long")
+    many = once.union(once.where("doc_id < 3")).union(once.where("doc_id = 1").withColumn("text", F.lit("~ later in order")))
+    a, b = (toxicity.fit(d, labels, F.lit(True)) for d in (once, many))
+    assert (a.weight == b.weight).all() and (a.scale, a.shift) == (b.scale, b.shift)
