@@ -112,17 +112,18 @@ def differing(rows: DataFrame, versions: tuple, pairs: dict, cells: int) -> Data
     return left.groupBy(*keys).agg(F.count_if(F.col("cell") >= 0).alias("over"), F.count_if(F.col("cell") < 0).alias("differ"))
 
 
-def in_order(docs: DataFrame, bucket_rows: int = 512, segments: int = 256) -> DataFrame:
+def in_order(docs: DataFrame, bucket_rows: int = 2048, segments: int = 256) -> DataFrame:
     """``docs`` (doc_id, text) with ``bucket``, ``row``, the text's ``own`` digests, and ``next_text`` and ``next``, those of the next document by descending doc_id, after the last of the first.
 
     Null ids come last, equal ids by the hash of the text. Ids are cut at
-    quantiles into segments, and each segment into even spans of about
+    quantiles into at most ``segments`` segments, and each segment into even spans of about
     ``bucket_rows`` rows. An id that has more rows than a segment (null, say)
     is a segment of its own, cut by the hash. The first row of a bucket is also
     dealt to the bucket before it, so texts move once and no task orders all rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lo = rows.agg(F.min("doc_id")).first()[0] or 0
+    ends = rows.agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")).first()
+    lo, segments = ends["lo"] or 0, max(2, min(segments, ends["n"] // bucket_rows))
     order = F.coalesce(F.col("doc_id"), F.lit(lo - 1))
     found = rows.select(order.alias("o")).agg(F.count("*").alias("n"), F.max("o").alias("hi"), F.percentile_approx("o", [k / segments for k in range(1, segments)], 10_000).alias("cuts")).first()
     per, cuts = found["n"] / segments, found["cuts"] or []
@@ -174,7 +175,7 @@ def _likeness(a: Column, b: Column, differ: Column, same: Column) -> Column:
     return F.when(same, 1.0).otherwise(F.least(likeness, 1 - 1 / (a + b + 1)))
 
 
-def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows: int = 512) -> DataFrame:
+def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows: int = 2048) -> DataFrame:
     """Fingerprints of each document and of an edited version of it, with their likeness and that to the next document.
 
     Gives doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
