@@ -20,11 +20,18 @@ from ..sources.scratch import written
 VERSION = 2
 #: What comes of each file alone, and what of all together.
 PARTS = ("files", "found", "refs", "file_imports")
-TABLES = (*PARTS, "symbols", "edge_raw", "edges", "services", "postings", "lengths", "meta")
+TABLES = (*PARTS, "symbols", "edge_raw", "edges", "edges_out", "services", "postings", "lengths", "meta")
 _SEARCHED = ("name", "qualified_name", "signature", "doc_first_line")
 #: Signatures of changes that are of a whole file (fixed values).
 NOT_INDEXED, OUTSIDE = "<non-indexed file change>", "<file-level change outside symbol bodies>"
 log = logging.getLogger(__name__)
+#: How stored tables are sorted, in ranges of files, and which columns get Bloom filters: lookups read the files that may hold an answer.
+LAYOUT = {
+    "symbols": ("name", ("name", "qualified_name", "id")), "edges": ("dst_symbol", ("dst_symbol",)), "edges_out": ("src_symbol", ("src_symbol",)), "edge_raw": ("dst_name", ("dst_name",)),
+    "files": ("path", ()), "found": ("file", ()), "refs": ("file", ()), "file_imports": ("file", ()), "postings": ("token", ()), "lengths": ("id", ()),
+}
+#: What a command ended with (fixed values).
+ANSWERED, NOTHING, STALE = 0, 3, 4
 
 
 def parts(files: DataFrame) -> dict[str, DataFrame]:
@@ -96,7 +103,7 @@ def assemble(part: dict[str, DataFrame], services: DataFrame, iterations: int =
     ranked = written(symbols.drop("in_file").join(ranks, "id"), "ranked")
     index, lengths = search.postings(ranked, _SEARCHED)
     meta = files.sparkSession.createDataFrame([("services_fingerprint", fingerprint)], "key string, value string")
-    return part | {"files": files, "symbols": ranked, "edge_raw": raw, "edges": edges, "services": services, "postings": index, "lengths": lengths, "meta": meta}
+    return part | {"files": files, "symbols": ranked, "edge_raw": raw, "edges": edges, "edges_out": edges, "services": services, "postings": index, "lengths": lengths, "meta": meta}
 
 
 def services_fingerprint(services: DataFrame) -> str:
@@ -260,7 +267,11 @@ class Index:
     def save(self, tables: dict[str, DataFrame]) -> str:
         name = f"v={VERSION}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         for table in TABLES:
-            tables[table].write.parquet(f"{self.path}/{name}/{table}")
+            rows, (by, blooms) = tables[table], LAYOUT.get(table, (None, ()))
+            writer = (rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows).write
+            for column in blooms:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer.parquet(f"{self.path}/{name}/{table}")
         self.spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.mode("append").text(f"{self.path}/current")
         return name
 
@@ -282,7 +293,7 @@ class Index:
         return _pointers(lookup.neighbours(self.table("symbols"), self.table("edges"), "callers", **select), "caller")
 
     def callees(self, **select: str) -> DataFrame:
-        return _pointers(lookup.neighbours(self.table("symbols"), self.table("edges"), "callees", **select), "callee")
+        return _pointers(lookup.neighbours(self.table("symbols"), self.table("edges_out"), "callees", **select), "callee")
 
     def outline(self, file: str) -> DataFrame:
         return _pointers(lookup.outline(self.table("symbols"), file), "outline")
@@ -340,6 +351,15 @@ class Index:
         row = mean.select(F.lit(command).alias("command"), F.lit(results).cast("long").alias("results"), upkeep.tokens_saved(F.col("mean"), F.lit(results)).alias("tokens_saved"), F.unix_micros(F.current_timestamp()).alias("ts"))
         row.write.mode("append").parquet(f"{self.path}/usage")
 
+    def answered(self, command: str, rows: DataFrame, stale: bool = False) -> int:
+        """Count what a command found, record it, note when it is nothing, and give what it ended with."""
+        n = rows.count()
+        if n:
+            self.record(command, n)
+        else:
+            log.warning("no_match: %s found nothing", command)
+        return STALE if stale else ANSWERED if n else NOTHING
+
     def usage(self, reset: bool = False) -> DataFrame:
         """Totals of each command, the most frequent first, and of all (command null)."""
         none = self.spark.createDataFrame([], "command string, results long, tokens_saved long, ts long")
@@ -396,7 +416,7 @@ class Index:
         from ..sources import repository
 
         try:
-            listed = repository.listing(self.spark, self.root)
+            listed = repository.listing(self.spark, self.root, self.path)
             done = self.refresh(listed, repository.services(self.spark, self.manifest, listed.select("path")), repository.reader(self.root))
         except Exception as problem:
             if not allow_stale or not self.exists():

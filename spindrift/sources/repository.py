@@ -62,9 +62,10 @@ def _ignored(path: str, is_folder: bool, rules: list[tuple[str, str]]) -> bool:
     return out
 
 
-def walk(root: str) -> list[tuple[str, int, int]]:
-    """(path, mtime in ns, size) of source files under a folder, sorted: hidden ones too, links and ignored ones not."""
+def walk(root: str, store: str | None = None) -> list[tuple[str, int, int]]:
+    """(path, mtime in ns, size) of source files under a folder, sorted: hidden ones too, links, ignored ones and the index's own ``store`` not."""
     out: list = []
+    own = os.path.realpath(store.removeprefix("file://")) if store else None
 
     def enter(folder: str, rules: list[tuple[str, str]]) -> None:
         here = os.path.relpath(folder, root).replace(os.sep, "/")
@@ -75,7 +76,7 @@ def walk(root: str) -> list[tuple[str, int, int]]:
             if e.is_symlink() or _ignored(path, e.is_dir(), rules):
                 continue
             if e.is_dir():
-                if e.name not in SKIPPED_FOLDERS:
+                if e.name not in SKIPPED_FOLDERS and os.path.realpath(e.path) != own:
                     enter(e.path, rules)
             elif e.name.rpartition(".")[2] in LANGUAGES and "." in e.name and (s := e.stat()).st_size <= MOST_BYTES:
                 out.append((path, s.st_mtime_ns, s.st_size))
@@ -92,9 +93,9 @@ def wanted(listed: DataFrame) -> DataFrame:
     return listed.withColumn("language", language_of(F.col("path"))).where(F.col("language").isNotNull() & ~skipped & (F.col("size") <= MOST_BYTES))
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
+def listing(spark: SparkSession, root: str, store: str | None = None) -> DataFrame:
     """(path, mtime, size) of a folder's source files."""
-    return spark.createDataFrame(walk(root), "path string, mtime long, size long")
+    return spark.createDataFrame(walk(root, store), "path string, mtime long, size long")
 
 
 def reader(root: str):

@@ -153,7 +153,9 @@ def test_stored_index_answers(spark, tables, tmp_path):
     assert (first.symbol_id, first.relationship) == ("depot/src/shelf.rs#take#fn", "definition")
     assert index.lines(stored.definitions(name="take")).first().value == "depot/src/shelf.rs:L9  pub fn take(n: u32) -> u32  [-]"
     stored.record("find", 3)
-    stored.record("find", 1)
+    assert stored.answered("find", stored.find("count", k=1)) == index.ANSWERED == 0
+    assert stored.answered("find", stored.find("nothingatall")) == index.NOTHING == 3
+    assert stored.answered("find", stored.find("nothingatall"), stale=True) == index.STALE == 4
     assert [(r.command, r.runs, r.results) for r in stored.usage().collect()] == [("find", 2, 4), (None, 2, 4)]
     assert stored.usage(reset=True).where("command is not null").count() == 0
     index.clear(stored.path)
@@ -264,6 +266,13 @@ def test_imports_calls_and_comments_over_lines(spark):
     assert {n for f, n, k in found if f == "b.rb"} == {"load_all", "price", "puts", "ready?", "close"}
 
 
+def test_the_store_is_not_walked(tmp_path):
+    for path in ("a.py", "store/b.py", "src/c.py"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("")
+    assert [p for p, *_ in repository.walk(str(tmp_path), f"file://{tmp_path}/store")] == ["a.py", "src/c.py"]
+
+
 def test_ignore_rules(tmp_path):
     for path in ("a/b/x.py", "a/x.py", "x.py", "docs/a/y.py", "docs/y.py", "keep/z.py", "odd[1].py", "build/q.py", "src/build/q.py", "lit*.py"):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
