@@ -91,6 +91,11 @@ def _blocks(max_distance: int, extra: int) -> list[int]:
     return [sum(c) for c in combinations(runs, extra)]
 
 
+def runs_beside(rows: int) -> int:
+    """How many runs have to agree: 2 (masks of 25 bits) up to a billion fingerprints, then 3 (32 bits) and 4 (36 bits), so that unrelated ones share few buckets."""
+    return 2 + (rows > 1 << 30) + (rows > 1 << 36)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -202,7 +207,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 3) -> D
         prints = materialize(fingerprints(docs, width), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     classes = materialize(classes.select("fp", "first", F.monotonically_increasing_id().alias("rep")), "classes")
-    found = connected_components(near_links(classes, max_distance))
+    found = connected_components(near_links(classes, max_distance, runs_beside(classes.count())))
     grouped = classes.join(found, classes.rep == found.node, "left").select("fp", "first", F.coalesce("component", "rep").alias("group"))
     least = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
     of_class = materialize(grouped.join(least, "group").select("fp", "component_id"), "groups")

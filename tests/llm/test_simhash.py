@@ -154,8 +154,8 @@ def test_long_texts_in_pieces(monkeypatch):
     assert simhash.fingerprint_of(text) == whole == fingerprint(text.decode())
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 5])
-def test_dense_buckets_lose_no_link(spark, bucket_rows):
+@pytest.mark.parametrize("bucket_rows,extra", [(4096, 2), (5, 2), (4096, 3), (64, 4)])
+def test_dense_buckets_lose_no_link(spark, bucket_rows, extra):
     rng = random.Random(bucket_rows)
     prints = []
     for _ in range(6):
@@ -166,10 +166,15 @@ def test_dense_buckets_lose_no_link(spark, bucket_rows):
                 now ^= 1 << rng.randrange(64)
     prints = list(dict.fromkeys(prints))
     df = spark.createDataFrame([(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)], "rep long, fp long")
-    got = {r.node: r.component for r in connected_components(simhash.near_links(df, bucket_rows=bucket_rows)).collect()}
+    got = {r.node: r.component for r in connected_components(simhash.near_links(df, extra=extra, bucket_rows=bucket_rows)).collect()}
     assert [got.get(k, k) for k in range(len(prints))] == components(list(range(len(prints))), prints)
 
 
+def test_masks_grow_with_the_rows():
+    assert [simhash.runs_beside(n) for n in (10, 1 << 30, 1 << 31, 1 << 37)] == [2, 2, 3, 4]
+    assert [min(m.bit_count() for m in simhash._blocks(3, e)) for e in (2, 3, 4)] == [25, 31, 36]
+
+
 def test_components_of_a_chain_and_nothing(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(100, 100), (None, 5), (200, 201), (201, 200)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
