@@ -348,46 +348,109 @@ def _graph_round(classes: DataFrame, threshold: float, shard_rows: int, margin:
 
 
 def _count(threshold: float):
-    """Links of each vector with others of its component, exactly: of whole components where i = j, else of the pairs between two salts."""
+    """Links of each vector with others of its component, exactly; a table holds whole components."""
 
     def run(table: pa.Table) -> pa.Table:
-        component, salt = table.column("component").to_numpy(), table.column("salt").to_numpy()
+        component = table.column("component").to_numpy()
         lengths = table.column("vector").combine_chunks().value_lengths().to_numpy()
         order = np.lexsort((lengths, component))
         table = table.take(pa.array(order))
-        component, salt, n = component[order], salt[order], table.column("n").to_numpy()
+        component, n = component[order], table.column("n").to_numpy()
         cut = np.flatnonzero(component[1:] != component[:-1]) + 1
-        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         links = np.zeros(len(n), np.int64)
         for a, b in zip(np.r_[0, cut], np.r_[cut, len(n)]):
             x = _matrix(table.column("vector").slice(a, b - a))
             for at in range(a, b, 1024):
                 hit = x[at - a : at - a + 1024] @ x.T >= threshold
-                if one:
-                    hit[np.arange(len(hit)), np.arange(at - a, at - a + len(hit))] = False
-                else:
-                    hit &= salt[at : at + len(hit), None] != salt[None, a:b]
+                hit[np.arange(len(hit)), np.arange(at - a, at - a + len(hit))] = False
                 links[at : at + len(hit)] = hit @ n[a:b]
         return pa.table({"rep": table.column("rep"), "links": links})
 
     return run
 
 
+def _sum_of(table: pa.Table) -> pa.Table:
+    """The sum of unit vectors."""
+    return pa.table({"component": table.column("component").slice(0, 1), "middle": pa.array([_matrix(table.column("vector")).sum(0)], pa.list_(pa.float64()))})
+
+
+def _in_core(threshold: float):
+    """Whether a vector is within half the angle of the threshold of its group's middle, so that any two such are linked."""
+    half = np.cos(np.arccos(threshold) / 2) + 1e-9
+
+    def run(batches):
+        for b in batches:
+            core = np.zeros(len(b), bool)
+            lengths = b.column("vector").value_lengths().to_numpy()
+            for d in np.unique(lengths):
+                at = np.flatnonzero(lengths == d)
+                rows = b.take(pa.array(at))
+                middle = np.stack([m for m in rows.column("middle").to_numpy(zero_copy_only=False)])
+                norm = np.linalg.norm(middle, axis=1)
+                core[at] = np.einsum("pd,pd->p", _matrix(rows.column("vector")), middle) >= half * np.maximum(norm, 1e-300)
+            yield pa.RecordBatch.from_arrays([*b.select(["rep", "vector", "n", "component"]).columns, pa.array(core)], ["rep", "vector", "n", "component", "core"])
+
+    return run
+
+
+def _count_outer(threshold: float):
+    """Links of the outer vectors of a task (``side``) with the others of it: rows for both ends, but for outer ones, which have theirs from their own side."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy(zero_copy_only=False).astype(bool)
+        outer, others = table.filter(pa.array(side)), table.filter(pa.array(~side))
+        if not len(outer) or not len(others):
+            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+        x, y = _matrix(outer.column("vector")), _matrix(others.column("vector"))
+        rep, other, core = outer.column("rep").to_numpy(), others.column("rep").to_numpy(), others.column("core").to_numpy(zero_copy_only=False).astype(bool)
+        mine, theirs = np.zeros(len(rep), np.int64), np.zeros(len(other), np.int64)
+        for at in range(0, len(rep), 1024):
+            hit = (x[at : at + 1024] @ y.T >= threshold) & (rep[at : at + 1024, None] != other[None, :])
+            mine[at : at + 1024] = hit @ others.column("n").to_numpy()
+            theirs += outer.column("n").to_numpy()[at : at + 1024] @ hit
+        return pa.table({"rep": np.r_[rep, other[core]], "links": np.r_[mine, theirs[core]]})
+
+    return run
+
+
 def count_links(named: DataFrame, threshold: float, rows: int = 8192) -> DataFrame:
     """(rep, links): each vector of a group compared with all others of its group (rep, vector, n, component).
 
-    Small groups go together into tasks of about ``rows`` vectors; a group of
-    over ``rows`` is dealt into salts, and each pair of salts is a task.
+    Small groups go together into tasks of about ``rows`` vectors. Of a group
+    of over ``rows``, the vectors within half the threshold's angle of its middle
+    are all linked with one another, so they are counted by one number; the
+    outer ones are compared with all in blocks of ``rows``. A hot group of near
+    copies so costs its outer vectors times its size, not the square of it.
     """
     sizes = named.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = F.lit(max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // rows)))
-    salts = F.ceil(F.col("size") / rows)
-    some = named.join(sizes, "component").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
-    some = some.withColumn("bucket", F.when(F.col("salts") > 1, -F.col("component") - 1).otherwise(F.pmod(F.xxhash64("component"), buckets)))
-    some = some.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    some = some.select("rep", "vector", "n", "component", "bucket", (F.col("salts") > 1).alias("large"), F.col("salt"), F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
-    counted = some.groupBy("large", "bucket", "i", "j").applyInArrow(_count(threshold), "rep long, links long")
-    return counted.groupBy("rep").agg(F.sum("links").alias("links"))
+    sizes = materialize(sizes, "sizes")
+    some = named.join(sizes, "component")
+    buckets = F.lit(max(1, -(-(sizes.where(F.col("size") <= rows).agg(F.sum("size")).first()[0] or 0) // rows)))
+    small = some.where(F.col("size") <= rows).withColumn("bucket", F.pmod(F.xxhash64("component"), buckets))
+    counted = small.select("rep", "vector", "n", "component", "bucket").groupBy("bucket").applyInArrow(_count(threshold), "rep long, links long")
+    if sizes.where(F.col("size") > rows).isEmpty():
+        return counted
+    large = some.where(F.col("size") > rows)
+    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / rows))
+    sums = large.select("component", "vector", chunk.alias("chunk")).groupBy("component", "chunk").applyInArrow(_sum_of, "component long, middle array<double>")
+    middle = sums.select("component", F.col("middle").alias("vector")).groupBy("component").applyInArrow(_total, "component long, middle array<double>")
+    large = materialize(large.join(middle, "component").select("rep", "vector", "n", "component", "middle").mapInArrow(_in_core(threshold), "rep long, vector array<double>, n long, component long, core boolean"), "large")
+    figures = large.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("n")).otherwise(0)).alias("core_n"), F.ceil(F.count_if(~F.col("core")) / rows).alias("outers"), F.ceil(F.count("*") / rows).alias("parts"))
+    large = large.join(figures, "component")
+    inside = large.where("core").select("rep", (F.col("core_n") - F.col("n")).alias("links"))
+    salt = lambda count: F.pmod(F.xxhash64("rep"), F.greatest(count, F.lit(1)))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    columns = ["component", "i", "j", "rep", "vector", "n", "core", "side"]
+    outer = large.where("not core").withColumn("i", salt(F.col("outers"))).withColumn("j", every(F.col("parts"))).withColumn("side", F.lit(True))
+    others = large.where("outers > 0").withColumn("j", salt(F.col("parts"))).withColumn("i", every(F.col("outers"))).withColumn("side", F.lit(False))
+    checked = outer.select(*columns).union(others.select(*columns)).groupBy("component", "i", "j").applyInArrow(_count_outer(threshold), "rep long, links long")
+    return counted.union(inside.union(checked).groupBy("rep").agg(F.sum("links").alias("links")))
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """The sum of a group's few sums."""
+    flat = np.concatenate([c.flatten().to_numpy() for c in table.column("vector").chunks]).reshape(len(table), -1)
+    return pa.table({"component": table.column("component").slice(0, 1), "middle": pa.array([flat.sum(0)], pa.list_(pa.float64()))})
 
 
 def audit(named: DataFrame, threshold: float, queries: int) -> float | None:

@@ -117,6 +117,25 @@ def test_across_shards(spark):
     assert got == {(1, 3), (2, 3)}
 
 
+@pytest.mark.parametrize("rows", [40, 1000])
+def test_counts_of_large_groups(spark, rows):
+    """A tight crowd with outer vectors and a chain: core pairs are counted by number, all others compared."""
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=12)
+    middle /= np.linalg.norm(middle)
+    crowd = middle + 0.05 * rng.normal(size=(150, 12))
+    outer = middle + 0.11 * rng.normal(size=(60, 12))
+    other = rng.normal(size=(1, 12)) + 0.02 * rng.normal(size=(50, 12))
+    x = vectors.unit_rows(np.concatenate([crowd, outer, other]).tolist())
+    component = np.r_[np.zeros(210, int), np.full(50, 210)]
+    n = rng.integers(1, 4, len(x))
+    df = spark.createDataFrame([(k, [float(c) for c in v], int(m), int(g)) for k, (v, m, g) in enumerate(zip(x, n, component))], "rep long, vector array<double>, n long, component long")
+    hit = (x @ x.T >= 0.95) & (component[:, None] == component[None, :])
+    np.fill_diagonal(hit, False)
+    got = {r.rep: r.links for r in vectors.count_links(df, 0.95, rows).collect()}
+    assert got == dict(enumerate((hit @ n).tolist())) and 0 < hit[:210, :210].mean() < 0.95
+
+
 def test_graph_finds_what_is_near():
     rng = np.random.default_rng(0)
     x = vectors.unit_rows(rng.normal(size=(600, 12)).tolist())
