@@ -24,30 +24,10 @@ BREAK = r"\n+|(?<=[.!?])[ \t]+"
 _KEY = ("bucket", "row")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is made once, however often ``body`` names it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def occurrences(values: Column) -> Column:
-    """Of each place of a sorted array how many equal values come right before it.
-
-    Doubling: after step k runs are counted up to 2^k, so a few steps over the
-    whole array are enough, however long its runs are.
-    """
-    at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
-    first = lambda v: F.transform(v, lambda x, i: F.when((i > 0) & (x == at(v, F.greatest(i - 1, F.lit(0)))), 1).otherwise(0))
-    step = lambda r, k: F.transform(r, lambda n, i: F.when(n == F.pow(F.lit(2), k).cast("int"), n + at(r, F.greatest(i - n, F.lit(0)))).otherwise(n))
-    return _let(values, lambda v: F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(v) + 1)).cast("int")), first(v), step))
-
-
 def paragraphs(text: Column) -> Column:
-    """Digests of a text: one for each distinct paragraph and how often it comes; empty paragraphs don't count."""
+    """The distinct digests of a text's paragraphs; empty ones don't count."""
     parts = F.filter(F.split(text, BREAK, -1), lambda p: p != "")
-    one = lambda d, n: F.struct(d.alias("d"), n.alias("n"))
-    last = lambda r: F.filter(r, lambda x, i: (i == F.size(r) - 1) | (F.try_element_at(r, (i + 2).cast("int"))["n"] == 0))
-    counted = lambda r: F.transform(_let(F.zip_with(r, occurrences(r), one), last), lambda x: F.when(x["n"] == 0, x["d"]).otherwise(F.xxhash64(x["d"], x["n"])))
-    return _let(F.transform(parts, lambda p: F.xxhash64(p)), lambda d: F.when(F.size(F.array_distinct(d)) == F.size(d), d).otherwise(_let(F.array_sort(d), counted)))
+    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
 def _check(digest: Column) -> Column:
@@ -182,8 +162,8 @@ def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows:
     near_edited, near_next. The edited text has its last half replaced by the
     first half of the next document's (``in_order``). Likeness is the Jaccard
     likeness of the sets of digests, from the digests recovered from subtracted
-    sketches. How often a paragraph comes is part of its digest; texts that have
-    the same in another order are as if one more differed. A fingerprint also
+    sketches; texts that have the same paragraphs in another order, or more often,
+    are as if one more differed. A fingerprint also
     has a hash of the whole text, so only equal texts have equal ones. Null
     text counts as empty; texts are read whole, whatever their length; each
     repeated row has its own result; an empty table gives no rows; columns but
