@@ -509,7 +509,8 @@ def near_vectors(
     enough; then it goes on over the united lists to neighbours that share no
     shard (by nodes with a cosine of ``reach`` or more). The found groups are
     verified: every vector is compared in double precision with all others of
-    its group, which gives n_links and lets no link within a group go uncounted.
+    its group (``count_links``), which gives n_links and lets no link within a
+    group go uncounted.
 
     The recall is audited after every round on ``audit_queries`` vectors drawn
     by hash, compared with all, and comes back as a column (null if they have no
