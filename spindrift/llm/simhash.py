@@ -352,7 +352,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, reca
     texts = materialize(texts.groupBy("rep").agg(F.first("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("rep").alias("v"), F.col("text").alias("v_text")), "v")
     both = both.select("u", "v", "u_text", "v_text").sortWithinPartitions("v")
-    with in_small_batches(docs.sparkSession):
+    with in_small_batches(docs.sparkSession, 64):  # rows of two whole texts, those of one long text together
         links = materialize(both.mapInArrow(_verified(width, similarity), "u long, v long"), "links")
     found = connected_components(links)
     grouped = classes.join(found, classes.rep == found.node, "left").select("fp", "blocks", F.coalesce("component", "rep").alias("group"))
