@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written and read again: neither its lineage nor a lost executor costs more than this step."""
     spark, at = df.sparkSession, path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(at)
+    writer.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
