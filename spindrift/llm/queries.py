@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chat, langid, mixing, packing, pii, simhash, sketches, toxicity, vectors
+from . import backoff, bitpack, centroids, chat, langid, mixing, packing, phrases, pii, simhash, sketches, toxicity, vectors
+from ..sources import scratch
 from .common import doc_bucket, in_small_batches, materialize, table
 
 
@@ -69,5 +70,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_backoff": op2_backoff, "op3_vectors": op3_vectors, "op4_pii": op4_pii, "op6_fingerprints": op6_fingerprints, "op7_langid": op7_langid, "op5_packing": op5_packing, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("n_distances")
+
+
+def op12_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.path(spark, "token-ids")
+    bitpack.write_ids(table(spark, sf_dir, "documents"), path, **TOKENIZER)
+    return bitpack.digests(spark, path)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_backoff": op2_backoff, "op3_vectors": op3_vectors, "op4_pii": op4_pii, "op6_fingerprints": op6_fingerprints, "op7_langid": op7_langid, "op5_packing": op5_packing, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op11_yinyang": op11_yinyang, "op12_bitpack": op12_bitpack, "op13_phrases": op13_phrases}
+ORACLE_SQL: dict[str, str] = {"op11_yinyang": centroids.cluster_sql(), "op13_phrases": phrases.collocations_sql()}
