@@ -62,27 +62,14 @@ def unpack_ids(data, bits: int, first: int, n: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _encoded(docs: DataFrame, bits: int, tokenizer_path: str, end_id: int, ranks_path: str | None, pattern: str | None) -> DataFrame:
-    special = _special(tokenizer_path)
-
-    def run(batches):
-        encoder = _encoder(tokenizer_path, ranks_path, pattern, special)
-        end = np.array([end_id], "<u4")
-        for b in batches:
-            texts = (t.as_py() for t in b.column(1))
-            ids = [np.concatenate([encoder.ids(t), end]) if t else end for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([pack_ids(i, bits) for i in ids], pa.binary())], ["doc_id", "n_tokens", "data"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, data binary")
-
-
 _BLOCKS = [("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("bits", pa.int32()), ("data", pa.binary())]
 
 
-def _to_blocks(bits: int, block_tokens: int):
-    """Rows (doc_id, n_tokens, data) in order to blocks of whole documents."""
+def _to_blocks(bits: int, block_tokens: int, end_id: int, *encoding):
+    """Rows (doc_id, text) in order to blocks of whole documents."""
 
     def run(batches):
+        encoder, end = _encoder(*encoding), np.array([end_id], "<u4")
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         parts: list[np.ndarray] = []
@@ -98,10 +85,11 @@ def _to_blocks(bits: int, block_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(row, _BLOCKS)], [name for name, _ in _BLOCKS])
 
         for b in batches:
-            for i, n, data in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), b.column("data")):
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                text = text.as_py()
                 ids.append(i)
-                parts.append(unpack_ids(data.as_buffer(), bits, 0, n))
-                held += n
+                parts.append(np.concatenate([encoder.ids(text), end]) if text else end)
+                held += len(parts[-1])
                 if held >= block_tokens:
                     yield block()
         if ids:
@@ -118,23 +106,23 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     written as often as they come; one id with very many rows goes over several
     shards. A document of any length is in one block, which grows with it. An
     empty table gives a set without blocks. Other columns, whatever their
-    names, are not read. Shards are of about ``shard_bytes``, by the bytes of
-    the ids.
+    names, are not read. A shard holds about ``shard_bytes`` of text, which moves
+    once, before it is encoded.
     """
     from tokenizers import Tokenizer
 
     bits = width_of(max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1))
     spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # equal rows are told apart by their place in the input
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("number")]
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(max(1, -(-total // shard_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    kinds = "shard int, block int, first long, n_tokens long, least long, most long, doc_ids array<long>, lengths array<long>, bits int, data binary"
     with in_small_batches(spark):
-        encoded = _encoded(docs, bits, tokenizer_path, end_id, ranks_path, pattern)
-        # the number of a row is written with it: equal rows are told apart the same way at every reading
-        encoded = materialize(encoded.withColumn("hash", F.xxhash64("data")).withColumn("number", F.monotonically_increasing_id()), "encoded")
-        total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-        order = [F.col("doc_id").asc_nulls_first(), "hash", "number"]
-        shards = max(1, -(-total * bits // 8 // shard_bytes))
-        rows = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "data")
-        kinds = "shard int, block int, first long, n_tokens long, least long, most long, doc_ids array<long>, lengths array<long>, bits int, data binary"
-        rows.mapInArrow(_to_blocks(bits, block_tokens), kinds).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+        blocks = rows.mapInArrow(_to_blocks(bits, block_tokens, end_id, tokenizer_path, ranks_path, pattern, _special(tokenizer_path)), kinds)
+        blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     sizes = _blocks(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     sizes.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"), "n_tokens").write.parquet(f"{path}/shards")

@@ -61,7 +61,7 @@ def check(got, rows):
     return at
 
 
-@pytest.mark.parametrize("how", [{}, {"block_tokens": 50, "shard_bytes": 2000}, {"ranks_path": None}])
+@pytest.mark.parametrize("how", [{}, {"block_tokens": 50, "shard_bytes": 20_000}, {"ranks_path": None}])
 def test_files_give_back_every_document(spark, docs, how):
     path = written(spark, docs, **how)
     got = bitpack.read_ids(spark, path).orderBy("start").collect()
@@ -73,7 +73,7 @@ def test_files_give_back_every_document(spark, docs, how):
 
 
 def test_random_access(spark, docs):
-    path = written(spark, docs, block_tokens=50, shard_bytes=2000)
+    path = written(spark, docs, block_tokens=50, shard_bytes=20_000)
     rows = bitpack.read_ids(spark, path).orderBy("start").collect()
     whole = np.concatenate([np.frombuffer(r.ids, "<u4") for r in rows])
     rng = np.random.default_rng(2)
@@ -85,7 +85,7 @@ def test_random_access(spark, docs):
 
 def test_one_id_and_repeated_rows_over_many_shards(spark):
     rows = [(7, "the same words again and again", "en", "a", 1)] * 600 + [(None, f"text {k}", "en", "a", 1) for k in range(600)]
-    path = written(spark, spark.createDataFrame(rows, SCHEMA), shard_bytes=1000, block_tokens=64)
+    path = written(spark, spark.createDataFrame(rows, SCHEMA), shard_bytes=2500, block_tokens=64)
     check(bitpack.read_ids(spark, path).orderBy("start").collect(), rows)
     shards = spark.read.parquet(f"{path}/shards").collect()
     assert len(shards) > 8 and max(r.n_tokens for r in shards) < 0.4 * sum(r.n_tokens for r in shards)
