@@ -103,57 +103,71 @@ def frequent_set(level: DataFrame, most_bits: int = MOST_BITS) -> FrequentSet:
     return FrequentSet(bits, {r["chunk"]: bytes(r["data"]) for r in chunks})
 
 
-def _dense(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1]
-
-
-def _counted(k: int, shared):
-    """(lang, phrase, n): how often each batch has each phrase of ``k`` words both of whose overlapping parts are in the shared set."""
-
-    def grams(lang: str, texts: list[bytes]):
-        words: dict[bytes, int] = {_BREAK: 0}
-        ids = []
-        for t in texts:
-            found = words_of(t)
-            ids.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.int64, len(found)))
-            ids.append(np.zeros(1, np.int64))
-        ids = np.concatenate(ids)
-        names = list(words)
-        n = len(ids) - k + 1
-        if k == 1:
-            count = np.bincount(ids, minlength=len(names))
-            return [(names[i].decode(), int(count[i])) for i in range(1, len(names))]
-        if n <= 0:
-            return []
-        hashes = np.array([_hash(w) for w in names], np.uint64)[ids]
-        part = np.full(len(ids), _start(lang))
-        for j in range(k - 1):
-            part = _mixed(part[: len(part) - (j > 0)], hashes[j:])
-        inside = ids != 0
-        whole = inside[: len(ids) - k + 2].copy()  # no break in the k-1 words from here on
-        for j in range(1, k - 1):
-            whole &= inside[j : len(ids) - k + 2 + j]
-        frequent = np.zeros(len(part), bool)
-        at = np.flatnonzero(whole)
-        frequent[at] = shared.value.has(part[at])
-        at = np.flatnonzero(frequent[:-1] & frequent[1:])
-        if not len(at):
-            return []
-        key = ids[at]
-        for j in range(1, k):  # exact: places in this batch's vocabulary, pairs of two numbers below 2^31 each
-            key = _dense(key) * len(names) + ids[at + j]
-        _, first, count = np.unique(key, return_index=True, return_counts=True)
-        return [(b" ".join([names[i] for i in ids[p : p + k]]).decode(), int(c)) for p, c in zip(at[first], count)]
+class _Numbers(dict):
+    """Words to numbers, in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
+        return found
+
+
+def _grams(lang: str, texts: list[bytes], k: int, held: FrequentSet | None) -> tuple[list[str], np.ndarray]:
+    """The distinct phrases of ``k`` words in some texts, both of whose overlapping parts are in the set, and how often each comes."""
+    numbers = _Numbers({_BREAK: 0})
+    found = words_of(b"\n".join(texts))
+    ids = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+    names, n = list(numbers), len(ids) - k + 1
+    if k == 1:
+        count = np.bincount(ids, minlength=len(names))[1:]
+        return [w.decode() for w in names[1:]], count
+    if n <= 0:
+        return [], np.zeros(0, np.int64)
+    hashes = np.array([_hash(w) for w in names], np.uint64)[ids]
+    part = np.full(len(ids), _start(lang))
+    for j in range(k - 1):
+        part = _mixed(part[: len(part) - (j > 0)], hashes[j:])
+    inside = ids != 0
+    whole = inside[: len(part)].copy()  # no break in the k-1 words from here on
+    for j in range(1, k - 1):
+        whole &= inside[j : len(part) + j]
+    frequent = np.zeros(len(part), bool)
+    at = np.flatnonzero(whole)
+    frequent[at] = held.has(part[at])
+    at = np.flatnonzero(frequent[:-1] & frequent[1:])
+    key, largest = ids[at], len(names) - 1
+    for j in range(1, k):  # exact: numbers of words, or of what was seen so far, one behind the other
+        if (largest + 1) * len(names) >= 1 << 63:
+            key = np.unique(key, return_inverse=True)[1]
+            largest = int(key.max(initial=0))
+        key = key * len(names) + ids[at + j]
+        largest = (largest + 1) * len(names) - 1
+    _, first, count = np.unique(key, return_index=True, return_counts=True)
+    spelled = [w.decode() for w in names]
+    return [" ".join([spelled[i] for i in row]) for row in ids[at[first][:, None] + np.arange(k)].tolist()], count
+
+
+def _counted(k: int, shared, block_bytes: int = 8 << 20):
+    """(lang, phrase, n): how often each language's texts of about ``block_bytes`` have each phrase of ``k`` words both of whose overlapping parts are in the shared set."""
 
     def run(batches):
+        held: dict[str, list[bytes]] = {}
+        size = 0
+
+        def counted():
+            for lang, texts in held.items():
+                phrases, counts = _grams(lang, texts, k, shared and shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+            held.clear()
+
         for b in batches:
-            by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                by_lang.setdefault(lang, []).append(text.as_py().encode())
-            for lang, texts in by_lang.items():
-                found = grams(lang, texts)
-                phrases, counts = zip(*found) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+                text = text.as_py().encode()
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+                if size >= block_bytes:
+                    yield from counted()
+                    size = 0
+        yield from counted()
 
     return run
 
