@@ -1,14 +1,15 @@
 """Phrase collocations by level-wise passes: longer phrases are counted only where both shorter ones in them are frequent.
 
-Level 1 counts words. Level k reads the texts again and counts the phrases of k
-words whose first and last k-1 words are frequent, which a set given to all
-tasks tells: bits at two hashes of each frequent phrase, at most 2^28 of them
-(32 MB) however many phrases there are. Where it takes a phrase for frequent
-that is not, more is counted than need be; all occurrences of a phrase are
-counted or none, and those too rare are dropped by their exact count, so the
-result doesn't depend on it. Tasks count in batches before Spark adds up, so a
-frequent phrase is no hot key. Each level is a written table, and cuts are
-scored by joining the tables.
+The first pass over the texts counts words. Pass k counts the phrases of k words
+whose first and last k-1 words are frequent, which a set given to all tasks
+tells: bits at two hashes of each frequent phrase, at most 2^28 of them (32 MB)
+however many phrases there are. These candidates, most of which come but a few
+times, are counted by 64-bit hashes; the same pass spells out the phrases of
+k-1 words that were frequent, and counts them by their words. So hashes and bits
+say only what is looked at: a phrase that comes often enough always passes them,
+one that doesn't is dropped by its exact count. Tasks count 8 MB of text at once
+before Spark adds up, so a frequent phrase is no hot key. Each pass writes a
+table, and cuts are scored by joining these.
 """
 
 from __future__ import annotations
@@ -47,11 +48,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class FrequentSet:
-    """Bits at two hashes of each frequent phrase; phrases are known by 64-bit hashes, folded word by word."""
+    """Bits at two places of each frequent hash."""
 
     def __init__(self, bits: int, chunks: dict[int, bytes]):
         self.mask = np.uint64(bits - 1)
-        self.data = np.zeros(bits // 8, np.uint8)
+        self.data = np.zeros(max(bits, _CHUNK_BITS) // 8, np.uint8)
         for number, data in chunks.items():
             self.data[number * _CHUNK_BITS // 8 :][: _CHUNK_BITS // 8] = np.frombuffer(data, np.uint8)
 
@@ -71,16 +72,11 @@ def _start(lang: str) -> np.uint64:
 
 
 def _chunk_rows(bits: int):
-    """Phrases to (chunk, place): which bits they set, by chunks of 2^16."""
+    """Hashes to (chunk, place): which bits they set, by chunks of 2^16."""
 
     def run(batches):
         for b in batches:
-            hashes = np.zeros(len(b), np.uint64)
-            for i, (lang, phrase) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                h = np.array([_start(lang)])
-                for word in phrase.encode().split(b" "):
-                    h = _mixed(h, np.uint64(_hash(word)))
-                hashes[i] = h[0]
+            hashes = b.column(0).to_numpy().view(np.uint64)
             at = np.unique(np.concatenate(_places(hashes, np.uint64(bits - 1)))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at // _CHUNK_BITS, pa.int32()), pa.array(at % _CHUNK_BITS, pa.int32())], ["chunk", "place"])
 
@@ -93,12 +89,12 @@ def _chunk(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "data": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
 
-def frequent_set(level: DataFrame, most_bits: int = MOST_BITS) -> FrequentSet:
-    """The set of a level's phrases: sixteen bits a phrase or ``most_bits`` in all, made in tasks."""
-    bits = _CHUNK_BITS
-    while bits < min(most_bits, 16 * level.count()):
+def frequent_set(frequent: DataFrame, most_bits: int = MOST_BITS) -> FrequentSet:
+    """The set of the hashes ``h``: sixteen bits each or ``most_bits`` in all, made in tasks."""
+    bits = min(1 << 16, most_bits)
+    while bits < min(most_bits, 16 * frequent.count()):
         bits *= 2
-    places = level.select("lang", "phrase").mapInArrow(_chunk_rows(bits), "chunk int, place int").distinct()
+    places = frequent.select("h").mapInArrow(_chunk_rows(bits), "chunk int, place int").distinct()
     chunks = places.groupBy("chunk").applyInArrow(_chunk, "chunk int, data binary").collect()  # at most `most_bits`
     return FrequentSet(bits, {r["chunk"]: bytes(r["data"]) for r in chunks})
 
@@ -111,43 +107,87 @@ class _Numbers(dict):
         return found
 
 
-def _grams(lang: str, texts: list[bytes], k: int, held: FrequentSet | None) -> tuple[list[str], np.ndarray]:
-    """The distinct phrases of ``k`` words in some texts, both of whose overlapping parts are in the set, and how often each comes."""
-    numbers = _Numbers({_BREAK: 0})
-    found = words_of(b"\n".join(texts))
-    ids = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-    names, n = list(numbers), len(ids) - k + 1
-    if k == 1:
-        count = np.bincount(ids, minlength=len(names))[1:]
-        return [w.decode() for w in names[1:]], count
-    if n <= 0:
-        return [], np.zeros(0, np.int64)
-    hashes = np.array([_hash(w) for w in names], np.uint64)[ids]
-    part = np.full(len(ids), _start(lang))
-    for j in range(k - 1):
-        part = _mixed(part[: len(part) - (j > 0)], hashes[j:])
-    inside = ids != 0
-    whole = inside[: len(part)].copy()  # no break in the k-1 words from here on
-    for j in range(1, k - 1):
-        whole &= inside[j : len(part) + j]
-    frequent = np.zeros(len(part), bool)
-    at = np.flatnonzero(whole)
-    frequent[at] = held.has(part[at])
-    at = np.flatnonzero(frequent[:-1] & frequent[1:])
-    key, largest = ids[at], len(names) - 1
-    for j in range(1, k):  # exact: numbers of words, or of what was seen so far, one behind the other
-        if (largest + 1) * len(names) >= 1 << 63:
-            key = np.unique(key, return_inverse=True)[1]
-            largest = int(key.max(initial=0))
-        key = key * len(names) + ids[at + j]
-        largest = (largest + 1) * len(names) - 1
-    _, first, count = np.unique(key, return_index=True, return_counts=True)
-    spelled = [w.decode() for w in names]
-    return [" ".join([spelled[i] for i in row]) for row in ids[at[first][:, None] + np.arange(k)].tolist()], count
-
-
-def _counted(k: int, shared, block_bytes: int = 8 << 20):
-    """(lang, phrase, n): how often each language's texts of about ``block_bytes`` have each phrase of ``k`` words both of whose overlapping parts are in the shared set."""
+_COUNTED = [("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())]
+
+
+def _counted_rows(lang, phrases, hashes, counts) -> pa.RecordBatch:
+    n = len(counts)
+    none = lambda kind: pa.nulls(n, kind)
+    arrays = [
+        none(pa.string()) if phrases is None else pa.array([lang] * n, pa.string()),
+        none(pa.string()) if phrases is None else pa.array(phrases, pa.string()),
+        none(pa.int64()) if hashes is None else pa.array(hashes.view(np.int64)),
+        pa.array(counts, pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in _COUNTED])
+
+
+class _Words:
+    """Some texts of a language as numbers of words, 0 for a break, and the hashes of the phrases from each place on."""
+
+    def __init__(self, lang: str, texts: list[bytes]):
+        numbers = _Numbers({_BREAK: 0})
+        found = words_of(b"\n".join(texts))
+        self.lang, self.ids = lang, np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+        self.names = [w.decode() for w in numbers]
+        self.hashes = np.array([_hash(w) for w in numbers], np.uint64)
+
+    def words(self) -> pa.RecordBatch:
+        count = np.bincount(self.ids, minlength=len(self.names))[1:]
+        return _counted_rows(self.lang, self.names[1:], _mixed(_start(self.lang), self.hashes[1:]), count)
+
+    def phrases(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of all phrases of ``k`` words without a break."""
+        n = len(self.ids) - k + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        whole = np.ones(n, bool)
+        for j in range(k):
+            whole &= self.ids[j : n + j] != 0
+        at = np.flatnonzero(whole)
+        h = np.full(len(at), _start(self.lang))
+        for j in range(k):
+            h = _mixed(h, self.hashes[self.ids[at + j]])
+        return at, h
+
+    def spelled(self, at: np.ndarray, k: int) -> pa.RecordBatch:
+        """The phrases of ``k`` words at some places, counted by their words."""
+        key, largest = self.ids[at], len(self.names) - 1
+        for j in range(1, k):  # exact: numbers of words, or of what was seen so far, one behind the other
+            if (largest + 1) * len(self.names) >= 1 << 63:
+                key = np.unique(key, return_inverse=True)[1]
+                largest = int(key.max(initial=0))
+            key = key * len(self.names) + self.ids[at + j]
+            largest = (largest + 1) * len(self.names) - 1
+        _, first, count = np.unique(key, return_index=True, return_counts=True)
+        return _counted_rows(self.lang, [" ".join([self.names[i] for i in row]) for row in self.ids[at[first][:, None] + np.arange(k)].tolist()], None, count)
+
+
+def _pass(k: int, shared, longest: int):
+    """What pass ``k`` makes of a language's texts: the phrases of k-1 words in the shared set, spelled out, and hashes of those of k words both of whose overlapping parts are in it."""
+
+    def rows(lang: str, texts: list[bytes]):
+        words = _Words(lang, texts)
+        if k == 1:
+            yield words.words()
+            return
+        at, h = words.phrases(k - 1)
+        frequent = shared.value.has(h)
+        at = at[frequent]
+        if k > 2:
+            yield words.spelled(at, k - 1)
+        if k <= longest:
+            both = np.zeros(len(words.ids) + 1, bool)
+            both[at] = True
+            at, h = words.phrases(k)
+            found, count = np.unique(h[both[at] & both[at + 1]], return_counts=True)
+            yield _counted_rows(lang, None, found, count)
+
+    return rows
+
+
+def _counted(rows, block_bytes: int = 8 << 20):
+    """``rows`` of each language's texts of about ``block_bytes`` together."""
 
     def run(batches):
         held: dict[str, list[bytes]] = {}
@@ -155,8 +195,7 @@ def _counted(k: int, shared, block_bytes: int = 8 << 20):
 
         def counted():
             for lang, texts in held.items():
-                phrases, counts = _grams(lang, texts, k, shared and shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+                yield from rows(lang, texts)
             held.clear()
 
         for b in batches:
@@ -172,22 +211,27 @@ def _counted(k: int, shared, block_bytes: int = 8 << 20):
     return run
 
 
-def _level(docs: DataFrame, k: int, shared) -> DataFrame:
-    return docs.mapInArrow(_counted(k, shared), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-
-
-def phrase_levels(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[list[DataFrame], DataFrame]:
+def phrase_levels(docs: DataFrame, least: int = 30, longest: int = 4, most_bits: int = MOST_BITS) -> tuple[list[DataFrame], DataFrame]:
     """([(lang, phrase, f) of 1, 2, … words], (lang, n)): all phrases that come ``least`` times or more, and how many words each language has."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    enough = F.col("f") >= least
+
+    def counted(k: int, shared) -> DataFrame:
+        return texts.mapInArrow(_counted(_pass(k, shared, longest)), "lang string, phrase string, h long, n long").groupBy("lang", "phrase", "h").agg(F.sum("n").alias("f"))
+
     with in_small_batches(spark):
-        words = materialize(_level(texts, 1, None), "words")
+        words = materialize(counted(1, None), "words")
         totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-        levels = [words.where(F.col("f") >= least)]
-        for k in range(2, longest + 1):
-            shared = spark.sparkContext.broadcast(frequent_set(levels[-1]))
-            levels.append(materialize(_level(texts, k, shared).where(F.col("f") >= least), f"phrases-{k}"))
+        last = words.where(enough)
+        levels = [last.select("lang", "phrase", "f")]
+        for k in range(2, longest + 2):
+            shared = spark.sparkContext.broadcast(frequent_set(last, most_bits))
+            found = materialize(counted(k, shared).where(enough), f"pass-{k}")
             shared.unpersist()
+            if k > 2:
+                levels.append(found.where("phrase is not null").select("lang", "phrase", "f"))
+            last = found.where("phrase is null")
     return levels, totals
 
 
@@ -206,7 +250,7 @@ def _of_parts(cuts: DataFrame, column: str, levels: DataFrame, count: str) -> Da
     return cuts.withColumn("salt", salt).join(found, ["lang", column, "salt"]).drop("salt")
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, most_bits: int = MOST_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words by their lowest-scoring cut.
 
     ``a`` is how often the phrase comes, in pieces of text between ends of
@@ -221,7 +265,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     does a language without frequent phrases. Columns but lang and text are not
     read.
     """
-    levels, totals = phrase_levels(docs, least, longest)
+    levels, totals = phrase_levels(docs, least, longest, most_bits)
     empty = docs.sparkSession.createDataFrame([], "lang string, phrase string, f long")
     longer = empty
     for level in levels[1:]:

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,37 +57,31 @@ def test_equals_counting_every_phrase(spark, how):
     assert got == brute(rows, **how) and len(got) > 20
 
 
-def test_a_full_set_only_counts_more(spark, monkeypatch):
-    """Sixteen times more phrases than bits would have: the set takes all for frequent, the result is the same."""
-    monkeypatch.setattr(phrases.FrequentSet, "has", lambda self, hashes: hashes == hashes)
+def test_a_full_set_only_counts_more(spark):
+    """A few bits for hundreds of phrases: the set takes nearly all for frequent, the result is the same."""
     rows = chatter(2, 200)
     docs = spark.createDataFrame(rows, SCHEMA)
-    assert rows_of(phrases.collocations(docs, least=4)) == brute(rows, least=4)
+    assert rows_of(phrases.collocations(docs, least=4, most_bits=64)) == brute(rows, least=4)
 
 
-def test_set_has_all_its_phrases_and_few_others(spark):
-    level = spark.createDataFrame([("en", f"word{i} next{i}", 30) for i in range(3000)], "lang string, phrase string, f long")
-    held = phrases.frequent_set(level)
-
-    def hashed(lang, i):
-        import numpy as np
-
-        h = np.array([phrases._start(lang)])
-        for w in (f"word{i}", f"next{i}"):
-            h = phrases._mixed(h, np.uint64(phrases._hash(w.encode())))
-        return h
-
-    assert all(held.has(hashed("en", i))[0] for i in range(3000))
-    assert sum(held.has(hashed("de", i))[0] for i in range(3000)) < 150
-    assert len(phrases.frequent_set(level, most_bits=1 << 16).data) == 1 << 13
+def test_set_has_all_its_hashes_and_few_others(spark):
+    held = phrases.frequent_set(spark.range(6000).where("id % 2 = 0").select(F.xxhash64("id").alias("h")))
+    every = spark.range(6000).select("id", F.xxhash64("id").alias("h")).collect()
+    found = held.has(np.array([r.h for r in every], np.int64).view(np.uint64))
+    assert all(found[r.id] for r in every if r.id % 2 == 0) and sum(found[r.id] for r in every if r.id % 2) < 150
+    assert len(phrases.frequent_set(spark.range(99_999).select(F.xxhash64("id").alias("h")), most_bits=1 << 16).data) == 1 << 13
 
 
 def test_pruned_phrases_are_not_counted(spark):
-    """Level 3 counts only where both pairs are frequent."""
+    """Pass 3 counts phrases of three words only where both pairs are frequent."""
     docs = spark.createDataFrame([(k, f"one two three{k % 50} four five", "en", "s", 0) for k in range(100)], SCHEMA)
-    held = spark.sparkContext.broadcast(phrases.frequent_set(phrases.phrase_levels(docs, 30, 2)[0][1]))
-    texts = docs.select("lang", "text")
-    assert texts.mapInArrow(phrases._counted(3, held), "lang string, phrase string, n long").count() == 0
+    pairs = docs.select("lang", "text").repartition(1).mapInArrow(phrases._counted(phrases._pass(1, None, 4)), "lang string, phrase string, h long, n long")
+    held = spark.sparkContext.broadcast(phrases.frequent_set(pairs.where("n >= 30")))
+    second = docs.select("lang", "text").repartition(1).mapInArrow(phrases._counted(phrases._pass(2, held, 4)), "lang string, phrase string, h long, n long")
+    assert second.agg(F.sum("n")).first()[0] == 200  # one two, four five
+    held = spark.sparkContext.broadcast(phrases.frequent_set(second))
+    third = docs.select("lang", "text").mapInArrow(phrases._counted(phrases._pass(3, held, 4)), "lang string, phrase string, h long, n long")
+    assert {r.phrase for r in third.collect()} == {"one two", "four five"}
 
 
 def test_shares_of_a_language(spark):
