@@ -11,6 +11,7 @@ that pass the Hamming check are verified by their shingles.
 
 from __future__ import annotations
 
+import logging
 import math
 from itertools import combinations
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import in_small_batches, materialize
 from .components import connected_components
 
+log = logging.getLogger(__name__)
 BITS = 64
 _PIECE = 1 << 20
 
@@ -176,7 +178,7 @@ def _deal(rows: DataFrame, bucket_rows: int) -> DataFrame:
         other = F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
         group = F.explode(F.transform(other, lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own"))))
         dealt = rows.join(big, ["mask", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own).withColumn("part", group)
-    return dealt.select("mask", "value", "part", "fp", "rep").repartition("mask", "value", "part").sortWithinPartitions("mask", "value", "part")
+    return dealt.select("mask", "value", "part", *(c for c in rows.columns if c not in ("mask", "value"))).repartition("mask", "value", "part").sortWithinPartitions("mask", "value", "part")
 
 
 def near_links(classes: DataFrame, max_distance: int = 3, extra: int = 2, bucket_rows: int = 4096) -> DataFrame:
@@ -250,21 +252,50 @@ def block_plan(rows: int, similarity: float, recall: float, bucket_rows: int = 1
 CHECKED_WORDS = 4
 
 
-def _long_prints(docs: DataFrame, width: int, bits: int, blocks: int) -> DataFrame:
-    """(doc_id, hash, fp, blocks): the first ``CHECKED_WORDS`` words of each whole text's long SimHash, and the numbers of all its blocks."""
+class _Drawn:
+    """Sets of shingles of some texts, and which of them a set is similar to."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.sizes, self.similarity = np.array([len(x) for x in sets], np.int64), similarity
+        every, of = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.every, self.of = every[order], of[order]
+
+    def near(self, found: np.ndarray) -> list[int]:
+        if not len(found) or not len(self.every):
+            return []
+        left, right = (np.searchsorted(self.every, found, side) for side in ("left", "right"))
+        hit = right > left
+        some = [self.of[a:b] for a, b in zip(left[hit], right[hit])]
+        both = np.bincount(np.concatenate(some), minlength=len(self.sizes)) if some else np.zeros(len(self.sizes), np.int64)
+        return np.flatnonzero((both > 0) & (both >= self.similarity * (self.sizes + len(found) - both) - 1e-9)).tolist()
+
+
+def _draw(docs: DataFrame, n: int, width: int, similarity: float, most_bytes: int = 32_768) -> tuple[_Drawn, list[tuple]]:
+    """Up to ``n`` distinct texts of at most ``most_bytes`` with the smallest hashes, whatever the table's order, to hold what is found against: their sets, and each one's (doc_id, hash)."""
+    named = _named(docs).where(F.octet_length("text") <= most_bytes)
+    rows = named.orderBy(F.xxhash64(F.lit("drawn"), "hash"), "doc_id").limit(n).collect()
+    first = {r["hash"]: r for r in reversed(rows)}
+    return _Drawn([shingle_set(r["text"], width) for r in first.values()], similarity), [(r["doc_id"], r["hash"]) for r in first.values()]
+
+
+def _long_prints(docs: DataFrame, width: int, bits: int, blocks: int, drawn: _Drawn) -> DataFrame:
+    """(doc_id, hash, fp, blocks, near): the first ``CHECKED_WORDS`` words of each whole text's long SimHash, the numbers of all its blocks, and of the drawn texts those that it is similar to."""
     words = max(CHECKED_WORDS, -(-bits * blocks // BITS))
     powers = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches):
         for b in batches:
-            prints = [long_print(shingle_set(t.as_py(), width), words) for t in b.column(2)]
+            sets = [shingle_set(t.as_py(), width) for t in b.column(2)]
+            prints = [long_print(x, words) for x in sets]
             rows = np.array(prints, np.uint8).reshape(len(prints), words * BITS)
             fps = np.packbits(rows[:, : CHECKED_WORDS * BITS], axis=1, bitorder="little")
             numbers = rows[:, : bits * blocks].reshape(len(rows), blocks, bits) @ powers
             lists = pa.FixedSizeListArray.from_arrays(pa.array(numbers.ravel()), blocks).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in fps], pa.binary()), lists], ["doc_id", "hash", "fp", "blocks"])
+            near = pa.array([drawn.near(x) for x in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in fps], pa.binary()), lists, near], ["doc_id", "hash", "fp", "blocks", "near"])
 
-    return _named(docs).mapInArrow(run, "doc_id long, hash long, fp binary, blocks array<long>")
+    return _named(docs).mapInArrow(run, "doc_id long, hash long, fp binary, blocks array<long>, near array<int>")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -303,44 +334,140 @@ def bucket_tree(fps: np.ndarray, reps: np.ndarray, limit: int) -> tuple[np.ndarr
     return np.maximum(u, v), np.minimum(u, v)
 
 
-def _verified(width: int, similarity: float):
-    """Pairs with their texts to those whose sets of shingles are similar enough; texts without shingles are alike."""
+def crossing_pairs(fps: np.ndarray, reps: np.ndarray, groups: np.ndarray, tried: list, limit: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v) of a bucket within ``limit`` bits that lie in different groups and are not in ``tried``: of each row outside of the largest group the ``most`` nearest."""
+    names, of, size = np.unique(groups, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(of != size.argmax()) if len(names) > 1 else np.zeros(0, np.int64)
+    us, vs, strip = [], [], max(1, (1 << 18) // len(reps))
+    for a in range(0, len(rows), strip):
+        mine = rows[a : a + strip]
+        far = _distance(fps[mine, None], fps[None])
+        far[of[mine][:, None] == of[None]] = limit + 1
+        for i, distance in zip(mine[(far <= limit).any(1)], far[(far <= limit).any(1)]):
+            near = np.flatnonzero(distance <= limit)
+            near = near[np.argsort(distance[near], kind="stable")]
+            if tried[i]:
+                near = near[~np.isin(reps[near], tried[i])]
+            us.append(np.full(len(near[:most]), reps[i]))
+            vs.append(reps[near[:most]])
+    u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def _crossing(limit: int, most: int):
+    """`crossing_pairs` of each bucket of rows sorted by bucket; one may go over several batches."""
+
+    def run(batches):
+        held: list = []
+
+        def pairs():
+            t = pa.Table.from_batches(held)
+            held.clear()
+            if len(t) < 2:
+                return
+            u, v = crossing_pairs(_prints(t.column("fp")), t.column("rep").to_numpy(), t.column("group").to_numpy(), t.column("tried").to_pylist(), limit, most)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        last = None
+        for b in batches:
+            keys = np.stack([b.column(k).to_numpy() for k in ("mask", "value", "part")], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, e in zip([0, *cuts], [*cuts, len(b)]):
+                if last is not None and (keys[a] != last).any():
+                    yield from pairs()
+                last = keys[a]
+                held.append(b.slice(a, e - a))
+        if held:
+            yield from pairs()
+
+    return run
+
+
+def _checked(width: int, similarity: float):
+    """Pairs with their texts to (u, v, similar): whether their sets of shingles are similar enough; texts without shingles are alike."""
 
     def run(batches):
         last, mine = None, None
         for b in batches:
-            keep = []
+            similar = []
             for v, a, c in zip(b.column("v").to_pylist(), b.column("u_text"), b.column("v_text")):
                 if v != last:  # rows come sorted by v
                     last, mine = v, shingle_set(c.as_py(), width)
                 other = shingle_set(a.as_py(), width)
                 both = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(both >= similarity * (len(mine) + len(other) - both) - 1e-9)
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                similar.append(both >= similarity * (len(mine) + len(other) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(similar, pa.bool_())], ["u", "v", "similar"])
 
     return run
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99, bucket_rows: int = 4096) -> DataFrame:
+def _check(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(u, v, similar), written, of pairs whose texts are in ``texts`` (rep, text)."""
+    both = pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("rep").alias("v"), F.col("text").alias("v_text")), "v")
+    both = both.select("u", "v", "u_text", "v_text").sortWithinPartitions("v")
+    with in_small_batches(pairs.sparkSession, 64):  # rows of two whole texts, those of one long text together
+        return materialize(both.mapInArrow(_checked(width, similarity), "u long, v long, similar boolean"), "checked")
+
+
+def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` with ``group``, the smallest rep that the links lead to."""
+    found = connected_components(links)
+    return classes.join(found, classes.rep == found.node, "left").withColumn("group", F.coalesce("component", "rep")).drop("node", "component")
+
+
+def _links_between_groups(classes: DataFrame, checked: DataFrame, texts: DataFrame, limit: int, bucket_rows: int, width: int, similarity: float) -> DataFrame:
+    """All links (u, v): those of ``checked``, the pairs of the buckets' trees, and more until no bucket has a pair within ``limit`` between groups that was not checked.
+
+    Where every pair of a tree is a link, all that is near is tied. What hangs
+    together by pairs of trees, but not by links, is looked at again, and
+    nothing else: its nearest pairs between groups are checked, each round twice
+    as many of a row, and groups that become one need no more pairs.
+    """
+    links = checked.where("similar").select("u", "v")
+    by_tree = _grouped(_grouped(classes, links).withColumnRenamed("group", "own"), checked.select("u", "v")).select("rep", "fp", "blocks", "own", "group")
+    torn = by_tree.groupBy("group").agg((F.min("own") != F.max("own")).alias("torn")).where("torn").select("group")
+    left = materialize(by_tree.join(torn, "group", "left_semi").select("rep", "fp", "blocks"), "left")
+    most = 8
+    while True:
+        pairs = checked.where("not similar")
+        tried = pairs.union(pairs.select("v", "u", "similar")).groupBy("u").agg(F.collect_list("v").alias("tried")).withColumnRenamed("u", "rep")
+        mine = checked.where("similar").select("u", "v").join(left.select(F.col("rep").alias("u")), "u", "left_semi")
+        rows = _grouped(left, mine).join(tried, "rep", "left").select("rep", "fp", "group", "tried", F.posexplode("blocks").alias("mask", "value"))
+        rows = materialize(rows, "rows")
+        found = _deal(rows, bucket_rows).mapInArrow(_crossing(limit, most), "u long, v long").distinct()
+        found = materialize(found, "crossing")
+        if found.isEmpty():
+            return checked.where("similar").select("u", "v")
+        checked = checked.unionByName(_check(found, texts, width, similarity))
+        most *= 2
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99, bucket_rows: int = 4096, drawn: int = 256) -> DataFrame:
     """(doc_id, hash, copies, group): every distinct document (id and text hash) with the group that it is in.
 
     Groups are chains of pairs whose sets of ``width``-word shingles have a
     Jaccard similarity of ``similarity`` or more. A pair at the limit shares one
-    of the blocks with probability ``recall``, a closer one nearly always. In
-    each bucket a tree of the nearest pairs that pass the Hamming check ties what
-    is near; its pairs are verified by their whole sets of shingles. Texts with equal
-    fingerprints of all blocks, as copies are, go as one. Null and empty texts are alike.
+    of the blocks with probability ``recall``, a closer one nearly always, and
+    passes the Hamming check of 256 bits but for one in two hundred at the limit. All
+    pairs that do are verified by their whole sets of shingles, but for those
+    that other links tie. Texts with equal fingerprints of all blocks, as copies
+    are, go as one. Null and empty texts are alike.
+
+    ``drawn`` distinct texts are held against all others besides; the share of
+    their similar texts that came to their groups is logged.
     """
     bits, blocks = block_plan(docs.count(), similarity, recall)
+    sets, names = _draw(docs, drawn, width, similarity)
     with in_small_batches(docs.sparkSession):
-        prints = materialize(_long_prints(docs, width, bits, blocks), "prints")
+        prints = materialize(_long_prints(docs, width, bits, blocks, sets), "prints")
     member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     distinct = prints.groupBy("doc_id", "hash", "fp", "blocks").agg(F.count("*").alias("copies"))
     classes = distinct.groupBy("fp", "blocks").agg(F.min(member).alias("m"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "fp", "blocks", "m.doc_id", "m.hash"), "classes")
     agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    checked = CHECKED_WORDS * BITS
-    limit = int(checked * (1 - agree) + 2.5 * math.sqrt(checked * agree * (1 - agree)))
+    checked_bits = CHECKED_WORDS * BITS
+    limit = int(checked_bits * (1 - agree) + 2.5 * math.sqrt(checked_bits * agree * (1 - agree)))
     rows = classes.select("rep", "fp", F.posexplode("blocks").alias("mask", "value"))
     near = _by_bucket(lambda a, b: _near(a, b, limit), lambda fps, reps: bucket_tree(fps, reps, limit))
     pairs = materialize(_deal(rows, bucket_rows).mapInArrow(near, "u long, v long").distinct(), "pairs")
@@ -350,13 +477,23 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, reca
     # texts are dealt the same way at every size: what is asked for grows with the documents
     texts = named.join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("rep", "text")
     texts = materialize(texts.groupBy("rep").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("rep").alias("v"), F.col("text").alias("v_text")), "v")
-    both = both.select("u", "v", "u_text", "v_text").sortWithinPartitions("v")
-    with in_small_batches(docs.sparkSession, 64):  # rows of two whole texts, those of one long text together
-        links = materialize(both.mapInArrow(_verified(width, similarity), "u long, v long"), "links")
-    found = connected_components(links)
-    grouped = classes.join(found, classes.rep == found.node, "left").select("fp", "blocks", F.coalesce("component", "rep").alias("group"))
-    return distinct.join(grouped, ["fp", "blocks"]).select("doc_id", "hash", "copies", "group")
+    links = _links_between_groups(classes, _check(pairs, texts, width, similarity), texts, limit, bucket_rows, width, similarity)
+    grouped = _grouped(classes, links).select("fp", "blocks", "group")
+    out = materialize(distinct.join(grouped, ["fp", "blocks"]).select("doc_id", "hash", "copies", "group"), "similar")
+    share, n = _audit(prints, out, names)
+    log.info("near copies: %s of %d similar pairs with one of %d drawn texts are in one group", share, n, len(names))
+    return out
+
+
+def _audit(prints: DataFrame, out: DataFrame, names: list[tuple]) -> tuple[float | None, int]:
+    """(share, number): of the pairs of a drawn text and another similar one, how many are in one group."""
+    drawn = F.broadcast(prints.sparkSession.createDataFrame([(k, *name) for k, name in enumerate(names)], "near int, d long, h long"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
+    wanted = out.join(drawn, same).select("near", "d", "h", F.col("group").alias("wanted"))
+    pairs = prints.select(F.col("doc_id").alias("i"), F.col("hash").alias("t"), F.explode("near").alias("near")).distinct()
+    both = pairs.join(out, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("hash"))).join(F.broadcast(wanted), "near").where(~same)
+    row = both.agg(F.count("*").alias("n"), F.avg((F.col("group") == F.col("wanted")).cast("double")).alias("share")).first()
+    return row["share"], row["n"]
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

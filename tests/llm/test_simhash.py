@@ -180,3 +180,36 @@ def test_components_of_a_chain_and_nothing(spark):
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {k: 0 for k in range(61)} | {200: 200, 201: 200}
     assert connected_components(edges.where("u < -1")).count() == 0
+
+
+def test_crowds_around_the_limit(spark):
+    """Groups of texts that differ in about as much as may be: all that is near is verified, not the pairs of a tree alone."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for k in range(12):
+            words = list(base)
+            for at in rng.sample(range(300), rng.randint(2, 7)):
+                words[at] = f"x{rng.randrange(10**9)}"
+            rows.append((12 * g + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.group for r in simhash.similar_texts(docs).collect()}
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    near = [(a, b) for g in range(40) for a in range(12 * g, 12 * g + 12) for b in range(a + 1, 12 * g + 12) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 300 and sum(got[a] != got[b] for a, b in near) <= 0.01 * len(near)
+    assert len({got[k] for k in range(len(rows))}) > 60  # most groups fall apart
+
+
+def test_pairs_between_groups():
+    import numpy as np
+
+    fps = np.array([[0], [1], [3], [7], [1 << 60]], np.uint64)
+    reps, groups = np.array([10, 11, 12, 13, 14]), np.array([1, 1, 1, 2, 3])
+    pairs = lambda tried, limit, most: sorted(zip(*(x.tolist() for x in simhash.crossing_pairs(fps, reps, groups, tried, limit, most))))
+    none = [None] * 5
+    assert pairs(none, 1, 8) == [(13, 12), (14, 10)]
+    assert pairs(none, 2, 8) == [(13, 11), (13, 12), (14, 10), (14, 11)]
+    assert pairs(none, 2, 1) == [(13, 12), (14, 10)]
+    assert pairs([None, None, None, [12], [10]], 2, 1) == [(13, 11), (14, 11)]
+    assert pairs(none, 64, 0) == [] and simhash.crossing_pairs(fps, reps, np.ones(5), none, 64, 8)[0].tolist() == []
