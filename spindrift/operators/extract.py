@@ -1,211 +1,150 @@
-"""Symbols and references out of source files, by patterns on lines and matched blocks.
+"""Symbols and references out of source files.
 
-All in Spark SQL: comments and strings are blanked, lines exploded, and braces
-(or Ruby's ends) paired by nesting level and order, so a file is never parsed as
-one value in Python. Known gaps beside a full parser: one definition a line,
-and of Ruby's calls without parentheses those without receiver or argument.
+A file is scanned once, in a task (``lexer``): one row for each statement that
+may define something, with its tokens, span and comment, and one for each name
+that is called, extended or imported. All else is narrow Spark SQL on these
+rows: patterns say which statements define what, and nothing but the symbols is
+shuffled, to number them within their file.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import language_of, last_identifier, last_segment, signature_of
-
-_STRINGS = r"""\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])*'"""
-_C_LIKE = r"/\*[\s\S]*?\*/|//[^\n]*"
-#: Comments and strings of each language (fixed values).
-NOISE = {
-    "rust": _C_LIKE + r"|\"(?:\\[\s\S]|[^\"\\])*\"|'(?:\\.|[^'\\\n])'",
-    "scala": _C_LIKE + r'|"""[\s\S]*?"""|"(?:\\.|[^"\\\n])*"' + r"|'(?:\\.|[^'\\\n])'",
-    "typescript": _C_LIKE + r"|`(?:\\[\s\S]|[^`\\])*`|" + _STRINGS,
-    "ruby": r"#(?!\{)[^\n]*|" + _STRINGS,
-    "python": r"#[^\n]*|" + r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''|" + _STRINGS,
-}
-_RUST = r"(?:pub(?:\([^)]*\))?\s+)?"
-_SCALA = r"(?:(?:private|protected|final|sealed|abstract|implicit|lazy|override|inline|case)(?:\[\w+\])?\s+)*"
-_TS = r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?"
-_TS_MEMBER = r"(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set)\s+)*"
-#: Definitions: kind and a pattern with the name as its group.
+from ..functions.strings import language_of, last_segment, signature_of
+from ..sources.scratch import written
+from . import lexer
+
+_RUST = r"^(?:pub (?:\( \) )?)?"
+_ANGLES = r"< (?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)* ?>"
+_SCALA = r"^(?:(?:private|protected|final|sealed|abstract|implicit|lazy|override|inline|open|transparent|infix|opaque|case)(?: \[ \])? |@ [\w$]+ (?:\( \) )?)*"
+_NAME = r"([\w$]+|`[^`]+`)"
+_TS_WORDS = r"(?!(?:if|for|while|switch|catch|with|function|return|else|do|new|await|typeof|super|import) )"
+#: Definitions, on a statement's tokens with a blank between them and nothing in brackets: kind, and a pattern with the name as its group.
 DEFINITIONS = {
     "rust": [
-        ("fn", rf"^\s*{_RUST}(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+(?:\"\"\s+)?)?fn\s+(\w+)"),
-        *[(k, rf"^\s*{_RUST}{k}\s+(\w+)") for k in ("struct", "enum", "mod", "type")],
-        ("trait", rf"^\s*{_RUST}(?:unsafe\s+)?trait\s+(\w+)"),
-        ("const", rf"^\s*{_RUST}const\s+(\w+)\s*:"),
-        ("static", rf"^\s*{_RUST}static\s+(?:mut\s+)?(\w+)\s*:"),
-        ("impl", r"^\s*(?:unsafe\s+)?impl\s+(?:[\w:<>]+\s+for\s+)?(\w+)\s*(?:\{|where\b|$)"),
+        ("fn", rf'{_RUST}(?:(?:default|const|async|unsafe|extern|") )*fn ((?:r#)?\w+) .*[{{}}]$'),
+        *[(k, rf"{_RUST}{k} ((?:r#)?\w+)") for k in ("struct", "enum", "mod")],
+        ("type", rf"{_RUST}type (\w+) .*= "),
+        ("trait", rf"{_RUST}(?:unsafe )?(?:auto )?trait (\w+)"),
+        ("const", rf"{_RUST}const (\w+) :"),
+        ("static", rf"{_RUST}static (?:mut )?(\w+) :"),
+        ("impl", rf"^(?:unsafe |default )*impl (?:{_ANGLES} )?(?:(?:! )?[^{{]+? for )?(?!(?:[iu](?:8|16|32|64|128|size)|f32|f64|bool|char|str) )(\w+) (?:where [^{{]*)?\{{"),
+    ],
+    "scala": [
+        *[(k, rf"{_SCALA}{k} {_NAME}") for k in ("object", "class", "trait", "def", "type")],
+        *[(k, rf"{_SCALA}{k} {_NAME} (?:: (?:[^=]|=>)*)?= ") for k in ("val", "var")],
     ],
-    "scala": [(k, rf"^\s*{_SCALA}{k}\s+(\w+)") for k in ("object", "class", "trait", "def", "val", "var", "type")],
-    "ruby": [("class", r"^\s*class\s+(?:\w+::)*([A-Z]\w*)"), ("module", r"^\s*module\s+(?:\w+::)*([A-Z]\w*)"), ("method", r"^\s*(?:private\s+)?def\s+(?:self\.)?(\w+[?!=]?)")],
-    "python": [("class", r"^\s*class\s+(\w+)"), ("def", r"^\s*(?:async\s+)?def\s+(\w+)")],
+    "ruby": [("class", r"^class ([A-Z]\w*)(?: <.*| ;.*)?$"), ("module", r"^module ([A-Z]\w*)(?: ;.*)?$"), ("method", r"^def (?:(?:self|\w+) \. )?([\p{Ll}_]\w*[?!]?)(?: .*)?$")],
+    "python": [("class", r"^class (\w+)"), ("def", r"^(?:async )?def (\w+)")],
     "typescript": [
-        *[(k, rf"^\s*{_TS}{k}\s+(\w+)") for k in ("class", "interface", "type")],
-        ("enum", rf"^\s*{_TS}(?:const\s+)?enum\s+(\w+)"),
-        ("function", rf"^\s*{_TS}(?:async\s+)?function\s*\*?\s+(\w+)"),
-        ("function", rf"^\s*{_TS}(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>)"),
-        ("method", rf"^\s*{_TS_MEMBER}(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b|else\b|do\b)(\w+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{{;]+)?\{{"),
+        ("class", r"^class (?!extends |implements )([\w$]+) .*\}$"),
+        ("interface", r"^interface ([\w$]+) .*\}$"),
+        ("enum", r"^(?:const )?enum ([\w$]+) \{"),
+        ("type", r"^type ([\w$]+) (?:< .* > )?="),
+        ("function", r"^(?:async )?function ([\w$]+) .*\}$"),
+        ("function", r"^let ([\w$]+) (?:! )?(?:: .*?)?= (?:async )?(?:function (?!\*)|(?:< .*? > )?\( \) (?:: .*?)?=>|[\w$]+ =>)"),
+        ("method", rf"^(?:(?:public|private|protected|static|override|readonly|async|get|set|\*) )*{_TS_WORDS}([\w$]+) (?:\? )?(?:< .* > )?\( \) (?:: .+ )?\{{ \}}$"),
     ],
 }
-EXTENDS = {
-    "rust": r"^\s*(?:unsafe\s+)?impl\s+(\w+)\s+for\s",
-    "scala": r"\bextends\s+(\w+)\b(?!\s*[\[.])",
-    "ruby": r"^\s*class\s+\S+\s*<\s*([A-Z]\w*)\s*$",
-    "python": r"^\s*class\s+\w+\s*\(([^)]*)\)",
-    "typescript": r"\b(?:extends|implements)\s+(\w+)\b(?!\s*[<.])",
-}
-_RUBY_OPEN = r"^\s*(?:class|module|def|if|unless|case|while|until|for|begin)\b|\bdo\b\s*(?:\|[^|]*\|)?\s*$"
-_NO_CALL = ("if", "for", "while", "switch", "match", "return", "catch", "function", "fn", "def", "and", "or", "not", "in", "elsif")
-#: Ruby's keywords that a value may follow (fixed values).
-_RUBY_WORDS = ("unless", "until", "case", "when", "then", "else", "do", "begin", "rescue", "ensure", "yield", "alias", "undef", "super", "defined", "self", "nil", "true", "false", "class", "module", "end", "next", "break")
+_ROW = [("file", pa.string()), ("language", pa.string()), ("role", pa.string()), ("start_line", pa.int64()), ("start_col", pa.int64()), ("end_line", pa.int64()), ("end_col", pa.int64()), ("head", pa.string()), ("text", pa.string()), ("comment", pa.string()), ("on_line", pa.string()), ("above", pa.list_(pa.string())), ("name", pa.string()), ("mark", pa.string()), ("qualifier", pa.string())]
+_SCHEMA = "file string, language string, role string, start_line long, start_col long, end_line long, end_col long, head string, text string, comment string, on_line string, above array<string>, name string, mark string, qualifier string"
 
 
-def _per_language(make) -> Column:
-    out = F
-    for language in NOISE:
-        out = out.when(F.col("language") == language, make(language))
-    return out
-
-
-def _blanked(language: str) -> Column:
-    """Content without comments and the insides of strings; line ends stay."""
-    found = F.regexp_extract_all("content", F.lit(NOISE[language]), F.lit(0))
-    pieces = F.split("content", NOISE[language], -1)
-    quote = lambda m: F.when(m.rlike("^[\"'`]"), F.substring(m, 1, 1)).otherwise("")
-    left = F.transform(found, lambda m: F.concat(quote(m), F.regexp_replace(m, r"[^\n]", ""), quote(m)))
-    return F.array_join(F.flatten(F.zip_with(pieces, left, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+def _known(files: DataFrame) -> DataFrame:
+    """(file, language, content) of files (path, content) in a known language, content decoded with replacement."""
+    text = F.coalesce(F.make_valid_utf8(F.col("content").cast("string")), F.lit(""))
+    return files.select(F.col("path").alias("file"), language_of(F.col("path")).alias("language"), text.alias("content")).where("language is not null")
 
 
 def source_lines(files: DataFrame) -> DataFrame:
-    """(file, language, line, raw, code) of files (path, content) in a known language, content decoded with replacement."""
-    known = files.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")).withColumn("language", language_of(F.col("file"))).where("language is not null")
-    both = known.select("file", "language", F.split("content", "\n", -1).alias("raw"), F.split(_per_language(_blanked), "\n", -1).alias("code"))
-    rows = both.select("file", "language", F.posexplode(F.arrays_zip("raw", "code")).alias("line", "l"))
-    return rows.select("file", "language", (F.col("line") + 1).cast("long").alias("line"), F.col("l.raw").alias("raw"), F.coalesce("l.code", F.lit("")).alias("code"))
-
-
-def _definition(language: str) -> Column:
+    """(file, language, line, raw) of files (path, content) in a known language."""
+    rows = _known(files).select("file", "language", F.posexplode(F.split("content", "\n", -1)).alias("line", "raw"))
+    return rows.select("file", "language", (F.col("line") + 1).cast("long").alias("line"), "raw")
+
+
+def _rows(file: str, language: str, content: str):
+    """A file's rows, as lists in the order of the columns."""
+    t = lexer.Tokens(content, language, file.endswith(".tsx"))
+    found = lexer.definitions(t)
+    for first, last, lead, head in found:
+        begin, end = t.start[first], t.end[last]
+        row, col = t.line(begin), t.column(begin)
+        line_end = content.find("\n", begin)
+        text = content[begin : min(end, line_end if line_end >= 0 else end, begin + 4000)]
+        note = t.comments.get(lead)
+        comment = content[note[0] : note[1]].split("\n", 1)[0] if note else None
+        at = t.lines[row - 1]
+        above = [content[t.lines[k] : t.lines[k + 1]].strip()[:400] for k in range(row - 2, max(-1, row - 7), -1)]
+        yield [file, language, "def", row, col, t.line(end - 1), t.column(end - 1) + 1, head, text, comment, content[at : line_end if line_end >= 0 else None][:4000], above, None, None, None]
+
+    def named(role: str, i: int, mark=None, qualifier=None):
+        at = t.start[i]
+        return [file, language, role, t.line(at), t.column(at), None, None, None, None, None, None, None, t.text[i], mark, qualifier]
+
+    for i in lexer.calls(t):
+        mark = t.before(i) if t.before(i) in (".", "?.", "&.", "::") else None
+        yield named("call", i, mark, lexer.qualifier(t, i) if mark and language != "ruby" else None)
+    for i in lexer.parents(t, found):
+        yield named("extends", i)
+    for line, text in lexer.imports(t):
+        yield [file, language, "import", line, None, None, None, None, None, None, None, None, text, None, None]
+
+
+def _scan(batches):
+    for b in batches:
+        for file, language, content in zip(*(c.to_pylist() for c in b.columns)):
+            rows = list(_rows(file, language, content))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows), _ROW)], [name for name, _ in _ROW])
+
+
+def _definition() -> Column:
+    """(kind, name) of a statement, null if it defines nothing."""
     out = F
-    for kind, pattern in DEFINITIONS[language]:
-        out = out.when(F.col("code").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, 1).alias("name")))
+    for language, patterns in DEFINITIONS.items():
+        mine = F
+        head = F.replace(F.col("head"), F.lit("->"), F.lit("~"))
+        for kind, pattern in patterns:
+            mine = mine.when(head.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(head, pattern, 1).alias("name")))
+        out = out.when(F.col("language") == language, mine)
     return out
 
 
-def _blocks(lines: DataFrame) -> DataFrame:
-    """(file, open_line, close_line, place) of paired braces, or of Ruby's openers and ends; ``place`` counts openers by line."""
-    braces = F.split(F.regexp_replace("code", r"[^{}]", ""), "")
-    ruby = F.concat(F.when(F.col("code").rlike(_RUBY_OPEN), F.array(F.lit("{"))).otherwise(F.array().cast("array<string>")), F.when(F.col("code").rlike(r"^\s*end\b|;\s*end\s*$"), F.array(F.lit("}"))).otherwise(F.array().cast("array<string>")))
-    marks = lines.select("file", "line", F.posexplode(F.when(F.col("language") == "ruby", ruby).otherwise(braces)).alias("at", "mark")).where("mark in ('{', '}')")
-    here = Window.partitionBy("file").orderBy("line", "at")
-    depth = marks.withColumn("depth", F.sum(F.when(F.col("mark") == "{", 1).otherwise(-1)).over(here))
-    level = depth.withColumn("level", F.col("depth") + F.when(F.col("mark") == "}", 1).otherwise(0))
-    nth = level.withColumn("nth", F.row_number().over(Window.partitionBy("file", "level", "mark").orderBy("line", "at")))
-    opens, closes = (nth.where(F.col("mark") == m).select("file", "level", "nth", F.col("line").alias(n), *more) for m, n, more in (("{", "open_line", ["at"]), ("}", "close_line", [])))
-    return opens.join(closes, ["file", "level", "nth"]).select("file", "open_line", "close_line", "at")
+def _hint() -> Column:
+    """Whether marks of a test stand on a definition's line before its body, or in the block of marks right above it."""
+    marker = r"(?i)#\[test\]|::test\]|cfg\(test|@test|@pytest"
+    note = lambda l: l.rlike(r"^(#\[|@)")
+    skip = lambda l: (l == "") | l.startswith("//") | l.startswith("#")
+    step = lambda s, l: F.struct((s["go"] & (note(l) | skip(l))).alias("go"), (s["found"] | (s["go"] & note(l) & l.rlike(marker))).alias("found"))
+    noted = F.aggregate("above", F.struct(F.lit(True).alias("go"), F.lit(False).alias("found")), step)["found"]
+    return F.substring_index("on_line", "{", 1).rlike(marker) | noted
+
+
+def _comment() -> Column:
+    """A comment's first line without its marks; null if nothing is left."""
+    text = F.trim(F.regexp_replace(F.regexp_replace("comment", r"^(///)*(/\*\*)*(/\*)*(//)*#*\**", ""), r"(\*/)+\s*$", ""))
+    return F.nullif(F.when(F.length(text) > 200, F.concat(F.substring(text, 1, 200), F.lit("…"))).otherwise(text), F.lit(""))
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(symbols, references) of files with ``path`` and ``content``.
 
-    Symbols: file, language, id (in order of lines), name, kind, start_line,
-    end_line, signature, doc_first_line, hint. References: file, line, dst_name,
-    qualifier, scoped, kind. Files in other languages, null and empty ones give
-    nothing. Windows run within a file, which the walk keeps under a megabyte.
-    """
-    lines = source_lines(files)
-    by_line = Window.partitionBy("file").orderBy("line")
-    earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    before = F.reverse(F.collect_list(F.trim("raw")).over(by_line.rowsBetween(-5, -1)))
-    shown = F.trim("raw")
-    decorator = shown.startswith("@") & F.col("language").isin("python", "typescript")
-    held = lambda when, what: F.last(F.when(when, what), ignorenulls=True).over(earlier)
-    seen = lines.withColumn("def", _per_language(_definition)).withColumn("before", before)
-    seen = seen.withColumn("above", held((shown != "") & ~decorator, shown)).withColumn("opened", held(shown.contains("/*"), shown))
-    # names of an import that goes on from a line above
-    script = F.col("language") == "typescript"
-    begins = script & F.col("code").rlike(r"^\s*import\s") & ~F.col("code").rlike(r"\bfrom\b|[\"'`;]")
-    begun, ended = held(begins, F.col("line")), held(script & F.col("code").rlike(r"\bfrom\b|;"), F.col("line"))
-    seen = seen.withColumn("in_import", F.coalesce(begun > F.coalesce(ended, F.lit(0)), F.lit(False)))
-    behind = Window.partitionBy("file").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0)
-    code = F.regexp_replace("code", r"\[[^\[\]]*\]|\([^()]*\)", "")
-    stop = F.when(code.rlike(r"[{;]"), F.struct(F.col("line").alias("line"), code.rlike(r"^[^;]*\{").alias("opens")))
-    seen = seen.withColumn("stop", F.last(stop, ignorenulls=True).over(behind))
-    defs = seen.where("def is not null").join(_python_ends(seen), ["file", "line"], "left")
-
-    blocks = _blocks(lines)
-    first = blocks.groupBy("file", F.col("open_line").alias("b_line")).agg(F.min_by("close_line", "at").alias("close_line"))
-    own = F.when(F.col("language") == "scala", F.when(F.trim("code").endswith("{"), F.col("line"))).when(F.col("language") == "ruby", F.col("line")).when(F.col("stop.opens"), F.col("stop.line"))
-    placed = defs.withColumn("b_line", own).join(first, ["file", "b_line"], "left")
-    end = F.coalesce("python_end", "close_line", F.when(F.col("language").isin("rust", "typescript"), F.col("stop.line")), "line")
-
-    text = F.when(F.col("language") == "typescript", F.regexp_replace(F.trim("raw"), r"^export\s+(default\s+)?", "")).otherwise(F.trim("raw"))
-    # of a comment of several lines the first counts
-    note_line = F.when(F.col("above").endswith("*/") & ~F.col("above").startswith("/*"), F.col("opened")).otherwise(F.col("above"))
-    comment = F.regexp_extract(note_line, r"^(?:///?!?|//!|#(?!\[)|/\*\*?|\*)\s*(.*?)\s*(?:\*/)?$", 1)
-    marker = r"(?i)#\[test\]|::test\]|cfg\(test|@test|@pytest"
-    note = lambda l: l.rlike(r"^(#\[|@)")
-    skip = lambda l: (l == "") | l.startswith("//") | l.startswith("#")
-    step = lambda s, l: F.struct((s["go"] & (note(l) | skip(l))).alias("go"), (s["found"] | (s["go"] & note(l) & l.rlike(marker))).alias("found"))
-    noted = F.aggregate("before", F.struct(F.lit(True).alias("go"), F.lit(False).alias("found")), step)["found"]
-    hint = F.substring_index("raw", "{", 1).rlike(marker) | noted
-    number = F.row_number().over(by_line).cast("long")
-    symbols = placed.select(
-        "file", "language", number.alias("id"), F.col("def.name").alias("name"), F.col("def.kind").alias("kind"), F.col("line").alias("start_line"), F.greatest(end, F.col("line")).alias("end_line"),
-        signature_of(text).alias("signature"), F.nullif(F.substring(comment, 1, 200), F.lit("")).alias("doc_first_line"), hint.alias("hint"), "raw",
-    ).drop("raw")
-    return symbols, _references(seen)
-
-
-def _python_ends(seen: DataFrame) -> DataFrame:
-    """(file, line, python_end) of Python's definitions: the last line with code before the next one that is indented no deeper.
-
-    For each depth that a file's definitions have, its lines of no more than
-    that depth are put in order, so the next one follows by ``lead``: a file
-    costs its lines times its depths.
+    Symbols: file, language, id (in the order of the source), name, kind,
+    start_line, start_col, end_line, end_col, signature, doc_first_line, hint.
+    References: file, line, col, dst_name, qualifier, scoped, kind. Columns count
+    from 0, and an end is behind its last character. Files in other languages,
+    null and empty ones give nothing. The scan is written once, for both.
     """
-    indent = F.length(F.regexp_extract("code", r"^\s*", 0))
-    text = seen.where((F.col("language") == "python") & (F.trim("code") != "")).select("file", "line", indent.alias("indent"), F.col("def").isNotNull().alias("is_def"))
-    text = text.withColumn("last", F.lag("line").over(Window.partitionBy("file").orderBy("line")))
-    depths = text.where("is_def").select("file", F.col("indent").alias("depth")).distinct()
-    shallow = text.join(depths, "file").where("indent <= depth")
-    after = Window.partitionBy("file", "depth").orderBy("line")
-    ends = shallow.withColumn("end", F.lead("last").over(after)).where("is_def and indent = depth").select("file", "line", "end")
-    final = text.groupBy("file").agg(F.max("line").alias("final"))
-    return ends.join(final, "file").select("file", "line", F.coalesce("end", "final").alias("python_end"))
-
-
-def _references(seen: DataFrame) -> DataFrame:
-    found = lambda pattern: F.regexp_extract_all("code", F.lit(pattern), F.lit(1))
-    none = F.array().cast("array<string>")
-    bases = F.filter(F.transform(F.split(F.regexp_extract("code", EXTENDS["python"], 1), ","), lambda b: F.trim(b)), lambda b: b.rlike(r"^\w+$"))
-    parents = F.when(F.col("language") == "python", bases).otherwise(_per_language(lambda k: found(EXTENDS[k]) if k != "python" else none))
-    extends = seen.select("file", "line", F.explode(parents).alias("dst_name"), F.lit(None).cast("string").alias("qualifier"), F.lit(False).alias("scoped"), F.lit("extends").alias("kind"))
-
-    whole = F.when((F.col("language") == "rust") & F.col("code").rlike(r"^\s*(pub\s+)?use\s"), F.col("code")).when(F.col("language").isin("scala", "python") & F.col("code").rlike(r"^\s*(import|from)\s"), F.col("code"))
-    inside = F.when(F.col("in_import"), F.regexp_extract("code", r"^[^}]*", 0)).otherwise(F.regexp_extract("code", r"^\s*import\s[^{]*\{([^}]*)", 1))
-    names = F.transform(F.split(inside, ","), lambda n: F.regexp_extract(n, r"^\s*(?:type\s+)?(\w+)", 1))
-    default = F.array(F.regexp_extract("code", r"^\s*import\s+(?:type\s+)?(\w+)\s*(?:,|\bfrom\b)", 1))
-    listed = F.when(F.col("in_import"), names).when((F.col("language") == "typescript") & F.col("code").rlike(r"^\s*import\s"), F.concat(names, default)).when(whole.isNotNull(), F.array(last_segment(F.trim(whole))))
-    imports = seen.select("file", "line", F.explode(listed).alias("dst_name"), F.lit(None).cast("string").alias("qualifier"), F.lit(False).alias("scoped"), F.lit("import").alias("kind")).where("dst_name <> ''")
-
-    # the code up to each opening parenthesis; what a Rust macro holds are no calls
-    cut = F.when(F.col("language") == "rust", F.regexp_replace("code", r"(\w+!\s*\().*$", "$1")).otherwise(F.col("code"))
-    pieces = F.split(cut, r"(?<=\()")
-    heads = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, 1, n), ""))
-    heads = F.when(~F.col("code").rlike(r"^\s*(import|from|use)\s") & ~F.col("in_import"), F.filter(heads, lambda h: h.rlike(r"\w!?\s*\($")))
-    calls = seen.select("file", "line", "language", F.col("def.name").alias("own"), F.posexplode(heads).alias("nth", "head"))
-    name = F.regexp_extract("head", r"(\w+)!?\s*\($", 1)
-    mark = F.regexp_extract("head", r"(\?\.|\.|::)\s*\w+!?\s*\($", 1)
-    receiver = F.nullif(last_identifier(F.regexp_replace("head", r"(\?\.|\.|::)\s*\w+!?\s*\($", "")), F.lit(""))
-    calls = calls.select("file", "line", name.alias("dst_name"), F.when((mark != "") & (F.col("language") != "ruby"), receiver).alias("qualifier"), (mark == "::").alias("scoped"), "own", "nth", "head", "language")
-    plain = ~F.col("dst_name").isin(*_NO_CALL) & F.col("dst_name").rlike(r"^[\p{L}_]") & ~F.col("head").rlike(r"\b(new|fn|def|function|class|trait|object|interface)\s+(self\.)?\w+\s*\($")
-    itself = (F.col("nth") == 0) & F.coalesce(F.col("own") == F.col("dst_name"), F.lit(False))  # a definition's own head
-    calls = calls.where(plain & ~itself).select("file", "line", "dst_name", "qualifier", F.col("scoped") & F.col("qualifier").isNotNull(), F.lit("call").alias("kind")).toDF("file", "line", "dst_name", "qualifier", "scoped", "kind")
-    # Ruby's calls without parentheses: with a receiver, or first in a statement and with an argument
-    code = F.when((F.col("language") == "ruby") & ~F.col("code").rlike(r"^\s*(def|class|module)\b"), F.col("code"))
-    sent = F.regexp_extract_all(code, F.lit(r"(?:&?\.)([a-z_]\w*[?!]?)(?![\w(?!])"), F.lit(1))
-    told = F.regexp_extract_all(code, F.lit(r"(?:^|[=;({|]|\breturn|\bthen|\bdo)\s*([a-z_]\w*[?!]?)[ \t]+(?=[\w\"':@\[&])(?!(?:if|unless|while|until|and|or|in|do|rescue|then)\b)"), F.lit(1))
-    bare = seen.select("file", "line", F.explode(F.concat(sent, told)).alias("dst_name")).where(~F.col("dst_name").isin(*_NO_CALL, *_RUBY_WORDS))
-    bare = bare.select("file", "line", "dst_name", F.lit(None).cast("string").alias("qualifier"), F.lit(False).alias("scoped"), F.lit("call").alias("kind"))
-    return extends.union(imports).union(calls).union(bare)
+    scan = written(_known(files).mapInArrow(_scan, _SCHEMA), "scan", batch_rows=100)
+    defs = scan.where("role = 'def'").withColumn("def", _definition()).where("def is not null")
+    number = F.row_number().over(Window.partitionBy("file").orderBy("start_line", "start_col", F.desc("end_line"), F.desc("end_col"))).cast("long")
+    symbols = defs.select("file", "language", number.alias("id"), "def.name", "def.kind", "start_line", "start_col", "end_line", "end_col", signature_of(F.col("text")).alias("signature"), _comment().alias("doc_first_line"), _hint().alias("hint"))
+    whole = (F.col("role") == "import") & (F.col("language") != "typescript")
+    names = scan.where("role <> 'def'").select(
+        "file", F.col("start_line").alias("line"), F.col("start_col").alias("col"), F.when(whole, last_segment(F.col("name"))).otherwise(F.col("name")).alias("dst_name"), "qualifier",
+        (F.coalesce(F.col("mark") == "::", F.lit(False)) & F.col("qualifier").isNotNull()).alias("scoped"), F.col("role").alias("kind"),
+    )
+    return symbols, names.where("dst_name <> ''")

@@ -538,8 +538,8 @@ _PIECE = _by_language(lambda v: _made(v[1]))
 _PARTS_SQL = f"parts AS (SELECT {_PATH_OF} AS file, concat('f', p_partkey) AS name, {_by_language(lambda v: repr(v[0]))} AS kind, 4 * (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1) AS above, {_by_language(lambda v: str(v[3]))} AS height, {_by_language(lambda v: _made(v[2]))} AS signature, concat('about ', p_brand) AS doc_first_line, concat('f', {_OTHER}) AS other, p_partkey FROM part)"
 
 
-def _sources(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").selectExpr(f"{_PATH_OF} AS path", "p_partkey", f"{_PIECE} AS piece")
+def _sources(spark: SparkSession, d: str, piece: str = _PIECE) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr(f"{_PATH_OF} AS path", "p_partkey", f"{piece} AS piece")
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "piece"))), lambda x: x["piece"])
     return rows.groupBy("path").agg(F.concat(F.array_join(pieces, "\n"), F.lit("\n")).cast("binary").alias("content"))
 
@@ -555,6 +555,35 @@ def extract_refs(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract(_sources(spark, d))[1].select("file", "line", "dst_name", "kind")
 
 
+#: Eight lines that only a scan with modes reads right: their text, (kind, name, first line, last line) of what they define, (line, definition around it) of their calls.
+_NESTED = {
+    0: ('def f{k}(|    a,|    b=(1, 2),|):|    s = """|def no(): x(|"""; y = "# {{"|    return f{o}(a)|', [("def", "f", 1, 8)], [(8, "f")]),
+    1: ('pub fn f{k}(|    a: u32,|) -> u32 {{|    let s = r#"fn no() {{ " {{"#;|    /* {{ /* nested */ {{ */|    f{o}(a)|}}|fn g{k}() {{}} fn h{k}() {{ f{o}(1) }}|', [("fn", "f", 1, 7), ("fn", "g", 8, 8), ("fn", "h", 8, 8)], [(6, "f"), (8, "h")]),
+    2: ('export class c{k}<T> extends Base<T> {{|  m{k}(|    a: string,|  ): Promise<T> {{|    const r = /["{{`]/;|    return f{o}(`${{a}} {{`);|  }}|}}|', [("class", "c", 1, 8), ("method", "m", 2, 7)], [(6, "m")]),
+    3: ('class C{k}|  def m{k}(x)|    if x then f{o}(x) end|    y = x if x|    t = "end #{{f{o}(y)}} do"|    t|  end|end|', [("class", "C", 1, 8), ("method", "m", 2, 7)], [(3, "m"), (5, "m")]),
+    4: ('object c{k} {{|  def m{k}(a: Int)(|    b: Int|  ): Int =|    f{o}(a)|  val v{k} = s"{{ ${{f{o}(1)}}"|  // }}|}}|', [("object", "c", 1, 8), ("def", "m", 2, 5), ("val", "v", 6, 6)], [(5, "m"), (6, "v")]),
+}
+_NESTED_PIECE = "CASE p_size % 5 " + " ".join(f"WHEN {k} THEN {_made(v[0])}" for k, v in _NESTED.items()) + " END"
+_NESTED_SQL = f"parts AS (SELECT {_PATH_OF} AS file, p_size % 5 AS language, p_partkey, {_OTHER} AS other, 9 * (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1) AS above FROM part)"
+_NESTED_DEFINED = ", ".join(f"({k}, '{kind}', '{name}', {a}, {b})" for k, v in _NESTED.items() for kind, name, a, b in v[1])
+_NESTED_CALLED = ", ".join(f"({k}, {line}, '{name}')" for k, v in _NESTED.items() for line, name in v[2])
+
+
+@query(f"WITH {_NESTED_SQL}, d(language, kind, prefix, a, b) AS (VALUES {_NESTED_DEFINED}) SELECT file, concat(prefix, p_partkey) AS name, kind, CAST(above + a AS BIGINT) AS start_line, CAST(above + b AS BIGINT) AS end_line FROM parts JOIN d USING (language)")
+def extract_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions with heads over lines, raw strings, regular expressions, nested comments, one-line blocks, several on a line."""
+    return extract.extract(_sources(spark, d, _NESTED_PIECE))[0].select("file", "name", "kind", "start_line", "end_line")
+
+
+@query(f"WITH {_NESTED_SQL}, c(language, line, prefix) AS (VALUES {_NESTED_CALLED}) SELECT file, CAST(above + line AS BIGINT) AS line, concat('f', other) AS dst_name, concat(prefix, p_partkey) AS owner FROM parts JOIN c USING (language)")
+def extract_owners(spark: SparkSession, d: str) -> DataFrame:
+    """The calls in them, each with the definition that it is in."""
+    found, refs = extract.extract(_sources(spark, d, _NESTED_PIECE))
+    calls = refs.where("kind = 'call'").withColumn("ref_id", F.monotonically_increasing_id())
+    names = found.select("file", F.col("id").alias("owner"), F.col("name").alias("by"))
+    return spans.edge_owners(found, calls).join(names, ["file", "owner"]).select("file", "line", "dst_name", F.col("by").alias("owner"))
+
+
 @query(
     f"WITH {_PARTS_SQL} SELECT concat(a.file, '#', a.name) AS src, concat(b.file, '#', b.name) AS dst, a.doc_first_line AS doc FROM parts a JOIN parts b ON b.name = a.other AND b.name <> a.name"
 )

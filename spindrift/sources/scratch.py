@@ -23,11 +23,20 @@ def path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """``df`` written and read again: neither its lineage nor a lost executor costs more than this step."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, *partition_by: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written and read again: neither its lineage nor a lost executor costs more than this step. With ``batch_rows`` Python gets at most so many rows at once, for rows that are large."""
     spark, at = df.sparkSession, path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.option("compression", "zstd").parquet(at)
+    was = spark.conf.get(_BATCH)
+    if batch_rows:
+        spark.conf.set(_BATCH, batch_rows)
+    try:
+        writer.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(_BATCH, was)
     return spark.read.schema(df.schema).parquet(at)
 
 
