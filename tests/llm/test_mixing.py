@@ -1,4 +1,5 @@
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,13 +21,14 @@ def brute(unit, blocks):
 
 @pytest.mark.parametrize("unit", [{"a": 5, "b": 3, "c": 2}, {"a": 1}, {"a": 97, "b": 1, "c": 1, "d": 1}, {k: 1 for k in "abcdefg"}, {"a": 50, None: 25, "b": 25}])
 def test_schedule_never_strays_by_a_block(unit):
-    period, slots = sum(unit.values()), mixing.schedule(unit)
-    assert sorted(t for s in slots.values() for t in s) == list(range(period))
-    at = {t: s for s, ts in slots.items() for t in ts}
-    assert [at[t] for t in range(period)] == brute(unit, period)
-    for t in range(1, period + 1):
-        for s, u in unit.items():
-            assert abs(sum(x < t for x in slots[s]) - t * u / period) < 1
+    period, names, out = sum(unit.values()), sorted(unit, key=str), []
+    done = mixing.Line([unit[s] for s in names]).advance([0] * len(unit), 0, period, out)
+    assert done == [unit[s] for s in names]
+    assert [names[k] for k in out] == brute(unit, period)
+    seen = Counter()
+    for t, k in enumerate(out, 1):
+        seen[names[k]] += 1
+        assert all(abs(seen[s] - t * u / period) < 1 for s, u in unit.items())
 
 
 def test_units_keep_small_weights():
@@ -102,3 +104,38 @@ def test_the_whole_mix_equals_plain_python(spark):
             want.append((len(want), stream[s][row % count[s]], row // count[s]))
         done[s] += 1
     assert got == want
+
+
+@pytest.mark.parametrize("warm_up", [0, 100])
+def test_stretches_make_one_line(spark, warm_up):
+    """Weights that divide nothing, dealt a few slots at a time: the slots of a single run, and the same with any start."""
+    unit = mixing.units({"a": 0.61803, "b": 0.2, "c": 0.11, "d": 0.07, "e": 0.0017}, 1 << 40)
+    names = sorted(unit)
+    needed = [300, 90, 20, 30, 1]
+    table, length, blocks = mixing.timetable(spark, [unit[s] for s in names], needed, stretch=37, warm_up=warm_up, piece=16)
+    got = {}
+    for r in table.collect():
+        for i, slot in enumerate(r.slots):
+            got[slot] = (names[r.source], r.piece * 16 + i)
+    line, count = brute(unit, length), Counter()
+    for t, s in enumerate(line):
+        assert got.pop(t) == (s, count[s])
+        count[s] += 1
+    assert not got and [count[s] for s in names] == blocks
+    assert all(count[s] >= n for s, n in zip(names, needed)) and any(count[s] == n and line[-1] == s for s, n in zip(names, needed))
+
+
+@pytest.mark.parametrize("weights", [{"a": 10**9, "b": 3 * 10**8, "c": 10**7}, {k: 10**7 * (1 + k * k) ** 0.7 for k in range(20)}])
+def test_no_source_strays_at_any_length(weights):
+    """Far out on the line, against the weights themselves."""
+    unit = mixing.units(weights, 1 << 60)
+    names, total = sorted(unit, key=str), sum(Fraction(w) for w in weights.values())
+    line = mixing.Line([unit[s] for s in names])
+    for t in (10**8, 10**10 + 7):
+        out = []
+        done = line.likely(t)
+        line.advance(done, t, t + 3000, out)
+        for at, k in enumerate(out, t + 1):
+            done[k] += 1
+            if at % 50 == 0:
+                assert all(abs(n - at * Fraction(weights[s]) / total) < 1 for n, s in zip(done, names))
