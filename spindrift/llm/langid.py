@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,6 +62,11 @@ def _sums(texts: pa.Array, values: list) -> np.ndarray:
     return out
 
 
+log = logging.getLogger(__name__)
+#: The language of all labels that are too rare to be learned one by one.
+OTHER = "other"
+
+
 @dataclass
 class TextModel:
     languages: list[str]
@@ -85,15 +91,24 @@ def train(labelled: DataFrame, per_language: int = 2_000, smoothing: float = 0.5
 
     Every language that has a row is learned, whatever its share of the table:
     all rows of a rare one, and always those of a language's smallest hash. Rows
-    with a null text or language teach nothing. Of values of ``lang`` the
-    ``most_languages`` with most rows are learned (a table of dirty labels may
-    have any number), ties by name. Repeated rows teach as often as they come.
-    Without any row the model has no language and everything is unknown.
+    with a null text or language teach nothing. Where ``lang`` has more than
+    ``most_languages`` values (dirty labels may be any number), those with the
+    fewest rows are learned together, as the language `OTHER`, and their number
+    is logged. Repeated rows teach as often as they come. Without any row the
+    model has no language and everything is unknown.
     """
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit("lang"), "doc_id").alias("hash"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()
+    merged = len(sizes) > most_languages
+    sizes = sizes[: most_languages - merged]
     steps = labelled.sparkSession.createDataFrame([(r["lang"], -(-r["n"] // per_language), r["least"]) for r in sizes], "lang string, step long, least long")
     drawn = rows.join(F.broadcast(steps), "lang").where("pmod(hash, step) = 0 or hash = least").select("lang", "text")
+    if merged:
+        rest = rows.join(F.broadcast(steps), "lang", "left_anti")
+        of = rest.agg(F.count("*").alias("n"), F.min("hash").alias("least"), F.approx_count_distinct("lang").alias("values")).first()
+        log.warning("about %d values of lang with %d rows are learned as one language", of["values"], of["n"])
+        step = -(-of["n"] // per_language)
+        drawn = drawn.union(rest.where((F.pmod("hash", F.lit(step)) == 0) | (F.col("hash") == of["least"])).select(F.lit(OTHER), "text"))
 
     def count(batches):
         seen: dict = {}

@@ -112,7 +112,9 @@ def test_fusion_equals_plain_python(spark, small):
 def test_dirty_labels_are_bounded(spark):
     rows = [(k, f"text of number {k} and more words", f"l{k:03d}") for k in range(40)] + [(100 + k, "the cat and the dog", "en") for k in range(5)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=3)
-    assert model.languages == ["en", "l000", "l001"]
+    assert model.languages == ["en", "l000", langid.OTHER]  # the rarer ones together
+    docs = spark.createDataFrame([(1, "text of number 39 and more words", "l039", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert langid.known_language(docs, model).count() == 1
 
 
 def test_the_session_keeps_its_batches(spark, docs):
