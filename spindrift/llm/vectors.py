@@ -453,10 +453,19 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table({"component": table.column("component").slice(0, 1), "middle": pa.array([flat.sum(0)], pa.list_(pa.float64()))})
 
 
-def audit(named: DataFrame, threshold: float, queries: int) -> float | None:
-    """Share of the true links of some vectors, drawn by hash and compared with all, whose ends are in one group; None if they have no link."""
-    step = max(1, -(-named.count() // queries))
-    drawn = named.where(F.pmod(F.xxhash64(F.lit("audit"), "rep"), F.lit(step)) == 0).select("rep", "vector", "component").limit(4 * queries).collect()
+def audit(named: DataFrame, threshold: float, queries: int, links: int = 64) -> float | None:
+    """Share of the true links of some vectors, drawn by hash and compared with all, whose ends are in one group; None if they have no link. As long as they have fewer than ``links``, more are drawn, up to 16 times ``queries``."""
+    rows, most = named.count(), 16 * queries
+    while True:
+        true, found = _audited(named, threshold, max(1, -(-rows // queries)), 4 * queries)
+        if true >= links or queries >= min(rows, most):
+            return found / true if true else None
+        queries *= 4
+
+
+def _audited(named: DataFrame, threshold: float, step: int, limit: int) -> tuple[int, int]:
+    """(true, found): links of every ``step``-th vector by hash, and how many are within groups."""
+    drawn = named.where(F.pmod(F.xxhash64(F.lit("audit"), "rep"), F.lit(step)) == 0).select("rep", "vector", "component").limit(limit).collect()
     asked = [(np.array([r["rep"] for r in rows]), np.array([r["component"] for r in rows]), unit_rows([r["vector"] for r in rows])) for rows in _by_length(drawn)]
 
     def run(batches):
@@ -471,7 +480,7 @@ def audit(named: DataFrame, threshold: float, queries: int) -> float | None:
                     yield pa.RecordBatch.from_arrays([pa.array([int(hit.sum())]), pa.array([int(same.sum())])], ["true", "found"])
 
     row = named.select("rep", "vector", "component").mapInArrow(run, "true long, found long").agg(F.sum("true").alias("true"), F.sum("found").alias("found")).first()
-    return row["found"] / row["true"] if row["true"] else None
+    return row["true"] or 0, row["found"] or 0
 
 
 def _by_length(rows: list) -> list[list]:
@@ -492,6 +501,7 @@ def near_vectors(
     reach: float = 0.9,
     sample_rows: int = 20_000,
     audit_queries: int = 512,
+    audit_links: int = 64,
     wanted_recall: float = 0.97,
     least_recall: float = 0.9,
     rounds: int = 4,
@@ -513,20 +523,22 @@ def near_vectors(
     group go uncounted.
 
     The recall is audited after every round on ``audit_queries`` vectors drawn
-    by hash, compared with all, and comes back as a column (null if they have no
-    link). Below ``wanted_recall`` another round with other centres adds to what
+    by hash, compared with all, and comes back as a column; while they have
+    fewer than ``audit_links`` links, four times as many are drawn, up to 16
+    times the number or all vectors (null if even those have none). Below ``wanted_recall`` another round with other centres adds to what
     is found; a recall below ``least_recall`` after ``rounds`` is an error.
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing. So do, with those of another length, vectors of
-    different lengths. A null vec_id is left out of components, its row comes
-    back with null ids. Rows that share a vec_id are vectors of their own, each
-    with its own links. An empty table gives no rows; other columns are not read.
+    link with nothing, and vectors of different lengths not with each other. A
+    row without a vec_id links, counts and ties like any other; its component_id
+    is the smallest id of its group, null if none has one. Rows that share a
+    vec_id are vectors of their own, each with its own links. An empty table
+    gives no rows; other columns are not read.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     valid = F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    classes = rows.where(valid & F.col("vec_id").isNotNull()).groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    classes = rows.where(valid).groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "first", "vector", "n", F.size("vector").alias("dims")), "vectors")
     ties, recall = None, None
     for seed in range(1, rounds + 1):
@@ -539,7 +551,7 @@ def near_vectors(
             component = materialize(connected_components(ties), "groups")
         named = classes.join(component, classes.rep == component.node, "left").select("rep", "first", "vector", "n", F.coalesce("component", "rep").alias("component"))
         named = materialize(named, "named")
-        recall = audit(named, threshold, audit_queries)
+        recall = audit(named, threshold, audit_queries, audit_links)
         logging.getLogger(__name__).info("round %d: audited recall %s", seed, recall)
         if recall is None or recall >= wanted_recall:
             break
@@ -549,7 +561,7 @@ def near_vectors(
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = named.join(links, "rep", "left").join(least, "component")
     of_class = of_class.select(F.col("vector").alias("__vector"), F.xxhash64("vector").alias("__key"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    keyed = rows.withColumn("__key", F.when(valid & F.col("vec_id").isNotNull(), F.xxhash64("vector")))
+    keyed = rows.withColumn("__key", F.when(valid, F.xxhash64("vector")))
     out = keyed.join(of_class, (keyed["__key"] == of_class["__key"]) & (F.col("vector") == F.col("__vector")), "left")
     component_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept"), F.lit(recall).cast("double").alias("audited_recall"))

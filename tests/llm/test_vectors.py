@@ -6,7 +6,7 @@ from spindrift.llm import vectors
 
 def brute(rows, threshold=0.95):
     """Links and components from the full matrix."""
-    good = [k for k, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    good = [k for k, (i, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links, parent = [0] * len(rows), {k: k for k in range(len(rows))}
 
     def root(k):
@@ -25,7 +25,7 @@ def brute(rows, threshold=0.95):
                     parent[root(a)] = root(b)
     least = {}
     for k in good:
-        least[root(k)] = min(least.get(root(k), rows[k][0]), rows[k][0])
+        least[root(k)] = min((x for x in (least.get(root(k)), rows[k][0]) if x is not None), default=None)
     return [(i, links[k], least[root(k)] if k in good else i) for k, (i, _) in enumerate(rows)]
 
 
