@@ -5,9 +5,9 @@ kept; all but the last return the columns of ``documents``.
 
 In every stage null and empty texts, sources and languages are values like
 others, texts are read whole, rows without an id take part, and an empty table
-gives an empty table. Columns beside those of ``documents`` come along, but for
-names that begin with ``__`` and those that `mixing.mix` sets (epoch, block,
-slot, release, deadline, position), which may not be there.
+gives an empty table. Columns beside those of ``documents`` come along with
+their values, whatever their names, but for names that begin with ``__``, which
+may not be there.
 """
 
 from __future__ import annotations
@@ -21,9 +21,16 @@ from spindrift.llm.common import materialize, table
 from spindrift.llm.queries import PII_KEY, TOKENIZER
 
 
+def _beside(docs: DataFrame, names: tuple, stage) -> DataFrame:
+    """``stage(docs)``, in which columns of ``docs`` that have one of ``names``, which the stage makes itself, are called otherwise; they come back as they were."""
+    own = {c: f"own__{c}" for c in docs.columns if c in names}
+    return stage(docs.withColumnsRenamed(own)).drop(*own).withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose text is in no known language; null and empty texts are in none."""
-    return langid.known_language(docs, langid.train(docs))
+    made = ("language", "confidence", "text_language", "text_confidence")
+    return _beside(docs, made, lambda d: langid.known_language(d, langid.train(docs)))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +40,18 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With pseudonyms for personal data; n_chars follows the text. Every row stays."""
-    done = pii.pseudonymise(docs, PII_KEY)
-    return done.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+    def stage(d: DataFrame) -> DataFrame:
+        done = pii.pseudonymise(d, PII_KEY)
+        return done.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+
+    return _beside(docs, ("n_replaced",), stage)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target weights, in the order of the schedule: rows of small sources come again, as often as it asks for them."""
-    return mixing.mix(docs).repartitionByRange("position").sortWithinPartitions("position").select(docs.columns)
+    made = ("epoch", "block", "slot", "release", "deadline", "position")
+    return _beside(docs, made, lambda d: mixing.mix(d).repartitionByRange("position").sortWithinPartitions("position"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
