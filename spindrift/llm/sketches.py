@@ -1,11 +1,12 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests, in DataFrame operations only.
 
 A sketch has cells in three tables; each paragraph digest is added to one cell
-of each. A cell holds how many digests it has, their exclusive or, and that of
-their checks. Sketches of two versions subtract cell by cell, so what both have
-cancels; a cell that holds one digest gives it up, and taking it out of its
-other cells frees more, until all digests that differ are known. If cells are
-left over, the versions are sketched again in eight times as many cells.
+of each, as often as it comes. A cell holds how many digests it has and the sums
+of their halves and of their checks. Sketches of two versions subtract cell by
+cell, so what both have cancels; a cell that holds one digest, be it several
+times, gives it up, and taking it out of its other cells frees more, until all
+digests that differ are known with the difference of their numbers. If cells
+are left over, the versions are sketched again in eight times as many cells.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ _KEY = ("bucket", "row")
 
 
 def paragraphs(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs; empty ones don't count."""
-    parts = F.filter(F.split(text, BREAK, -1), lambda p: p != "")
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    """The digests of a text's paragraphs, each as often as it comes; empty ones don't count."""
+    return F.transform(F.filter(F.split(text, BREAK, -1), lambda p: p != ""), lambda p: F.xxhash64(p))
 
 
 def _check(digest: Column) -> Column:
@@ -40,33 +40,42 @@ def _cell(digest: Column, table: int, cells: int) -> Column:
     return F.pmod(F.xxhash64(digest, F.lit(table)), F.lit(size).cast("long")) + table * size
 
 
+#: What a cell sums up besides the number of its digests.
+_SUMS = ("high", "low", "check")
+_SOME = "n <> 0 or high <> 0 or low <> 0 or check <> 0"
+
+
 def sketch(rows: DataFrame, keys: tuple, digests: str, cells: int) -> DataFrame:
-    """The non-empty cells (keys, cell, n, digest, check) of the sketch of each row's array of digests."""
+    """The non-empty cells (keys, cell, n, high, low, check) of the sketch of each row's array of digests."""
     each = rows.select(*keys, F.explode(digests).alias("digest"))
     spread = each.select(*keys, F.explode(F.array(*[_cell(F.col("digest"), t, cells) for t in range(TABLES)])).alias("cell"), "digest")
-    return spread.groupBy(*keys, "cell").agg(F.count("*").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor(_check(F.col("digest"))).alias("check"))
+    halves = (F.shiftrightunsigned("digest", 32).alias("high"), F.col("digest").bitwiseAND(0xFFFFFFFF).alias("low"), _check(F.col("digest")).alias("check"))
+    return spread.select(*keys, "cell", *halves).groupBy(*keys, "cell").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in _SUMS])
 
 
 def peel(diff: DataFrame, keys: tuple, cells: int, rounds: int = 9) -> DataFrame:
-    """What subtracted sketches give up: rows with cell -1 hold a digest and its side (n = 1 or -1), others are cells left over.
+    """What subtracted sketches give up: rows with cell -1 hold a digest (``found``) and in ``n`` how many more the first side has, others are cells left over.
 
     A round takes one of the tables, where no two cells can hold the same single
     digest; what it finds is taken out of the other two.
     """
-    now = diff.where("n <> 0 or digest <> 0 or check <> 0").select(*keys, "cell", F.lit(0).cast("long").alias("found"), "n", "digest", "check")
+    now = diff.where(_SOME).select(*keys, "cell", F.lit(0).cast("long").alias("found"), "n", *_SUMS)
     size = cells // TABLES
     for k in range(rounds):
         own = k % TABLES
-        digest, n = F.col("digest"), F.col("n")
-        pure = (F.col("cell") >= own * size) & (F.col("cell") < (own + 1) * size) & (F.abs(n) == 1) & (F.col("check") == _check(digest))
-        zero = F.lit(0).cast("long")
-        row = lambda cell, found, n, digest, check: F.struct(cell.alias("cell"), found.alias("found"), n.alias("n"), digest.alias("digest"), check.alias("check"))
-        out = [row(_cell(digest, t, cells), zero, -n, digest, F.col("check")) for t in range(TABLES) if t != own]
-        taken = F.array(row(F.lit(-1).cast("long"), digest, n, zero, zero), *out)
-        kept = F.array(row(F.col("cell"), F.col("found"), n, digest, F.col("check")))
+        n, zero = F.col("n"), F.lit(0).cast("long")
+        here = (F.col("cell") >= own * size) & (F.col("cell") < (own + 1) * size)
+        # the only digest that the sums can be of, if they are of one
+        now = now.withColumn("digest", F.when(here & (n != 0), F.shiftleft(F.expr("high div n"), 32).bitwiseOR(F.expr("low div n"))))
+        digest = F.col("digest")
+        whole = (n * F.shiftrightunsigned(digest, 32) == F.col("high")) & (n * digest.bitwiseAND(0xFFFFFFFF) == F.col("low")) & (n * _check(digest) == F.col("check"))
+        pure = F.coalesce(whole & (_cell(digest, own, cells) == F.col("cell")), F.lit(False))
+        row = lambda cell, found, *rest: F.struct(cell.alias("cell"), found.alias("found"), *[v.alias(c) for v, c in zip(rest, ("n", *_SUMS))])
+        out = [row(_cell(digest, t, cells), zero, -n, *[-F.col(c) for c in _SUMS]) for t in range(TABLES) if t != own]
+        taken = F.array(row(F.lit(-1).cast("long"), digest, n, zero, zero, zero), *out)
+        kept = F.array(row(F.col("cell"), F.col("found"), n, *[F.col(c) for c in _SUMS]))
         spread = now.select(*keys, F.explode(F.when(pure, taken).otherwise(kept)).alias("r")).select(*keys, "r.*")
-        now = spread.groupBy(*keys, "cell", "found").agg(F.sum("n").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor("check").alias("check"))
-        now = now.where("cell < 0 or n <> 0 or digest <> 0 or check <> 0")
+        now = spread.groupBy(*keys, "cell", "found").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)]).where(f"cell < 0 or {_SOME}")
     return now
 
 
@@ -74,8 +83,8 @@ def subtract(cells: DataFrame, keys: tuple, pairs: dict) -> DataFrame:
     """Differences of the sketches of versions: ``pairs`` maps a pair's number to (its first version, its second)."""
     sides = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(v).alias("v"), F.lit(s).alias("sign")) for p, (a, b) in pairs.items() for v, s in ((a, 1), (b, -1))])
     mine = F.filter(sides, lambda s: s["v"] == F.col("version"))
-    rows = cells.withColumn("__side", F.explode(mine)).select(*keys, F.col("__side.pair").alias("pair"), "cell", (F.col("n") * F.col("__side.sign")).alias("n"), "digest", "check")
-    return rows.groupBy(*keys, "pair", "cell").agg(F.sum("n").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor("check").alias("check"))
+    rows = cells.withColumn("__side", F.explode(mine)).select(*keys, F.col("__side.pair").alias("pair"), "cell", *[(F.col(c) * F.col("__side.sign")).alias(c) for c in ("n", *_SUMS)])
+    return rows.groupBy(*keys, "pair", "cell").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)])
 
 
 def _exploded(rows: DataFrame, versions: tuple) -> DataFrame:
@@ -85,11 +94,11 @@ def _exploded(rows: DataFrame, versions: tuple) -> DataFrame:
 
 
 def differing(rows: DataFrame, versions: tuple, pairs: dict, cells: int) -> DataFrame:
-    """One attempt: for each pair with a difference, how many digests were recovered (``differ``) and cells left (``over``)."""
+    """One attempt: for each pair with a difference, how many digests were recovered, as often as they differ (``differ``), and cells left (``over``)."""
     keys = (*_KEY, "pair")
     cells_of = sketch(_exploded(rows, versions), (*_KEY, "version"), "digests", cells)
     left = peel(subtract(cells_of, _KEY, pairs), keys, cells)
-    return left.groupBy(*keys).agg(F.count_if(F.col("cell") >= 0).alias("over"), F.count_if(F.col("cell") < 0).alias("differ"))
+    return left.groupBy(*keys).agg(F.count_if(F.col("cell") >= 0).alias("over"), F.sum(F.when(F.col("cell") < 0, F.abs("n")).otherwise(0)).alias("differ"))
 
 
 def in_order(docs: DataFrame, bucket_rows: int = 2048, segments: int = 256) -> DataFrame:
@@ -143,14 +152,14 @@ def in_order(docs: DataFrame, bucket_rows: int = 2048, segments: int = 256) -> D
 
 
 def _show(cells: Column, version: int) -> Column:
-    """A version's sketch as text: of each cell its place, count and digests. Checks follow from the digests where they count."""
+    """A version's sketch as text: of each cell its place, count and sums. Checks follow from the digests where they count."""
     mine = F.array_sort(F.filter(cells, lambda c: c["version"] == version))
-    one = lambda c: F.concat_ws(".", c["cell"].cast("string"), c["n"].cast("string"), F.hex(c["digest"]))
+    one = lambda c: F.concat_ws(".", c["cell"].cast("string"), c["n"].cast("string"), F.hex(c["high"]), F.hex(c["low"]))
     return F.array_join(F.transform(mine, one), ";")
 
 
 def _likeness(a: Column, b: Column, differ: Column, same: Column) -> Column:
-    """Jaccard likeness of two sets from their sizes and that of their difference; 1 for the same text alone."""
+    """Jaccard likeness of two multisets from their sizes and that of their difference; 1 for the same text alone."""
     likeness = F.when(a + b == 0, 1.0).otherwise((a + b - differ) / (a + b + differ))
     return F.when(same, 1.0).otherwise(F.least(likeness, 1 - 1 / (a + b + 1)))
 
@@ -161,9 +170,9 @@ def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows:
     Gives doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. The edited text has its last half replaced by the
     first half of the next document's (``in_order``). Likeness is the Jaccard
-    likeness of the sets of digests, from the digests recovered from subtracted
-    sketches; texts that have the same paragraphs in another order, or more often,
-    are as if one more differed. A fingerprint also
+    likeness of the multisets of digests, from the digests recovered from
+    subtracted sketches: a paragraph counts as often as it comes. Texts that have
+    the same paragraphs in another order are as if one more differed. A fingerprint also
     has a hash of the whole text, so only equal texts have equal ones. Null
     text counts as empty; texts are read whole, whatever their length; each
     repeated row has its own result; an empty table gives no rows; columns but
@@ -180,7 +189,7 @@ def fingerprint_versions(docs: DataFrame, cells: int = BASE_CELLS, bucket_rows:
     versions, pairs = ("own", "changed", "next"), {0: (0, 1), 1: (0, 2)}
 
     prints = sketch(_exploded(rows, versions[:2]), (*_KEY, "version"), "digests", cells)
-    prints = prints.groupBy(*_KEY).agg(F.collect_list(F.struct("version", "cell", "n", "digest")).alias("cells"))
+    prints = prints.groupBy(*_KEY).agg(F.collect_list(F.struct("version", "cell", "n", "high", "low")).alias("cells"))
     shown = prints.select(*_KEY, *[_show(F.col("cells"), v).alias(f"shown{v}") for v in (0, 1)])
 
     todo, solved = rows, []

@@ -11,7 +11,7 @@ from .conftest import DOCS
 
 
 def parts(text):
-    return {p for p in re.split(sketches.BREAK, text) if p}
+    return Counter(p for p in re.split(sketches.BREAK, text) if p)
 
 
 def like(a, b):
@@ -19,7 +19,7 @@ def like(a, b):
     if a == b:
         return 1.0
     a, b = parts(a), parts(b)
-    return min(len(a & b) / len(a | b) if a | b else 1.0, 1 - 1 / (len(a) + len(b) + 1))
+    return min((a & b).total() / (a | b).total() if a | b else 1.0, 1 - 1 / (a.total() + b.total() + 1))
 
 
 def brute(rows):
@@ -65,6 +65,10 @@ def test_peeling_recovers_the_digests(spark):
     left = sketches.peel(sketches.subtract(cells, ("bucket", "row"), {0: (0, 1)}), ("bucket", "row", "pair"), 192, 12).collect()
     assert {(r.found, r.n) for r in left if r.cell == -1} == {(x, 1) for x in a if x not in b} | {(x, -1) for x in b if x not in a}
     assert all(r.cell == -1 for r in left)
+    often = spark.createDataFrame([(0, 1, a * 7 + [-5] * 1000, b + a * 3 + [-5] * 2)], "bucket long, row long, a array<long>, b array<long>")
+    cells = sketches.sketch(sketches._exploded(often, ("a", "b")), ("bucket", "row", "version"), "digests", 192)
+    left = sketches.peel(sketches.subtract(cells, ("bucket", "row"), {0: (0, 1)}), ("bucket", "row", "pair"), 192, 12).collect()
+    assert {(r.found, r.n) for r in left} == {(x, 4 - (x in b)) for x in a} | {(x, -1) for x in b if x not in a} | {(-5, 998)}
     small = sketches.sketch(sketches._exploded(rows, ("a", "b")), ("bucket", "row", "version"), "digests", 24)
     assert any(r.cell >= 0 for r in sketches.peel(sketches.subtract(small, ("bucket", "row"), {0: (0, 1)}), ("bucket", "row", "pair"), 24).collect())
 
@@ -74,6 +78,7 @@ def test_order_and_repeats_count(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows, mine = got(docs)
     assert order(mine) == order(brute(list(enumerate(texts))))
+    assert {r.doc_id: round(r.near_next, 6) for r in rows}[7] == round(500 / 501, 6)  # one paragraph more of 500
     prints = {r.doc_id: r.fingerprint for r in rows}
     assert prints[0] == prints[5] and len(set(prints.values())) == len(texts) - 1
     assert all((a == b) == (texts[i] == texts[j]) for i, a in prints.items() for j, b in prints.items())
