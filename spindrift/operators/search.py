@@ -93,8 +93,9 @@ _COLUMN = 1 << 32
 def postings(docs: DataFrame, columns: tuple[str, ...], id: str = "id") -> tuple[DataFrame, DataFrame]:
     """The index of ``docs``: (token, id, places), sorted by token in runs of tokens, and (id, length) of every document.
 
-    Written with one range of tokens to a file, so Parquet's figures let a
-    search read the files and row groups of its prefixes alone.
+    Written with one range of (token, id) to a file, so a word that very many
+    documents hold goes over several, and Parquet's figures let a search read
+    the files and row groups of its prefixes alone.
     """
 
     def placed(k: int, c: str) -> Column:
@@ -103,7 +104,7 @@ def postings(docs: DataFrame, columns: tuple[str, ...], id: str = "id") -> tuple
     each = [placed(k, c) for k, c in enumerate(columns)]
     tokens = docs.select(F.col(id).alias("id"), F.concat(*each).alias("tokens"))
     found = tokens.select("id", F.explode("tokens").alias("t")).groupBy("t.token", "id").agg(F.collect_list("t.place").alias("places"))
-    return found.repartitionByRange("token").sortWithinPartitions("token", "id"), tokens.select("id", F.size("tokens").alias("length"))
+    return found.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), tokens.select("id", F.size("tokens").alias("length"))
 
 
 def search_postings(index: DataFrame, lengths: DataFrame, query: str, match_all: bool = True) -> DataFrame:

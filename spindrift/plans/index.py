@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import logging
-import os
 import time
 import uuid
 from collections.abc import Callable
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import blob_hash, file_module, is_test, language_of, line_count
 from ..operators import context, diff, extract, graph, lookup, resolve, search, spans, upkeep
-from ..sources.scratch import written
+from ..sources.scratch import place, written
 
-VERSION = 2
+VERSION = 3
 #: What comes of each file alone, and what of all together.
 PARTS = ("files", "found", "refs", "file_imports")
 TABLES = (*PARTS, "symbols", "edge_raw", "edges", "edges_out", "services", "postings", "lengths", "meta")
@@ -25,10 +25,10 @@ _SEARCHED = ("name", "qualified_name", "signature", "doc_first_line")
 #: Signatures of changes that are of a whole file (fixed values).
 NOT_INDEXED, OUTSIDE = "<non-indexed file change>", "<file-level change outside symbol bodies>"
 log = logging.getLogger(__name__)
-#: How stored tables are sorted, in ranges of files, and which columns get Bloom filters: lookups read the files that may hold an answer.
+#: How stored tables are sorted, in ranges of files (the last columns only part the rows of a hot first one), and which columns get Bloom filters: lookups read the files that may hold an answer.
 LAYOUT = {
-    "symbols": ("name", ("name", "qualified_name", "id")), "edges": ("dst_symbol", ("dst_symbol",)), "edges_out": ("src_symbol", ("src_symbol",)), "edge_raw": ("dst_name", ("dst_name",)),
-    "files": ("path", ()), "found": ("file", ()), "refs": ("file", ()), "file_imports": ("file", ()), "postings": ("token", ()), "lengths": ("id", ()),
+    "symbols": (("name", "id"), ("name", "qualified_name", "id")), "edges": (("dst_symbol", "src_symbol"), ("dst_symbol",)), "edges_out": (("src_symbol", "dst_symbol"), ("src_symbol",)), "edge_raw": (("dst_name", "src_symbol"), ("dst_name",)),
+    "files": (("path",), ()), "found": (("file", "in_file"), ()), "refs": (("file", "in_file"), ()), "file_imports": (("file", "name"), ()), "postings": (("token", "id"), ("token",)), "lengths": (("id",), ("id",)),
 }
 #: What a command ended with (fixed values).
 ANSWERED, NOTHING, STALE = 0, 3, 4
@@ -243,63 +243,126 @@ class Refreshed(NamedTuple):
     files_removed: int
 
 
-class Index:
-    """A stored index: folders of tables, and pointers of which the last names the current one.
+_STATE = [("size_bytes", "bigint"), ("services", "bigint"), ("files", "bigint"), ("symbols", "bigint"), ("edges", "bigint"), ("usage", "string"), ("indexed_at_epoch", "bigint")]
+
+
+class Snapshot:
+    """The tables of one version of a stored index, all from one manifest."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str, folders: dict[str, str]):
+        self.spark, self.path, self.name, self.folders = spark, path, name, folders
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.folders[name]}")
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: self.table(name) for name in TABLES}
+
 
-    A run writes a new folder and then a pointer of its own, in one file, so
-    readers see a whole index or the one before. With ``root``, a folder that
-    all executors see, ``fresh`` brings it up to date.
+class Index:
+    """A stored index: folders of tables, and manifests of which the last says which folders are current.
+
+    A run writes new folders and then a manifest of its own, in one file, that
+    names the folder of each table; tables that didn't change keep theirs. A
+    command reads one manifest, so whatever is saved meanwhile, its tables belong
+    together. Manifests beyond the last ``versions`` go after ``retain_seconds``,
+    and with them the folders that no other names. With ``root``, a folder that
+    all executors see, ``fresh`` brings the index up to date.
     """
 
-    def __init__(self, spark: SparkSession, path: str, root: str | None = None, manifest: str | None = None):
-        self.spark, self.path, self.root, self.manifest = spark, path.rstrip("/"), root, manifest
+    def __init__(self, spark: SparkSession, path: str, root: str | None = None, manifest: str | None = None, versions: int = 2, retain_seconds: int = 3600):
+        self.spark, self.path, self.root, self.manifest, self.versions, self.retain_seconds = spark, path.rstrip("/"), root, manifest, versions, retain_seconds
 
-    def current(self) -> str | None:
+    def _manifests(self) -> list:
+        """(value, file) of all manifests, the last one first."""
         try:
-            row = self.spark.read.text(f"{self.path}/current").agg(F.max("value").alias("value")).first()
-        except AnalysisException:  # no pointer yet
-            return None
-        return row["value"]
+            rows = self.spark.read.text(f"{self.path}/current")
+        except AnalysisException:  # none yet
+            return []
+        mine = rows.where(F.col("value").startswith(f"v={VERSION}/"))
+        return mine.select("value", F.col("_metadata.file_name").alias("file")).orderBy(F.desc("value")).collect()
+
+    def snapshot(self, name: str | None = None) -> Snapshot:
+        """The current version, or the one called ``name``."""
+        for row in self._manifests():
+            version, _, folders = row["value"].partition(" ")
+            if name in (None, version):
+                return Snapshot(self.spark, self.path, version, json.loads(folders))
+        raise LookupError(f"no index {name or ''} at {self.path}")
+
+    def current(self) -> str | None:
+        return self.snapshot().name if self.exists() else None
 
     def exists(self) -> bool:
-        return self.current() is not None
+        return bool(self._manifests())
 
-    def save(self, tables: dict[str, DataFrame]) -> str:
+    def save(self, tables: dict[str, DataFrame], base: Snapshot | None = None) -> str:
+        """A new version of ``tables``; those that are not given are those of ``base``."""
         name = f"v={VERSION}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        folders = dict(base.folders) if base else {}
         for table in TABLES:
-            rows, (by, blooms) = tables[table], LAYOUT.get(table, (None, ()))
-            writer = (rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows).write
+            if table not in tables and table in folders:
+                continue
+            rows, (by, blooms) = tables[table], LAYOUT.get(table, ((), ()))
+            writer = (rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows).write
             for column in blooms:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-            writer.parquet(f"{self.path}/{name}/{table}")
-        self.spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.mode("append").text(f"{self.path}/current")
+            folders[table] = f"{name}/{table}"
+            writer.parquet(f"{self.path}/{folders[table]}")
+        self.spark.range(1).select(F.lit(f"{name} {json.dumps(folders)}").alias("value")).coalesce(1).write.mode("append").text(f"{self.path}/current")
+        self._retire()
         return name
 
+    def _retire(self) -> None:
+        """Delete manifests that are superseded long enough, then the folders that none names any more."""
+        rows = self._manifests()
+        since = time.time_ns() - self.retain_seconds * 10**9
+        written_at = lambda value: int(value.partition(" ")[0].split("/")[1].split("-")[0])
+        # a version was current until the next one came
+        kept = [k for k, row in enumerate(rows) if k < self.versions or written_at(rows[k - 1]["value"]) > since]
+        needed = {f for k in kept for f in json.loads(rows[k]["value"].partition(" ")[2]).values()}
+        for k, row in enumerate(rows):
+            if k in kept:
+                continue
+            files, at = place(self.spark, f"{self.path}/current/{row['file']}")
+            files.delete(at, False)
+            for folder in set(json.loads(row["value"].partition(" ")[2]).values()) - needed:
+                files, at = place(self.spark, f"{self.path}/{folder}")
+                files.delete(at, True)
+                if files.exists(at.getParent()) and not len(files.listStatus(at.getParent())):
+                    files.delete(at.getParent(), False)
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.current()}/{name}")
+        return self.snapshot().table(name)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in TABLES}
+        return self.snapshot().tables()
 
     def find(self, query: str, k: int = 10, **select: str) -> DataFrame:
-        hits = search.search_postings(self.table("postings"), self.table("lengths"), query)
-        rows = self.table("symbols").where(lookup.selector(**select))
+        now = self.snapshot()
+        hits = search.search_postings(now.table("postings"), now.table("lengths"), query)
+        rows = now.table("symbols").where(lookup.selector(**select))
         return _pointers(rows.join(hits, "id"), "match").orderBy("bm25", F.desc("rank"), "id").limit(k)
 
     def definitions(self, **select: str) -> DataFrame:
-        return _pointers(lookup.definitions(self.table("symbols"), **select), "definition")
+        now = self.snapshot()
+        return _pointers(lookup.definitions(now.table("symbols"), **select), "definition")
 
     def callers(self, **select: str) -> DataFrame:
-        return _pointers(lookup.neighbours(self.table("symbols"), self.table("edges"), "callers", **select), "caller")
+        now = self.snapshot()
+        return _pointers(lookup.neighbours(now.table("symbols"), now.table("edges"), "callers", **select), "caller")
 
     def callees(self, **select: str) -> DataFrame:
-        return _pointers(lookup.neighbours(self.table("symbols"), self.table("edges_out"), "callees", **select), "callee")
+        now = self.snapshot()
+        return _pointers(lookup.neighbours(now.table("symbols"), now.table("edges_out"), "callees", **select), "callee")
 
     def outline(self, file: str) -> DataFrame:
-        return _pointers(lookup.outline(self.table("symbols"), file), "outline")
+        now = self.snapshot()
+        return _pointers(lookup.outline(now.table("symbols"), file), "outline")
 
     def rank(self, k: int = 20, include_tests: bool = False, service: str | None = None) -> DataFrame:
-        return _pointers(lookup.ranked(self.table("symbols"), self.table("edges"), k, include_tests, service), "rank")
+        now = self.snapshot()
+        return _pointers(lookup.ranked(now.table("symbols"), now.table("edges"), k, include_tests, service), "rank")
 
     def impact(self, depth: int = 2, k: int | None = None, **select: str) -> DataFrame:
         """What reaches the selected symbols, by depth and rank, with ``total``, how many there are before the cut to ``k``."""
@@ -309,8 +372,9 @@ class Index:
         return graph.impact_summary(self._reached(depth, **select))
 
     def _reached(self, depth: int, **select: str) -> DataFrame:
-        rows = self.table("symbols")
-        reached = graph.impact(self.table("edges"), rows.where(lookup.selector(**select)).select("id"), depth)
+        now = self.snapshot()
+        rows = now.table("symbols")
+        reached = graph.impact(now.table("edges"), rows.where(lookup.selector(**select)).select("id"), depth)
         return _pointers(rows.join(reached, "id"), "impact")
 
     def cochange(self, file: str, commits: DataFrame, k: int = 10, on_disk: DataFrame | None = None) -> DataFrame:
@@ -319,31 +383,49 @@ class Index:
         ``file`` is a path, or an end of just one; ``on_disk`` (path) are the
         files there besides the indexed ones, which may be targets too.
         """
-        paths = self.table("files").select("path")
+        now = self.snapshot()
+        paths = now.table("files").select("path")
         there = paths if on_disk is None else paths.union(on_disk.select("path")).distinct()
         target = lookup.one_path(paths, there, file)
         return graph.cochange_top(commits, target, there, k)
 
     def context(self, query: str, budget: int = 2000, include_tests: bool = False) -> DataFrame:
         """(query, budget_tokens, seeds_shown, content): one text of the best matches with their neighbours and services."""
-        hits = search.search_postings(self.table("postings"), self.table("lengths"), query, match_all=False)
-        return context.render(self.table("symbols"), hits, self.table("edges"), self.table("services"), self.table("files"), query, budget, include_tests)
+        now = self.snapshot()
+        hits = search.search_postings(now.table("postings"), now.table("lengths"), query, match_all=False)
+        return context.render(now.table("symbols"), hits, now.table("edges"), now.table("services"), now.table("files"), query, budget, include_tests)
 
     def changes(self, changed: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
-        return changes(changed, self.tables(), depth)
+        now = self.snapshot()
+        return changes(changed, now.tables(), depth)
 
     def map(self) -> DataFrame:
-        return lookup.service_map(self.table("services"), self.table("files"))
+        now = self.snapshot()
+        return lookup.service_map(now.table("services"), now.table("files"))
 
     def stats(self) -> DataFrame:
         """The number of rows of each table."""
-        return upkeep.row_counts(self.tables())
+        now = self.snapshot()
+        return upkeep.row_counts(now.tables())
 
     def state(self) -> DataFrame:
-        """One row: path, services, files, symbols, edges, indexed_at, root."""
-        n = lambda t: self.table(t).count()
-        when = self.table("files").agg(F.max("indexed_at").alias("indexed_at"))
-        return when.select(F.lit(self.path).alias("path"), *[F.lit(n(t)).alias(t) for t in ("services", "files", "symbols", "edges")], F.unix_seconds("indexed_at").alias("indexed_at_epoch"), F.lit(self.root).alias("repository_root"))
+        """One row: path, exists, size_bytes (of the current version), services, files, symbols, edges, usage, indexed_at_epoch, repository_root."""
+        if not self.exists():
+            return self.spark.createDataFrame([(self.path, False)], "path string, exists boolean").selectExpr("*", *(f"cast(null as {kind}) as {c}" for c, kind in _STATE), "cast(null as string) as repository_root")
+        now = self.snapshot()
+        n = lambda t: now.table(t).count()
+        size = sum(files.getContentSummary(at).getLength() for files, at in (place(self.spark, f"{self.path}/{f}") for f in now.folders.values()))
+        total = self.usage().where("command is null").first()
+        usage = f"{total['runs']} runs, ~{total['tokens_saved']} tokens saved" if total and total["runs"] else None
+        when = now.table("files").agg(F.max("indexed_at").alias("indexed_at"))
+        counts = [F.lit(n(t)).alias(t) for t in ("services", "files", "symbols", "edges")]
+        return when.select(F.lit(self.path).alias("path"), F.lit(True).alias("exists"), F.lit(size).cast("long").alias("size_bytes"), *counts, F.lit(usage).cast("string").alias("usage"), F.unix_seconds("indexed_at").alias("indexed_at_epoch"), F.lit(self.root).cast("string").alias("repository_root"))
+
+    def summary(self, done: Refreshed) -> DataFrame:
+        """What a refresh did, and what there is now: files_indexed, files_skipped, files_removed, symbols, edges, services, mode."""
+        now = self.snapshot()
+        row = (done.files_indexed, done.files_skipped, done.files_removed, *(now.table(t).count() for t in ("symbols", "edges", "services")), done.mode)
+        return self.spark.createDataFrame([row], "files_indexed long, files_skipped long, files_removed long, symbols long, edges long, services long, mode string")
 
     def record(self, command: str, results: int) -> None:
         """Note that a command ran, and what its pointers saved against reading the files."""
@@ -378,8 +460,8 @@ class Index:
         content (by default it is a column). A file of the time and size it had
         (a time of 0 is none) isn't read; one whose content has the hash it had
         isn't extracted. Of changed ones alone are the parts made anew; links
-        and ranks follow from all, and only if something changed. Other services
-        make a full run.
+        and ranks follow from all, and only if something changed; if files have but
+        other times, these alone are stored. Other services make a full run.
         """
         load = read or (lambda df: files.join(df.select("path"), "path", "left_semi"))
         listed = files.select("path", *[F.col(c) if c in files.columns else (F.octet_length("content") if c == "size" else F.lit(0)).cast("long").alias(c) for c in ("mtime", "size")])
@@ -387,8 +469,9 @@ class Index:
         if not self.exists():
             self.save(build(load(listed), services))
             return Refreshed("full", listed.count(), 0, 0)
-        stored = self.table("files")
-        moved = self.table("meta").where("key = 'services_fingerprint'").first()["value"] != services_fingerprint(services)
+        now = self.snapshot()
+        stored = now.table("files")
+        moved = now.table("meta").where("key = 'services_fingerprint'").first()["value"] != services_fingerprint(services)
         old = stored.select("path", "mtime", "size", F.col("git_hash").alias("hash"))
         maybe = upkeep.outcomes(listed.withColumn("hash", F.lit(None).cast("string")), old)
         content = written(load(listed.join(maybe.where("outcome = 'index'").select("path"), "path", "left_semi")).select("path", "mtime" if "mtime" in files.columns else F.lit(0).cast("long").alias("mtime"), "content"), "contents")
@@ -400,13 +483,16 @@ class Index:
         if moved:
             self.save(build(load(listed), services))
             return Refreshed("full: service definitions changed", listed.count(), 0, removed)
+        new_times = listed.select("path", F.col("mtime").alias("new_mtime"))
+        timed = lambda rows: rows.join(new_times, "path", "left").withColumn("mtime", F.coalesce("new_mtime", "mtime")).drop("new_mtime")
         if not indexed and not removed:
+            if touched:  # else they would be read again every time
+                self.save({"files": timed(stored)}, now)
             return Refreshed("unchanged", 0, skipped, 0)
         gone = outcome.where("outcome in ('index', 'removed')").select("path")
         fresh = parts(content.join(outcome.where("outcome = 'index'").select("path"), "path", "left_semi"))
-        new_times = listed.select("path", F.col("mtime").alias("new_mtime"))
-        kept = {"files": stored.join(gone, "path", "left_anti").join(new_times, "path", "left").withColumn("mtime", F.coalesce("new_mtime", "mtime")).drop("new_mtime")}
-        kept |= {t: self.table(t).join(gone.withColumnRenamed("path", "file"), "file", "left_anti") for t in PARTS if t != "files"}
+        kept = {"files": timed(stored.join(gone, "path", "left_anti"))}
+        kept |= {t: now.table(t).join(gone.withColumnRenamed("path", "file"), "file", "left_anti") for t in PARTS if t != "files"}
         part = {t: kept[t].select(*fresh[t].columns).union(fresh[t]) for t in PARTS}
         self.save(assemble(part, services))
         return Refreshed("incremental", indexed, skipped, removed)
@@ -444,9 +530,8 @@ def jsonl(rows: DataFrame, command: str, kind: str = "result") -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(command).alias("command"), F.lit(kind).alias("type"), F.struct(*rows.columns).alias("data")), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def clear(path: str) -> None:
-    """Delete a local index folder, if it is one."""
-    import shutil
-
-    if os.path.isdir(os.path.join(path, "current")):
-        shutil.rmtree(path)
+def clear(path: str) -> bool:
+    """Delete an index folder, wherever it lies, if it is one: whether it was there."""
+    spark = SparkSession.active()
+    files, pointers = place(spark, f"{path.rstrip('/')}/current")
+    return files.exists(pointers) and files.delete(pointers.getParent(), True)

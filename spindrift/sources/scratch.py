@@ -40,7 +40,13 @@ def written(df: DataFrame, name: str, *partition_by: str, batch_rows: int | None
     return spark.read.schema(df.schema).parquet(at)
 
 
+def place(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for ``path``, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def clear(spark: SparkSession) -> bool:
     """Delete what this application wrote; for the end of a job, when no result of it is read any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    files, at = place(spark, folder(spark))
+    return files.delete(at, True)

@@ -158,8 +158,13 @@ def test_stored_index_answers(spark, tables, tmp_path):
     assert stored.answered("find", stored.find("nothingatall"), stale=True) == index.STALE == 4
     assert [(r.command, r.runs, r.results) for r in stored.usage().collect()] == [("find", 2, 4), (None, 2, 4)]
     assert stored.usage(reset=True).where("command is not null").count() == 0
-    index.clear(stored.path)
-    index.clear(stored.path)
+    state = stored.state().first()
+    assert state["exists"] and state.size_bytes > 10_000 and state.usage is None
+    stored.record("find", 3)
+    assert stored.state().first().usage.startswith("1 runs, ~")
+    assert index.clear(stored.path) and not index.clear(stored.path)
+    gone = stored.state().first()
+    assert gone["exists"] is False and gone.symbols is None
     assert not (tmp_path / "ix").exists()
 
 
@@ -213,6 +218,45 @@ def test_refresh(spark, tmp_path):
     assert stored.refresh(files(two), services("b")).mode == "full: service definitions changed"
 
 
+def test_touched_files_are_read_once(spark, tmp_path):
+    root = tmp_path / "src" / "a"
+    root.mkdir(parents=True)
+    for k in range(3):
+        (root / f"m{k}.py").write_text(f"def f{k}():\n    pass\n")
+    stored = index.Index(spark, str(tmp_path / "ix"), str(root.parent))
+    stored.fresh()
+    before = stored.snapshot()
+    os.utime(root / "m1.py", ns=(5 * 10**9, 5 * 10**9))
+    assert stored.fresh()[0] == ("unchanged", 0, 3, 0)
+    now = stored.snapshot()
+    assert now.name != before.name and {t for t in now.folders if now.folders[t] != before.folders[t]} == {"files"}
+    times = {r.path: r.mtime for r in stored.table("files").collect()}
+    assert times["a/m1.py"] in (5, 5 * 10**3, 5 * 10**9)
+    assert stored.fresh()[0] == ("unchanged", 0, 3, 0) and stored.current() == now.name  # nothing was left to store
+    assert tuple(stored.summary(index.Refreshed("unchanged", 0, 3, 0)).first()) == (0, 3, 0, 3, 0, stored.table("services").count(), "unchanged")
+
+
+def test_versions_are_pinned_and_retired(spark, tmp_path):
+    files = lambda n: spark.createDataFrame([("a/x.py", f"def f{n}():\n    pass\n".encode())], "path string, content binary")
+    services = spark.createDataFrame([("a", "a", None, None, [], [])], repository.SERVICES)
+    stored = index.Index(spark, str(tmp_path / "ix"), retain_seconds=0)
+    stored.save(index.build(files(0), services, iterations=1))
+    old = stored.snapshot()
+    asked = stored.definitions(name="f0")  # its tables are those of the version that it was asked of
+    stored.save(index.build(files(1), services, iterations=1))
+    assert asked.count() == 1 and old.table("symbols").first().name == "f0" and stored.table("symbols").first().name == "f1"
+    stored.save({"meta": old.table("meta")}, stored.snapshot())
+    folders = {p.name for p in (tmp_path / "ix" / f"v={index.VERSION}").iterdir()}
+    assert old.name.split("/")[1] not in folders and len(folders) == 2  # the first went, the second still has most tables
+    assert stored.snapshot(stored.current()).table("symbols").count() == 1
+    with pytest.raises(LookupError):
+        stored.snapshot(old.name)
+    kept = index.Index(spark, str(tmp_path / "kept"))
+    for n in range(4):
+        kept.save({t: spark.range(n) for t in index.TABLES}) if n == 0 else kept.save({"meta": spark.range(n)}, kept.snapshot())
+    assert len(kept._manifests()) == 4  # not an hour old
+
+
 def test_refresh_reads_and_extracts_only_what_changed(spark, tmp_path, monkeypatch):
     root = tmp_path / "src"
     for k in range(4):
