@@ -7,6 +7,7 @@ import re
 import subprocess
 import tomllib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,10 +147,25 @@ def _git(root: str, *args: str) -> str:
 
 
 def commits(spark: SparkSession, root: str, most: int = 1000) -> DataFrame:
-    """(commit_id, path) of the last commits below a folder, merges aside; empty commits don't count."""
-    log = _git(root, "log", "--name-only", "--no-merges", "--relative", "--format=%x01", "-n", str(most), "--", ".")
-    each = [[p.strip() for p in part.split("\n") if p.strip()] for part in log.split("\x01")]
-    return spark.createDataFrame([(n, p) for n, ps in enumerate(x for x in each if x) for p in ps], "commit_id long, path string")
+    """(commit_id, path) of the last commits below a folder, merges aside; empty commits don't count.
+
+    The driver lists the names of at most ``most`` commits; tasks read what each
+    of them changed, so all executors have to see the folder and its git store.
+    """
+    names = _git(root, "log", "--no-merges", "--format=%H", "-n", str(most), "--", ".").split()
+
+    def read(batches):
+        for pdf in batches:
+            number = dict(zip(pdf["name"], pdf["commit_id"]))
+            shown = _git(root, "show", "--name-only", "-z", "--relative", "--format=%x01%H", *number, "--", ".")
+            rows = []
+            for part in shown.split("\x01")[1:]:
+                name, *paths = (p.strip("\n") for p in part.split("\0"))
+                rows += [(number[name], p) for p in paths if p]
+            yield pd.DataFrame(rows, columns=["commit_id", "path"]).astype({"commit_id": "int64"})
+
+    listed = spark.createDataFrame(list(enumerate(names)), "commit_id long, name string")
+    return listed.repartition(max(1, min(-(-len(names) // 50), spark.sparkContext.defaultParallelism))).mapInPandas(read, "commit_id long, path string")
 
 
 def changed_files(spark: SparkSession, root: str, base: str = "HEAD") -> DataFrame:
@@ -175,23 +191,34 @@ def changed_contents(spark: SparkSession, root: str, base: str = "HEAD") -> Data
 
     def read(batches):
         for pdf in batches:
-            old, new = [], []
-            for status, before, after in zip(pdf["status"], pdf["old_path"], pdf["new_path"]):
-                known = (after or before).rpartition(".")[2] in LANGUAGES
-                old.append(_blob(root, f"{base}:{prefix}{before}") if known and before and status != "added" else None)
+            sources = [(after or before).rpartition(".")[2] in LANGUAGES for before, after in zip(pdf["old_path"], pdf["new_path"])]
+            asked = [f"{base}:{prefix}{p}" if known and p and status != "added" else None for known, status, p in zip(sources, pdf["status"], pdf["old_path"])]
+            new = []
+            for known, status, after in zip(sources, pdf["status"], pdf["new_path"]):
                 content = None
                 if known and after and status != "deleted":
                     with open(os.path.join(root, after), "rb") as f:
                         content = f.read()
                 new.append(content)
-            yield pdf.assign(old_content=old, new_content=new)
+            yield pdf.assign(old_content=list(_blobs(root, asked)), new_content=new)
 
     listed = changed_files(spark, root, base).repartition(max(1, spark.sparkContext.defaultParallelism))
     return listed.mapInPandas(read, "status string, old_path string, new_path string, old_content binary, new_content binary")
 
 
-def _blob(root: str, name: str) -> bytes:
-    done = subprocess.run(["git", "-C", root, "show", name], capture_output=True)
-    if done.returncode:
-        raise RuntimeError(done.stderr.decode("utf-8", "replace").strip())
-    return done.stdout
+def _blobs(root: str, names: list[str | None]):
+    """The contents of named blobs, in order, from one git process; null for null."""
+    with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:
+        for name in names:
+            if name is None:
+                yield None
+            elif "\n" in name:  # its protocol has a line a name
+                yield subprocess.run(["git", "-C", root, "show", name], capture_output=True, check=True).stdout
+            else:
+                git.stdin.write(name.encode() + b"\n")
+                git.stdin.flush()
+                head = git.stdout.readline().split()
+                if head[-1] == b"missing":
+                    raise RuntimeError(f"git has no {name}")
+                yield git.stdout.read(int(head[-1]) + 1)[:-1]
+        git.stdin.close()
