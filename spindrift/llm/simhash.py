@@ -274,7 +274,9 @@ class _Drawn:
 def _draw(docs: DataFrame, n: int, width: int, similarity: float, most_bytes: int = 32_768) -> tuple[_Drawn, list[tuple]]:
     """Up to ``n`` distinct texts of at most ``most_bytes`` with the smallest hashes, whatever the table's order, to hold what is found against: their sets, and each one's (doc_id, hash)."""
     named = _named(docs).where(F.octet_length("text") <= most_bytes)
-    rows = named.orderBy(F.xxhash64(F.lit("drawn"), "hash"), "doc_id").limit(n).collect()
+    names = named.select("doc_id", "hash").orderBy(F.xxhash64(F.lit("drawn"), "hash"), "doc_id").limit(n)  # without texts: each task sends as many
+    picked = F.broadcast(docs.sparkSession.createDataFrame(names.collect(), "d long, h long"))
+    rows = named.join(picked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("doc_id", "hash", "text").dropDuplicates(["doc_id", "hash"]).orderBy("doc_id").collect()
     first = {r["hash"]: r for r in reversed(rows)}
     return _Drawn([shingle_set(r["text"], width) for r in first.values()], similarity), [(r["doc_id"], r["hash"]) for r in first.values()]
 
@@ -416,19 +418,43 @@ def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(found, classes.rep == found.node, "left").withColumn("group", F.coalesce("component", "rep")).drop("node", "component")
 
 
-def _links_between_groups(classes: DataFrame, checked: DataFrame, texts: DataFrame, limit: int, bucket_rows: int, width: int, similarity: float) -> DataFrame:
-    """All links (u, v): those of ``checked``, the pairs of the buckets' trees, and more until no bucket has a pair within ``limit`` between groups that was not checked.
+def _far(bits: int, similarity: float) -> int:
+    """How many of ``bits`` may differ at a similarity, with 2.5 standard deviations more."""
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * (1 - agree) + 2.5 * math.sqrt(bits * agree * (1 - agree)))
+
+
+LONG_WORDS = 16
+
+
+def _longer(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, fp): prints of ``LONG_WORDS`` words, by which few pairs below the limit pass for near."""
+
+    def run(batches):
+        for b in batches:
+            fps = [np.packbits(long_print(shingle_set(t.as_py(), width), LONG_WORDS), bitorder="little").tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(fps, pa.binary())], ["rep", "fp"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, fp binary")
+
+
+def _links_between_groups(classes: DataFrame, checked: DataFrame, texts: DataFrame, bucket_rows: int, width: int, similarity: float) -> DataFrame:
+    """All links (u, v): those of ``checked``, the pairs of the buckets' trees, and more until no bucket has a near pair between groups that was not checked.
 
     Where every pair of a tree is a link, all that is near is tied. What hangs
     together by pairs of trees, but not by links, is looked at again, and
     nothing else: its nearest pairs between groups are checked, each round twice
-    as many of a row, and groups that become one need no more pairs.
+    as many of a row, and groups that become one need no more pairs. Which are
+    near is told by longer prints here, so that few fail.
     """
     links = checked.where("similar").select("u", "v")
     by_tree = _grouped(_grouped(classes, links).withColumnRenamed("group", "own"), checked.select("u", "v")).select("rep", "fp", "blocks", "own", "group")
     torn = by_tree.groupBy("group").agg((F.min("own") != F.max("own")).alias("torn")).where("torn").select("group")
-    left = materialize(by_tree.join(torn, "group", "left_semi").select("rep", "fp", "blocks"), "left")
-    most = 8
+    left = materialize(by_tree.join(torn, "group", "left_semi").select("rep", "blocks"), "left")
+    with in_small_batches(classes.sparkSession):
+        prints = materialize(_longer(texts.join(left.select("rep"), "rep", "left_semi"), width), "longer")
+    left = materialize(left.join(prints, "rep"), "left")
+    limit, most = _far(LONG_WORDS * BITS, similarity), 8
     while True:
         pairs = checked.where("not similar")
         tried = pairs.union(pairs.select("v", "u", "similar")).groupBy("u").agg(F.collect_list("v").alias("tried")).withColumnRenamed("u", "rep")
@@ -465,9 +491,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, reca
     distinct = prints.groupBy("doc_id", "hash", "fp", "blocks").agg(F.count("*").alias("copies"))
     classes = distinct.groupBy("fp", "blocks").agg(F.min(member).alias("m"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "fp", "blocks", "m.doc_id", "m.hash"), "classes")
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    checked_bits = CHECKED_WORDS * BITS
-    limit = int(checked_bits * (1 - agree) + 2.5 * math.sqrt(checked_bits * agree * (1 - agree)))
+    limit = _far(CHECKED_WORDS * BITS, similarity)
     rows = classes.select("rep", "fp", F.posexplode("blocks").alias("mask", "value"))
     near = _by_bucket(lambda a, b: _near(a, b, limit), lambda fps, reps: bucket_tree(fps, reps, limit))
     pairs = materialize(_deal(rows, bucket_rows).mapInArrow(near, "u long, v long").distinct(), "pairs")
@@ -477,7 +501,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, reca
     # texts are dealt the same way at every size: what is asked for grows with the documents
     texts = named.join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("rep", "text")
     texts = materialize(texts.groupBy("rep").agg(F.first("text").alias("text")), "texts")
-    links = _links_between_groups(classes, _check(pairs, texts, width, similarity), texts, limit, bucket_rows, width, similarity)
+    links = _links_between_groups(classes, _check(pairs, texts, width, similarity), texts, bucket_rows, width, similarity)
     grouped = _grouped(classes, links).select("fp", "blocks", "group")
     out = materialize(distinct.join(grouped, ["fp", "blocks"]).select("doc_id", "hash", "copies", "group"), "similar")
     share, n = _audit(prints, out, names)
