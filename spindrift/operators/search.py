@@ -6,6 +6,9 @@ import re
 import unicodedata
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -90,21 +93,46 @@ def search(docs: DataFrame, query: str, columns: tuple[str, ...], match_all: boo
 _COLUMN = 1 << 32
 
 
+def _grouped(batches):
+    """A document's tokens, a list a column, as its tokens in order, each once with its places; all documents of a batch at once."""
+    for b in batches:
+        lists, n = b.columns[1:], b.num_rows
+        sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+        row = np.concatenate([np.repeat(np.arange(n), m) for m in sizes])
+        place = np.concatenate([k * _COLUMN + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) for k, m in enumerate(sizes)])
+        words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        key = row * max(1, len(words.dictionary)) + words.indices.to_numpy()
+        order = np.argsort(key, kind="stable")  # places stay in order
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        token = words.dictionary.take(words.indices.take(pa.array(order[first])))
+        places = pa.ListArray.from_arrays(np.append(first, len(key)).astype(np.int32), pa.array(place[order]))
+        each = pa.StructArray.from_arrays([token, places], ["token", "places"])
+        ends = np.searchsorted(row[order][first], np.arange(n + 1)).astype(np.int32)
+        length = pa.array(sum(sizes).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), length, pa.ListArray.from_arrays(ends, each)], ["id", "length", "postings"])
+
+
+def terms(docs: DataFrame, columns: tuple[str, ...], id: str = "id") -> DataFrame:
+    """(id, length, postings) of every document: each of its tokens once, with its places. A document is cut and grouped by itself, so no rows move."""
+    tokens = docs.select(F.col(id).alias("id"), *[search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t{k}") for k, c in enumerate(columns)])
+    return tokens.mapInArrow(_grouped, f"id {tokens.schema['id'].dataType.simpleString()}, length int, postings array<struct<token:string,places:array<bigint>>>")
+
+
 def postings(docs: DataFrame, columns: tuple[str, ...], id: str = "id") -> tuple[DataFrame, DataFrame]:
     """The index of ``docs``: (token, id, places), sorted by token in runs of tokens, and (id, length) of every document.
 
     Written with one range of (token, id) to a file, so a word that very many
     documents hold goes over several, and Parquet's figures let a search read
-    the files and row groups of its prefixes alone.
+    the files and row groups of its prefixes alone. Postings move once, to
+    their range.
     """
+    return postings_of(terms(docs, columns, id))
 
-    def placed(k: int, c: str) -> Column:
-        return F.transform(search_tokens(F.coalesce(F.col(c), F.lit(""))), lambda t, i: F.struct(t.alias("token"), (F.lit(k * _COLUMN).cast("long") + i).alias("place")))
 
-    each = [placed(k, c) for k, c in enumerate(columns)]
-    tokens = docs.select(F.col(id).alias("id"), F.concat(*each).alias("tokens"))
-    found = tokens.select("id", F.explode("tokens").alias("t")).groupBy("t.token", "id").agg(F.collect_list("t.place").alias("places"))
-    return found.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), tokens.select("id", F.size("tokens").alias("length"))
+def postings_of(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``postings`` from the rows of ``terms``; where both tables are used, and as ranges are sampled first, these are best written."""
+    found = held.select("id", F.explode("postings").alias("t")).select("t.token", "id", "t.places")
+    return found.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), held.select("id", "length")
 
 
 def search_postings(index: DataFrame, lengths: DataFrame, query: str, match_all: bool = True) -> DataFrame:

@@ -344,39 +344,11 @@ def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     state = tuple(docs.agg(F.count("*"), F.max("_metadata.file_modification_time"), F.sum("_metadata.file_size")).first())
     files, at = scratch.place(spark, scratch.folder(spark))
     if _STORED_TEXTS.get(key, (None,))[0] != state or not files.exists(at):
-        index, lengths = search.postings(docs, ("text",), "doc_id")
+        index, lengths = search.postings_of(written(search.terms(docs, ("text",), "doc_id"), "terms", batch_rows=500))
         _STORED_TEXTS[key] = state, (written(index, "postings"), written(lengths, "lengths"))
     return _STORED_TEXTS[key][1]
 
 
-@query(_bm25_sql([_TF.format("stup"), _TF.format("mor")], "AND") + " SELECT doc_id, round(bm25, 6) AS bm25 FROM hits")
-def fts_and(spark: SparkSession, d: str) -> DataFrame:
-    return _find(spark, d, "stup mor").select("doc_id", F.round("bm25", 6).alias("bm25"))
-
-
-@query(_bm25_sql([_TF.format("licen"), _TF.format("idiot")], "OR") + " SELECT doc_id, round(bm25, 6) AS bm25 FROM hits ORDER BY round(bm25, 9), n_chars DESC, doc_id LIMIT 10")
-def fts_or(spark: SparkSession, d: str) -> DataFrame:
-    hits = _find(spark, d, "licen idiot", match_all=False)
-    return hits.orderBy(F.round("bm25", 9), F.desc("n_chars"), "doc_id").limit(10).select("doc_id", F.round("bm25", 6).alias("bm25"))
-
-
-@query(_bm25_sql([_PHRASE_TF.format("under", "th")], "AND") + " SELECT doc_id, round(bm25, 6) AS bm25 FROM hits")
-def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return _find(spark, d, "under_th").select("doc_id", F.round("bm25", 6).alias("bm25"))
-
-
-_STORED_TEXTS: dict = {}
-
-
-def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The postings of ``documents``, written once in a session."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _STORED_TEXTS:
-        index, lengths = search.postings(table(spark, d, "documents"), ("text",), "doc_id")
-        _STORED_TEXTS[key] = written(index, "postings"), written(lengths, "lengths")
-    return _STORED_TEXTS[key]
-
-
 @query(_bm25_sql([_TF.format("stup"), _TF.format("mor")], "AND") + " SELECT doc_id, round(bm25, 6) AS bm25 FROM hits")
 def stored_and(spark: SparkSession, d: str) -> DataFrame:
     return search.search_postings(*_stored(spark, d), "Stup mor").select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))

@@ -202,3 +202,13 @@ def test_stored_search_equals_scan(spark, match_all):
         ours = {r.id: round(r.bm25, 9) for r in search.search_postings(index, lengths, query, match_all).collect()}
         theirs = {r.id: round(r.bm25, 9) for r in search.search(docs, query, ("title", "body"), match_all).collect()}
         assert ours == theirs
+
+
+def test_postings_move_once(spark):
+    docs = spark.createDataFrame([(1, "b a b", "a"), (1, "a", None), (None, "c b", ""), (2, None, None)], "id long, title string, body string")
+    index, lengths = search.postings(docs, ("title", "body"))
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    far = 1 << 32
+    assert sorted(((r.token, r.id or 0, r.places) for r in index.collect())) == [("a", 1, [0]), ("a", 1, [1, far]), ("b", 0, [1]), ("b", 1, [0, 2]), ("c", 0, [0])]
+    assert sorted((r.id or 0, r.length) for r in lengths.collect()) == [(0, 2), (1, 1), (1, 4), (2, 0)]
