@@ -82,16 +82,23 @@ def callers_of_deleted(deleted: DataFrame, refs: DataFrame, symbols: DataFrame,
     source is in the service or its file imports the name or the qualifier, and
     its qualifier is the container (or, at top level, the module), or, without
     one, the source's container is the same where there is one.
+
+    Each way to agree is an equality with a table of distinct keys, so a name that
+    very many references and deleted symbols share is no product of both.
     """
     src = symbols.select(F.col("id").alias("src_symbol"), F.col("file").alias("s_file"), F.col("service").alias("s_service"), F.col("container").alias("s_container"))
-    rows = refs.select("src_symbol", F.col("dst_name").alias("name"), "qualifier").distinct().join(deleted, "name").join(src, "src_symbol")
-    held = imports.select(F.col("file").alias("s_file"), F.col("name").alias("i_name"), F.lit(True).alias("held"))
-    asked = rows.withColumn("i_name", F.explode(F.array_distinct(F.array("name", F.coalesce("qualifier", "name")))))
-    asked = asked.join(held, ["s_file", "i_name"], "left")
-    near = (F.col("s_service") == F.col("service")) | F.coalesce("held", F.lit(False))
-    q, c = F.col("qualifier"), F.col("container")
-    agrees = (q.isNotNull() & q.eqNullSafe(c)) | (q.isNull() & (c.isNull() | F.col("s_container").eqNullSafe(c))) | (c.isNull() & (q == F.col("module")))
-    return asked.where(near & F.coalesce(agrees, F.lit(False))).select("name", "src_symbol").distinct()
+    lost = deleted.select("name", "service", "container", "module").distinct()
+    rows = refs.select("src_symbol", F.col("dst_name").alias("name"), "qualifier").distinct().join(lost.select("name").distinct(), "name", "left_semi").join(src, "src_symbol")
+    held = imports.select(F.col("file").alias("s_file"), F.col("name").alias("i_name")).distinct().withColumn("held", F.lit(True))
+    asked = rows.withColumn("i_name", F.explode(F.array_distinct(F.array("name", F.coalesce("qualifier", "name"))))).join(held, ["s_file", "i_name"], "left")
+    q, c, empty = F.col("qualifier"), F.col("container"), F.lit("")
+    pair = lambda by, value: F.struct(F.lit(by).alias("by"), value.alias("value"))
+    each = lambda *pairs: F.explode(F.filter(F.array(*pairs), lambda w: w["value"].isNotNull()))
+    keys = lost.withColumn("way", each(pair("container", c), pair("top", F.when(c.isNull(), empty)), pair("module", F.when(c.isNull(), F.col("module")))))
+    keys = keys.select("name", "way", each(pair("service", F.col("service")), pair("any", empty)).alias("where")).distinct()
+    rows = asked.withColumn("way", each(pair("container", F.coalesce(q, F.col("s_container"))), pair("top", F.when(q.isNull(), empty)), pair("module", q)))
+    rows = rows.select("name", "src_symbol", "way", each(pair("service", F.col("s_service")), pair("any", F.when(F.col("held"), empty))).alias("where"))
+    return rows.join(keys, ["name", "way", "where"], "left_semi").select("name", "src_symbol").distinct()
 
 
 def file_status(code: str, old: str | None, new: str | None) -> tuple[str, str | None, str | None]:

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -212,3 +213,23 @@ def test_postings_move_once(spark):
     far = 1 << 32
     assert sorted(((r.token, r.id or 0, r.places) for r in index.collect())) == [("a", 1, [0]), ("a", 1, [1, far]), ("b", 0, [1]), ("b", 1, [0, 2]), ("c", 0, [0])]
     assert sorted((r.id or 0, r.length) for r in lengths.collect()) == [(0, 2), (1, 1), (1, 4), (2, 0)]
+
+
+def test_deleted_callers_by_keys(spark):
+    draw = random.Random(5)
+    some = lambda xs: draw.choice(xs)
+    deleted = [(some("fg"), some(["s", "t", None]), some(["a", "b", None]), some(["m", None])) for _ in range(8)]
+    symbols = [(k, some("xyz"), some(["s", "t", "u", None]), some(["a", "b", None])) for k in range(40)]
+    refs = [(draw.randrange(42), some(["f", "g", "h", None]), some(["a", "b", "m", None])) for _ in range(300)]
+    imports = [("x", "f"), ("y", "a"), ("y", "m"), ("y", "m")]
+    agrees = lambda q, c, m, sc: (q is not None and q == c) or (q is None and (c is None or sc == c)) or (c is None and q is not None and q == m)
+    want = set()
+    for src, name, q in refs:
+        for id, file, service, sc in symbols:
+            for d in deleted:
+                if id == src and d[0] == name and agrees(q, d[2], d[3], sc) and ((service is not None and service == d[1]) or (file, name) in imports or (file, q) in imports):
+                    want.add((name, src))
+    frames = [spark.createDataFrame(rows, s) for rows, s in ((deleted, "name string, service string, container string, module string"), (refs, "src_symbol long, dst_name string, qualifier string"), (symbols, "id long, file string, service string, container string"), (imports, "file string, name string"))]
+    got = diff.callers_of_deleted(*frames)
+    assert {tuple(r) for r in got.collect()} == want and 10 < len(want) < 80
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1  # references meet no crowd of deleted symbols of their name
