@@ -110,10 +110,25 @@ def cochange_top(commits: DataFrame, target: str, there: DataFrame, k: int = 10,
     return found.withColumnRenamed("path", "file").orderBy(F.desc("together_commits"), "file").limit(k)
 
 
+#: So many pairs of a task are counted at once.
+_TASK_PAIRS = 1_000_000
+
+
 def cochange_pairs(commits: DataFrame, most_files: int = 30) -> DataFrame:
-    """(path, partner, together_commits, target_commits, confidence_percent) of all files; a commit gives at most ``most_files`` squared pairs."""
+    """(path, partner, together_commits, target_commits, confidence_percent) of all files; a commit gives at most ``most_files`` squared pairs.
+
+    A pair moves once, the lesser path first, to one of as many tasks as their
+    number asks for, and is counted there: pairs seldom repeat within a task of
+    commits, so counting them before would only fill its memory.
+    """
     sets = commits.groupBy("commit_id").agg(F.array_sort(F.collect_set("path")).alias("paths")).where(F.size("paths") <= most_files)
-    pairs = sets.select(F.explode("paths").alias("path"), "paths").select("path", F.explode("paths").alias("partner")).groupBy("path", "partner").agg(F.count("*").alias("n"))
-    total = pairs.where("path = partner").select("path", F.col("n").alias("target_commits"))
-    together = pairs.where("path <> partner").select("path", "partner", F.col("n").alias("together_commits"))
+    sums = Observation(f"pairs-{uuid.uuid4().hex}")
+    n = F.size("paths").cast("long")
+    sets = written(sets.select("paths").observe(sums, F.sum(n * (n - 1) / 2).alias("pairs")), "commits")
+    tasks = max(int(commits.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((sums.get["pairs"] or 0) // _TASK_PAIRS) + 1)
+    pairs = sets.select(F.posexplode("paths").alias("at", "path"), "paths").select("path", F.explode(F.slice("paths", F.col("at") + 2, most_files)).alias("partner"))
+    counts = pairs.repartition(tasks, "path", "partner").groupBy("path", "partner").agg(F.count("*").alias("n"))
+    total = sets.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count("*").alias("target_commits"))
+    ways = F.explode(F.array(F.struct("path", "partner"), F.struct(F.col("partner").alias("path"), F.col("path").alias("partner"))))
+    together = counts.select(ways.alias("pair"), "n").select("pair.path", "pair.partner", F.col("n").alias("together_commits"))
     return together.join(total, "path").withColumn("confidence_percent", F.col("together_commits") * 100.0 / F.col("target_commits"))

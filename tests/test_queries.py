@@ -4,6 +4,7 @@ import glob
 import math
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -233,3 +234,16 @@ def test_deleted_callers_by_keys(spark):
     got = diff.callers_of_deleted(*frames)
     assert {tuple(r) for r in got.collect()} == want and 10 < len(want) < 80
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1  # references meet no crowd of deleted symbols of their name
+
+
+def test_cochange_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    rows = [(k, f"p{j}") for k in range(40) for j in range(k % 7)] + [(1, None), (99, "x"), (5, "p1")]
+    df = spark.createDataFrame(rows, "commit_id long, path string")
+    sets = [set(p for c, p in rows if c == k and p) for k in {c for c, _ in rows}]
+    sets = [s for s in sets if len(s) <= 5]
+    want = {(a, b): (sum({a, b} <= s for s in sets), sum(a in s for s in sets)) for s in sets for a in s for b in s if a != b}
+    monkeypatch.setattr(graph, "_TASK_PAIRS", 10, raising=False)
+    got = graph.cochange_pairs(df, 5)
+    assert {(r.path, r.partner): (r.together_commits, r.target_commits) for r in got.collect()} == want
+    many = sum(len(s) * (len(s) - 1) // 2 for s in sets) // 10 + 1
+    assert many > 4 and f"hashpartitioning(path, partner, {many})" in re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString())
