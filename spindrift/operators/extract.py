@@ -9,6 +9,8 @@ shuffled, to number them within their file.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,11 +95,15 @@ def _rows(file: str, language: str, content: str):
         yield [file, language, "import", line, None, None, None, None, None, None, None, None, text, None, None]
 
 
+#: So many rows of a file are sent at once.
+_AT_ONCE = 2000
+
+
 def _scan(batches):
     for b in batches:
-        for file, language, content in zip(*(c.to_pylist() for c in b.columns)):
-            rows = list(_rows(file, language, content))
-            if rows:
+        for k in range(b.num_rows):  # one text at a time, and some rows of it
+            found = _rows(*(c[k].as_py() for c in b.columns))
+            while rows := list(islice(found, _AT_ONCE)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows), _ROW)], [name for name, _ in _ROW])
 
 
@@ -138,7 +144,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     from 0, and an end is behind its last character. Files in other languages,
     null and empty ones give nothing. The scan is written once, for both.
     """
-    scan = written(_known(files).mapInArrow(_scan, _SCHEMA), "scan", batch_rows=100)
+    scan = written(_known(files).mapInArrow(_scan, _SCHEMA), "scan", batch_rows=8)
     defs = scan.where("role = 'def'").withColumn("def", _definition()).where("def is not null")
     number = F.row_number().over(Window.partitionBy("file").orderBy("start_line", "start_col", F.desc("end_line"), F.desc("end_col"))).cast("long")
     symbols = defs.select("file", "language", number.alias("id"), "def.name", "def.kind", "start_line", "start_col", "end_line", "end_col", signature_of(F.col("text")).alias("signature"), _comment().alias("doc_first_line"), _hint().alias("hint"))

@@ -253,3 +253,14 @@ def test_long_files_take_time_in_proportion():
         begun = time.process_time()
         assert len(list(extract._rows("a", language.strip(), src))) < 100_000
         assert time.process_time() - begun < 30, language
+
+
+def test_a_long_file_is_sent_in_parts():
+    import pyarrow as pa
+
+    text = "".join(f"def f{k}(x):\n    return g{k % 9}(x)\n" for k in range(3000))
+    batch = pa.RecordBatch.from_pydict({"file": ["a.py"], "language": ["python"], "content": [text]})
+    sent = list(extract._scan([batch]))
+    assert sum(b.num_rows for b in sent) == 6000 and max(b.num_rows for b in sent) <= 2000
+    tokens = lexer.Tokens(text, "python")
+    assert len({id(t) for t in tokens.text if t == "return"}) == 1 and tokens.start.itemsize == tokens.mate.itemsize == 8
