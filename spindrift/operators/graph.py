@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import bucketed, written
 
 
-def _round(ranks: DataFrame) -> tuple[DataFrame, float, float]:
+#: Up to so many edges are not worth buckets.
+_FEW_EDGES = 2_000_000
+
+
+def _round(ranks: DataFrame, keep=written) -> tuple[DataFrame, float, float]:
     """Ranks (id, hangs, rank, was), written, with the rank that hangs loose and how much all changed, which are observed on the way."""
     sums = Observation(f"ranks-{uuid.uuid4().hex}")
     loose = F.coalesce(F.sum(F.when(F.col("hangs"), F.col("rank"))), F.lit(0.0))
-    out = written(ranks.observe(sums, loose.alias("loose"), F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved")), "ranks")
+    out = keep(ranks.observe(sums, loose.alias("loose"), F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved")), "ranks")
     return out, sums.get["loose"], sums.get["moved"]
 
 
@@ -24,7 +29,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     ``nodes``: id. ``edges``: src_symbol, dst_symbol; parallel edges each vote.
     The rank of nodes without outgoing edges is spread evenly. It stops after
     ``iterations`` rounds, or when ranks change by less than ``tolerance`` in
-    all. Edges are summed and their weights fixed once; a round moves one number
+    all. Edges are summed and their weights fixed once; many edges and the ranks lie
+    in the same buckets of ids, so of both nothing moves. A round moves one number
     for each distinct edge, summed before the shuffle, and is one job that writes
     the ranks and observes their sums, so that
     neither lineage nor a lost executor costs more than a round.
@@ -36,13 +42,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     pairs = edges.groupBy("src_symbol", "dst_symbol").agg(F.count("*").alias("n"))
     out = pairs.groupBy("src_symbol").agg(F.sum("n").alias("out"))
     weighted = written(pairs.join(out, "src_symbol").select(F.col("src_symbol").alias("id"), "dst_symbol", (F.col("n") / F.col("out")).alias("share")), "votes")
+    keep = written
+    if weighted.count() > _FEW_EDGES:
+        keep = partial(bucketed, column="id")
+        weighted = keep(weighted, "votes")
     voters = weighted.select("id").distinct().withColumn("hangs", F.lit(False))
     start = ids.join(voters, "id", "left").select("id", F.coalesce("hangs", F.lit(True)).alias("hangs"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("was"))
-    ranks, loose, _ = _round(start)
+    ranks, loose, _ = _round(start, keep)
     for _ in range(iterations):
         votes = weighted.join(ranks.select("id", "rank"), "id").groupBy("dst_symbol").agg(F.sum(F.col("rank") * F.col("share")).alias("votes"))
         value = F.lit((1 - damping) / n) + damping * (F.coalesce("votes", F.lit(0.0)) + F.lit(loose / n))
-        ranks, loose, moved = _round(ranks.join(votes.withColumnRenamed("dst_symbol", "id"), "id", "left").select("id", "hangs", value.alias("rank"), F.col("rank").alias("was")))
+        ranks, loose, moved = _round(ranks.join(votes.withColumnRenamed("dst_symbol", "id"), "id", "left").select("id", "hangs", value.alias("rank"), F.col("rank").alias("was")), keep)
         if moved < tolerance:
             break
     return ranks.select("id", "rank")

@@ -40,6 +40,19 @@ def written(df: DataFrame, name: str, *partition_by: str, batch_rows: int | None
     return spark.read.schema(df.schema).parquet(at)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` written to the shared folder in hash buckets of ``column``: later joins and grouping by it move no rows of it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, column)  # as buckets are, so each is one file
+    dealt.write.format("parquet").bucketBy(buckets, column).option("compression", "zstd").option("path", path(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved now: the files stay when the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def place(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for ``path``, wherever it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

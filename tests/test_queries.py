@@ -247,3 +247,24 @@ def test_cochange_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert {(r.path, r.partner): (r.together_commits, r.target_commits) for r in got.collect()} == want
     many = sum(len(s) * (len(s) - 1) // 2 for s in sets) // 10 + 1
     assert many > 4 and f"hashpartitioning(path, partner, {many})" in re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pagerank_in_buckets(spark, monkeypatch):
+    draw = random.Random(3)
+    links = [(draw.randrange(40), draw.randrange(50)) for _ in range(300)]
+    nodes = spark.createDataFrame([(i,) for i in range(50)], "id long")
+    edges = spark.createDataFrame(links, "src_symbol long, dst_symbol long")
+    three = lambda: {r.id: r["rank"] for r in graph.pagerank(nodes, edges, iterations=3, tolerance=0.0).collect()}
+    want = three()
+    rounds, was = [], graph._round
+    monkeypatch.setattr(graph, "_FEW_EDGES", 0, raising=False)
+    monkeypatch.setattr(graph, "_round", lambda rows, *keep: (rounds.append(rows), was(rows, *keep))[1])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = three()
+        plan = rounds[2]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    assert plan.count("Exchange hashpartitioning") == 1  # the sums of votes alone move
