@@ -438,34 +438,49 @@ def _longer(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(run, "rep long, fp binary")
 
 
-def _links_between_groups(classes: DataFrame, checked: DataFrame, texts: DataFrame, bucket_rows: int, width: int, similarity: float) -> DataFrame:
-    """All links (u, v): those of ``checked``, the pairs of the buckets' trees, and more until no bucket has a near pair between groups that was not checked.
+def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(u, v): the different groups that ``pairs`` lie in, of ``groups`` (rep, group)."""
+    of = lambda c: groups.select(F.col("rep").alias(c), F.col("group").alias(f"{c}_group"))
+    both = pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v").where("u_group <> v_group")
+    return both.select(F.greatest("u_group", "v_group").alias("u"), F.least("u_group", "v_group").alias("v")).distinct()
+
+
+def _tied_groups(classes: DataFrame, checked: DataFrame, texts: DataFrame, bucket_rows: int, width: int, similarity: float) -> DataFrame:
+    """``classes`` with ``group``: by the links of ``checked``, the pairs of the buckets' trees, and by more until no bucket has a near pair between groups that was not checked.
 
     Where every pair of a tree is a link, all that is near is tied. What hangs
     together by pairs of trees, but not by links, is looked at again, and
-    nothing else: its nearest pairs between groups are checked, each round twice
+    nothing else: these are the groups at either end of a pair that is no link.
+    Their nearest pairs between groups are checked, each round twice
     as many of a row, and groups that become one need no more pairs. Which are
-    near is told by longer prints here, so that few fail.
+    near is told by longer prints here, so that few fail. A round ties groups,
+    by its new links alone; nothing that was tied is gone through again.
     """
-    links = checked.where("similar").select("u", "v")
-    by_tree = _grouped(_grouped(classes, links).withColumnRenamed("group", "own"), checked.select("u", "v")).select("rep", "fp", "blocks", "own", "group")
-    torn = by_tree.groupBy("group").agg((F.min("own") != F.max("own")).alias("torn")).where("torn").select("group")
-    left = materialize(by_tree.join(torn, "group", "left_semi").select("rep", "blocks"), "left")
+    own = materialize(_grouped(classes, checked.where("similar").select("u", "v")), "own")
+    apart = _between(checked.where("not similar"), own)
+    torn = materialize(apart.select(F.explode(F.array("u", "v")).alias("group")).distinct(), "torn")
+    left = own.join(torn, "group", "left_semi").select("rep", "blocks", F.col("group").alias("own"))
     with in_small_batches(classes.sparkSession):
         prints = materialize(_longer(texts.join(left.select("rep"), "rep", "left_semi"), width), "longer")
     left = materialize(left.join(prints, "rep"), "left")
+    merged = torn.select(F.col("group").alias("own"), "group")
     limit, most = _far(LONG_WORDS * BITS, similarity), 8
     while True:
         pairs = checked.where("not similar")
         tried = pairs.union(pairs.select("v", "u", "similar")).groupBy("u").agg(F.collect_list("v").alias("tried")).withColumnRenamed("u", "rep")
-        mine = checked.where("similar").select("u", "v").join(left.select(F.col("rep").alias("u")), "u", "left_semi")
-        rows = _grouped(left, mine).join(tried, "rep", "left").select("rep", "fp", "group", "tried", F.posexplode("blocks").alias("mask", "value"))
+        now = left.join(merged, "own")
+        rows = now.join(tried, "rep", "left").select("rep", "fp", "group", "tried", F.posexplode("blocks").alias("mask", "value"))
         rows = materialize(rows, "rows")
         found = _deal(rows, bucket_rows).mapInArrow(_crossing(limit, most), "u long, v long").distinct()
         found = materialize(found, "crossing")
         if found.isEmpty():
-            return checked.where("similar").select("u", "v")
-        checked = checked.unionByName(_check(found, texts, width, similarity))
+            moved = merged.select(F.col("own").alias("group"), F.col("group").alias("tied"))
+            return own.join(moved, "group", "left").withColumn("group", F.coalesce("tied", "group")).drop("tied")
+        more = _check(found, texts, width, similarity)
+        checked = checked.unionByName(more)
+        components = connected_components(_between(more.where("similar"), now.select("rep", "group")))
+        merged = merged.join(components, merged.group == components.node, "left").select("own", F.coalesce("component", "group").alias("group"))
+        merged = materialize(merged, "merged")
         most *= 2
 
 
@@ -501,8 +516,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, reca
     # texts are dealt the same way at every size: what is asked for grows with the documents
     texts = named.join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("rep", "text")
     texts = materialize(texts.groupBy("rep").agg(F.first("text").alias("text")), "texts")
-    links = _links_between_groups(classes, _check(pairs, texts, width, similarity), texts, bucket_rows, width, similarity)
-    grouped = _grouped(classes, links).select("fp", "blocks", "group")
+    grouped = _tied_groups(classes, _check(pairs, texts, width, similarity), texts, bucket_rows, width, similarity).select("fp", "blocks", "group")
     out = materialize(distinct.join(grouped, ["fp", "blocks"]).select("doc_id", "hash", "copies", "group"), "similar")
     share, n = _audit(prints, out, names)
     log.info("near copies: %s of %d similar pairs with one of %d drawn texts are in one group", share, n, len(names))

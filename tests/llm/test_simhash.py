@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from spindrift.llm import simhash
+from spindrift.llm.common import materialize
 from spindrift.llm.components import connected_components
 from spindrift.llm.vectors import merge
 
@@ -201,6 +203,18 @@ def test_crowds_around_the_limit(spark):
     assert len({got[k] for k in range(len(rows))}) > 60  # most groups fall apart
 
 
+def test_written_tables_leave_no_shuffle(spark):
+    """What a table shuffled goes when it is written, so many rounds need no more disk than one."""
+    kept = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    was = kept()
+    for _ in range(3):
+        assert materialize(spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count(), "counts").count() == 7
+    until = time.time() + 20
+    while kept() > was + 6 and time.time() < until:  # those of the last count() stay; they go in the background
+        time.sleep(0.5)
+    assert kept() <= was + 6
+
+
 def test_pairs_between_groups():
     import numpy as np
 
