@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import blob_hash, file_module, is_test, language_of, line_count
 from ..operators import context, diff, extract, graph, lookup, resolve, search, spans, upkeep
-from ..sources.scratch import place, written
+from ..sources.scratch import place, small_broadcasts, written
 
 VERSION = 3
 #: What comes of each file alone, and what of all together.
@@ -40,6 +40,11 @@ def parts(files: DataFrame) -> dict[str, DataFrame]:
     found: symbols with ``in_file``, their number in the file. refs: references
     with the number of the symbol that holds them.
     """
+    with small_broadcasts(files.sparkSession):
+        return _parts(files)
+
+
+def _parts(files: DataFrame) -> dict[str, DataFrame]:
     found, refs = extract.extract(files)
     placed = spans.inherited_flags(spans.lexical_identity(found).withColumn("is_test", is_test(F.col("file"), F.col("name"), F.col("hint"))))
     around = spans.enclosing(found).where("enclosing is not null").join(found.select("file", F.col("id").alias("enclosing"), F.col("name").alias("around")), ["file", "enclosing"])
@@ -84,8 +89,13 @@ def assemble(part: dict[str, DataFrame], services: DataFrame, iterations: int =
     """All tables of the index from those of the files and the services (name, path, …).
 
     Symbol ids count files by path, then lines: they depend on neither
-    partitions nor earlier runs.
+    partitions nor earlier runs. What grows with the files is not broadcast.
     """
+    with small_broadcasts(services.sparkSession):
+        return _assemble(part, services, iterations)
+
+
+def _assemble(part: dict[str, DataFrame], services: DataFrame, iterations: int) -> dict[str, DataFrame]:
     fingerprint = services_fingerprint(services)
     services = with_root(services)
     files = written(lookup.owning_service(part["files"].drop("service"), services.select(F.when(F.col("path") == "", ".").otherwise(F.col("path")).alias("path"), "name")), "files")

@@ -593,7 +593,7 @@ def index_edges(spark: SparkSession, d: str) -> DataFrame:
     """A whole index, from texts to resolved links."""
     tables = index.build(_sources(spark, d), spark.createDataFrame([("src", "src", None, None, [], [])], repository.SERVICES), iterations=2)
     end = lambda s: tables["symbols"].select(F.col("id").alias(f"{s}_symbol"), F.concat("file", F.lit("#"), "name").alias(s), F.col("doc_first_line").alias(f"{s}_doc"))
-    return tables["edges"].join(end("src"), "src_symbol").join(end("dst"), "dst_symbol").select("src", "dst", F.col("src_doc").alias("doc"))
+    return tables["edges"].join(end("src").hint("merge"), "src_symbol").join(end("dst").hint("merge"), "dst_symbol").select("src", "dst", F.col("src_doc").alias("doc"))
 
 
 _LISTED = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,29 @@ def written(df: DataFrame, name: str, *partition_by: str, batch_rows: int | None
     return spark.read.schema(df.schema).parquet(at)
 
 
+_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
+
+
+@contextmanager
+def small_broadcasts(spark: SparkSession, most: int = 1 << 16):
+    """Joins that run inside broadcast by themselves only what is at most so many bytes; ``F.broadcast`` holds as always. Then the setting is as it was.
+
+    All that is broadcast goes through the driver. Written tables are
+    compressed, so tables within Spark's default of 10 MB can be many times that
+    there, once for each join.
+    """
+    was = spark.conf.get(_BROADCAST)
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if was.startswith("-") or bytes_of(was) <= most:
+        yield
+        return
+    spark.conf.set(_BROADCAST, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BROADCAST, was)
+
+
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """``df`` written to the shared folder in hash buckets of ``column``: later joins and grouping by it move no rows of it."""
     spark = df.sparkSession

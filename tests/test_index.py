@@ -7,7 +7,7 @@ import subprocess
 import pytest
 
 from spindrift.operators import context, extract, graph, lookup
-from spindrift.plans import index
+from spindrift.plans import index, workloads
 from spindrift.sources import repository
 
 SOURCES = {
@@ -388,3 +388,13 @@ def test_changes_of_a_repository(spark, tmp_path):
     with pytest.raises(ValueError, match="no such file"):
         stored.cochange("absent.py", commits)
     assert stored.cochange("./notes.md", commits, on_disk=spark.createDataFrame([("notes.md",)], "path string")).count() > 0
+
+
+def test_what_grows_is_not_broadcast(spark, small, monkeypatch):
+    """All that is broadcast goes through the driver: the build lets only small tables, its query none of the symbols."""
+    key, seen, real = "spark.sql.autoBroadcastJoinThreshold", [], index.written
+    monkeypatch.setattr(index, "written", lambda df, *a, **k: seen.append(spark.conf.get(key)) or real(df, *a, **k))
+    was = spark.conf.get(key)
+    plan = workloads.index_edges(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert seen and set(seen) == {"65536"} and spark.conf.get(key) == was
