@@ -1,25 +1,31 @@
 """Phrase collocations by level-wise passes: longer phrases are counted only where both shorter ones in them are frequent.
 
-The first pass over the texts counts words. Pass k counts the phrases of k words
-whose first and last k-1 words are frequent, which a set given to all tasks
-tells: bits at two hashes of each frequent phrase, at most 2^28 of them (32 MB)
-however many phrases there are. These candidates, most of which come but a few
-times, are counted by 64-bit hashes; the same pass spells out the phrases of
-k-1 words that were frequent, and counts them by their words. So hashes and bits
-say only what is looked at: a phrase that comes often enough always passes them,
-one that doesn't is dropped by its exact count. Tasks count 8 MB of text at once
-before Spark adds up, so a frequent phrase is no hot key. Each pass writes a
-table, and cuts are scored by joining these.
+The texts are read once and taken apart: of every 8 MB of a language, a row has
+the words and the text as their numbers. The passes read these rows. The first
+counts words. Pass k counts the phrases of k words whose first and last k-1 words
+are frequent, which a set given to all tasks tells: bits at two hashes of each
+frequent phrase, at most 2^28 of them (32 MB) however many phrases there are.
+These candidates, most of which come but a few times, are counted by 64-bit
+hashes; the same pass spells out the phrases of k-1 words that were frequent, and
+counts them by their words. So hashes and bits say only what is looked at: a
+phrase that comes often enough always passes them, one that doesn't is dropped by
+its exact count. Tasks count a row at once before Spark adds up, so a frequent
+phrase is no hot key. Each pass writes a table, and cuts are scored by joining
+these.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from .common import in_small_batches, materialize
 
 #: What ends a piece, and the letters made small.
@@ -99,23 +105,18 @@ def frequent_set(frequent: DataFrame, most_bits: int = MOST_BITS) -> FrequentSet
     return FrequentSet(bits, {r["chunk"]: bytes(r["data"]) for r in chunks})
 
 
-class _Numbers(dict):
-    """Words to numbers, in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = len(self)
-        return found
-
-
 _COUNTED = [("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())]
+_STORED = "lang string, words string, ids binary"
+#: Some blocks of texts in a row group, however many a task writes.
+_ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def _counted_rows(lang, phrases, hashes, counts) -> pa.RecordBatch:
     n = len(counts)
     none = lambda kind: pa.nulls(n, kind)
     arrays = [
-        none(pa.string()) if phrases is None else pa.array([lang] * n, pa.string()),
-        none(pa.string()) if phrases is None else pa.array(phrases, pa.string()),
+        none(pa.string()) if phrases is None else pa.repeat(pa.scalar(lang, pa.string()), n),
+        none(pa.string()) if phrases is None else phrases,
         none(pa.int64()) if hashes is None else pa.array(hashes.view(np.int64)),
         pa.array(counts, pa.int64()),
     ]
@@ -125,16 +126,28 @@ def _counted_rows(lang, phrases, hashes, counts) -> pa.RecordBatch:
 class _Words:
     """Some texts of a language as numbers of words, 0 for a break, and the hashes of the phrases from each place on."""
 
-    def __init__(self, lang: str, texts: list[bytes]):
-        numbers = _Numbers({_BREAK: 0})
-        found = words_of(b"\n".join(texts))
-        self.lang, self.ids = lang, np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-        self.names = [w.decode() for w in numbers]
-        self.hashes = np.array([_hash(w) for w in numbers], np.uint64)
+    def __init__(self, lang: str, names: list[bytes], ids: np.ndarray):
+        self.lang, self.names, self.ids = lang, names, ids
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(_hash, self.names), np.uint64, len(self.names))
+
+    @classmethod
+    def of_texts(cls, lang: str, texts: list[bytes]) -> _Words:
+        found = pa.array([_BREAK, *words_of(b"\n".join(texts))], pa.large_binary()).dictionary_encode()
+        return cls(lang, found.dictionary.to_pylist(), found.indices.to_numpy()[1:])
+
+    @classmethod
+    def of_row(cls, lang: str, names: bytes, ids: bytes) -> _Words:
+        return cls(lang, names.split(b" "), np.frombuffer(ids, np.int32))
+
+    def row(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([self.lang], pa.string()), pa.array([b" ".join(self.names)], pa.binary()).cast(pa.string()), pa.array([self.ids.astype(np.int32).tobytes()], pa.binary())], ["lang", "words", "ids"])
 
     def words(self) -> pa.RecordBatch:
         count = np.bincount(self.ids, minlength=len(self.names))[1:]
-        return _counted_rows(self.lang, self.names[1:], _mixed(_start(self.lang), self.hashes[1:]), count)
+        return _counted_rows(self.lang, pa.array(self.names[1:], pa.binary()).cast(pa.string()), _mixed(_start(self.lang), self.hashes[1:]), count)
 
     def phrases(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes) of all phrases of ``k`` words without a break."""
@@ -147,12 +160,16 @@ class _Words:
         at = np.flatnonzero(whole)
         h = np.full(len(at), _start(self.lang))
         for j in range(k):
-            h = _mixed(h, self.hashes[self.ids[at + j]])
+            h = self.longer(h, at + j)
         return at, h
 
+    def longer(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of phrases with hashes ``h`` and one word more, those at some places."""
+        return _mixed(h, self.hashes[self.ids[at]])
+
     def spelled(self, at: np.ndarray, k: int) -> pa.RecordBatch:
         """The phrases of ``k`` words at some places, counted by their words."""
-        key, largest = self.ids[at], len(self.names) - 1
+        key, largest = self.ids[at].astype(np.int64), len(self.names) - 1
         for j in range(1, k):  # exact: numbers of words, or of what was seen so far, one behind the other
             if (largest + 1) * len(self.names) >= 1 << 63:
                 key = np.unique(key, return_inverse=True)[1]
@@ -160,53 +177,67 @@ class _Words:
             key = key * len(self.names) + self.ids[at + j]
             largest = (largest + 1) * len(self.names) - 1
         _, first, count = np.unique(key, return_index=True, return_counts=True)
-        return _counted_rows(self.lang, [" ".join([self.names[i] for i in row]) for row in self.ids[at[first][:, None] + np.arange(k)].tolist()], None, count)
+        names = pa.array(self.names, pa.large_binary()).cast(pa.large_string())
+        words = [names.take(pa.array(self.ids[at[first] + j])) for j in range(k)]
+        return _counted_rows(self.lang, pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())).cast(pa.string()), None, count)
 
 
 def _pass(k: int, shared, longest: int):
-    """What pass ``k`` makes of a language's texts: the phrases of k-1 words in the shared set, spelled out, and hashes of those of k words both of whose overlapping parts are in it."""
+    """What pass ``k`` makes of some words: the phrases of k-1 words in the shared set, spelled out, and hashes of those of k words both of whose overlapping parts are in it."""
 
-    def rows(lang: str, texts: list[bytes]):
-        words = _Words(lang, texts)
+    def rows(words: _Words):
         if k == 1:
             yield words.words()
             return
         at, h = words.phrases(k - 1)
         frequent = shared.value.has(h)
-        at = at[frequent]
+        at, h = at[frequent], h[frequent]
         if k > 2:
             yield words.spelled(at, k - 1)
         if k <= longest:
-            both = np.zeros(len(words.ids) + 1, bool)
-            both[at] = True
-            at, h = words.phrases(k)
-            found, count = np.unique(h[both[at] & both[at + 1]], return_counts=True)
-            yield _counted_rows(lang, None, found, count)
+            begins = np.zeros(len(words.ids) + 1, bool)
+            begins[at] = True
+            both = begins[at + 1]
+            found, count = np.unique(words.longer(h[both], at[both] + k - 1), return_counts=True)
+            yield _counted_rows(words.lang, None, found, count)
 
     return rows
 
 
 def _counted(rows, block_bytes: int = 8 << 20):
-    """``rows`` of each language's texts of about ``block_bytes`` together."""
+    """``rows`` of the words of each language's texts, about ``block_bytes`` together; at most four times that wait."""
 
     def run(batches):
         held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
         size = 0
-
-        def counted():
-            for lang, texts in held.items():
-                yield from rows(lang, texts)
-            held.clear()
-
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py().encode()
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+                text = text.as_py()
                 held.setdefault(lang, []).append(text)
+                sizes[lang] = sizes.get(lang, 0) + len(text)
                 size += len(text)
-                if size >= block_bytes:
-                    yield from counted()
-                    size = 0
-        yield from counted()
+                full = [lang] if sizes[lang] >= block_bytes else list(held) if size >= 4 * block_bytes else []
+                for one in full:
+                    size -= sizes.pop(one)
+                    yield from rows(_Words.of_texts(one, held.pop(one)))
+        for one in list(held):
+            yield from rows(_Words.of_texts(one, held.pop(one)))
+
+    return run
+
+
+def _stored(words: _Words):
+    yield words.row()
+
+
+def _again(rows):
+    """``rows`` of stored words."""
+
+    def run(batches):
+        for b in batches:
+            for lang, names, ids in zip(*b.columns):
+                yield from rows(_Words.of_row(lang.as_py(), names.as_buffer().to_pybytes(), ids.as_buffer()))
 
     return run
 
@@ -217,21 +248,24 @@ def phrase_levels(docs: DataFrame, least: int = 30, longest: int = 4, most_bits:
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     enough = F.col("f") >= least
 
-    def counted(k: int, shared) -> DataFrame:
-        return texts.mapInArrow(_counted(_pass(k, shared, longest)), "lang string, phrase string, h long, n long").groupBy("lang", "phrase", "h").agg(F.sum("n").alias("f"))
-
     with in_small_batches(spark):
-        words = materialize(counted(1, None), "words")
-        totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-        last = words.where(enough)
-        levels = [last.select("lang", "phrase", "f")]
-        for k in range(2, longest + 2):
-            shared = spark.sparkContext.broadcast(frequent_set(last, most_bits))
-            found = materialize(counted(k, shared).where(enough), f"pass-{k}")
-            shared.unpersist()
-            if k > 2:
-                levels.append(found.where("phrase is not null").select("lang", "phrase", "f"))
-            last = found.where("phrase is null")
+        stored = scratch.written(texts.mapInArrow(_counted(_stored), _STORED), "numbered", options=_ROW_GROUPS)
+
+    def counted(k: int, shared, keep: Column, name: str) -> DataFrame:
+        rows = stored.mapInArrow(_again(_pass(k, shared, longest)), "lang string, phrase string, h long, n long")
+        return scratch.written(rows.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("f")).where(keep), name, batch_rows=1)  # a row is a block of texts
+
+    words = counted(1, None, F.lit(True), "words")
+    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    last = words.where(enough)
+    levels = [last.select("lang", "phrase", "f")]
+    for k in range(2, longest + 2):
+        shared = spark.sparkContext.broadcast(frequent_set(last, most_bits))
+        found = counted(k, shared, enough, f"pass-{k}")
+        shared.unpersist()
+        if k > 2:
+            levels.append(found.where("phrase is not null").select("lang", "phrase", "f"))
+        last = found.where("phrase is null")
     return levels, totals
 
 
@@ -239,15 +273,9 @@ def _parts(words: Column, first, n) -> Column:
     return F.array_join(F.slice(words, first, n), " ")
 
 
-_SALTS = 32
-
-
 def _of_parts(cuts: DataFrame, column: str, levels: DataFrame, count: str) -> DataFrame:
-    """``cuts`` with the count of the phrase in ``column``. Many phrases begin or end with the same word, so each part's count is dealt to several keys."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    found = levels.select(F.col("lang"), F.col("phrase").alias(column), F.col("f").alias(count), salts.alias("salt"))
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)).cast("int")
-    return cuts.withColumn("salt", salt).join(found, ["lang", column, "salt"]).drop("salt")
+    """``cuts`` with the count of the phrase in ``column``. A word that comes f times begins or ends f / ``least`` phrases of each length at most, so no key has as many rows as the word has places."""
+    return cuts.join(levels.select("lang", F.col("phrase").alias(column), F.col("f").alias(count)), ["lang", column])
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, most_bits: int = MOST_BITS) -> DataFrame:

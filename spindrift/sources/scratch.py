@@ -28,8 +28,8 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, *partition_by: str, batch_rows: int | None = None) -> DataFrame:
-    """``df`` written and read again: neither its lineage nor a lost executor costs more than this step, and what it shuffled goes from disk when it is written. With ``batch_rows`` Python gets at most so many rows at once, for rows that are large."""
+def written(df: DataFrame, name: str, *partition_by: str, batch_rows: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` written and read again: neither its lineage nor a lost executor costs more than this step, and what it shuffled goes from disk when it is written. With ``batch_rows`` Python gets at most so many rows at once, for rows that are large. ``options`` are the writer's."""
     spark, at = df.sparkSession, path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     was, kept = spark.conf.get(_BATCH), spark.conf.get(_CLEANUP)
@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str, *partition_by: str, batch_rows: int | None
         spark.conf.set(_BATCH, batch_rows)
     spark.conf.set(_CLEANUP, "true")
     try:
-        writer.option("compression", "zstd").parquet(at)
+        writer.options(compression="zstd", **(options or {})).parquet(at)
     finally:
         spark.conf.set(_BATCH, was)
         spark.conf.set(_CLEANUP, kept)

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,32 @@ def test_empty_table_and_clashing_columns(spark, docs, no_docs):
     for name in ("phrase", "n", "f", "words", "size", "salt", "share", "rank"):
         docs = docs.withColumn(name, F.lit("mine"))
     assert rows_of(phrases.collocations(docs, least=2)) == brute(DOCS, least=2)
+
+
+def test_texts_are_read_once(spark):
+    """All passes count from one reading of the texts, which are taken apart there."""
+    rows = chatter(4, 120)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(seen), SCHEMA)
+    assert rows_of(phrases.collocations(docs, least=4)) == brute(rows, least=4)
+    assert read.value == len(rows)
+
+
+@pytest.mark.parametrize("block_bytes", [1, 300, 1 << 20])
+def test_stored_words_count_as_the_texts_do(spark, block_bytes):
+    """Blocks of one text, of a few and of all, each of one language: read again they give what the texts gave."""
+    rows = chatter(5, 60)
+    texts = [pa.RecordBatch.from_arrays([pa.array([r[2] or "und" for r in part]), pa.array([r[1] for r in part])], ["lang", "text"]) for part in (rows[:25], rows[25:])]
+    stored = list(phrases._counted(phrases._stored, block_bytes)(texts))
+    assert len(stored) == 3 if block_bytes == 1 << 20 else 3 < len(stored) <= 60
+    found = Counter()
+    for b in phrases._again(phrases._pass(1, None, 4))(stored):
+        for r in b.to_pylist():
+            found[r["lang"], r["phrase"]] += r["n"]
+    words = Counter((lang or "und", w.decode()) for _, text, lang, *_ in rows for w in phrases.words_of(text.encode()) if w != b".")
+    assert found == words
